@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_jaccard, quality, sharding, token_counts, url_filter
+from . import decontaminate, langid, licenses, mixing, ngram_jaccard, quality, sharding, token_counts, url_filter, warc
 from .shared import load
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -17,6 +17,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_classes(load(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    fold = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.where(~fold).select("doc_id", "text", "lang"))
+    return langid.predict(docs, model).select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
     return url_filter.judge_urls(load(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -26,10 +33,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load(spark, sf_dir, "documents"), token_counts.read_ranks(VOCABULARY))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(load(spark, sf_dir, "documents"), cleaned=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(load(spark, sf_dir, "pages"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,8 +59,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_url_filter, op4_token_counts, op6_quality_rules, op9_mixture, op10_sharding)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_url_filter, op4_token_counts, op5_benchmark_decontamination, op6_quality_rules, op7_warc, op8_license_scan, op9_mixture, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_benchmark_decontamination": decontaminate.ORACLE}

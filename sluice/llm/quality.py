@@ -61,14 +61,15 @@ def _repeat_words(h: np.ndarray) -> int:
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, failed_lines long, lost_words long, kept boolean, cleaned string"
 
 
-def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_loss: float = MAX_LOSS, cleaned: bool = True) -> DataFrame:
+def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_loss: float = MAX_LOSS, cleaned: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the counts, ``kept`` and the ``cleaned`` text (lines that fail removed; null unless asked for) of each row.
 
     Words are runs of other than ASCII white space, over the whole text. A null or blank
     text has no words, so it fails the base rules. One line of any length is judged
     like others; a text without newlines is one line. Rows are kept as they are,
-    with equal or null ids too; an empty table gives an empty one.
+    with equal or null ids too, and their columns in ``carry`` come along; an empty table gives an empty one.
     """
+    carried = docs.select(*[F.col(c) for c in carry])
 
     def lines(w: Words, i: int) -> tuple[int, int, int, int, bytes]:
         body = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes()
@@ -101,8 +102,8 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 base = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT * n)
                 kept = ~base & (np.array(lost) <= max_loss * n)
                 yield pa.record_batch(
-                    [batch.column(0)[w.rows], pa.array(n.astype(np.int64)), pa.array(chars[w.first[1:]] - chars[w.first[:-1]]), pa.array(symbols[w.offsets[1:]] - symbols[w.offsets[:-1]]), pa.array(dup, pa.int64()), pa.array(repeat), pa.array(base), pa.array(total, pa.int64()), pa.array(failed, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept), pa.array([c.decode() for c in clean] if cleaned else [None] * len(n), pa.string())],
-                    names=["doc_id", *(c.split()[0] for c in COLUMNS.split(", "))],
+                    [batch.column(0)[w.rows], pa.array(n.astype(np.int64)), pa.array(chars[w.first[1:]] - chars[w.first[:-1]]), pa.array(symbols[w.offsets[1:]] - symbols[w.offsets[:-1]]), pa.array(dup, pa.int64()), pa.array(repeat), pa.array(base), pa.array(total, pa.int64()), pa.array(failed, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept), pa.array([c.decode() for c in clean] if cleaned else [None] * len(n), pa.string()), *(c[w.rows] for c in batch.columns[2:])],
+                    names=["doc_id", *(c.split()[0] for c in COLUMNS.split(", ")), *carry],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id long, {COLUMNS}")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"), *carry).mapInArrow(run, ", ".join([f"doc_id long, {COLUMNS}", *(f"`{c}` {t}" for c, t in carried.dtypes)]))
