@@ -171,10 +171,19 @@ def _tiles(percent: int):
         if len(a):
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.record_batch([pa.nulls(pair.shape[1], pa.int64()), pa.array(pair[0]), pa.array(pair[1])], schema=schema)
-        more = count[group] >= 3
-        ids, group = ids[more], group[more]
+        # sets that are alike are in one band or in neighbouring ones, so a tile has two bands; one where a band has no neighbour
+        up, down = np.zeros(len(heads), bool), np.zeros(len(heads), bool)
+        up[near], down[near + 1] = True, True
+        place = np.cumsum(head) - 1
+        upper, lower = up[place] | ~down[place], down[place]
+        ids = np.concatenate([ids[upper], ids[lower]])
+        part = np.concatenate([place[upper], place[lower] - 1])
+        order = np.lexsort((ids, part))
+        ids, part = ids[order], part[order]
+        more = np.bincount(part)[part] >= 3
+        ids, part = ids[more], part[more]
         if len(ids):
-            begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             name = np.add.reduceat(mix(ids.view(np.uint64)), begin)
             sizes = np.diff(np.append(begin, len(ids)))
             new = np.zeros(len(begin), bool)
