@@ -6,9 +6,12 @@
    any fixed order of all shingles, with each set that is alike. The order puts
    shingles seen in many texts last, so that common passages and lines seldom
    bring texts together. Each such shingle with its sets is a tile, banded by size.
+   The first common shingle of two alike sets has all their common ones behind it, so in its tile the
+   smaller set stands within its first ``n - need(n, n) + 1`` places (it is early). A
+   later set stays in a tile only if an early one of fitting size is there.
 3. Within a band of a tile each set meets the smallest one; the pairs that hold make
    classes. Only tiles that still hold several classes are then compared in
-   full, pair by pair between classes, in blocks, on bitmap signatures.
+   full, pair by pair between classes, in blocks, on bitmap signatures folded once; what they allow meets the whole bitmaps.
 4. A bitmap marks hashed shingles; bits of A that B lacks are shingles that B lacks,
    so bit counts bound the overlap from above. Pairs that pass are decided by
    the exact intersection of their sorted arrays.
@@ -34,6 +37,8 @@ WIDTH, PERCENT = 5, 75
 #: Sets of a tile that are compared at a time.
 BLOCK = 512
 LEAST_BITS = 256
+#: The most frequent shared shingles that tasks are told of (16 bytes each). It bounds a broadcast and bears on the order alone: any order gives the same links.
+HOT = 500_000
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -50,6 +55,11 @@ def _fold(sig: np.ndarray, size: int) -> np.ndarray:
     return sig
 
 
+def _half(sig: bytes | None) -> bytes | None:
+    """The signature folded once, if it is long enough."""
+    return sig and _fold(np.frombuffer(sig, np.uint8), max(LEAST_BITS // 8, len(sig) // 2)).tobytes()
+
+
 def _needed(na, nb, percent: int):
     """The least overlap of sets of these sizes that are alike: 100 i >= p (na + nb - i)."""
     return -(-percent * (na + nb) // (100 + percent))
@@ -67,14 +77,14 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-PROFILE = "doc_id long, id long, n long, sig binary, hot boolean"
+PROFILE = "doc_id long, id long, n long, sig binary, half binary, hot boolean"
 
 
 def _profile(width: int):
     """Rows of sets, and of the shingles that many texts of a few MB share (hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("hot", pa.bool_())])
+        schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("half", pa.binary()), ("hot", pa.bool_())])
         held: list[np.ndarray] = []
         size, seen = 0, set()
 
@@ -82,7 +92,7 @@ def _profile(width: int):
             s, count = np.unique(np.concatenate(held), return_counts=True)
             keep = count >= max(4, len(held) // 500)
             k = int(keep.sum())
-            return pa.record_batch([pa.nulls(k, pa.int64()), _signed(s[keep]), pa.array(count[keep].astype(np.int64)), pa.nulls(k, pa.binary()), pa.array(np.ones(k, bool))], schema=schema)
+            return pa.record_batch([pa.nulls(k, pa.int64()), _signed(s[keep]), pa.array(count[keep].astype(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(np.ones(k, bool))], schema=schema)
 
         for batch in batches:
             ids = batch.column(0)
@@ -99,7 +109,7 @@ def _profile(width: int):
                         held.append(s)
                         size += len(s)
                 n = len(counts)
-                yield pa.record_batch([ids[w.rows], _signed(np.array(prints, np.uint64)), pa.array(np.array(counts, np.int64)), pa.array(sigs, pa.binary()), pa.array(np.zeros(n, bool))], schema=schema)
+                yield pa.record_batch([ids[w.rows], _signed(np.array(prints, np.uint64)), pa.array(np.array(counts, np.int64)), pa.array(sigs, pa.binary()), pa.array(map(_half, sigs), pa.binary()), pa.array(np.zeros(n, bool))], schema=schema)
                 if size > 4_000_000:
                     yield hot()
                     held, size = [], 0
@@ -110,7 +120,7 @@ def _profile(width: int):
 
 
 def _postings(width: int, percent: int, hot):
-    """(shingle, set, size) for the first shingles of each set; a set once in a task."""
+    """(shingle, set, rank) for the first shingles of each set; a set once in a task. The rank is twice the size, plus one where the set is late."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = hot.value
@@ -133,9 +143,9 @@ def _postings(width: int, percent: int, hot):
                         rank = np.where(common[at] == s, often[at], 0)
                         if rank.any():
                             s = s[np.lexsort((s, rank))]
-                    keys.append(s[:take]), sets.append(np.full(take, p)), sizes.append(np.full(take, n, np.int64))
+                    keys.append(s[:take]), sets.append(np.full(take, p)), sizes.append(2 * n + (np.arange(take) > n - _needed(n, n, percent)).astype(np.int64))
                 if keys:
-                    yield pa.record_batch([_signed(np.concatenate(keys)), _signed(np.concatenate(sets)), pa.array(np.concatenate(sizes))], names=["key", "id", "n"])
+                    yield pa.record_batch([_signed(np.concatenate(keys)), _signed(np.concatenate(sets)), pa.array(np.concatenate(sizes))], names=["key", "id", "rank"])
 
     return run
 
@@ -148,33 +158,38 @@ def _tiles(percent: int):
     """Pairs of each set with the smallest of its band, and of neighbouring bands' smallest; members of tiles of three or more."""
     schema = pa.schema([("tile", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def one(key: np.ndarray, ids: np.ndarray, n: np.ndarray, told: set) -> Iterator[pa.RecordBatch]:
+    def one(key: np.ndarray, ids: np.ndarray, rank: np.ndarray, told: set) -> Iterator[pa.RecordBatch]:
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-        key, ids, n = key[fresh], ids[fresh], n[fresh]
+        key, ids, n, early = key[fresh], ids[fresh], rank[fresh] >> 1, rank[fresh] & 1 == 0
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         group = np.cumsum(first) - 1
-        count = np.bincount(group)
-        many = count[group] >= 2
-        key, ids, n, group = key[many], ids[many], n[many], group[many]
         if not len(key):
             return
+        before = np.maximum.accumulate(np.where(early, np.arange(len(key)), -1))  # the last early set up to here
+        fits = early | ((before >= 0) & (group[before] == group) & (100 * n[before] >= percent * n))
+        many = fits & (np.bincount(group[fits], minlength=group[-1] + 1)[group] >= 2)
+        ids, n, group, early = ids[many], n[many], group[many], early[many]
+        if not len(ids):
+            return
         band = _bands(n, percent)
-        head = np.ones(len(key), bool)
+        head = np.ones(len(ids), bool)
         head[1:] = (group[1:] != group[:-1]) | (band[1:] != band[:-1])
         lead = np.flatnonzero(head)[np.cumsum(head) - 1]
         heads = np.flatnonzero(head)
         near = np.flatnonzero((group[heads[1:]] == group[heads[:-1]]) & (band[heads[1:]] == band[heads[:-1]] + 1))
-        a = np.concatenate([ids[lead[~head]], ids[heads[near]]])
-        b = np.concatenate([ids[~head], ids[heads[near + 1]]])
+        place = np.cumsum(head) - 1
+        # late sets meet the smallest one elsewhere, where they are early; a band of two has no other comparison
+        meets = ~head & (early | (np.bincount(place)[place] == 2))
+        a = np.concatenate([ids[lead[meets]], ids[heads[near]]])
+        b = np.concatenate([ids[meets], ids[heads[near + 1]]])
         if len(a):
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.record_batch([pa.nulls(pair.shape[1], pa.int64()), pa.array(pair[0]), pa.array(pair[1])], schema=schema)
         # sets that are alike are in one band or in neighbouring ones, so a tile has two bands; one where a band has no neighbour
         up, down = np.zeros(len(heads), bool), np.zeros(len(heads), bool)
         up[near], down[near + 1] = True, True
-        place = np.cumsum(head) - 1
         upper, lower = up[place] | ~down[place], down[place]
         ids = np.concatenate([ids[upper], ids[lower]])
         part = np.concatenate([place[upper], place[lower] - 1])
@@ -258,8 +273,8 @@ def _exact(width: int, percent: int):
 def _blocks(percent: int):
     """Pairs between classes of a block pair of a tile that the bitmaps allow.
 
-    Input: (tile, i, j, side, id, n, class, sig) sorted by (tile, i, j). Sets of side 0 meet those of side 1,
-    or each other where i = j.
+    Input: (tile, i, j, side, id, n, class, half) sorted by (tile, i, j). Sets of side 0 meet those of side 1,
+    or each other where i = j. Output: pairs of sets.
     """
 
     def meet(rows: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -317,15 +332,15 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     profile = materialize(source.mapInArrow(_profile(width), PROFILE), "profile")
     sets = profile.where("NOT hot")
-    hot = profile.where("hot").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 8").orderBy("id").toPandas()
+    hot = profile.where("hot").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "id").limit(HOT).toPandas()
     shared = spark.sparkContext.broadcast((hot["id"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)))
     if len(hot):
         order = np.argsort(shared.value[0], kind="stable")
         shared = spark.sparkContext.broadcast((shared.value[0][order], shared.value[1][order]))
 
-    nodes = materialize(sets.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("sig").alias("sig")), "nodes")
-    posted = source.mapInArrow(_postings(width, percent, shared), "key long, id long, n long")
-    tiled = materialize(posted.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(_tiles(percent), "tile long, a long, b long"), "tiles")
+    nodes = materialize(sets.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("half").alias("half")), "nodes")
+    posted = source.mapInArrow(_postings(width, percent, shared), "key long, id long, rank long")
+    tiled = materialize(posted.repartition("key").sortWithinPartitions("key", "rank", "id").mapInArrow(_tiles(percent), "tile long, a long, b long"), "tiles")
     pairs = tiled.where("b IS NOT NULL").select("a", "b").distinct()
 
     def allowed(pairs: DataFrame) -> DataFrame:
@@ -344,7 +359,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     links = materialize(hold(first), "links")
     classes = materialize(components(links, "a", "b"), "classes")
-    own = nodes.join(classes.withColumnRenamed("node", "doc"), "doc", "left").select("id", "doc", "n", "sig", F.coalesce("component", "doc").alias("class"))
+    own = nodes.join(classes.withColumnRenamed("node", "doc"), "doc", "left").select("id", "n", "half", F.coalesce("component", "doc").alias("class"))
     spread = members.join(own.select("id", "class"), "id")
     open_tiles = spread.groupBy("tile").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("tile", "size")
     rest = materialize(members.join(open_tiles, "tile"), "open")
@@ -355,9 +370,9 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         at = F.pmod(F.xxhash64("id"), k).cast("int")
         blocks = rest.withColumn("k", k).withColumn("at", at).select("tile", "id", "at", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
         blocks = blocks.select("tile", "id", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") <= F.col("other"), 0).otherwise(1).alias("side"))
-        rows = blocks.join(own.select("id", "doc", "n", "class", "sig"), "id").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-        more = rows.select("tile", "i", "j", "side", "doc", "n", "class", "sig").mapInArrow(_blocks(percent), "a long, b long").distinct()
-        found = links.unionByName(hold(materialize(more, "pairs")))
+        rows = blocks.join(own.select("id", "n", "class", "half"), "id").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+        more = rows.select("tile", "i", "j", "side", "id", "n", "class", "half").mapInArrow(_blocks(percent), "a long, b long").distinct()
+        found = links.unionByName(hold(materialize(allowed(more), "pairs")))
         classes = materialize(components(found, "a", "b"), "classes")
         own = nodes.join(classes.withColumnRenamed("node", "doc"), "doc", "left").select("id", F.coalesce("component", "doc").alias("class"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("id")).alias("id")).join(own.select("id", "class"), "id", "left")
