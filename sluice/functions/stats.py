@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 # fixed values: the interval's z, the master seed and the number of replicates
 Z, MASTER_SEED, REPLICATES = 1.96, 20260917, 10_000
-#: Rows of a series that the exact resampling takes into one task; longer ones go to ``poisson_bootstrap``.
+#: Rows of a series that the exact resampling takes into one task; longer ones go to ``poisson_bootstrap`` and ``percentile_bootstrap``.
 EXACT_ROWS = 100_000
 
 
@@ -142,7 +142,103 @@ def poisson_bootstrap(series: DataFrame, keys: list[str], value: str, row_id: st
 
     narrow = series.select(*keys, F.col(value).cast("double").alias("_value"), F.xxhash64(row_id, F.lit(seed)).alias("_row")).where("_value IS NOT NULL")
     schema = ", ".join([*(f"`{k}` {dict(series.dtypes)[k]}" for k in keys), "s array<double>, w array<double>"])
-    sums = narrow.mapInArrow(run, schema).select(*keys, F.posexplode(F.arrays_zip("s", "w")).alias("rep", "x")).groupBy(*keys, "rep").agg((F.sum("x.s") / F.nullif(F.sum("x.w"), F.lit(0.0))).alias("m"))
+    # the draws cost far more than the rows' way to other tasks
+    dealt = narrow.repartition(series.sparkSession.sparkContext.defaultParallelism, "_row")
+    sums = dealt.mapInArrow(run, schema).select(*keys, F.posexplode(F.arrays_zip("s", "w")).alias("rep", "x")).groupBy(*keys, "rep").agg((F.sum("x.s") / F.nullif(F.sum("x.w"), F.lit(0.0))).alias("m"))
     ci = sums.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     means = narrow.groupBy(*keys).agg(F.avg("_value").alias("mean"), F.count(F.lit(1)).alias("n"))
     return means.join(ci, keys).select(*keys, "mean", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "n")
+
+
+#: Levels are looked up in quantiles this fine; replicates are drawn this many at a time.
+STEPS, BLOCK = 2000, 500
+
+
+def _classes(series: DataFrame, keys: list[str], levels: list[float], sides: int) -> DataFrame:
+    """Counts of the values ``_v0, _v1..`` that a replicate's percentiles may fall on, all others between them as one class.
+
+    Around each level lie the values that 8 standard deviations and 40 rows reach (``_in``: one class for each value);
+    the rest of a series is cut to the intervals in between, each named by the window's end below it.
+    """
+    quantiles = [F.percentile_approx(f"_v{i}", [k / STEPS for k in range(STEPS + 1)], 10_000).alias(f"_q{i}") for i in range(sides)]
+    marks = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *quantiles)
+    ends = []
+    for i in range(sides):
+        for k, p in enumerate(levels):
+            margin = 8 * F.sqrt(p * (1 - p) / F.col("_n")) + 40 / F.col("_n") + 2e-4
+            low, high = F.floor((p - margin) * STEPS).cast("int"), F.ceil((p + margin) * STEPS).cast("int")
+            ends += [F.when(low <= 0, float("-inf")).otherwise(F.get(f"_q{i}", low)).alias(f"_lo{i}{k}"), F.when(high >= STEPS, float("inf")).otherwise(F.get(f"_q{i}", high)).alias(f"_hi{i}{k}")]
+    windows = marks.select(*(F.col(k).alias(f"_key{j}") for j, k in enumerate(keys)), *ends)
+    same = [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(keys)]
+    rows, named = series.join(F.broadcast(windows), same), []
+    for i in range(sides):
+        v, inside, below = F.col(f"_v{i}"), F.lit(False), [F.lit(float("-inf"))]
+        for k in range(len(levels)):
+            inside = inside | v.between(F.col(f"_lo{i}{k}"), F.col(f"_hi{i}{k}"))
+            below.append(F.when(F.col(f"_hi{i}{k}") < v, F.col(f"_hi{i}{k}")))
+        named += [F.when(inside, v).otherwise(F.greatest(*below) if len(below) > 1 else below[0]).alias(f"_at{i}"), inside.alias(f"_in{i}")]
+    rows = rows.select(*keys, "_seed", *named)
+    return rows.groupBy(*keys, *[f"{c}{i}" for i in range(sides) for c in ("_at", "_in")]).agg(F.count(F.lit(1)).alias("_c"), F.min("_seed").alias("_seed"))
+
+
+def _replicates(series: DataFrame, keys: list[str], levels: list[float], sides: int, replicates: int) -> DataFrame:
+    """``(side, level, rep, x)``: the percentiles of each replicate, both sides resampled by the same rows."""
+    blocks = -(-replicates // BLOCK)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([f"{c}{i}" for i in range(sides) for c in ("_at", "_in")])
+        counts, block = rows["_c"].to_numpy(np.int64), int(key[-1])
+        n, size = int(counts.sum()), min(BLOCK, replicates - block * BLOCK)
+        rng, out = np.random.default_rng([int(rows["_seed"].iloc[0]), block]), []
+        sorted_sides = []
+        for i in range(sides):
+            at, inside = rows[f"_at{i}"].to_numpy(float), rows[f"_in{i}"].to_numpy(bool)
+            order = np.lexsort((~inside, at))
+            sorted_sides.append((order, at[order], inside[order]))
+        step = max(1, 2_000_000 // len(counts))
+        for first in range(0, size, step):
+            w = rng.multinomial(n, counts / n, size=min(step, size - first))
+            reps = block * BLOCK + first + np.arange(len(w))
+            for side, (order, at, inside) in enumerate(sorted_sides):
+                upto = w[:, order].cumsum(axis=1)
+                for level, p in enumerate(levels):
+                    h = (n - 1) * p
+                    low = int(h)
+                    a, b = ((upto > r).argmax(axis=1) for r in (low, min(low + 1, n - 1)))
+                    if not (inside[a].all() and inside[b].all()):
+                        raise ValueError("a replicate's percentile lies outside the values that were kept")
+                    out.append(pd.DataFrame({"side": side, "level": level, "rep": reps, "x": at[a] + (at[b] - at[a]) * (h - low)}))
+        drawn = pd.concat(out)
+        for j, k in enumerate(keys):
+            drawn.insert(j, k, key[j])
+        return drawn
+
+    types = dict(series.dtypes)
+    spread = _classes(series, keys, levels, sides).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return spread.groupBy(*keys, "_block").applyInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "side int, level int, rep int, x double"]))
+
+
+def percentile_bootstrap(series: DataFrame, keys: list[str], value: str, seed: str, levels: tuple[int, ...] = (50, 95, 99), replicates: int = REPLICATES) -> DataFrame:
+    """``(quantity, lo, hi, n)`` of each group's percentiles, for series of any length.
+
+    How often the values are drawn is multinomial, as in resampling the rows. Only the values near a level get a
+    count of their own (see ``_classes``), so no series comes together anywhere; a replicate that fell outside would fail.
+    """
+    narrow = series.select(*keys, F.col(value).cast("double").alias("_v0"), F.col(seed).alias("_seed")).where("_v0 IS NOT NULL")
+    drawn = _replicates(narrow, keys, [p / 100 for p in levels], 1, replicates)
+    ci = drawn.groupBy(*keys, "level").agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    ns = narrow.groupBy(*(F.col(k).alias(f"_key{j}") for j, k in enumerate(keys))).agg(F.count(F.lit(1)).alias("n"))
+    named = F.get(F.array(*[F.lit(f"p{p}") for p in levels]), F.col("level"))
+    return ci.join(F.broadcast(ns), [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(keys)]).select(*keys, named.alias("quantity"), F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "n")
+
+
+def paired_percentile_bootstrap(pairs: DataFrame, keys: list[str], a: str, b: str, seed: str, level: int = 99, replicates: int = REPLICATES) -> DataFrame:
+    """``(diff, lo, hi, n, separated)`` of percentile(a) - percentile(b), both resampled by the same rows, for any number of pairs."""
+    narrow = pairs.select(*keys, F.col(a).cast("double").alias("_v0"), F.col(b).cast("double").alias("_v1"), F.col(seed).alias("_seed")).where("_v0 IS NOT NULL AND _v1 IS NOT NULL")
+    drawn = _replicates(narrow, keys, [level / 100], 2, replicates)
+    of = drawn.groupBy(*keys, "rep").agg(F.sum(F.when(F.col("side") == 0, F.col("x")).otherwise(-F.col("x"))).alias("x"))
+    ci = of.groupBy(*keys).agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    diff = F.percentile("_v0", F.lit(level / 100)) - F.percentile("_v1", F.lit(level / 100))
+    whole = narrow.groupBy(*(F.col(k).alias(f"_key{j}") for j, k in enumerate(keys))).agg(diff.alias("diff"), F.count(F.lit(1)).alias("n"))
+    lo, hi = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    return ci.join(F.broadcast(whole), [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(keys)]).select(*keys, "diff", lo.alias("lo"), hi.alias("hi"), "n", separated(lo, hi).alias("separated"))

@@ -114,7 +114,11 @@ def comparisons(outcomes: DataFrame, specs: list[tuple[str, str, str, str]], rep
     good, out = succeeded(outcomes), None
     for name, a, b, quantity in specs:
         pairs = pairs_of(good, a, b, quantity).withColumn("seed", stats.derive_seed(F.col("frac"), f"{a}-vs-{b}", quantity)).withColumn("id", F.lit(name))
-        part = stats.paired_bootstrap(pairs, ["id", "frac"], "a", "b", "idx", "seed", "p99" if quantity == "latency_ms" else "mean", replicates)
+        if quantity == "latency_ms":
+            part = stats.paired_percentile_bootstrap(pairs, ["id", "frac"], "a", "b", "seed", 99, replicates)
+        else:
+            means = stats.poisson_bootstrap(pairs.withColumn("diff", F.col("a") - F.col("b")), ["id", "frac"], "diff", "idx", replicates)
+            part = means.select("id", "frac", F.col("mean").alias("diff"), "lo", "hi", "n", stats.separated(F.col("lo"), F.col("hi")).alias("separated"))
         out = part if out is None else out.unionByName(part)
     return out
 

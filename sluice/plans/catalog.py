@@ -432,25 +432,24 @@ def audit_numbers(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    rows = metrics.succeeded(surrogate.outcomes(spark, d)).withColumn("seed", stats.derive_seed(F.col("frac"), F.col("config"), F.lit("cost")))
-    return stats.bootstrap_ci(rows.where("idx < 500"), ["config", "frac"], "cost_usd", "seq", "seed", "sum")
+    means = stats.poisson_bootstrap(metrics.succeeded(surrogate.outcomes(spark, d)), ["config", "frac"], "cost_usd", "seq", stats.REPLICATES)
+    return means.select("config", "frac", F.lit("sum").alias("quantity"), (F.col("lo") * F.col("n")).alias("lo"), (F.col("hi") * F.col("n")).alias("hi"), "n")
 
 
 @query()
 def bootstrap_percentiles(spark, d):
     rows = metrics.warm(metrics.succeeded(surrogate.outcomes(spark, d))).withColumn("seed", stats.derive_seed(F.col("frac"), F.col("config"), F.lit("latency")))
-    return stats.bootstrap_ci(rows.where("idx < 500"), ["config", "frac"], "latency_ms", "seq", "seed", "percentiles", 2000)
+    return stats.percentile_bootstrap(rows, ["config", "frac"], "latency_ms", "seed")
 
 
 @query()
 def paired_bootstrap(spark, d):
-    rows = surrogate.outcomes(spark, d).where("idx < 500")
-    return metrics.comparisons(rows, [("cost-cache-baseline", "cache", "baseline", "cost_usd"), ("p99-heuristic-baseline", "router_heuristic", "baseline", "latency_ms")], 2000)
+    return metrics.comparisons(surrogate.outcomes(spark, d), [("cost-cache-baseline", "cache", "baseline", "cost_usd"), ("p99-heuristic-baseline", "router_heuristic", "baseline", "latency_ms")])
 
 
 @query()
 def poisson_bootstrap(spark, d):
-    return stats.poisson_bootstrap(metrics.succeeded(surrogate.outcomes(spark, d)), ["config", "frac"], "latency_ms", "seq", 200)
+    return stats.poisson_bootstrap(metrics.succeeded(surrogate.outcomes(spark, d)), ["config", "frac"], "latency_ms", "seq")
 
 
 @query("WITH " + f"k AS (SELECT doc_id AS idx, {NORM} AS norm_key FROM documents WHERE text IS NOT NULL), f AS (SELECT norm_key, min(idx) AS first_idx FROM k GROUP BY 1) SELECT idx, idx > first_idx AS hit, CASE WHEN idx > first_idx THEN 'cache_exact' ELSE 'miss' END AS kind, CASE WHEN idx > first_idx THEN 0 ELSE 1 END::BIGINT AS tokens_in FROM k JOIN f USING (norm_key) WHERE norm_key <> ''")

@@ -68,6 +68,43 @@ def test_poisson_bootstrap_covers_the_mean(spark):
     assert got["n"] == 2000 and got["lo"] < got["mean"] < got["hi"] and got["hi"] - got["lo"] < 6
 
 
+def test_percentile_bootstrap_against_resampled_rows(spark):
+    x = np.random.default_rng(3).exponential(50, 3000).round(2)
+    rows = spark.createDataFrame([("a" if i % 2 else None, i, float(v), 9) for i, v in enumerate(x)], "g string, i long, v double, s long")
+    got = {(r["g"], r["quantity"]): r for r in stats.percentile_bootstrap(rows, ["g"], "v", "s", replicates=4000).collect()}
+    want = {(r["g"], r["quantity"]): r for r in stats.bootstrap_ci(rows, ["g"], "v", "i", "s", "percentiles", 4000).collect()}
+    assert got.keys() == want.keys() and len(got) == 6
+    for k, w in want.items():
+        assert got[k]["n"] == w["n"] == 1500
+        assert (got[k]["lo"], got[k]["hi"]) == pytest.approx((w["lo"], w["hi"]), abs=0.15 * (w["hi"] - w["lo"]))
+
+
+def test_paired_percentile_bootstrap_against_resampled_rows(spark):
+    rng = np.random.default_rng(4)
+    a = rng.exponential(50, 1500)
+    rows = spark.createDataFrame([("x", i, float(v), float(w), 5) for i, (v, w) in enumerate(zip(a, a * 0.9 + rng.exponential(5, 1500)))], "g string, i long, a double, b double, s long")
+    got = stats.paired_percentile_bootstrap(rows, ["g"], "a", "b", "s", replicates=4000).first()
+    want = stats.paired_bootstrap(rows, ["g"], "a", "b", "i", "s", "p99", 4000).first()
+    assert got["diff"] == pytest.approx(want["diff"]) and got["n"] == 1500
+    assert (got["lo"], got["hi"]) == pytest.approx((want["lo"], want["hi"]), abs=0.15 * (want["hi"] - want["lo"]))
+
+
+def test_intervals_read_whole_series(spark):
+    from sluice.operators import metrics
+    from sluice.plans import catalog
+    from sluice.sources import surrogate
+
+    d = "/root/testdata/sf0.01"
+    n = {(r["config"], r["frac"]): r["count"] for r in metrics.succeeded(surrogate.outcomes(spark, d)).groupBy("config", "frac").count().collect()}
+    assert {(r["config"], r["frac"]): r["n"] for r in catalog.bootstrap_ci(spark, d).collect()} == n
+    warm = {(r["config"], r["frac"]): r["n"] for r in catalog.bootstrap_percentiles(spark, d).collect()}
+    assert warm == {k: v - 1 for k, v in n.items()}
+    assert min(r["n"] for r in catalog.paired_bootstrap(spark, d).collect()) > 500
+    long = spark.range(stats.EXACT_ROWS + 20_000).select(F.lit("g").alias("g"), (F.col("id") % 997).cast("double").alias("v"), F.lit(1).cast("long").alias("s"))
+    got = {r["quantity"]: r for r in stats.percentile_bootstrap(long, ["g"], "v", "s", replicates=500).collect()}
+    assert got["p50"]["n"] == stats.EXACT_ROWS + 20_000 and got["p50"]["lo"] <= 498 <= got["p50"]["hi"]
+
+
 @pytest.mark.parametrize("raw,want", [("  Hello   WORLD\n", "hello world"), ("Straße", "strasse"), ("", ""), (None, None)])
 def test_normalize(spark, raw, want):
     assert one(spark, text.normalize_exact(F.lit(raw).cast("string"))) == want
