@@ -16,8 +16,11 @@ from .shared import discard, materialize
 
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _TAG = r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+_BASE = r"""(?is)<base\b(?=[^>]*?(?<![\w-])href\s*=)[^>]*>"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*?\bhttp-equiv\s*=\s*["']?\s*refresh\b)[^>]*>"""
+_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>][^\s>]*))"""
+_TO = r"""(?is)^\s*(?:[\d.]*\s*[;,]?\s*url\s*=|[\d.]+\s*[;,\s])\s*(?:"([^"]*)|'([^']*)|([^"'].*))"""
+_ENTITY = r"&(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
 
 
 def host_of(url: Column) -> Column:
@@ -39,22 +42,64 @@ def normal_form(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def _any_group(found: Column, pattern: str) -> Column:
+    """What one of the three groups of ``pattern`` holds; empty without a match."""
+    return F.concat(*(F.regexp_extract(found, pattern, k) for k in (1, 2, 3)))
+
+
+def _character(entity: Column) -> Column:
+    code = F.when(F.lower(F.substring(entity, 3, 1)) == "x", F.conv(F.regexp_extract(entity, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(entity, "([0-9]+);", 1)).try_cast("int")
+    good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    out = F.when(entity.startswith("&#"), F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0xFFFD)), 8, "0")), "UTF-32"))
+    for name, char in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+        out = out.when(entity == f"&{name};", char)
+    return out
+
+
+def _decoded(value: Column) -> Column:
+    """``value`` with its numeric and XML entities as characters."""
+    return F.array_join(F.zip_with(F.split(value, _ENTITY), F.regexp_extract_all(value, F.lit(_ENTITY), F.lit(0)), lambda t, e: F.concat(t, F.coalesce(_character(e), F.lit("")))), "")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return _decoded(_any_group(tag, rf"(?is)(?<![\w-]){name}{_VALUE}"))
+
+
+def _without_dots(path: Column) -> Column:
+    """``path`` from the root, with ``.`` and ``..`` carried out."""
+    parts = F.split(path, "/")
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x)))), "/")
+
+
 def _resolved(target: Column, url: Column) -> Column:
-    """An absolute target, or one from the root of ``url``'s host; other relative targets are null."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    """An absolute target as it is, others against ``url``; null for an empty one, or another scheme without ``://``."""
+    target = F.regexp_replace(F.regexp_replace(target, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    scheme, root = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.regexp_extract(url, r"(?s)^(.*?://)", 1)
+    at, rest = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.regexp_extract(path_of(url), r"(?s)^.*/", 0)
     return (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//") & url.contains("://"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/") & url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), target))
+        F.when(target == "", F.lit(None))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(target.rlike(r"^[^:]*://"), target))
+        .when(~url.contains("://"), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(url, r"(?s)^[^#]*", 0), target))
+        .when(target.startswith("?"), F.concat(root, host_of(url), path_of(url), target))
+        .when(target.startswith("/"), F.concat(root, host_of(url), _without_dots(at), rest))
+        .otherwise(F.concat(root, host_of(url), _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), at)), rest))
     )
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(src, dst)`` URL pairs: canonical links, redirects and spellings of ``pages``."""
-    u = F.col("url")
-    found = pages.select(F.col(url).alias("url"), F.regexp_extract(F.coalesce(F.col(html), F.lit("")), _TAG, 0).alias("tag"), F.regexp_extract(F.coalesce(F.col(html), F.lit("")), _REFRESH, 1).alias("to"))
-    targets = F.array_compact(F.array(normal_form(u), _resolved(F.regexp_extract("tag", _HREF, 1), u), _resolved(F.col("to"), u)))
-    direct = found.where("url IS NOT NULL").select("url", F.explode(targets).alias("dst"))
+    """``(src, dst)`` URL pairs: canonical links, redirects and spellings of ``pages``.
+
+    Targets have their entities decoded and are resolved against the page's URL, or its ``<base href>``.
+    """
+    u, text = F.col("url"), F.coalesce(F.col(html), F.lit(""))
+    tags = pages.select(F.col(url).alias("url"), *(F.regexp_extract(text, p, 0).alias(n) for n, p in (("tag", _TAG), ("refresh", _REFRESH), ("base", _BASE)))).where("url IS NOT NULL")
+    found = tags.select("url", F.when(F.col("tag") != "", _attribute(F.col("tag"), "href")).alias("tag"), F.when(F.col("refresh") != "", _any_group(_attribute(F.col("refresh"), "content"), _TO)).alias("to"), F.coalesce(_resolved(F.when(F.col("base") != "", _attribute(F.col("base"), "href")), u), u).alias("base"))
+    targets = F.array_compact(F.array(normal_form(u), _resolved(F.col("tag"), F.col("base")), _resolved(F.col("to"), F.col("base"))))
+    direct = found.select("url", F.explode(targets).alias("dst"))
     spelled = direct.select(F.col("dst").alias("src"), normal_form(F.col("dst")).alias("dst")).where("dst IS NOT NULL")
     return direct.withColumnRenamed("url", "src").unionByName(spelled).where("src <> dst").distinct()
 

@@ -148,6 +148,28 @@ def test_url_rules_and_aliases(spark, empty):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+EDGES = [
+    ('<meta content="0; url=http://x.net/es/1" http-equiv="refresh">', "http://x.net/es/1"), ("<META HTTP-EQUIV=refresh CONTENT='5;URL=\"http://x.net/es/1\"'>", "http://x.net/es/1"), ('<meta http-equiv="refresh" content="0; URL=../c">', "http://h.org/c"), ('<meta http-equiv="refresh" content="30"><a href="/z">', None),
+    ('<link rel="canonical" href="page.html">', "http://h.org/a/page.html"), ('<link href="../c" rel="canonical">', "http://h.org/c"), ("<link rel=canonical href=../../../c/./d/..>", "http://h.org/c/"), ('<link rel="canonical" href="?id=1">', "http://h.org/a/b?id=1"), ('<link rel="canonical" href="//k.org/x">', "http://k.org/x"),
+    ('<link rel="canonical" href="/go?u=http://k.org/">', "http://h.org/go?u=http://k.org/"), ('<link rel="canonical" href="/p?a=1&amp;b=&#50;&#x1F600;&amp;lt;">', "http://h.org/p?a=1&b=2\U0001f600&lt;"), ('<base target=_top><base href="/k/m"><link rel="canonical" href="x">', "http://h.org/k/x"), ('<link rel="canonical" href="mailto:a@b">', None), ('<link rel="canonical" href="">', None),
+]
+
+
+def test_url_targets(spark):
+    at = "http://h.org/a/b?q=1#f"
+    got = defaultdict(set)
+    for r in url_filter.page_edges(spark.createDataFrame([(f"{at}{i}", html) for i, (html, _) in enumerate(EDGES)], "url string, html string")).collect():
+        got[r["src"]].add(r["dst"])
+    for i, (html, want) in enumerate(EDGES):
+        assert got[f"{at}{i}"] - {"https://h.org/a/b?q=1"} == ({want} if want else set()), html
+
+
+def test_url_alias_by_relative_refresh(spark):
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    pages = spark.createDataFrame([("http://v.org/p", '<meta content="0; url=http://x.net/es/1?a=1&amp;b=2" http-equiv="refresh">'), ("http://v.org/d/q", '<link rel="canonical" href="../p">'), ("http://v.org/r", ""), ("http://x.net/es/1?a=1&b=2", "")], "url string, html string")
+    assert {r["url"]: r["verdict"] for r in url_filter.judge_urls(pages, rules).collect()} == {"http://v.org/p": "block", "http://v.org/d/q": "block", "http://v.org/r": "allow", "http://x.net/es/1?a=1&b=2": "block"}
+
+
 def greedy(word, vocabulary):
     n = 0
     while word:
