@@ -45,13 +45,19 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     ``weights`` go round the sources in code point order, null last (a null source is a source of its own).
     ``size`` counts words (null: 0). ``taken`` is the number of words that the mix
     takes, repeats included; at most ``ceil(most)`` times ``size``. A source's ``taken`` adds up to its target, rounded down.
-    Documents with equal ids follow each other in the order; reruns agree. One row
+    Documents with equal ids (none of them null) follow each other in the order; reruns agree. One row
     for each source goes to the driver. Sources without words have target 0. An
     empty table gives an empty one. Other columns are not read.
     """
+    return _placed(docs, doc_id, text, source, weights, share, most, seed).drop("_text")
+
+
+def _placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
+    """``mixture`` with the hash of each text as ``_text``."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    narrow = materialize(docs.select(F.col(source).alias("_name"), F.col(doc_id).alias("_id"), size.alias("size"), F.xxhash64(F.col(doc_id), F.lit(seed)).alias("_key"), F.xxhash64(F.col(text)).alias("_text")), "sizes")
+    spread = [F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text)))]  # a null adds nothing to the hash
+    narrow = materialize(docs.select(F.col(source).alias("_name"), F.col(doc_id).alias("_id"), size.alias("size"), F.xxhash64(F.col(doc_id), F.lit(seed), *spread).alias("_key"), F.xxhash64(F.col(text)).alias("_text")), "sizes")
     by_source = narrow.groupBy("_name").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     by_source.sort(key=lambda r: (r["_name"] is None, (str(r["_name"]) if r["_name"] is not None else "").encode("utf-32-be")))
     budget = targets([r["s"] for r in by_source], [weights[i % len(weights)] for i in range(len(by_source))], share, most)
@@ -62,14 +68,18 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     cut = F.floor("target")
     epochs = max([math.ceil(most)] + [math.ceil(b / r["s"]) for b, r in zip(budget, by_source) if r["s"]])
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), cut - e * F.col("source_size") - F.col("before"))) for e in range(epochs)), F.lit(0))
-    return placed.select(F.col("_id").alias("doc_id"), F.col("_name").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select(F.col("_id").alias("doc_id"), F.col("_name").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), "_text")
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each epoch that takes words of them.
 
-    A document at the cut is taken whole. Rows with equal ids are taken together.
+    A document at the cut is taken whole. Rows with equal or null ids each have their own number of epochs;
+    only rows with equal id, source and text are taken together.
     """
-    taken = mixture(docs, doc_id, source=source, **options).where("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    out = docs.join(taken.withColumnRenamed("doc_id", "_id"), F.col(doc_id) == F.col("_id"))
+    key = [F.col(doc_id), F.col(source), F.xxhash64(F.col(options.get("text", "text")))]
+    times = F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times")
+    taken = _placed(docs, doc_id, source=source, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "_text").agg(times)
+    taken = taken.withColumnRenamed("_text", "_hash")
+    out = docs.join(taken, [a.eqNullSafe(F.col(b)) for a, b in zip(key, ("_id", "_from", "_hash"))])
     return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -309,6 +309,19 @@ def test_mixture(docs, empty):
     assert mixing.mixture(empty).count() == 0
 
 
+def test_repeats_keep_null_and_equal_ids(spark):
+    rows = [(None if i % 2 else i // 4, f"row {i} of some words", "a" if i % 3 else None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = [tuple(r) for r in mixing.repeats(docs).collect()]
+    taken = defaultdict(int)
+    for r in mixing.mixture(docs).collect():
+        taken[r["source"]] += r["taken"]
+    for name in ("a", None):
+        words_out = sum(len(WORD.findall(r[1])) for r in out if r[2] == name)
+        assert taken[name] <= words_out < taken[name] + 10, name  # the documents at the cuts are taken whole
+    assert any(r[0] is None for r in out) and max(Counter(out).values()) <= 2
+
+
 @pytest.mark.parametrize("sizes,weights,want", [([10, 100], [5, 2], [20.0, 145.0]), ([0, 10], [5, 2], [0.0, 15.0]), ([], [], [])])
 def test_targets(sizes, weights, want):
     assert mixing.targets(sizes, weights) == pytest.approx(want)
