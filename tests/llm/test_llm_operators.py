@@ -292,6 +292,14 @@ def test_license_scan(spark, empty):
     assert licenses.scan(table.limit(0)).count() == 0
 
 
+def test_license_notices_of_a_few_words(spark):
+    want = {"MIT License": "mit", "License: MIT": "mit", "BSD License": "bsd", "GNU GPL": "gpl", "GPLv3": "gpl", "License: Apache-2.0": "apache-2.0", "Apache License": "apache-2.0", "License: CC BY-SA 4.0": "cc-by-sa", "GNU LGPL": "lgpl", "The MIT License": "mit", "Mozilla Public License": "mpl-2.0"}
+    want |= dict.fromkeys(["License", "Copyright", "Pilot license", "License renewal", "Apache pilots", "A gnu herd", "License to kill"])
+    rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r["doc_id"]: r["family"] for r in licenses.scan(rows).collect()}
+    assert {t: got.get(i) for i, t in enumerate(want)} == want
+
+
 def test_mixture(docs, empty):
     out = {r["doc_id"]: r for r in mixing.mixture(docs).collect()}
     rows, by = texts(), defaultdict(int)
