@@ -14,6 +14,8 @@ from ..sources.surrogate import SQL, load
 
 THRESHOLD = 0.35
 GRID = [round(0.20 + 0.005 * i, 4) for i in range(81)]
+#: Up to the published grid's end; the queries named ``_full`` sweep it.
+FULL_GRID = [round(0.20 + 0.005 * i, 4) for i in range(160)]
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -236,6 +238,35 @@ def control_thresholds(spark, d):
     return rounded(tuning.control(_best(spark, d), _DRAWS))
 
 
+_FULL = _SW.replace("range(81)", "range(160)")
+_FULL_DRAWS = tuning.control_draws(0.2, 0.999)
+
+
+def _list(draws: list[float]) -> str:
+    return ", ".join(f"{x!r}e0" for x in draws)
+
+
+@query(f"WITH {_FULL} SELECT threshold, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(false_hit_rate, 6) AS false_hit_rate FROM sw")
+def threshold_sweep_full(spark, d):
+    return rounded(tuning.sweep(_best(spark, d), FULL_GRID))
+
+
+@query(ORACLE["best_f1_threshold"].replace(_SW, _FULL))
+def best_f1_threshold_full(spark, d):
+    swept = tuning.sweep(_best(spark, d), FULL_GRID).withColumn("f1", F.round("f1", 12))
+    return rounded(tuning.best_f1(swept).select("threshold", "tp", "fp", "fn", "tn", "f1"))
+
+
+@query(ORACLE["cost_weighted_threshold"].replace(_SW, _FULL))
+def cost_weighted_threshold_full(spark, d):
+    return _long(tuning.cost_weighted(tuning.sweep(_best(spark, d), FULL_GRID)))
+
+
+@query(ORACLE["control_thresholds"].replace(_list(_DRAWS), _list(_FULL_DRAWS)))
+def control_thresholds_full(spark, d):
+    return rounded(tuning.control(_best(spark, d), _FULL_DRAWS))
+
+
 GREEDY = f"""WITH RECURSIVE {VEC}, q AS (SELECT idx, x, row_number() OVER (ORDER BY idx) AS rn FROM v),
 e AS (SELECT a.idx AS a, b.idx AS b, list_dot_product(a.x, b.x) AS s FROM v a JOIN v b ON b.idx < a.idx WHERE list_dot_product(a.x, b.x) >= 35e-2),
 n AS (SELECT q.rn, q.idx, coalesce(list(e.b) FILTER (WHERE e.b IS NOT NULL), []) AS near FROM q LEFT JOIN e ON e.a = q.idx GROUP BY ALL),
@@ -340,12 +371,12 @@ def paired_difference(spark, d):
     return rounded(metrics.paired_difference(metrics.succeeded(surrogate.outcomes(spark, d)), "cache", "baseline", "cost_usd"), 9)
 
 
-def _gates(spark, d) -> DataFrame:
+def _gates(spark, d, grid=GRID, draws=_DRAWS) -> DataFrame:
     o, j = surrogate.outcomes(spark, d), surrogate.judgements(spark, d)
     m = metrics.succeeded(o).groupBy("config", "frac").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
-    swept = tuning.sweep(_best(spark, d), GRID)
+    swept = tuning.sweep(_best(spark, d), grid)
     cover = agreement.coverage(load(spark, d, "documents").select("doc_id").join(load(spark, d, "labels"), "doc_id", "left"), "quality")
-    return gates.gate_table(gates.cost_gates(m), gates.false_hit_gates(metrics.false_hits(j, o)), gates.tuned_gate(tuning.best_f1(swept), tuning.control(_best(spark, d), _DRAWS)), gates.coverage_gate(cover), gates.independence_gate(spark, "judge-one", "judge-one"))
+    return gates.gate_table(gates.cost_gates(m), gates.false_hit_gates(metrics.false_hits(j, o)), gates.tuned_gate(tuning.best_f1(swept), tuning.control(_best(spark, d), draws)), gates.coverage_gate(cover), gates.independence_gate(spark, "judge-one", "judge-one"))
 
 
 GATES = f"""WITH {SQL}, {_SEM}, b AS (SELECT config, frac, count(*) AS k FROM j WHERE NOT identical AND judge1_score = 0 AND dup_type IN ('paraphrase', 'trap') GROUP BY ALL), fr AS ({_FALSE}),
@@ -370,6 +401,19 @@ def all_gates(spark, d):
     return gates.summary(_gates(spark, d))
 
 
+FULL_GATES = GATES.replace(_SW, _FULL).replace(_list(_DRAWS), _list(_FULL_DRAWS))
+
+
+@query(FULL_GATES + " SELECT * FROM gt")
+def gate_table_full(spark, d):
+    return _gates(spark, d, FULL_GRID, _FULL_DRAWS)
+
+
+@query(FULL_GATES + " SELECT bool_and(passed) AS all_gates_passed, count(*)::BIGINT AS n_gates, count(*) FILTER (WHERE passed)::BIGINT AS n_passed FROM gt")
+def all_gates_full(spark, d):
+    return gates.summary(_gates(spark, d, FULL_GRID, _FULL_DRAWS))
+
+
 _SPLIT = "g AS (SELECT DISTINCT substr(md5(text), 1, 2) AS grp FROM documents WHERE text IS NOT NULL), k AS (SELECT grp, row_number() OVER (ORDER BY sha256('7|' || grp)) AS r, count(*) OVER () AS n FROM g), h AS (SELECT grp, CASE WHEN r <= floor(n * 5e-1) THEN 'tune' ELSE 'report' END AS half FROM k)"
 
 

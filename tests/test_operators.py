@@ -194,3 +194,17 @@ def test_stream_serves_the_first_good_answer(spark, tmp_path):
     out = gateway.write_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     got = {r["idx"]: (r["kind"], r["answer_text"], r["tokens_in"]) for r in out.collect()}
     assert got == {0: ("miss", "", 1), 1: ("miss", "A", 1), 2: ("cache_exact", "A", 0), 3: ("model_direct", "C", 5)}
+
+
+def test_full_grid_reaches_near_copies(spark, monkeypatch):
+    from sluice.operators import tuning
+    from sluice.plans import catalog
+
+    rows = [(i, 0.5 + 0.001 * i, i >= 400, True) for i in range(490)]
+    monkeypatch.setattr(catalog, "_best", lambda s, d: s.createDataFrame(rows, "idx long, best double, should_hit boolean, eligible boolean"))
+    swept = {r["threshold"] for r in catalog.threshold_sweep_full(spark, "").collect()}
+    assert set(tuning.grid()) <= swept and set(catalog.GRID) <= swept
+    assert catalog.best_f1_threshold_full(spark, "").first()["threshold"] == 0.9
+    assert {r["threshold"] for r in catalog.cost_weighted_threshold_full(spark, "").collect()} == {0.9}
+    assert catalog.control_thresholds_full(spark, "").first()["max_f1"] > 0.5
+    assert all("range(160)" in catalog.ORACLE[f"{n}_full"] for n in ("threshold_sweep", "best_f1_threshold", "cost_weighted_threshold", "gate_table", "all_gates"))
