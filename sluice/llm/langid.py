@@ -22,7 +22,7 @@ BITS = 13
 #: Expected number of training documents for each language, one in five of them for calibration.
 PER_CLASS = 500
 UND = "und"
-_LETTER = np.array([chr(c).isalpha() for c in range(0xD800)] + [False] * 0x800 + [chr(c).isalpha() for c in range(0xE000, 0x10000)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 #: Code points of a text that are turned to features at a time.
 BLOCK = 1 << 20
 
@@ -33,7 +33,7 @@ def ngram_counts(text: str | None, bits: int = BITS) -> np.ndarray | None:
     text = text or ""
     for at in range(0, len(text), BLOCK):
         c = np.frombuffer(text[at : at + BLOCK + 2].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        letter = np.where(c < 0x10000, _LETTER[np.minimum(c, 0xFFFF)], True)
+        letter = _LETTER[c]
         any_letter |= bool(letter.any())
         c = np.where(letter, c, np.uint32(32))
         c = np.concatenate([[np.uint32(32)], c[(c != 32) | np.concatenate([[True], c[:-1] != 32])], [np.uint32(32)]]).astype(np.uint32)

@@ -283,6 +283,12 @@ def test_zip_directories():
     assert warc.members(other) == found
 
 
+def test_letters_beyond_the_first_plane():
+    assert langid.ngram_counts("\U0001f600\U0001f680 \U0001d7d9 12") is None  # emoji and digits
+    assert langid.ngram_counts("\U00010330\U00020000") is not None  # Gothic and Han letters
+    assert (langid.ngram_counts("so \U0001f600 it") == langid.ngram_counts("so it")).all()
+
+
 def test_license_scan(spark, empty):
     plain = "The library opened at nine and people came in from the rain."
     rows = [(0, None), (1, ""), (2, plain), (3, f"{plain}\nThis project is licensed under the terms of the MIT license.\n{plain}"), (4, "Licensed under the Apache License, Version 2.0."), (5, "He renewed his driver's license at the office."), (6, (plain + "\n") * 3000 + "Licensed under CC BY-SA 4.0."), (6, "All rights reserved.")]
