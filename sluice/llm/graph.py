@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """``(node, component)`` for each node of ``edges`` (long ids): the smallest node that it reaches.
+    """``(node, component)`` for each node of ``edges`` (of any type with an order): the smallest node that it reaches.
 
     Each round points the larger neighbours of a node at its smallest one, then
     the smaller; a logarithmic number of rounds is enough, whatever the shape. Minima are
@@ -22,7 +22,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     are allowed; loops alone and an empty table give no component beyond the
     node itself.
     """
-    edges = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    edges = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     start = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     nodes = current = materialize(start, "edges")
     state = _state(current)

@@ -1,17 +1,18 @@
 """Mixing sources to target weights.
 
-Documents get hash-random keys and are range-sorted within their source; distributed prefix sums of
-token counts find where each source's budget ends. The document at the cut gives
-just the rest of the budget, and a budget above the source's size starts over.
+Documents get hash-random keys and are range-sorted within their source; distributed prefix sums of token counts find
+where each source's budget ends. The document at the cut gives just the rest of the budget, and a budget above the
+source's size starts over. Sources are a table of their own, never a list on the driver.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.workload import numbered
 from .prefix import prefix_sums
 from .shared import materialize
 
@@ -19,67 +20,94 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
-    """Budget of each source: ``share`` of all sizes by weight, none above ``most`` times its size.
-
-    What a source can't take is shared again by weight among those below their limit.
-    """
+    """Budgets of a short list of sources, as ``with_targets`` gives them for a table."""
     out = [0.0] * len(sizes)
     left, open_ = share * sum(sizes), list(range(len(sizes)))
     while open_:
         total = sum(weights[i] for i in open_)
         full = [i for i in open_ if left * weights[i] / total > most * sizes[i]] if total else []
+        for i in full or open_:
+            out[i] = most * sizes[i] if full else left * weights[i] / total if total else 0.0
         if not full:
-            for i in open_:
-                out[i] = left * weights[i] / total if total else 0.0
             break
-        for i in full:
-            out[i] = most * sizes[i]
         left -= sum(out[i] for i in full)
         open_ = [i for i in open_ if i not in set(full)]
     return out
 
 
+def with_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Add ``target`` to a table of ``size`` and ``weight``: ``share`` of all sizes by weight, none above ``most`` times its size.
+
+    What a source can't take is shared again by weight among those below their limit, until none is above. Each turn reads
+    two sums of the table.
+    """
+    limit, aim = F.col("size") * F.lit(float(most)), F.lit(False)
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    level = 0.0
+    while True:
+        row = sizes.agg(F.coalesce(F.sum(F.when(aim, limit)), F.lit(0.0)), F.coalesce(F.sum(F.when(~aim, F.col("weight"))), F.lit(0.0)), F.count_if(aim)).first()
+        full, open_weight, n_full = row
+        level = (share * total - full) / open_weight if open_weight > 0 else 0.0
+        above = aim | (F.lit(level) * F.col("weight") > limit)
+        if open_weight <= 0 or sizes.where(above).count() == n_full:
+            break
+        aim = F.lit(level) * F.col("weight") > limit
+    return sizes.withColumn("target", F.when(aim, limit).otherwise(F.lit(level) * F.col("weight")).cast("double"))
+
+
+def _columns(doc_id: str, text: str, source: str, seed: int) -> dict[str, Column]:
+    body, key = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
+    spread = F.when(key.isNull(), F.xxhash64(body))  # a null adds nothing to the hash
+    return {"_name": F.col(f"`{source}`"), "_id": key, "_key": F.xxhash64(key, F.lit(seed), spread), "_text": F.xxhash64(body)}
+
+
+def _placed(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
+    """``_name, _id, _key, _text, size, source_size, target, before`` of each row."""
+    size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    narrow = materialize(docs.select(*(c.alias(n) for n, c in _columns(doc_id, text, source, seed).items()), size.alias("size")), "sizes")
+    sizes = narrow.groupBy("_name").agg(F.sum("size").alias("size"))
+    # code point order, null last
+    ranked = numbered(sizes.withColumn("_o", F.struct(F.col("_name").isNull().alias("no"), F.col("_name").cast("string").alias("name"))), "_o", "_source").drop("_o")
+    weight = F.array(*(F.lit(float(w)) for w in weights))[F.pmod(F.col("_source"), F.lit(len(weights))).cast("int")]
+    named = materialize(with_targets(materialize(ranked.withColumn("weight", weight), "sources"), share, most), "targets")
+    named = named.select(F.col("_name").alias("_named"), F.col("_source").cast("long").alias("_source"), F.col("size").alias("source_size"), "target")
+    # whether a row for each source is broadcast depends on its size
+    rows = narrow.join(named, F.col("_name").eqNullSafe(F.col("_named"))).drop("_named")
+    return prefix_sums(rows.withColumn("_tie", F.struct("_id", "_text")), "_source", "_key", "_tie", "size", narrow.count())
+
+
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)`` of each document.
 
-    ``weights`` go round the sources in code point order, null last (a null source is a source of its own).
-    ``size`` counts words (null: 0). ``taken`` is the number of words that the mix
-    takes, repeats included; at most ``ceil(most)`` times ``size``. A source's ``taken`` adds up to its target, rounded down.
-    Documents with equal ids (none of them null) follow each other in the order; reruns agree. One row
-    for each source goes to the driver. Sources without words have target 0. An
-    empty table gives an empty one. Other columns are not read.
+    ``weights`` go round the sources in code point order, null last (a null source is a source of its own). ``size``
+    counts words (null: 0). ``taken`` is the number of words that the mix takes, repeats included; at most ``ceil(most)``
+    times ``size``. A source's ``taken`` adds up to its target, rounded down. Documents with equal ids (none of them null)
+    follow each other in the order; reruns agree. Sources without words have target 0. An empty table gives an empty one.
+    Other columns are not read.
     """
-    return _placed(docs, doc_id, text, source, weights, share, most, seed).drop("_text")
-
-
-def _placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
-    """``mixture`` with the hash of each text as ``_text``."""
-    spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    spread = [F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text)))]  # a null adds nothing to the hash
-    narrow = materialize(docs.select(F.col(source).alias("_name"), F.col(doc_id).alias("_id"), size.alias("size"), F.xxhash64(F.col(doc_id), F.lit(seed), *spread).alias("_key"), F.xxhash64(F.col(text)).alias("_text")), "sizes")
-    by_source = narrow.groupBy("_name").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
-    by_source.sort(key=lambda r: (r["_name"] is None, (str(r["_name"]) if r["_name"] is not None else "").encode("utf-32-be")))
-    budget = targets([r["s"] for r in by_source], [weights[i % len(weights)] for i in range(len(by_source))], share, most)
-    n = sum(r["n"] for r in by_source)
-    named = spark.createDataFrame([(i, r["_name"], r["s"], budget[i]) for i, r in enumerate(by_source)], f"_source int, _named {dict(narrow.dtypes)['_name']}, source_size long, target double")
-    rows = narrow.join(F.broadcast(named), F.col("_name").eqNullSafe(F.col("_named"))).drop("_named")
-    placed = prefix_sums(rows.withColumn("_tie", F.struct("_id", "_text")), "_source", "_key", "_tie", "size", n)
+    placed = _placed(docs, doc_id, text, source, weights, share, most, seed)
     cut = F.floor("target")
-    epochs = max([math.ceil(most)] + [math.ceil(b / r["s"]) for b, r in zip(budget, by_source) if r["s"]])
+    epochs = math.ceil(most) + 1  # a target is at most ``most`` times its source
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), cut - e * F.col("source_size") - F.col("before"))) for e in range(epochs)), F.lit(0))
-    return placed.select(F.col("_id").alias("doc_id"), F.col("_name").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), "_text")
+    return placed.select(F.col("_id").alias("doc_id"), F.col("_name").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each epoch that takes words of them.
 
-    A document at the cut is taken whole. Rows with equal or null ids each have their own number of epochs;
-    only rows with equal id, source and text are taken together.
+    A document at the cut is taken whole. Rows with equal or null ids each have their own number of epochs; only rows with
+    equal id, source and text are taken together. Rows without words are not taken. All columns are kept, whatever their
+    names. The order is by key, so a source's whole epochs and the last key that its rest reaches say what each row gets:
+    a row for each source is joined, and no text is moved.
     """
-    key = [F.col(doc_id), F.col(source), F.xxhash64(F.col(options.get("text", "text")))]
-    times = F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times")
-    taken = _placed(docs, doc_id, source=source, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "_text").agg(times)
-    taken = taken.withColumnRenamed("_text", "_hash")
-    out = docs.join(taken, [a.eqNullSafe(F.col(b)) for a, b in zip(key, ("_id", "_from", "_hash"))])
-    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    placed = _placed(docs, doc_id, text, source, weights, share, most, seed).where("size > 0")
+    whole = F.expr("floor(target) div source_size")
+    rest = F.floor("target") - whole * F.col("source_size")
+    order = F.struct("_key", "_id", "_text")
+    cuts = placed.groupBy(F.col("_name").alias("_named")).agg(F.max(whole).alias("_whole"), F.max(F.when(F.col("before") < rest, order)).alias("_last"))
+    cuts = materialize(cuts, "cuts")
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(c.alias(n) for n, c in _columns(doc_id, text, source, seed).items()), F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]").alias("_words"))
+    taken = marked.where("_words").join(cuts, F.col("_name").eqNullSafe(F.col("_named")))
+    more = F.coalesce(order <= F.col("_last"), F.lit(False)).cast("int")
+    times = taken.withColumn("_times", (F.col("_whole") + more).cast("int")).where("_times > 0")
+    return times.select("doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("doc.*")

@@ -41,6 +41,9 @@ LEAST_BITS = 256
 HOT = 500_000
 #: Sets of one shingle that one task is meant to hold; those of a more frequent one are dealt over several tasks.
 TILE_ROWS = 50_000
+PART = 40
+#: Names of its tiles that a set tells others; two sets meet in the first common one that both tell, if there is one.
+TOLD = 16
 #: Leader rounds at most after the first, and the share of sets in open tiles with a pair that makes a round worthwhile.
 #: Both bear on the work alone: what the rounds leave is compared in full.
 ROUNDS, WORTH = 4, 0.05
@@ -130,10 +133,10 @@ def _profile(width: int):
 
 
 def _postings(width: int, percent: int, hot):
-    """(part, tile, id, rank) for the first shingles of each set; a set once in a task.
+    """(key, id, rank) for the first shingles of each set; a set once in a task.
 
-    ``rank`` is twice the size, plus one where the set is late. ``part`` is the shingle. A very frequent shingle has
-    several parts, and its name in ``tile``.
+    ``key`` is the shingle; ``rank`` is twice the size, plus one where the set is late. The bits of ``rank`` from
+    ``PART`` on number the parts of a very frequent shingle, from 1 on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +162,10 @@ def _postings(width: int, percent: int, hot):
                     keys.append(s[:take]), ids.append(np.full(take, p)), parts.append(count // TILE_ROWS)
                     ranks.append(2 * n + (np.arange(take) > n - _needed(n, n, percent)).astype(np.int64))
                 if keys:
-                    key, id_, many = np.concatenate(keys), np.concatenate(ids), np.concatenate(parts).astype(np.uint64)
-                    deal = mix(key + (np.uint64(1) + mix(id_) % (many + np.uint64(1))) * _SALT)
-                    wide = many > 0
-                    yield pa.record_batch([_signed(np.where(wide, deal, key)), pa.array(key.view(np.int64), mask=~wide), _signed(id_),
-                                           pa.array(np.concatenate(ranks))], names=["part", "tile", "id", "rank"])
+                    id_, many = np.concatenate(ids), np.concatenate(parts)
+                    part = np.where(many > 0, 1 + (mix(id_) % (many + 1).astype(np.uint64)).astype(np.int64), 0)
+                    yield pa.record_batch([_signed(np.concatenate(keys)), _signed(id_), pa.array(np.concatenate(ranks) + (part << PART))],
+                                          names=["key", "id", "rank"])
 
     return run
 
@@ -179,19 +181,21 @@ def _tiles(percent: int):
     ``size`` counts the members that this task sees.
     """
 
-    def one(key: np.ndarray, wide: np.ndarray, ids: np.ndarray, rank: np.ndarray, told: set) -> Iterator[pa.RecordBatch]:
+    def one(key: np.ndarray, ids: np.ndarray, rank: np.ndarray, told: set) -> Iterator[pa.RecordBatch]:
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-        key, wide, ids, n, early = key[fresh], wide[fresh], ids[fresh], rank[fresh] >> 1, rank[fresh] & 1 == 0
+        key, ids, rank = key[fresh], ids[fresh], rank[fresh]
         if not len(key):
             return
+        part = rank >> PART
+        wide, n, early = part > 0, (rank - (part << PART)) >> 1, rank & 1 == 0
         first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
+        first[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
         group = np.cumsum(first) - 1
         before = np.maximum.accumulate(np.where(early, np.arange(len(key)), -1))  # the last early set up to here
-        fits = early | (wide != 0) | ((before >= 0) & (group[before] == group) & (100 * n[before] >= percent * n))
-        many = fits & ((np.bincount(group[fits], minlength=group[-1] + 1)[group] >= 2) | (wide != 0))
-        ids, wide, n, group = ids[many], wide[many], n[many], group[many]
+        fits = early | wide | ((before >= 0) & (group[before] == group) & (100 * n[before] >= percent * n))
+        many = fits & ((np.bincount(group[fits], minlength=group[-1] + 1)[group] >= 2) | wide)
+        key, ids, wide, n, group = key[many], ids[many], wide[many], n[many], group[many]
         if not len(ids):
             return
         band = _bands(n, percent)
@@ -204,21 +208,21 @@ def _tiles(percent: int):
         below = np.append(False, after[:-1])
         # sets that are alike are in one band or in neighbouring ones, so a tile has two bands; one where a band has no
         # neighbour. Whether a part of a frequent shingle has neighbours is not known here, so it is in both tiles.
-        upper, lower = after[place] | ~below[place] | (wide != 0), below[place] | (wide != 0)
+        upper, lower = after[place] | ~below[place] | wide, below[place] | wide
         own = np.concatenate([place[upper], place[lower]])
         tile = np.concatenate([place[upper], place[lower] - 1])
-        ids, wide, band = (np.concatenate([x[upper], x[lower]]) for x in (ids, wide, band))
+        key, ids, wide, band = (np.concatenate([x[upper], x[lower]]) for x in (key, ids, wide, band))
         low = band - (np.arange(len(ids)) >= upper.sum())
         other = np.where(own == tile, np.minimum(tile + 1, len(lead) - 1), np.maximum(tile, 0))
         there = np.where(own == tile, after[own], below[own])
         led = np.where(ids != lead[own], lead[own], np.where(there, lead[other], ids))
         order = np.lexsort((ids, tile))
-        ids, tile, led, wide, low = ids[order], tile[order], led[order], wide[order], low[order]
-        begin = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | ((wide[1:] != 0) & (low[1:] != low[:-1]))))
+        key, ids, tile, led, wide, low = key[order], ids[order], tile[order], led[order], wide[order], low[order]
+        begin = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | (wide[1:] & (low[1:] != low[:-1]))))
         sizes = np.diff(np.append(begin, len(ids)))
-        alone = wide[begin] == 0
+        alone = ~wide[begin]
         name = np.add.reduceat(mix(ids.view(np.uint64)), begin)
-        name = np.where(alone, name, mix(wide[begin].view(np.uint64) + low[begin].astype(np.uint64) * _SALT))
+        name = np.where(alone, name, mix(key[begin].view(np.uint64) + low[begin].astype(np.uint64) * _SALT))
         new = (sizes >= 2) | ~alone
         for i in np.flatnonzero(new & alone).tolist():
             x = int(name[i])
@@ -231,18 +235,18 @@ def _tiles(percent: int):
                                   names=["tile", "id", "lead", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[list[np.ndarray]] = [[], [], [], []]
+        rest: list[list[np.ndarray]] = [[], [], []]
         told: set = set()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.fill_null(0).to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             for held, c in zip(rest, cols):
                 held.append(c[:cut])
             if cut or next((x for x in reversed(rest[0]) if len(x)), cols[0])[-1] != cols[0][-1]:
                 yield from one(*(np.concatenate(x) for x in rest), told)
-                rest = [[], [], [], []]
+                rest = [[], [], []]
             for held, c in zip(rest, cols):
                 held.append(c[cut:])
         if rest[0]:
@@ -317,7 +321,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 def _allowed(left: list[tuple], right: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For places in ``left`` the places in ``right`` of another class that sizes and bitmaps allow.
 
-    Rows are (id, n, class, bitmap). Where both are the same list, later places only.
+    Rows begin with id, n, class, bitmap. Where both are the same list, later places only.
     """
     size = min(len(r[3]) for r in left + right)
     put = lambda rs: (np.array([r[1] for r in rs]), np.array([r[2] for r in rs]), np.stack([_fold(np.frombuffer(r[3], np.uint8), size) for r in rs]).view(np.uint64))  # noqa: E731,E501
@@ -355,22 +359,27 @@ class _Union(dict):
 def _blocks(percent: int):
     """Connected parts (part, id) of what the bitmaps allow between the classes of a block pair of a tile.
 
-    Input: (tile, i, j, side, id, n, class, bitmap) sorted by (tile, i, j). Sets of side 0 meet those of side 1, or
-    each other where there is none. A part is named by its sets and by their classes, so that tiles with the same part
+    Input: (tile, i, j, side, id, n, class, bitmap, tiles) sorted by (tile, i, j). Sets of side 0 meet those of side 1, or
+    each other where i = j. Two sets whose ``tiles`` have a smaller one in common meet there. A part is named by its sets and by their classes, so that tiles with the same part
     give the same rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set = set()
-        for (_, i, j), rows in _groups(batches, 3):
+        for (tile, i, j), rows in _groups(batches, 3):
             left = [r[1:] for r in rows if r[0] == 0]
             right = left if i == j else [r[1:] for r in rows if r[0] == 1]
             if not left or not right:
                 continue
             up, met = _Union(), {}
+            earlier = lambda r: frozenset(t for t in r[4] if t < tile)
+            known: dict = {}
             for k, at in _allowed(left, right, percent):
-                met[left[k][0]] = left[k][2]
-                for r in at.tolist():
+                mine = earlier(left[k])
+                here = [r for r in at.tolist() if mine.isdisjoint(known.setdefault(r, earlier(right[r])))]
+                if here:
+                    met[left[k][0]] = left[k][2]
+                for r in here:
                     met[right[r][0]] = right[r][2]
                     up.join(left[k][0], right[r][0])
             parts: dict = {}
@@ -426,8 +435,8 @@ class _Join:
         self.links: list[DataFrame] = []
 
     def members(self) -> DataFrame:
-        posted = self.source.mapInArrow(_postings(self.width, self.percent, self.hot), "part long, tile long, id long, rank long")
-        tiled = posted.repartition("part").sortWithinPartitions("part", "rank", "id")
+        posted = self.source.mapInArrow(_postings(self.width, self.percent, self.hot), "key long, id long, rank long")
+        tiled = posted.repartition("key", F.shiftright("rank", PART)).sortWithinPartitions("key", "rank", "id")
         tiled = tiled.mapInArrow(_tiles(self.percent), "tile long, id long, lead long, size long").distinct()
         return materialize(tiled, "tiles")
 
@@ -505,9 +514,10 @@ class _Join:
 
     def finish(self, rest: DataFrame) -> bool:
         """Compare the classes of the open tiles in full; whether there was anything to compare."""
-        rows = _chunks(rest.join(self.nodes, "id"))
+        told = rest.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("tile")), 1, TOLD).alias("tiles"))
+        rows = _chunks(rest.join(self.nodes, "id").join(told, "id"))
         rows = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-        parts = rows.select("tile", "i", "j", "side", "id", "n", "class", "sig").mapInArrow(_blocks(self.percent), "part long, id long")
+        parts = rows.select("tile", "i", "j", "side", "id", "n", "class", "sig", "tiles").mapInArrow(_blocks(self.percent), "part long, id long")
         parts = materialize(parts.distinct().join(rest.select("id", "class").distinct(), "id"), "parts")
         found = not parts.isEmpty()
         if found:
@@ -532,20 +542,20 @@ def _chunks(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("w", 1 + F.floor(F.col("n") / HEAVY))
     tiles = rows.groupBy("tile").agg(F.sum("w").alias("weight"))
     small = rows.join(tiles.where(F.col("weight") <= BLOCK).select("tile"), "tile", "left_semi")
-    small = small.select("tile", "id", "class", "n", "sig", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+    small = small.select("tile", "id", "class", "n", "sig", "tiles", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
     large = rows.join(tiles.where(F.col("weight") > BLOCK).select("tile"), "tile", "left_semi")
     shares = large.groupBy("tile", "class").agg(F.sum("w").alias("share"))
     mixed = shares.where(F.col("share") * 2 < BLOCK).groupBy("tile").agg(F.sum("share").alias("mixed"))
     dealt: Column = F.when(F.col("share") * 2 >= BLOCK, F.xxhash64("class", F.pmod(F.xxhash64("id"), F.ceil(F.col("share") / BLOCK))))
     dealt = dealt.otherwise(F.pmod(F.xxhash64("class"), F.ceil(F.col("mixed") / BLOCK)))
     pure = F.when(F.col("share") * 2 >= BLOCK, F.col("class"))
-    large = large.join(shares, ["tile", "class"]).join(mixed, "tile", "left").select("tile", "id", "class", "n", "sig", dealt.alias("at"), pure.alias("pure"))
+    large = large.join(shares, ["tile", "class"]).join(mixed, "tile", "left").select("tile", "id", "class", "n", "sig", "tiles", dealt.alias("at"), pure.alias("pure"))
     names = large.select("tile", "at", "pure").distinct()
     pairs = names.select("tile", F.col("at").alias("i"), F.col("pure").alias("p")).join(names.select("tile", F.col("at").alias("j"), F.col("pure").alias("q")), "tile")
     pairs = pairs.where("(i < j OR (i = j AND p IS NULL)) AND NOT coalesce(p = q, false)").select("tile", "i", "j")
     sides = pairs.select("tile", F.col("i").alias("at"), "i", "j", F.lit(0).alias("side"))
     sides = sides.unionByName(pairs.where("i < j").select("tile", F.col("j").alias("at"), "i", "j", F.lit(1).alias("side")))
-    return small.unionByName(large.join(sides, ["tile", "at"]).select("tile", "id", "class", "n", "sig", "i", "j", "side"))
+    return small.unionByName(large.join(sides, ["tile", "at"]).select("tile", "id", "class", "n", "sig", "tiles", "i", "j", "side"))
 
 
 def _linked(source: DataFrame, width: int, percent: int) -> tuple[_Join, DataFrame]:

@@ -1,95 +1,134 @@
 """Sharding: a k-d tree whose leaves are shards of nearly equal bytes.
 
-A node with room for k shards is split along its widest metadata dimension, at the
-weighted quantile that gives k // 2 shards to the left. Quantiles of all nodes of a level come from two
-distributed histograms: over the dimension, then over hashes within
-the bucket where the cut falls.
+A node with room for k shards is split along its widest metadata dimension, at the weighted quantile that gives k // 2
+shards to the left. The quantiles of all nodes of a level come from two distributed histograms: over the dimension, then
+over hashes within the bucket where the cut falls. Histograms, cuts and nodes stay tables; the driver only counts levels.
+
+Copies of a text stay together. Those that weigh a good part of a shard would throw a cut off balance, so they are
+packed into shards first, and the tree fills each shard up to the rest of its share.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import prefix_sums
 from .shared import discard, materialize
 
 BUCKETS, FINE = 1024, 4096
-#: Copies of a text stay in one shard up to this share of a shard's bytes; more are dealt out.
-WHOLE = 1 / 16
+#: Copies of a text that weigh more than this share of a shard are packed before the tree is built.
+HEAVY = 1 / 16
+
 
+def packed(weights: list[tuple[int, int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """``(text, salt, weight, shard)``: the heaviest first, each to the shard that holds least so far."""
+    held = [(0, i) for i in range(shards)]
+    out = []
+    for text, salt, w in sorted(weights, key=lambda x: (-x[2], x[0], x[1])):
+        load, i = heapq.heappop(held)
+        out.append((text, salt, w, i))
+        heapq.heappush(held, (load + w, i))
+    return out
 
-def _cut(weights: dict[int, int], aim: float, n: int) -> tuple[int, float]:
-    """The bucket in which the running sum passes ``aim``, and what is missing before it."""
-    before = 0
-    for b in sorted(weights):
-        if before + weights[b] > aim:
-            return b, aim - before
-        before += weights[b]
-    return n, aim - before
 
+def _running(of: str, *by: str, order: str) -> Column:
+    """The sum of ``of`` over the rows before."""
+    window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(of).over(window), F.lit(0))
 
-def _nearest(weights: dict[int, int], aim: float) -> int:
-    """The bucket at whose beginning the running sum is nearest to ``aim``."""
-    before, best = 0, (abs(aim), 0)
-    for b in sorted(weights):
-        before += weights[b]
-        best = min(best, (abs(before - aim), b + 1))
-    return best[1]
+
+def _split(table: DataFrame, nodes: DataFrame, filled: DataFrame) -> DataFrame:
+    """``table`` with the node of the next level. ``nodes``: (node, k) with k > 1. ``filled``: (shard, before), what the shards before are to take."""
+    at = lambda s, name: filled.select(F.col("shard").alias(s), F.col("before").alias(name))
+    half = F.expr("k div 2")
+    named = nodes.withColumns({"right": F.col("node") + half, "end": F.col("node") + F.col("k")})
+    goal = named.join(at("node", "b0"), "node").join(at("right", "b1"), "right").join(at("end", "b2"), "end")
+    share = F.when(F.col("b2") > F.col("b0"), (F.col("b1") - F.col("b0")) / (F.col("b2") - F.col("b0"))).otherwise(half / F.col("k"))
+    goal = goal.select("node", "right", share.alias("share"))
+    spread = table.join(nodes.select("node"), "node").select("node", "w", F.posexplode("at").alias("d", "b"))
+    seen = spread.groupBy("node", "d", "b").agg(F.sum("w").alias("w"))
+    wide = seen.groupBy("node", "d").agg((F.max("b") - F.min("b")).alias("span")).groupBy("node").agg(F.max_by("d", F.struct("span", -F.col("d"))).alias("d"))
+    along = seen.join(wide, ["node", "d"]).join(goal, "node")
+    along = along.withColumns({"lower": _running("w", "node", order="b"), "aim": F.col("share") * F.sum("w").over(Window.partitionBy("node"))})
+    over = along.where(F.col("lower") + F.col("w") > F.col("aim"))
+    edge = over.groupBy("node").agg(F.min(F.struct("b", "d", "right", (F.col("aim") - F.col("lower")).alias("rest"))).alias("e"))
+    edge = edge.select("node", "e.*")
+    inside = table.join(edge, "node").where(F.col("at")[F.col("d")] == F.col("b"))
+    fine = inside.groupBy("node", "rest", F.shiftright("h", 18).alias("q")).agg(F.sum("w").alias("w"))
+    fine = fine.withColumn("upto", _running("w", "node", order="q") + F.col("w"))
+    ends = fine.select("node", (F.col("q") + 1).alias("q"), F.abs(F.col("upto") - F.col("rest")).alias("off"))
+    ends = ends.unionByName(edge.select("node", F.lit(0).cast("long").alias("q"), F.abs("rest").alias("off")))
+    cut = ends.groupBy("node").agg(F.min(F.struct("off", "q")).alias("c")).select("node", F.shiftleft("c.q", 18).alias("c"))
+    split = edge.join(cut, "node").select("node", "d", "b", "c", "right")
+    at_d = F.col("at")[F.col("d")]
+    stays = F.col("d").isNull() | (at_d < F.col("b")) | ((at_d == F.col("b")) & (F.col("h") < F.col("c")))
+    moved = F.when(stays, F.col("node")).otherwise(F.col("right")).cast("int")
+    return table.join(split, "node", "left").select("_text", "_salt", "w", "at", "h", moved.alias("node"))
 
 
 def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang"), overhead: int = 16) -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot)`` of each row of ``docs``.
 
     Either ``n_shards`` is given or ``target_bytes``, from which it follows. ``size`` is the text's UTF-8 bytes plus
-    ``overhead`` (null text: none). Dimensions of the tree: the size and a code of each ``metadata`` column.
-    Copies of a text share a leaf, unless they hold over 1/16 of a shard's bytes; such copies are
-    dealt out by id. Slots count from 0 in each shard without gaps, in an order by hash.
-    Repeated rows are rows; null metadata is a value; fewer rows than shards leave
-    some shards empty; an empty table gives an empty one.
+    ``overhead`` (null text: none). Dimensions of the tree: the size and a code of each ``metadata`` column there is.
+    Copies of a text share a shard unless they weigh more than a shard's fair share of all bytes; only then are they dealt
+    by id over as few shards as hold them (null ids by row). Null texts are copies of each other. Slots count from 0 in
+    each shard without gaps, in an order by hash. Repeated rows are rows; null metadata is a value; fewer rows than shards
+    leave some shards empty; an empty table gives an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
     there = [c for c in metadata if c in docs.columns]
-    body = F.col(text).cast("binary")
-    size = (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + F.lit(overhead)).cast("long")
-    rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64(F.col(text).isNull(), F.col(text)).alias("_text"), *(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")).alias(f"_d{i}") for i, c in enumerate(there))), "rows")
+    body = F.col(f"`{text}`")
+    size = (F.coalesce(F.octet_length(body), F.lit(0)) + F.lit(overhead)).cast("long")
+    code = lambda c: F.crc32(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).cast("binary"))
+    rows = materialize(
+        docs.select(
+            F.col(f"`{doc_id}`").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(body.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+            F.xxhash64(body.isNull(), body).alias("_text"), F.monotonically_increasing_id().alias("_row"), *(code(c).alias(f"_d{i}") for i, c in enumerate(there)),
+        ),
+        "rows",
+    )
     total, count, low, high = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.min("size"), F.max("size")).first()
     shards = n_shards or max(1, math.ceil(total / target_bytes))
-    whole = max(1, total / shards * WHOLE)
-    # at most n_shards / WHOLE texts can weigh so much
-    hot = F.broadcast(rows.groupBy("_text").agg(F.sum("size").alias("w")).where(F.col("w") > whole).select("_text", F.ceil(F.col("w") / F.lit(whole)).cast("int").alias("_k")))
-    rows = rows.join(hot, "_text", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_k")), F.lit(0)).cast("int")).drop("_k")
-    span = max(1e-9, math.log2(max(2, high or 2)) - math.log2(max(1, low or 1)))
-    dims = [F.least(F.lit(BUCKETS - 1), F.floor((F.log2(F.col("_size").cast("double")) - math.log2(max(1, low or 1))) / span * BUCKETS)).cast("int"), *(F.floor(F.col(f"_d{i}") / F.lit(float(1 << 32)) * BUCKETS).cast("int") for i in range(len(there)))]
-    groups = rows.groupBy("_text", "_salt").agg(F.sum("size").alias("w"), F.max("size").alias("_size"), *(F.min(f"_d{i}").alias(f"_d{i}") for i in range(len(there))))
-    table = materialize(groups.select("_text", "_salt", "w", F.array(*dims).alias("at"), F.pmod(F.xxhash64("_text", "_salt", F.lit(11)), F.lit(1 << 30)).alias("h"), F.lit(0).alias("node")), "groups")
-    rooms = {0: shards}  # a node is named by its first shard
-    while any(k > 1 for k in rooms.values()):
-        busy = [v for v, k in rooms.items() if k > 1]
-        seen: dict = defaultdict(lambda: defaultdict(dict))
-        for v, d, b, w in table.where(F.col("node").isin(busy)).select("node", "w", F.posexplode("at").alias("d", "b")).groupBy("node", "d", "b").agg(F.sum("w")).collect():
-            seen[v][d][b] = w
-        cuts = {}
-        for v, by_dim in seen.items():
-            d = max(by_dim, key=lambda d: (max(by_dim[d]) - min(by_dim[d]), -d))
-            aim = sum(by_dim[d].values()) * (rooms[v] // 2) / rooms[v]
-            cuts[v] = (d, *_cut(by_dim[d], aim, BUCKETS), rooms[v] // 2)
-        edge = spark.createDataFrame([(v, d, b) for v, (d, b, _, _) in cuts.items()], "node int, d int, b int")
-        inside = table.join(F.broadcast(edge), "node").where(F.col("at")[F.col("d")] == F.col("b"))
-        fine: dict = defaultdict(dict)
-        for v, q, w in inside.groupBy("node", F.shiftright("h", 18).alias("q")).agg(F.sum("w")).collect():
-            fine[v][q] = w
-        parts = [(v, d, b, _nearest(fine[v], rest) << 18, v + k) for v, (d, b, rest, k) in cuts.items()]
-        split = spark.createDataFrame(parts, "node int, d int, b int, c long, right int")
-        at = F.col("at")[F.col("d")]
-        goes = F.when((at < F.col("b")) | ((at == F.col("b")) & (F.col("h") < F.col("c"))), F.col("node")).otherwise(F.col("right"))
-        new = materialize(table.join(F.broadcast(split), "node", "left").select("_text", "_salt", "w", "at", "h", F.when(F.col("d").isNull(), F.col("node")).otherwise(goes).alias("node")), "groups")
+    share = max(1.0, total / shards)
+    # at most shards / HEAVY texts weigh so much
+    heavy = rows.groupBy("_text").agg(F.sum("size").alias("w")).where(F.col("w") > share * HEAVY)
+    heavy = materialize(heavy.select("_text", F.ceil(F.col("w") / F.lit(share)).cast("int").alias("_k")), "heavy")
+    dealt = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), "_row")))
+    salt = F.coalesce(F.pmod(dealt, F.col("_k")), F.lit(0)).cast("int")
+    rows = rows.join(heavy, "_text", "left").withColumns({"_salt": salt, "_heavy": F.col("_k").isNotNull()}).drop("_k", "_row")
+    pieces = rows.where("_heavy").groupBy("_text", "_salt").agg(F.sum("size").alias("w")).collect()
+    placed = packed([tuple(r) for r in pieces], shards)
+    fixed = spark.createDataFrame([(t, s, i) for t, s, _, i in placed], "_text long, _salt int, shard int")
+    loads = [0] * shards
+    for _, _, w, i in placed:
+        loads[i] += w
+    before, sums = 0.0, [(0, 0.0)]
+    for i, w in enumerate(loads):
+        before += max(0.0, share - w)
+        sums.append((i + 1, before))
+    filled = materialize(spark.createDataFrame(sums, "shard int, before double"), "filled")
+
+    floor = math.log2(max(1, low or 1))
+    span = max(1e-9, math.log2(max(2, high or 2)) - floor)
+    dims = [F.least(F.lit(BUCKETS - 1), F.floor((F.log2(F.col("_size").cast("double")) - floor) / span * BUCKETS)).cast("int")]
+    dims += [F.floor(F.col(f"_d{i}") / F.lit(float(1 << 32)) * BUCKETS).cast("int") for i in range(len(there))]
+    groups = rows.where("NOT _heavy").groupBy("_text", "_salt")
+    groups = groups.agg(F.sum("size").alias("w"), F.max("size").alias("_size"), *(F.min(f"_d{i}").alias(f"_d{i}") for i in range(len(there))))
+    h = F.pmod(F.xxhash64("_text", "_salt", F.lit(11)), F.lit(1 << 30))
+    table = materialize(groups.select("_text", "_salt", "w", F.array(*dims).alias("at"), h.alias("h"), F.lit(0).alias("node")), "groups")
+    nodes = spark.createDataFrame([(0, shards)], "node int, k int")  # a node is named by its first shard
+    for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
+        wide = materialize(nodes.where("k > 1"), "nodes")
+        new = materialize(_split(table, wide, filled), "groups")
         discard(table)
         table = new
-        rooms = {v: k for v, k in rooms.items() if k == 1} | {n: r for v in busy for n, r in ((v, rooms[v] // 2), (v + rooms[v] // 2, rooms[v] - rooms[v] // 2))}
-    placed = rows.join(table.select("_text", "_salt", F.col("node").alias("shard")), ["_text", "_salt"])
-    keyed = placed.select("doc_id", "size", "text_crc32", "shard", F.xxhash64("doc_id", "_text").alias("_key"), F.lit(1).cast("long").alias("_one"))
+        halves = F.array(F.struct("node", F.expr("k div 2").alias("k")), F.struct((F.col("node") + F.expr("k div 2")).alias("node"), (F.col("k") - F.expr("k div 2")).alias("k")))
+        nodes = wide.select(F.explode(halves).alias("n")).select("n.*")
+    leaves = table.select("_text", "_salt", F.col("node").alias("shard")).unionByName(fixed)
+    keyed = rows.join(leaves, ["_text", "_salt"]).select("doc_id", "size", "text_crc32", "shard", F.xxhash64("doc_id", "_text").alias("_key"), F.lit(1).cast("long").alias("_one"))
     return prefix_sums(keyed, "shard", "_key", "doc_id", "_one", count).select("doc_id", "size", "text_crc32", "shard", F.col("before").alias("slot"))

@@ -107,37 +107,51 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def rule_of_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``(url, rule, action)`` of the longest rule that fits each distinct ``url``; no row where none does.
 
-    ``rules`` has ``host, path, action``. A rule fits its host and subdomains where
-    the path starts with the rule's. Of equally long rules allow wins, then the first by name.
+    ``rules`` has ``host, path, action``. A rule fits its host and subdomains where the path starts with the rule's. Of
+    equally long rules allow wins, then the first by name. A host meets rules by its endings of as many labels as some
+    rule has, whatever its own number of labels.
     """
-    parts = urls.select("url", F.explode(F.transform(F.sequence(F.lit(0), F.size(F.split(host_of(F.col("url")), r"\.")) - 1), lambda i: F.array_join(F.slice(F.split(host_of(F.col("url")), r"\."), i + 1, 1000), "."))).alias("host"), path_of(F.col("url")).alias("at"))
-    fits = parts.join(rules, "host").where(F.col("at").startswith(F.col("path")))
+    dots = lambda host: F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+    # a row for each number of labels that rules have, 127 at most for real hosts
+    lengths = sorted(r[0] for r in rules.select(dots(F.col("host")).alias("n")).where("n IS NOT NULL").distinct().collect())
+    if not lengths:
+        return urls.select("url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action")).where("false")
+    parts = urls.select("url", host_of(F.col("url")).alias("whole"), path_of(F.col("url")).alias("at"))
+    endings = F.array_compact(F.array(*(F.when(dots(F.col("whole")) >= n, F.substring_index("whole", ".", -n - 1)) for n in lengths)))
+    fits = parts.select("url", "at", F.explode(endings).alias("host")).join(rules, "host").where(F.col("at").startswith(F.col("path")))
     name = F.concat("host", "path")
     best = F.min(F.struct((-F.length(name)).alias("n"), F.col("action"), name.alias("rule")))
     return fits.groupBy("url").agg(best.alias("b")).select("url", "b.rule", "b.action")
 
 
+def _node(url: Column) -> Column:
+    """A URL's name among nodes: 128 bits, so that no two URLs of any crawl are taken for one."""
+    return F.md5(url.cast("binary"))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
-    """``pages`` with ``host, path, rule, verdict`` (``allow`` or ``block``) and ``component``.
+    """``pages`` with ``host, path, rule, verdict`` (``allow`` or ``block``).
 
     ``rules``: ``host, path, action``. ``edges``: more ``(src, dst)`` URL pairs, such as a crawl's redirects. A fitting rule
-    decides; otherwise the component does: allow if one of its URLs is allowed by a rule, else block
-    if one is blocked, else allow. A null URL, or one without ``://``, has an empty host and path,
-    fits no rule, has no aliases and is allowed. Repeated rows each keep their row, repeated rules count once; an empty table
-    gives an empty one. Columns named like the new ones are replaced.
+    decides; otherwise the component does: allow if one of its URLs is allowed by a rule, else block if one is blocked,
+    else allow. A null URL, or one without ``://``, has an empty host and path, fits no rule, has no aliases and is
+    allowed. A page's first canonical link and first redirect count. Repeated rows each keep their row, repeated rules
+    count once; an empty table gives an empty one, no rules allow all. Columns named like the four new ones are replaced;
+    all others are kept, whatever their names.
     """
-    pages = pages.drop(*[c for c in ("host", "path", "rule", "verdict", "component") if c not in (url, html)])
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict") or c in (url, html)]
     told = page_edges(pages, url, html)
     if edges is not None:
         told = told.unionByName(edges.select("src", "dst").where("src <> dst")).distinct()
     told = materialize(told, "url-edges")
-    urls = pages.select(F.col(url).alias("url")).where("url IS NOT NULL").unionByName(told.select(F.explode(F.array("src", "dst")).alias("url"))).distinct()
+    urls = pages.select(F.col(f"`{url}`").alias("url")).where("url IS NOT NULL").unionByName(told.select(F.explode(F.array("src", "dst")).alias("url"))).distinct()
     ruled = materialize(rule_of_urls(urls, rules.select("host", "path", "action").distinct()), "url-rules")
-    joined = materialize(components(told.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))), "url-components")
-    decided = ruled.select(F.xxhash64("url").alias("node"), "action").join(joined, "node").groupBy("component").agg(F.min("action").alias("spread"))
-    spread = joined.join(decided, "component").select("node", "spread")
-    node = F.xxhash64(F.col(url))
-    out = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    out = out.join(ruled.select(F.col("url").alias("_url"), "rule", "action"), F.col(url) == F.col("_url"), "left").drop("_url")
-    out = out.withColumn("_node", F.when(F.col(url).isNotNull(), node)).join(spread.withColumnRenamed("node", "_node"), "_node", "left")
-    return out.withColumn("verdict", F.coalesce("action", "spread", F.lit("allow"))).drop("_node", "action", "spread")
+    joined = materialize(components(told.select(_node(F.col("src")).alias("src"), _node(F.col("dst")).alias("dst"))), "url-components")
+    decided = ruled.select(_node(F.col("url")).alias("node"), "action").join(joined, "node").groupBy("component").agg(F.min("action").alias("spread"))
+    spread = materialize(joined.join(decided, "component").select("node", "spread"), "url-spread")
+    discard(told, joined)
+    whole = pages.select(F.struct(*kept).alias("page"), F.col(f"`{url}`").alias("_url"), _node(F.col(f"`{url}`")).alias("_node"))
+    out = whole.join(ruled.withColumnRenamed("url", "_url"), "_url", "left").join(spread.withColumnRenamed("node", "_node"), "_node", "left")
+    verdict = F.coalesce("action", "spread", F.lit("allow")).alias("verdict")
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*(F.col(f"page.`{c}`") for c in names), host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), "rule", verdict)

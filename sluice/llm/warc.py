@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -28,11 +29,20 @@ from .shared import materialize, new_path
 REVISIT_BYTES = 1000
 #: Bytes of records after which a task begins another package, and bytes of a package that one task reads at least.
 PACKAGE_BYTES, CHUNK_BYTES = 256 << 20, 8 << 20
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 DATE, STAMP = "2024-01-01T00:00:00Z", "20240101000000"
 _NAMESPACE = 0x6D0F2A4C8B3E4F17
 
 
+def sort_key(url: str) -> str:
+    """The index key of a URL: its host's labels in reverse, then the rest, without blanks."""
+    rest = url.partition("://")[2] or url
+    host, slash, tail = rest.partition("/")
+    name, colon, port = host.lower().partition(":")
+    key = f"{','.join(reversed(name.split('.')))}{colon}{port}){slash}{tail}"
+    return re.sub(r"\s", "%20", key)
+
+
 def record_id(page_id: int | None) -> str:
     """A URN that holds a 64-bit page id; of its own for null."""
     high, low = (_NAMESPACE, page_id & (1 << 64) - 1) if page_id is not None else (_NAMESPACE + 1, 0)
@@ -81,7 +91,12 @@ def open_file(path: str, mode: str):
 
 
 def members(f) -> dict[str, tuple[int, int]]:
-    """``name: (offset, size)`` of the stored members of a ZIP file, from its central directory (ZIP64 too)."""
+    """``name: (offset, size)`` of the stored members of a ZIP file."""
+    return {name: (at, n) for name, (at, n, method) in directory(f).items() if method == 0}
+
+
+def directory(f) -> dict[str, tuple[int, int, int]]:
+    """``name: (offset, packed size, method)`` of the members of a ZIP file, from its central directory (ZIP64 too)."""
     size = f.size()
 
     def read(at: int, n: int) -> bytes:
@@ -99,13 +114,13 @@ def members(f) -> dict[str, tuple[int, int]]:
         if mark != b"PK\x06\x07":
             raise ValueError("no ZIP64 locator")
         count, length, at = struct.unpack_from("<QQQ", read(at64, 56), 32)
-    directory, out, i = read(at, length), {}, 0
-    while i < len(directory):
-        if directory[i : i + 4] != b"PK\x01\x02":
+    held, out, i = read(at, length), {}, 0
+    while i < len(held):
+        if held[i : i + 4] != b"PK\x01\x02":
             raise ValueError("broken central directory")
-        method, packed, plain, n_name, n_extra, n_note, local = struct.unpack_from("<H8xIIHHH8xI", directory, i + 10)
-        name = directory[i + 46 : i + 46 + n_name].decode()
-        extra, j = directory[i + 46 + n_name : i + 46 + n_name + n_extra], 0
+        method, packed, plain, n_name, n_extra, n_note, local = struct.unpack_from("<H8xIIHHH8xI", held, i + 10)
+        name = held[i + 46 : i + 46 + n_name].decode()
+        extra, j = held[i + 46 + n_name : i + 46 + n_name + n_extra], 0
         while j + 4 <= len(extra):
             kind, n = struct.unpack_from("<HH", extra, j)
             if kind == 1:
@@ -116,15 +131,24 @@ def members(f) -> dict[str, tuple[int, int]]:
                         k += 8
                         plain, packed, local = (value if field == "plain" else plain), (value if field == "packed" else packed), (value if field == "local" else local)
             j += 4 + n
-        if method == 0:
-            own_name, own_extra = struct.unpack("<HH", read(local + 26, 4))
-            out[name] = (local + 30 + own_name + own_extra, packed)
+        own_name, own_extra = struct.unpack("<HH", read(local + 26, 4))
+        out[name] = (local + 30 + own_name + own_extra, packed, method)
         i += 46 + n_name + n_extra + n_note
     if len(out) > count:
         raise ValueError("broken central directory")
     return out
 
 
+def stored(held: dict, name: str, path: str) -> tuple[int, int]:
+    """Place and length of a member that must be there as it is."""
+    if name not in held:
+        raise ValueError(f"{path} has no member {name}")
+    at, n, method = held[name]
+    if method:
+        raise ValueError(f"{path}: member {name} is compressed (method {method}); byte ranges need a stored one")
+    return at, n
+
+
 def _write(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -133,7 +157,10 @@ def _write(root: str):
         def close() -> pa.RecordBatch:
             state["member"].close()
             with state["zip"].open(INDEX, "w", force_zip64=True) as f:
-                f.write("".join(state["index"]).encode())
+                index = "".join(sorted(state["index"])).encode()
+                f.write(index)
+            listed = [(DATA, state["at"], state["sum"].hexdigest()), (INDEX, len(index), hashlib.sha256(index).hexdigest())]
+            state["zip"].writestr(PACKAGE, json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"name": n.split("/")[-1], "path": n, "bytes": b, "hash": f"sha256:{h}"} for n, b, h in listed]}))
             state["zip"].close()
             state["file"].close()
             out = pa.record_batch([pa.array([state["path"]]), pa.array([len(state["index"])], pa.int64())], names=["path", "records"])
@@ -149,11 +176,13 @@ def _write(root: str):
                     n += 1
                     state["file"] = open_file(state["path"], "w")
                     state["zip"] = zipfile.ZipFile(state["file"], "w", zipfile.ZIP_STORED, allowZip64=True)
-                    state["member"], state["at"], state["index"] = state["zip"].open(DATA, "w", force_zip64=True), 0, []
+                    state["member"], state["at"], state["index"], state["sum"] = state["zip"].open(DATA, "w", force_zip64=True), 0, [], hashlib.sha256()
                 gz = zlib.compressobj(1, zlib.DEFLATED, 31)
                 raw = gz.compress(warc_record(page_id, url or "", (html or "").encode(), digest, refers_to)) + gz.flush()
                 state["member"].write(raw)
-                state["index"].append(f"{STAMP} {json.dumps({'url': url, 'offset': state['at'], 'length': len(raw)})}\n")
+                state["sum"].update(raw)
+                place = {"url": url, "mime": "text/html", "status": "200", "digest": f"sha1:{digest}", "length": str(len(raw)), "offset": str(state["at"]), "filename": DATA.split("/")[-1]}
+                state["index"].append(f"{sort_key(url or '')} {STAMP} {json.dumps(place)}\n")
                 state["at"] += len(raw)
                 if state["at"] >= PACKAGE_BYTES:
                     yield close()
@@ -172,8 +201,11 @@ def write_packages(pages: DataFrame, root: str, page_id: str = "page_id", url: s
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
-    large = rows.where(F.octet_length("html") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    told = rows.join(materialize(large, "copies"), "digest", "left")
+    large = F.octet_length("html") >= revisit_bytes
+    first = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    # small payloads, all the empty ones among them, take no part in the join
+    told = rows.where(large).join(materialize(first, "copies"), "digest", "left")
+    told = told.unionByName(rows.where(~large).withColumn("first", F.lit(None).cast("long")))
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return materialize(told.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(_write(root), "path string, records long"), "packages")
 
@@ -182,11 +214,11 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column(0).to_pylist():
             with open_file(path, "r") as f:
-                held = members(f)
-                data, (at, n) = held[DATA][0], held[INDEX]
+                held = directory(f)
+                (data, _), (at, n) = stored(held, DATA, path), stored(held, INDEX, path)
                 f.seek(at)
-                spans = [json.loads(line.partition(b" ")[2]) for line in f.read(n).splitlines()]
-            yield pa.record_batch([pa.array([path] * len(spans), pa.string()), pa.array([data + s["offset"] for s in spans], pa.int64()), pa.array([s["length"] for s in spans], pa.int64())], names=["path", "offset", "length"])
+                spans = [json.loads(line.split(b" ", 2)[2]) for line in f.read(n).splitlines()]
+            yield pa.record_batch([pa.array([path] * len(spans), pa.string()), pa.array([data + int(s["offset"]) for s in spans], pa.int64()), pa.array([int(s["length"]) for s in spans], pa.int64())], names=["path", "offset", "length"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +253,10 @@ def locate_records(packages: DataFrame) -> DataFrame:
 
 def read_packages(packages: DataFrame) -> DataFrame:
     """The records of the packages in ``path``: page id, url, size and digest of the full payload, type, the page it refers to, and a response's payload."""
-    spans = locate_records(packages)
-    dealt = spans.withColumn("_chunk", F.floor(F.col("offset") / CHUNK_BYTES)).repartition("path", "_chunk").sortWithinPartitions("path", "offset").drop("_chunk")
+    spans = materialize(locate_records(packages), "spans")
+    # offsets are few bytes, records many: partitions are counted by what the records weigh
+    parts = max(1, -(-(spans.agg(F.sum("length")).first()[0] or 0) // CHUNK_BYTES))
+    dealt = spans.withColumn("_chunk", F.floor(F.col("offset") / CHUNK_BYTES)).repartition(parts, "path", "_chunk").sortWithinPartitions("path", "offset").drop("_chunk")
     return dealt.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
