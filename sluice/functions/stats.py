@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: the interval's z, the master seed and the number of replicates
@@ -150,6 +151,57 @@ def poisson_bootstrap(series: DataFrame, keys: list[str], value: str, row_id: st
     return means.join(ci, keys).select(*keys, "mean", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "n")
 
 
+# fixed values: how many of 2**32 hash values draw at most 0, 1, .. 9 of a Poisson(1)
+_UP_TO = [int(sum(np.exp(-1.0) / math.factorial(i) for i in range(k + 1)) * (1 << 32)) for k in range(10)]
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, levels: tuple[float, ...]) -> DataFrame:
+    """``(by, p)``: exact, interpolated percentiles of each group, in the order of ``levels``; groups without values give no row.
+
+    By rank selection: mergeable approximate quantiles bracket each rank, a count says how many values lie below the
+    bracket, and only the distinct values within it are ordered. No task holds a group's values.
+    """
+    narrow = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    grid = F.percentile_approx("_v", [k / STEPS for k in range(STEPS + 1)], 10_000)
+    marks, ends = narrow.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), grid.alias("_q")), []
+    for level in levels:
+        margin = 40 / F.col("_n") + 2e-4
+        low, high = F.floor((level - margin) * STEPS).cast("int"), F.ceil((level + margin) * STEPS).cast("int")
+        lo = F.when(low <= 0, float("-inf")).otherwise(F.get("_q", low))
+        hi = F.when(high >= STEPS, float("inf")).otherwise(F.get("_q", high))
+        ends.append(F.struct(lo.alias("lo"), hi.alias("hi"), ((F.col("_n") - 1) * level).alias("rank")))
+    keys = [F.col(k).alias(f"_key{i}") for i, k in enumerate(by)]
+    marks = marks.select(*keys, F.array(*ends).alias("_w"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(by)]
+    held = narrow.join(F.broadcast(marks), same) if by else narrow.crossJoin(F.broadcast(marks))  # a row for each group
+    each = held.select(*by, "_v", F.posexplode("_w").alias("_level", "_w")).where(F.col("_v") <= F.col("_w.hi"))
+    inside = F.when(F.col("_v") >= F.col("_w.lo"), F.col("_v"))  # null: somewhere below
+    counts = each.groupBy(*by, "_level", F.col("_w.rank").alias("_rank"), inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_level").orderBy(F.col("_v").asc_nulls_first()))
+    ranked = counts.withColumn("_upto", upto).where("_v IS NOT NULL")
+    at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
+    picked = ranked.groupBy(*by, "_level", "_rank").agg(at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_b"))
+    x = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
+    listed = picked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_level", x.alias("x")))).alias("p"))
+    return listed.select(*by, F.transform("p", lambda e: e["x"]).alias("p"))
+
+
+def hash_bootstrap(series: DataFrame, keys: list[str], value: str, row_id: str, replicates: int = 200, seed: int = MASTER_SEED) -> DataFrame:
+    """``(mean, lo, hi, n)`` of each group's mean by Poisson weights that are hashes, so that any engine can repeat them.
+
+    A row counts as often as the first 32 bits of ``md5(seed|replicate|row)`` say. SQL functions only; sums are
+    pre-aggregated in each task. Replicates are fewer than elsewhere, as each costs a hash a row.
+    """
+    rows = series.select(*keys, F.col(value).cast("double").alias("_x"), F.col(row_id).cast("string").alias("_row")).where("_x IS NOT NULL")
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), "_row").cast("binary")), 1, 8), 16, 10).cast("long")
+    w = sum((F.when(h >= F.lit(t), 1).otherwise(0) for t in _UP_TO), F.lit(0))
+    sums = each.withColumn("_w", w).groupBy(*keys, "_rep").agg((F.sum(F.col("_x") * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
+    ci = sums.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    means = rows.groupBy(*keys).agg(F.avg("_x").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return means.join(ci, keys).select(*keys, "mean", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "n")
+
+
 #: Levels are looked up in quantiles this fine; replicates are drawn this many at a time.
 STEPS, BLOCK = 2000, 500
 

@@ -55,6 +55,7 @@ def group_name(number: Column) -> Column:
     return F.format_string("g%05d", number)
 
 
+# fixed value: the layout of a judge's prompt
 def judge_prompt(rubric: str, request: Column, reference: Column, candidate: Column) -> Column:
     return F.concat(F.lit(f"{rubric}\n\nREQUEST: "), request, F.lit("\n\nANSWER_A (reference): "), reference, F.lit("\n\nANSWER_B (candidate): "), candidate, F.lit("\n\nSCORE:"))
 

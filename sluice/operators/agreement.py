@@ -9,6 +9,9 @@ from ..functions.text import checked_label, is_blank
 
 KEY = ["config", "frac", "idx"]
 TIERS = (1, 2, 3, 4)
+# fixed values: why a row is in its tier, and the columns of the file that people fill in
+REASONS = {1: "semantic hit judged incorrect (false hit)", 2: "judge passes disagree", 3: "cascade escalation", 4: "other judged row"}
+QUEUE = ("priority", "priority_reason", "config", "frac", "idx", "kind", "served_by", "similarity", "hit_source_idx", "dup_type", "request", "answer_text", "baseline_text", "judge1_score", "judge2_score", "human_label")
 
 
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -52,7 +55,8 @@ def priority(strict: bool = False) -> Column:
 
 def judged_rows(judged: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Judgements with their outcomes; a (config, frac, idx) that names two outcomes fails the query."""
-    once = outcomes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.first("kind").alias("kind"), F.first("served_by").alias("served_by"))
+    more = [c for c in ("similarity", "hit_source_idx") if c in outcomes.columns and c not in judged.columns]
+    once = outcomes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in ("kind", "served_by", *more)))
     sure = F.when(F.col("_n") > 1, F.raise_error(F.lit("outcomes are not one for each key")).cast("string")).otherwise(F.col("kind"))
     return judged.join(once.withColumn("kind", sure).drop("_n"), KEY, "left")
 
@@ -64,6 +68,18 @@ def triage(judged: DataFrame, outcomes: DataFrame, limit: int | None = 60, stric
     return rows.orderBy("priority", *KEY).limit(limit) if limit else rows
 
 
+def human_queue(judged: DataFrame, outcomes: DataFrame, limit: int = 60, strict: bool = False) -> DataFrame:
+    """The file for people: the first ``limit`` rows by tier, config, frac and idx, all cells as text, ``human_label`` empty.
+
+    Scores are whole numbers; what is missing is an empty cell. The file is a function of the tables alone.
+    """
+    rows = judged_rows(judged, outcomes).withColumn("priority", priority(strict))
+    reason = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])[F.col("priority")]
+    rows = rows.withColumns({"priority_reason": reason, "human_label": F.lit("")}).orderBy("priority", *KEY).limit(limit)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return rows.select("priority", "priority_reason", "config", "frac", "idx", *(text(c) for c in QUEUE[5:]))
+
+
 def tier_counts(rows: DataFrame) -> DataFrame:
     """Rows of each tier, 0 where there are none."""
     tiers = rows.sparkSession.createDataFrame([(t,) for t in TIERS], "priority int")

@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import exact_percentiles
 from ..functions.text import has_error, is_blank
 from ..sources.tables import cut_lineage
 
-#: Vectors of a block; two blocks meet in one task.
-BLOCK = 2048
+#: Vectors of a stripe at most; two stripes meet in one task, ``STEP`` by ``STEP`` rows at a time.
+BLOCK, STEP = 32_768, 2048
 
 
 def seen_earlier(rows: DataFrame, key: str, order: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -40,18 +41,22 @@ def exact_replay(outcomes: DataFrame, key: str = "norm_key", order: str = "idx",
 
 def replay_summary(replay: DataFrame, outcomes: DataFrame, by: str = "frac") -> DataFrame:
     """One row for each ``by``: hits, cost and latency of the replay; a hit takes the median latency of measured exact hits."""
-    measured = outcomes.where("kind = 'cache_exact' AND error IS NULL").groupBy(by).agg(F.median("latency_ms").alias("hit_ms"))
+    hits = outcomes.where(F.col("kind") == "cache_exact").where(~has_error(F.col("error")))
+    measured = exact_percentiles(hits, [by], "latency_ms", (0.5,)).select(by, F.get("p", F.lit(0)).alias("hit_ms"))
     rows = replay.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_hit").alias("n_hits"), F.sum("replay_cost").alias("cost_usd"), F.sum("replay_tokens_in").alias("tokens_in"), F.sum("replay_tokens_out").alias("tokens_out"), F.sum(F.when(~F.col("is_hit"), F.col("latency_ms"))).alias("_miss_ms"))
     mean = (F.coalesce("_miss_ms", F.lit(0.0)) + F.col("n_hits") * F.coalesce("hit_ms", F.lit(0.0))) / F.col("n_rows")
     return rows.join(measured, by, "left").select(by, "n_rows", "n_hits", (F.col("n_hits") / F.col("n_rows")).alias("hit_rate"), "cost_usd", "tokens_in", "tokens_out", "hit_ms", mean.alias("mean_ms"))
 
 
 def _met(vectors: DataFrame, order: str, vec: str, found, schema: str, block: int, by: str | None) -> DataFrame:
-    """``found(idx_a, idx_b, similarities)`` for every two blocks; blocks are dealt by hash, rows go to each block pair of theirs.
+    """``found(idx_a, idx_b, similarities)`` for every two stripes; stripes are dealt by hash, rows go to each pair of theirs.
 
-    The search is exhaustive, as the measure is exact; each task holds two blocks, whatever the number of rows.
+    The search is exhaustive, as the measure is exact; each task holds two stripes, whatever the number of rows, so a row
+    is copied as often as there are stripes. There are enough of them for all cores. Null vectors meet nothing.
     """
-    k = max(1, math.ceil(vectors.count() / block))
+    vectors = vectors.where(F.col(vec).isNotNull())
+    n, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    k = max(1, math.ceil(n / block), min(math.ceil(math.sqrt(2 * cores)), math.ceil(n / 256)))
     group = F.col(by) if by else F.lit("")
     at = F.pmod(F.xxhash64(order), F.lit(k)).cast("int")
     rows = vectors.select(group.alias("_by"), F.col(order).cast("long").alias("_idx"), F.col(vec).cast("array<float>").alias("_vec"), at.alias("_at"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_other"))
@@ -61,14 +66,14 @@ def _met(vectors: DataFrame, order: str, vec: str, found, schema: str, block: in
         name, i, j = key
         left = part[part["_at"] == i]
         right = part[part["_at"] == j]
-        out = []
-        if len(left) and len(right):
-            a, b = (np.stack(x["_vec"].to_numpy()).astype(np.float64) for x in (left, right))
-            la, lb = left["_idx"].to_numpy(), right["_idx"].to_numpy()
-            s = a @ b.T
-            out.append(found(la, lb, s))
-            if i != j:
-                out.append(found(lb, la, s.T))
+        steps = lambda x: [(x["_idx"].to_numpy()[at : at + STEP], np.stack(x["_vec"].to_numpy()[at : at + STEP]).astype(np.float64)) for at in range(0, len(x), STEP)]  # noqa: E731,E501
+        out, other = [], steps(right)
+        for la, a in steps(left):
+            for lb, b in other:
+                s = a @ b.T
+                out.append(found(la, lb, s))
+                if i != j:
+                    out.append(found(lb, la, s.T))
         out = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "s": []})
         out.insert(0, "_by", name)
         return out.astype({"a": "int64", "b": "int64", "s": "float64"})
@@ -79,7 +84,8 @@ def _met(vectors: DataFrame, order: str, vec: str, found, schema: str, block: in
 def prefix_best(vectors: DataFrame, order: str = "idx", vec: str = "vec", by: str | None = None, block: int = BLOCK) -> DataFrame:
     """``(by, idx, best, best_src)``: the largest similarity to any earlier row, the earliest on ties; 0 and null for the first row.
 
-    All earlier rows count, hits and ineligible ones too. Negative best similarities stay as they are.
+    All earlier rows count, hits and ineligible ones too. Negative best similarities stay as they are. A row with a null
+    vector is like a first row, and none is similar to it.
     """
 
     def found(la: np.ndarray, lb: np.ndarray, s: np.ndarray) -> pd.DataFrame:

@@ -10,6 +10,15 @@ from ..functions.stats import ratio
 from ..functions.text import has_error
 
 RUN = ["config", "frac"]
+# fixed values: the published comparisons (id, a, b, quantity), each for both fractions
+COMPARISONS = (
+    ("cost-cache-baseline", "cache", "baseline", "cost"),
+    ("cost-heur-base", "router_heuristic", "baseline", "cost"),
+    ("cost-heur-casc", "router_heuristic", "router_cascade", "cost"),
+    ("qual-heur-casc", "router_heuristic", "router_cascade", "quality"),
+    ("p99-heur-base", "router_heuristic", "baseline", "p99"),
+    ("fhr-casc-heur", "router_cascade", "router_heuristic", "fhr"),
+)
 BINS, LOG_LOW, LOG_HIGH = 28, -0.3010299956639812, 5.0
 
 
@@ -42,7 +51,7 @@ def run_metrics(outcomes: DataFrame, by: list[str] = RUN) -> DataFrame:
 
 
 def latency_percentiles(rows: DataFrame, by: list[str] = RUN) -> DataFrame:
-    p = rows.groupBy(*by).agg(F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.avg("latency_ms").alias("mean_ms"))
+    p = stats.exact_percentiles(rows, by, "latency_ms", (0.5, 0.95, 0.99)).join(rows.groupBy(*by).agg(F.avg("latency_ms").alias("mean_ms")), by)
     return p.select(*by, *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))), "mean_ms")
 
 
@@ -109,18 +118,66 @@ def newcombe_rates(rates: DataFrame, a: str, b: str, by: str = "frac") -> DataFr
     return both.select(by, "k_a", "n_a", "k_b", "n_b", "d.diff", "d.lo", "d.hi", stats.separated(F.col("d.lo"), F.col("d.hi")).alias("separated"))
 
 
-def comparisons(outcomes: DataFrame, specs: list[tuple[str, str, str, str]], replicates: int = stats.REPLICATES) -> DataFrame:
-    """Paired bootstrap for each ``(id, a, b, quantity)``, one row for each fraction; quantity is ``cost_usd`` or ``latency_ms`` (99th percentile)."""
-    good, out = succeeded(outcomes), None
-    for name, a, b, quantity in specs:
-        pairs = pairs_of(good, a, b, quantity).withColumn("seed", stats.derive_seed(F.col("frac"), f"{a}-vs-{b}", quantity)).withColumn("id", F.lit(name))
-        if quantity == "latency_ms":
-            part = stats.paired_percentile_bootstrap(pairs, ["id", "frac"], "a", "b", "seed", 99, replicates)
-        else:
-            means = stats.poisson_bootstrap(pairs.withColumn("diff", F.col("a") - F.col("b")), ["id", "frac"], "diff", "idx", replicates)
-            part = means.select("id", "frac", F.col("mean").alias("diff"), "lo", "hi", "n", stats.separated(F.col("lo"), F.col("hi")).alias("separated"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def paired_series(outcomes: DataFrame, judged: DataFrame) -> DataFrame:
+    """``(quantity, config, frac, idx, value)``: costs, halved effective scores, and latencies without each run's first row by ``idx``."""
+    good = succeeded(outcomes)
+    first = good.groupBy(*RUN).agg(F.min("idx").alias("_first"))
+    of = lambda rows, quantity, value: rows.select(F.lit(quantity).alias("quantity"), *RUN, "idx", value.cast("double").alias("value"))
+    scores = effective_score(F.col("identical"), F.col("judge1_score")) / 2
+    rows = of(good, "cost", F.col("cost_usd")).unionByName(of(judged, "quality", scores))
+    return rows.unionByName(of(good.join(first, RUN).where("idx <> _first"), "p99", F.col("latency_ms"))).where("value IS NOT NULL")
+
+
+def comparison_pairs(series: DataFrame, specs=COMPARISONS) -> DataFrame:
+    """``(id, a, b, frac, quantity, seed, idx, x, y)``: what both configurations of each paired comparison have for a request."""
+    table = [(i, a, b, q) for i, a, b, q in specs if q != "fhr"]
+    spec = F.broadcast(series.sparkSession.createDataFrame(table, "id string, a string, b string, quantity string"))
+    x = series.join(spec, "quantity").where("config = a").select("id", "a", "b", "frac", "quantity", "idx", F.col("value").alias("x"))
+    y = series.join(spec, "quantity").where("config = b").select("id", "frac", "idx", F.col("value").alias("y"))
+    seed = stats.derive_seed(F.col("frac"), F.concat_ws("-vs-", "a", "b"), F.col("quantity"))
+    return x.join(y, ["id", "frac", "idx"]).withColumn("seed", seed)
+
+
+def comparison_points(outcomes: DataFrame, judged: DataFrame, specs=COMPARISONS) -> DataFrame:
+    """What needs no resampling of each comparison: seeds, shared rows and differences, and score intervals of false-hit rates."""
+    pairs = comparison_pairs(paired_series(outcomes, judged), specs)
+    p99 = F.percentile("x", F.lit(0.99)) - F.percentile("y", F.lit(0.99))
+    mean = F.avg("x") - F.avg("y")
+    paired = pairs.groupBy("id", "a", "b", "frac", "quantity", "seed").agg(F.count(F.lit(1)).alias("n_shared"), mean.alias("_m"), p99.alias("_p"))
+    none = lambda t: F.lit(None).cast(t)
+    diff = F.when(F.col("quantity") == "p99", F.col("_p")).otherwise(F.col("_m"))
+    empty = {"k_a": "long", "n_a": "long", "k_b": "long", "n_b": "long", "lo": "double", "hi": "double", "separated": "boolean"}
+    out = paired.select("id", "a", "b", "frac", "quantity", F.lit("paired").alias("method"), "seed", "n_shared", diff.alias("diff"), *(none(t).alias(c) for c, t in empty.items()))
+    rates = false_hits(judged, outcomes).select(*RUN, F.least("k", "n").alias("k"), "n")
+    for i, a, b, q in specs:
+        if q == "fhr":
+            told = newcombe_rates(rates, a, b)
+            label = [F.lit(x).alias(c) for c, x in (("id", i), ("a", a), ("b", b))]
+            out = out.unionByName(told.select(*label, "frac", F.lit(q).alias("quantity"), F.lit("newcombe").alias("method"), none("long").alias("seed"), none("long").alias("n_shared"), "diff", *empty))
+    return out.withColumn("id", F.concat_ws("-", "id", "frac"))
+
+
+def comparisons(outcomes: DataFrame, judged: DataFrame, specs=COMPARISONS, replicates: int = stats.REPLICATES) -> DataFrame:
+    """``comparison_points`` with bootstrap intervals for the paired ones, for series of any length.
+
+    Means take Poisson weights, percentiles multinomial counts. ``published_comparisons`` gives the published index marks.
+    """
+    keys = ["id", "frac"]
+    pairs = comparison_pairs(paired_series(outcomes, judged), specs)
+    means = stats.poisson_bootstrap(pairs.where("quantity <> 'p99'").withColumn("diff", F.col("x") - F.col("y")), keys, "diff", "idx", replicates)
+    tails = stats.paired_percentile_bootstrap(pairs.where("quantity = 'p99'"), keys, "x", "y", "seed", 99, replicates)
+    told = means.select(*keys, "lo", "hi").unionByName(tails.select(*keys, "lo", "hi"))
+    told = told.select(F.concat_ws("-", *keys).alias("id"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    out = comparison_points(outcomes, judged, specs).join(told, "id", "left").withColumns({"lo": F.coalesce("lo", "_lo"), "hi": F.coalesce("hi", "_hi")})
+    return out.withColumn("separated", stats.separated(F.col("lo"), F.col("hi"))).drop("_lo", "_hi")
+
+
+def published_comparisons(outcomes: DataFrame, judged: DataFrame, specs=COMPARISONS, replicates: int = stats.REPLICATES) -> DataFrame:
+    """``(id, frac, diff, lo, hi, idx_sha, n, separated)`` by the published index streams, for series of up to ``stats.EXACT_ROWS`` pairs."""
+    pairs = comparison_pairs(paired_series(outcomes, judged), specs)
+    keys = ["id", "frac"]
+    means = stats.paired_bootstrap(pairs.where("quantity <> 'p99'"), keys, "x", "y", "idx", "seed", "mean", replicates)
+    return means.unionByName(stats.paired_bootstrap(pairs.where("quantity = 'p99'"), keys, "x", "y", "idx", "seed", "p99", replicates))
 
 
 def reconcile_exact(replay: DataFrame, cache_run: DataFrame, by: str = "frac") -> DataFrame:

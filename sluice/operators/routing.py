@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CUES, DOUBTS, MAX_CHARS, contains_any, is_blank, py_bool
 
+# fixed values: what routers give as their reason
+EASY, ESCALATED, CONFIDENT = "short and no reasoning cue", "cheap answer uncertain or empty", "cheap answer confident"
+
 
 def heuristic(request: Column, max_chars: int = MAX_CHARS, cues: tuple[str, ...] = CUES) -> Column:
-    """``struct(hard, reason)``: hard if longer than ``max_chars`` code points or with a cue in it."""
+    """``struct(hard, reason)``: hard if longer than ``max_chars`` code points or with a cue in it. A null request is easy."""
     long, cue = F.coalesce(F.length(request) > max_chars, F.lit(False)), contains_any(request, cues)
-    return F.struct((long | cue).alias("hard"), F.concat(F.lit("long="), py_bool(long), F.lit(" cue="), py_bool(cue)).alias("reason"))
+    told = F.concat(F.lit("long="), py_bool(long), F.lit(" cue="), py_bool(cue))
+    return F.struct((long | cue).alias("hard"), F.when(long | cue, told).otherwise(EASY).alias("reason"))
 
 
 def cascade(answer: Column, doubts: tuple[str, ...] = DOUBTS) -> Column:
@@ -19,6 +23,12 @@ def cascade(answer: Column, doubts: tuple[str, ...] = DOUBTS) -> Column:
     return is_blank(answer) | contains_any(answer, doubts)
 
 
+def cascade_reason(answer: Column, doubts: tuple[str, ...] = DOUBTS) -> Column:
+    """``struct(escalate, reason)`` of a cheap answer."""
+    up = cascade(answer, doubts)
+    return F.struct(up.alias("escalate"), F.when(up, ESCALATED).otherwise(CONFIDENT).alias("reason"))
+
+
 def cost_usd(tokens_in: Column, tokens_out: Column, price_in: Column | float, price_out: Column | float) -> Column:
     return tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out
 
@@ -65,6 +75,3 @@ def complete(rows: DataFrame, provider, request: str = "request") -> DataFrame:
 
     return rows.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "answer_text string, tokens_in long, tokens_out long"]))
 
-
-def price_table(spark: SparkSession, prices: dict[str, tuple[float, float]]) -> DataFrame:
-    return spark.createDataFrame([(m, a, b) for m, (a, b) in prices.items()], "model string, input_per_mtok double, output_per_mtok double")

@@ -19,7 +19,8 @@ def grid(start: float = GRID_START, step: float = GRID_STEP, size: int = GRID_SI
     return [round(start + step * i, 4) for i in range(size)]
 
 
-def control_draws(low: float = 0.30, high: float = 0.999, n: int = CONTROL_DRAWS, seed: int = CONTROL_SEED) -> list[float]:
+def control_draws(low: float = 0.30, high: float = 0.995, n: int = CONTROL_DRAWS, seed: int = CONTROL_SEED) -> list[float]:
+    """Random thresholds between the ends of the grid."""
     return [float(x) for x in np.random.default_rng(seed).uniform(low, high, n)]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import hash_rank_key
@@ -17,16 +17,35 @@ def sample(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
 def split_groups(rows: DataFrame, group: str, share: float = 0.5, seed: int = 7) -> DataFrame:
     """Add ``half``: ``tune`` for the first ``int(n * share)`` groups in hash order, else ``report``; a group is never split.
 
-    The cut is found by a percentile of the groups' hashes: groups are ranked by counting, not sorted in one task.
+    The cut is the n-th hash: counts of 65536 ranges of hashes say in which range it lies, and only that range is ordered.
     """
     groups = rows.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_h", hash_rank_key(seed, F.col(group)))
+    groups = groups.withColumn("_b", F.substring("_h", 1, 4))
     n = int(groups.count() * share)
-    # the n-th hash: the largest of the n smallest
-    edge = groups.select("_h").orderBy("_h").limit(n).agg(F.max("_h").alias("edge"))
+    counts = groups.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = counts.withColumn("_before", before).where((F.col("_before") < n) & (F.col("_before") + F.col("_c") >= n))  # one row
+    nth = groups.join(F.broadcast(at), "_b").withColumn("_r", F.row_number().over(Window.orderBy("_h")))
+    edge = nth.where(F.col("_r") == n - F.col("_before")).agg(F.max("_h").alias("edge"))
     told = groups.crossJoin(F.broadcast(edge)).select(group, F.when(F.col("_h") <= F.col("edge"), "tune").otherwise("report").alias("half"))  # edge is one row
     return rows.join(told, group)
 
 
+def fraction_seed(frac: Column, seed: int) -> Column:
+    """The seed of a fraction's workload: ``seed`` and the code points of its name."""
+    points = F.transform(F.filter(F.split(frac, ""), lambda c: c != ""), F.ascii)
+    return (F.lit(seed) + F.aggregate(points, F.lit(0), lambda a, x: a + x)).cast("long")
+
+
+def write_fractions(parts: dict[str, DataFrame], path: str, meta: dict) -> None:
+    """Write each fraction's workload as a partition of one table, and ``meta`` beside it."""
+    from ..sources.tables import write_json
+
+    for frac, rows in parts.items():
+        rows.withColumn("frac", F.lit(frac)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("frac").parquet(f"{path}/workload")
+    write_json(next(iter(parts.values())).sparkSession, f"{path}/meta.json", meta)
+
+
 def split_balance(split: DataFrame, group: str) -> DataFrame:
     return split.groupBy("half").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(group).alias("n_groups"))
 

@@ -35,6 +35,8 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         group_name(F.col("user_id")).alias("group_id"),
         kind.alias("kind"),
         F.when(F.col("user_id") % 3 == 0, "cheap").otherwise("expensive").alias("served_by"),
+        F.expr("CASE event_type WHEN 'view' THEN 1.0D WHEN 'click' THEN round(0.7D + (event_id % 30) / 100D, 2) END").alias("similarity"),
+        F.when(F.col("event_type").isin("view", "click"), F.expr("event_id div 16")).alias("hit_source_idx"),
         F.col("value").alias("latency_ms"),
         tokens_in.alias("tokens_in"),
         tokens_out.alias("tokens_out"),
@@ -69,6 +71,7 @@ o AS (
     CASE user_id % 4 WHEN 0 THEN 'novel' WHEN 1 THEN 'exact' WHEN 2 THEN 'paraphrase' ELSE 'trap' END AS dup_type,
     CASE event_type WHEN 'view' THEN 'cache_exact' WHEN 'click' THEN 'cache_semantic' WHEN 'signup' THEN 'model_direct' ELSE 'miss' END AS kind,
     CASE WHEN user_id % 3 = 0 THEN 'cheap' ELSE 'expensive' END AS served_by, value AS latency_ms,
+    CASE event_type WHEN 'view' THEN 1e0 WHEN 'click' THEN round(7e-1 + (event_id % 30) / 1e2, 2) END AS similarity, CASE WHEN event_type IN ('view', 'click') THEN event_id // 16 END AS hit_source_idx,
     json_extract_string(props, '$.k')::BIGINT AS tokens_in, floor(value * 10)::BIGINT AS tokens_out,
     json_extract_string(props, '$.k')::BIGINT / 1e6 * 1.5e0 + floor(value * 10)::BIGINT / 1e6 * 6e0 AS cost_usd,
     'a' || (user_id % 50) AS answer_text, CASE WHEN event_type = 'error' THEN 'UpstreamError' END AS error

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# fixed values: columns of the stored tables
 WORKLOAD = "frac string, idx bigint, request string, dup_type string, group_id string"
 OUTCOMES = "seq bigint, config string, frac string, idx bigint, request string, dup_type string, group_id string, kind string, served_by string, similarity double, hit_source_idx bigint, latency_ms double, embed_ms double, lookup_ms double, model_ms double, tokens_in bigint, tokens_out bigint, cost_usd double, answer_text string, error string"
 STORE = "idx bigint, request string, norm_key string, group_id string, answer_text string, model string, vec array<float>"
@@ -19,9 +20,11 @@ KEY = ["config", "frac", "idx"]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (local tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only on a local master without one (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -35,9 +38,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Parquet at ``path``; an empty table where there is none. Files that can't be read are left out."""
+    """Parquet at ``path``; an empty table where there is none. A file that can't be read fails the query."""
     try:
-        return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -80,15 +83,16 @@ def json_rows(df: DataFrame, name: str = "document") -> DataFrame:
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """A small document with sorted keys, written beside its target and then renamed."""
-    jvm = spark.sparkContext._jvm
-    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(draft, True)
+    """A small document with sorted keys, written beside its target and renamed over it in one step."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, draft = hadoop.Path(path), hadoop.Path(f"{path}.draft")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = target.getFileSystem(conf).create(draft, True)
     out.write(bytearray(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False).encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(draft, target)
+    modes = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    modes[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(draft.toUri(), conf).rename(draft, target, modes)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:

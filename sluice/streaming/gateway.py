@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import has_error, is_blank, normalize_exact
+from ..operators.routing import cascade
 
+# fixed values: modes of a request, and errors as clients see them
 MODES = ("router", "cache", "cheap", "expensive")
-OUT = "norm_key string, idx long, mode string, hit boolean, kind string, served_by string, tokens_in long, tokens_out long, answer_text string"
+NO_TEXT, BAD_MODE = "no user message with text content", "x-bench-mode must be one of "
+OUT = "norm_key string, idx long, mode string, hit boolean, kind string, served_by string, tokens_in long, tokens_out long, answer_text string, stored boolean"
 
 
 def _answer(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -21,10 +24,12 @@ def _answer(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
     out = []
     for r in rows.itertuples(index=False):
         if r.mode != "expensive" and stored is not None:
-            out.append((key[0], r.idx, r.mode, True, "cache_exact", stored[1], 0, 0, stored[0]))
+            out.append((key[0], r.idx, r.mode, True, "cache_exact", stored[1], 0, 0, stored[0], False))
             continue
-        out.append((key[0], r.idx, r.mode, False, "model_direct" if r.mode == "expensive" else "miss", r.served_by, r.tokens_in, r.tokens_out, r.answer_text))
-        if r.mode != "expensive" and r.storable and stored is None:
+        new = r.mode != "expensive" and r.storable and stored is None
+        kind = "model_direct" if r.mode == "expensive" else "miss"
+        out.append((key[0], r.idx, r.mode, False, kind, r.served_by, r.tokens_in, r.tokens_out, r.answer_text, new))
+        if new:
             stored = (r.answer_text, r.served_by)
             state.update(stored)
     yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
@@ -40,15 +45,55 @@ def exact_cache_stream(requests: DataFrame) -> DataFrame:
     return ready.groupBy("norm_key").applyInPandasWithState(_answer, OUT, "answer_text string, served_by string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _fault() -> Column:
+    unknown = ~F.coalesce("mode", F.lit("router")).isin(*MODES)
+    return F.when(is_blank(F.col("request")), NO_TEXT).when(unknown, BAD_MODE + ", ".join(MODES))
+
+
 def rejected(requests: DataFrame) -> DataFrame:
     """Requests that the gateway answers with an error of 400: no text, or an unknown mode."""
-    bad = F.when(is_blank(F.col("request")), "no user message with text content").when(~F.coalesce("mode", F.lit("router")).isin(*MODES), "unknown mode")
-    return requests.withColumn("error_message", bad).where("error_message IS NOT NULL").withColumn("error_type", F.lit("invalid_request_error"))
+    bad = requests.withColumn("error_message", _fault()).where("error_message IS NOT NULL")
+    return bad.withColumns({"error_type": F.lit("invalid_request_error"), "status": F.lit(400)})
+
+
+def accepted(requests: DataFrame) -> DataFrame:
+    """The other requests; without a mode they are routed."""
+    return requests.where(_fault().isNull()).withColumn("mode", F.coalesce("mode", F.lit("router")))
+
+
+def failed(requests: DataFrame, param: str) -> DataFrame:
+    """Requests whose upstream failed (``error``): an error of 500 that names the setting to mend."""
+    bad = requests.where(has_error(F.col("error"))).withColumnRenamed("error", "error_message")
+    return bad.withColumns({"error_type": F.lit("upstream_unavailable"), "param": F.lit(param), "status": F.lit(500)})
+
+
+def by_mode(requests: DataFrame) -> DataFrame:
+    """What answers a request that no stored answer serves: ``escalated, served_by, answer_text, tokens_in, tokens_out``.
+
+    ``cheap`` and ``dear`` are structs of ``text, tokens_in, tokens_out``. A routed request whose cheap answer is blank or
+    voices doubt gets the dear one, and pays both.
+    """
+    up = (F.col("mode") == "router") & cascade(F.col("cheap.text"))
+    low = (F.col("mode") == "cheap") | ((F.col("mode") == "router") & ~up)
+    tokens = lambda c: F.when(low, F.col(f"cheap.{c}")).when(up, F.col(f"cheap.{c}") + F.col(f"dear.{c}")).otherwise(F.col(f"dear.{c}"))
+    return requests.withColumns({
+        "escalated": up, "served_by": F.when(low, "cheap").otherwise("expensive"),
+        "answer_text": F.when(low, F.col("cheap.text")).otherwise(F.col("dear.text")),
+        "tokens_in": tokens("tokens_in"), "tokens_out": tokens("tokens_out"),
+    })
+
+
+def cache_size(decisions: DataFrame) -> DataFrame:
+    """``(ok, cache_size)``: answers that the cache holds after ``decisions``, one for each key that a stored miss answered."""
+    stored = decisions.where("NOT hit AND kind = 'miss' AND stored")
+    return stored.agg(F.lit(True).alias("ok"), F.countDistinct("norm_key").alias("cache_size"))
 
 
 def envelope(decisions: DataFrame) -> DataFrame:
-    """Each decision as the gateway reports it: usage and what decided it."""
-    info = F.struct("mode", "hit", "kind", "served_by")
+    """Each decision as the gateway reports it: usage and what decided it, with ``latency_ms`` where it was measured."""
+    similarity = F.when(F.col("kind") == "cache_exact", 1.0).alias("similarity")
+    measured = F.round("latency_ms", 1) if "latency_ms" in decisions.columns else F.lit(None).cast("double")
+    info = F.struct("mode", "hit", "kind", similarity, "served_by", measured.alias("latency_ms"))
     usage = F.struct(F.col("tokens_in").alias("prompt_tokens"), F.col("tokens_out").alias("completion_tokens"), (F.col("tokens_in") + F.col("tokens_out")).alias("total_tokens"))
     return decisions.select("idx", info.alias("x_gateway"), usage.alias("usage"), "answer_text")
 
