@@ -63,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": decontaminate.ORACLE}
+    return {"op5_benchmark_decontamination": decontaminate.ORACLE, "op9_mixture": mixing.ORACLE}

@@ -81,8 +81,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id has no leak; rows with a null id stay."""
-    return docs.join(find_leaks(docs, items, doc_id, text).select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
+    """The rows of ``docs`` whose own text holds no item of ``items``.
+
+    A leak is one of the text, so rows with equal or null ids are judged each by its own. Null, empty and blank texts hold
+    none and stay. All columns are kept, whatever their names; an empty table on either side keeps all rows.
+    """
+    body = F.xxhash64(F.col(f"`{text}`").cast("string"))
+    named = docs.select(body.alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
+    leaks = find_leaks(named, items).select(F.col("doc_id").alias("_leak")).distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.when(F.col(f"`{text}`").isNotNull(), body).alias("_body"))
+    return whole.join(leaks, F.col("_body") == F.col("_leak"), "left_anti").select("doc.*")
 
 
 ORACLE = r"""

@@ -56,21 +56,21 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
-    def vector(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(counts)
-        x = np.log1p(counts[at]) * self.idf[at]
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.log1p(n) * self.idf[at]
         norm = np.sqrt(x @ x)
         return at, x / norm if norm else x
 
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        at, x = self.vector(counts)
+    def logits(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        at, x = self.vector(at, n)
         return x @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = ngram_counts(text) if self.classes else None
         if counts is None:
             return UND, 0.0
-        p = softmax(self.logits(counts) / self.temperature)
+        at = np.flatnonzero(counts)
+        p = softmax(self.logits(at, counts[at]) / self.temperature)
         k = int(np.argmax(p))
         return self.classes[k], float(p[k])
 
@@ -80,8 +80,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(classes: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray]], alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3) -> Model:
-    """Follow-the-regularised-leader over ``rows`` (label, counts), then the temperature on every fifth row."""
+def fit(classes: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3) -> Model:
+    """Follow-the-regularised-leader over ``rows`` (label, features, counts), then the temperature on every fifth row."""
     d, k = len(idf), len(classes)
     model = Model(classes, idf, np.zeros((d, k)), np.zeros(k))
     z, n = np.zeros((d + 1, k)), np.zeros((d + 1, k))
@@ -90,7 +90,7 @@ def fit(classes: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray]],
     def leader(at: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z[at]) > l1, -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2), 0.0)
 
-    vectors = [(classes.index(label), *model.vector(counts)) for label, counts in train]
+    vectors = [(classes.index(label), *model.vector(at, n)) for label, at, n in train]
     for _ in range(epochs):
         for y, at, x in vectors:
             at, x = np.append(at, d), np.append(x, 1.0)
@@ -104,8 +104,8 @@ def fit(classes: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray]],
     full = leader(np.arange(d + 1))
     model.weights, model.bias = full[:d], full[d]
     if held:
-        logits = np.array([model.logits(c) for _, c in held])
-        y = np.array([classes.index(label) for label, _ in held])
+        logits = np.array([model.logits(at, n) for _, at, n in held])
+        y = np.array([classes.index(label) for label, *_ in held])
         grid = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
         model.temperature = float(min(grid, key=lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean()))
     return model
@@ -114,14 +114,16 @@ def fit(classes: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray]],
 def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
     """A model of ``labelled`` (``doc_id, text, lang``).
 
-    Document frequencies cover all rows; the weights are fitted on rows chosen by a hash of the id, about ``per_class`` for
-    each language. Rows without letters teach nothing.
+    Document frequencies cover all rows; the weights are fitted on rows chosen by a hash of id and text, about
+    ``per_class`` for each language, so repeated or null ids don't come together; wholly equal rows do. Rows without
+    letters or without a language teach nothing; an empty table gives a model that calls every text ``und``. Other
+    columns are not read, whatever their names.
     """
     spark = labelled.sparkSession
-    labelled = labelled.where("lang IS NOT NULL")
+    labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL")
     count = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     share = spark.createDataFrame([(lang, min(1.0, per_class / n)) for lang, n in count.items()], "lang string, share double")
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000)) < F.col("share") * 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(1 << BITS, np.int64), 0
@@ -134,7 +136,8 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
                     rows += 1
                     df += counts > 0
                     if pick:
-                        kept.append((doc_id, lang, counts.astype(np.int32).tobytes()))
+                        at = np.flatnonzero(counts)
+                        kept.append((doc_id, lang, np.concatenate([at, counts[at]]).astype(np.int32).tobytes()))
             yield pa.record_batch([pa.nulls(len(kept), pa.int32()), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.string()), pa.array([k[2] for k in kept], pa.binary())], names=names)
         at = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], rows)), pa.nulls(len(at) + 1, pa.string()), pa.nulls(len(at) + 1, pa.binary())], names=names)
@@ -148,9 +151,9 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
         else:
             df[r["feature"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    sample = told.where("lang IS NOT NULL").orderBy(F.xxhash64("n", F.lit("order")), "n").select("lang", "counts").collect()
-    rows = [(r["lang"], np.frombuffer(r["counts"], np.int32)) for r in sample]
-    return fit(sorted({label for label, _ in rows}), idf, rows)
+    sample = told.where("lang IS NOT NULL").orderBy(F.xxhash64("n", "counts", F.lit("order")), "n").select("lang", "counts").collect()
+    rows = [(r["lang"], *np.frombuffer(r["counts"], np.int32).reshape(2, -1)) for r in sample]
+    return fit(sorted({label for label, *_ in rows}), idf, rows)
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ def with_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> Dat
     """Add ``target`` to a table of ``size`` and ``weight``: ``share`` of all sizes by weight, none above ``most`` times its size.
 
     What a source can't take is shared again by weight among those below their limit, until none is above. Each turn reads
-    two sums of the table.
+    sums of the table; one turn at least fills a source, and few are needed. Rounded to six places.
     """
     limit, aim = F.col("size") * F.lit(float(most)), F.lit(False)
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -52,13 +52,15 @@ def with_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> Dat
         if open_weight <= 0 or sizes.where(above).count() == n_full:
             break
         aim = F.lit(level) * F.col("weight") > limit
-    return sizes.withColumn("target", F.when(aim, limit).otherwise(F.lit(level) * F.col("weight")).cast("double"))
+    return sizes.withColumn("target", F.round(F.when(aim, limit).otherwise(F.lit(level) * F.col("weight")).cast("double"), 6))
 
 
 def _columns(doc_id: str, text: str, source: str, seed: int) -> dict[str, Column]:
     body, key = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
-    spread = F.when(key.isNull(), F.xxhash64(body))  # a null adds nothing to the hash
-    return {"_name": F.col(f"`{source}`"), "_id": key, "_key": F.xxhash64(key, F.lit(seed), spread), "_text": F.xxhash64(body)}
+    # 60 bits of a hash that any engine has, moved to the middle of the 64-bit range; a null id is hashed by its text
+    named = F.coalesce(key.cast("string"), F.concat(F.lit("text "), F.md5(body.cast("binary"))), F.lit("none"))
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), named).cast("binary")), 1, 15), 16, 10).cast("long")
+    return {"_name": F.col(f"`{source}`"), "_id": key, "_key": (bits - (1 << 59)) * 16, "_text": F.xxhash64(body)}
 
 
 def _placed(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
@@ -111,3 +113,17 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     more = F.coalesce(order <= F.col("_last"), F.lit(False)).cast("int")
     times = taken.withColumn("_times", (F.col("_whole") + more).cast("int")).where("_times > 0")
     return times.select("doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("doc.*")
+
+
+#: The same rows in SQL, for ids that are not null and not repeated.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || substr(md5('0|' || doc_id), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5e0, 2e0, 1e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+t AS (SELECT sum(source_size)::DOUBLE AS total FROM s),
+r AS (SELECT *, 2e0 * source_size / weight AS ratio, row_number() OVER (ORDER BY 2e0 * source_size / weight, source) AS k FROM s),
+l AS (SELECT k, ratio, (15e-1 * total - coalesce(sum(2e0 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r, t),
+c AS (SELECT level FROM l WHERE level <= ratio ORDER BY k LIMIT 1),
+b AS (SELECT source, source_size, round(least(2e0 * source_size, coalesce((SELECT level FROM c), 1e300) * weight), 6) AS target FROM s),
+p AS (SELECT d.*, b.source_size, b.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target)::BIGINT - before)) + greatest(0, least(size, floor(target)::BIGINT - source_size - before)) + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - before)))::BIGINT AS taken FROM p
+"""

@@ -1,10 +1,9 @@
 """Quality rules: clean line by line, then reject documents that lose too much.
 
-Every line is judged on its own: separators of navigation, symbols strewn among
-words, the same words over and over, no punctuation at all, stock phrases of
-web pages. Lines that fail are removed. A document goes if more than
-``max_loss`` of its words went with them, or if it fails the base rules
-(too short, or mostly repeated).
+Every line is judged on its own: separators of navigation, symbols strewn among words, the same words over and over, no
+punctuation at all, boilerplate. Boilerplate is what the corpus itself repeats (short lines that stand between ever other
+neighbours), and stock phrases of web pages, a parameter. Lines that fail are removed. A document goes if more than
+``max_loss`` of its words went with them, or if it fails the base rules (too short, or mostly repeated).
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import Words, window_hashes, words_of
@@ -21,27 +21,56 @@ from .words import Words, window_hashes, words_of
 MIN_WORDS, MAX_REPEAT, MAX_LOSS = 50, 50, 0.5
 SYMBOLS = b"#*$%&|<>"
 STOCK = (b"cookie policy", b"enable javascript", b"privacy policy", b"terms of use", b"terms of service", b"skip to content", b"sign up for", b"subscribe to our", b"log in to", b"click here to", b"share on facebook", b"share on twitter", b"read more")
+#: Words of the longest line that counts as boilerplate.
+SHORT = 25
+#: A line is boilerplate of the corpus if it stands between so many different pairs of neighbours, and in so large a share of documents.
+CONTEXTS, CONTEXT_SHARE = 50, 1e-4
+_BLANK = " \t\n\x0b\f\r"
 _IS_SYMBOL = np.zeros(256, dtype=bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 _MARKS = b".,;:!?"
 _OTHER_MARKS = tuple(c.encode() for c in "…。、！？؟।»”")
 
 
-def line_fails(line: bytes) -> str | None:
-    """The rule that a line with words fails, or None."""
+def _plain(line: Column) -> Column:
+    return F.translate(F.btrim(line, F.lit(_BLANK)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def repeated_lines(docs: DataFrame, text: str = "text", contexts: int = CONTEXTS, share: float = CONTEXT_SHARE) -> DataFrame:
+    """``line``: hashes of lines that are boilerplate of the corpus, over all documents and whole texts.
+
+    A copied document repeats its lines between the same neighbours, however often; boilerplate stands between other ones
+    in each document. A line counts if its pairs of neighbours (blank lines left out) are at least ``contexts`` and at
+    least ``share`` of the documents with text; so there are at most 1 / ``share`` times the lines of a document on
+    average. Counts are pre-aggregated; a line's places are never gathered. A document's only line has no neighbours and
+    teaches nothing.
+    """
+    body = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
+    lines = F.filter(F.transform(F.split("text", "\n"), _plain), lambda x: x != "")
+    hashed = body.select(F.transform(lines, lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") > 1)
+    near = F.transform("h", lambda x, i: F.struct(x.alias("line"), F.xxhash64(F.when(i > 0, F.get("h", i - 1)), F.lit(0), F.get("h", i + 1)).alias("at")))
+    places = hashed.select(F.explode(near).alias("p")).select("p.*").distinct()
+    least = max(contexts, int(np.ceil(share * body.count())))
+    return places.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("line")
+
+
+def line_fails(line: bytes, boilerplate: frozenset[int] | set[int] = frozenset(), stock: tuple[bytes, ...] = STOCK) -> str | None:
+    """The rule that a line with words fails, or None. ``boilerplate``: hashes of ``repeated_lines``."""
     words = line.split()
     n = len(words)
     if line.count(b"|") * 4 >= n and line.count(b"|") >= 3:
         return "navigation"
-    if n - 0 and (len(line) - len(line.translate(None, b"#*$%&<>"))) >= max(6, n):
+    if (len(line) - len(line.translate(None, b"#*$%&<>"))) >= max(6, n):
         return "symbols"
     if n >= 12 and len(set(words)) * 3 <= n:
         return "repeats"
     if n >= 12 and len(line) == len(line.translate(None, _MARKS)) and not any(m in line for m in _OTHER_MARKS):
         return "punctuation"
-    if n <= 25:
+    if n <= SHORT:
         low = line.lower()
-        if any(s in low for s in STOCK):
+        if any(s in low for s in stock):
+            return "boilerplate"
+        if boilerplate and xxhash.xxh64_intdigest(low.strip(), seed=42) in boilerplate:
             return "boilerplate"
     return None
 
@@ -61,15 +90,21 @@ def _repeat_words(h: np.ndarray) -> int:
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, failed_lines long, lost_words long, kept boolean, cleaned string"
 
 
-def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_loss: float = MAX_LOSS, cleaned: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_loss: float = MAX_LOSS, cleaned: bool = True, carry: tuple[str, ...] = (), stock: tuple[bytes, ...] = STOCK) -> DataFrame:
     """``doc_id``, the counts, ``kept`` and the ``cleaned`` text (lines that fail removed; null unless asked for) of each row.
 
     Words are runs of other than ASCII white space, over the whole text. A null or blank
     text has no words, so it fails the base rules. One line of any length is judged
     like others; a text without newlines is one line. Rows are kept as they are,
-    with equal or null ids too, and their columns in ``carry`` come along; an empty table gives an empty one.
+    with equal or null ids too, and their columns in ``carry`` come along, one that is named like a column of this
+    operator as ``carried_`` and its name; an empty table gives an empty one. Boilerplate lines are found first, by a pass
+    over all documents (``repeated_lines``); their hashes go to each task.
     """
-    carried = docs.select(*[F.col(c) for c in carry])
+    own = {"doc_id", *(c.split()[0] for c in COLUMNS.split(", "))}
+    named = [f"carried_{c}" if c in own else c for c in carry]
+    carried = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, named)])
+    common = {r["line"] & (1 << 64) - 1 for r in repeated_lines(docs, text).collect()}  # bounded, see there
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(common))
 
     def lines(w: Words, i: int) -> tuple[int, int, int, int, bytes]:
         body = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes()
@@ -83,7 +118,7 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             total += 1
             repeated += line in seen
             seen.add(line)
-            if line_fails(line):
+            if line_fails(line, shared.value, stock):
                 failed += 1
                 lost += len(line.split())
             else:
@@ -103,7 +138,8 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 kept = ~base & (np.array(lost) <= max_loss * n)
                 yield pa.record_batch(
                     [batch.column(0)[w.rows], pa.array(n.astype(np.int64)), pa.array(chars[w.first[1:]] - chars[w.first[:-1]]), pa.array(symbols[w.offsets[1:]] - symbols[w.offsets[:-1]]), pa.array(dup, pa.int64()), pa.array(repeat), pa.array(base), pa.array(total, pa.int64()), pa.array(failed, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept), pa.array([c.decode() for c in clean] if cleaned else [None] * len(n), pa.string()), *(c[w.rows] for c in batch.columns[2:])],
-                    names=["doc_id", *(c.split()[0] for c in COLUMNS.split(", ")), *carry],
+                    names=["doc_id", *(c.split()[0] for c in COLUMNS.split(", ")), *named],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"), *carry).mapInArrow(run, ", ".join([f"doc_id long, {COLUMNS}", *(f"`{c}` {t}" for c, t in carried.dtypes)]))
+    narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)))
+    return narrow.mapInArrow(run, ", ".join([f"doc_id long, {COLUMNS}", *(f"`{c}` {t}" for c, t in carried.dtypes)]))
