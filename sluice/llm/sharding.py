@@ -2,7 +2,7 @@
 
 A node with room for k shards is split along its widest metadata dimension, at the weighted quantile that gives k // 2
 shards to the left. The quantiles of all nodes of a level come from two distributed histograms: over the dimension, then
-over hashes within the bucket where the cut falls. Histograms, cuts and nodes stay tables; the driver only counts levels.
+over hashes within the bucket where the cut falls. Histograms and cuts stay tables; the driver knows a number for each node.
 
 Copies of a text stay together. Those that weigh a good part of a shard would throw a cut off balance, so they are
 packed into shards first, and the tree fills each shard up to the rest of its share.
@@ -11,6 +11,7 @@ packed into shards first, and the tree fills each shard up to the rest of its sh
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,22 +42,29 @@ def _running(of: str, *by: str, order: str) -> Column:
     return F.coalesce(F.sum(of).over(window), F.lit(0))
 
 
-def _split(table: DataFrame, nodes: DataFrame, filled: DataFrame) -> DataFrame:
-    """``table`` with the node of the next level. ``nodes``: (node, k) with k > 1. ``filled``: (shard, before), what the shards before are to take."""
-    at = lambda s, name: filled.select(F.col("shard").alias(s), F.col("before").alias(name))
-    half = F.expr("k div 2")
-    named = nodes.withColumns({"right": F.col("node") + half, "end": F.col("node") + F.col("k")})
-    goal = named.join(at("node", "b0"), "node").join(at("right", "b1"), "right").join(at("end", "b2"), "end")
-    share = F.when(F.col("b2") > F.col("b0"), (F.col("b1") - F.col("b0")) / (F.col("b2") - F.col("b0"))).otherwise(half / F.col("k"))
-    goal = goal.select("node", "right", share.alias("share"))
-    spread = table.join(nodes.select("node"), "node").select("node", "w", F.posexplode("at").alias("d", "b"))
+def _goals(rooms: dict[int, int], before: list[float]) -> list[tuple[int, int, float]]:
+    """(node, its right part, the left part's share) of nodes with room for several shards.
+
+    ``before``: what the shards before each one are to take. A row for each node, at most as many as shards.
+    """
+    out = []
+    for v, k in rooms.items():
+        if k > 1:
+            part = before[v + k] - before[v]
+            out.append((v, v + k // 2, (before[v + k // 2] - before[v]) / part if part > 0 else (k // 2) / k))
+    return out
+
+
+def _split(table: DataFrame, goal: DataFrame) -> DataFrame:
+    """``table`` with the node of the next level. ``goal``: (node, right, share), see ``_goals``."""
+    spread = table.join(goal.select("node"), "node").select("node", "w", F.posexplode("at").alias("d", "b"))
     seen = spread.groupBy("node", "d", "b").agg(F.sum("w").alias("w"))
     wide = seen.groupBy("node", "d").agg((F.max("b") - F.min("b")).alias("span")).groupBy("node").agg(F.max_by("d", F.struct("span", -F.col("d"))).alias("d"))
     along = seen.join(wide, ["node", "d"]).join(goal, "node")
     along = along.withColumns({"lower": _running("w", "node", order="b"), "aim": F.col("share") * F.sum("w").over(Window.partitionBy("node"))})
     over = along.where(F.col("lower") + F.col("w") > F.col("aim"))
     edge = over.groupBy("node").agg(F.min(F.struct("b", "d", "right", (F.col("aim") - F.col("lower")).alias("rest"))).alias("e"))
-    edge = edge.select("node", "e.*")
+    edge = materialize(edge.select("node", "e.*"), "edges")
     inside = table.join(edge, "node").where(F.col("at")[F.col("d")] == F.col("b"))
     fine = inside.groupBy("node", "rest", F.shiftright("h", 18).alias("q")).agg(F.sum("w").alias("w"))
     fine = fine.withColumn("upto", _running("w", "node", order="q") + F.col("w"))
@@ -107,11 +115,7 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     loads = [0] * shards
     for _, _, w, i in placed:
         loads[i] += w
-    before, sums = 0.0, [(0, 0.0)]
-    for i, w in enumerate(loads):
-        before += max(0.0, share - w)
-        sums.append((i + 1, before))
-    filled = materialize(spark.createDataFrame(sums, "shard int, before double"), "filled")
+    before = [0.0, *itertools.accumulate(max(0.0, share - w) for w in loads)]
 
     floor = math.log2(max(1, low or 1))
     span = max(1e-9, math.log2(max(2, high or 2)) - floor)
@@ -121,14 +125,13 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     groups = groups.agg(F.sum("size").alias("w"), F.max("size").alias("_size"), *(F.min(f"_d{i}").alias(f"_d{i}") for i in range(len(there))))
     h = F.pmod(F.xxhash64("_text", "_salt", F.lit(11)), F.lit(1 << 30))
     table = materialize(groups.select("_text", "_salt", "w", F.array(*dims).alias("at"), h.alias("h"), F.lit(0).alias("node")), "groups")
-    nodes = spark.createDataFrame([(0, shards)], "node int, k int")  # a node is named by its first shard
-    for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
-        wide = materialize(nodes.where("k > 1"), "nodes")
-        new = materialize(_split(table, wide, filled), "groups")
+    rooms = {0: shards}  # a node is named by its first shard
+    while any(k > 1 for k in rooms.values()):
+        goal = spark.createDataFrame(_goals(rooms, before), "node int, right int, share double")
+        new = materialize(_split(table, goal), "groups")
         discard(table)
         table = new
-        halves = F.array(F.struct("node", F.expr("k div 2").alias("k")), F.struct((F.col("node") + F.expr("k div 2")).alias("node"), (F.col("k") - F.expr("k div 2")).alias("k")))
-        nodes = wide.select(F.explode(halves).alias("n")).select("n.*")
+        rooms = {n: r for v, k in rooms.items() for n, r in ([(v, k // 2), (v + k // 2, k - k // 2)] if k > 1 else [(v, k)])}
     leaves = table.select("_text", "_salt", F.col("node").alias("shard")).unionByName(fixed)
     keyed = rows.join(leaves, ["_text", "_salt"]).select("doc_id", "size", "text_crc32", "shard", F.xxhash64("doc_id", "_text").alias("_key"), F.lit(1).cast("long").alias("_one"))
     return prefix_sums(keyed, "shard", "_key", "doc_id", "_one", count).select("doc_id", "size", "text_crc32", "shard", F.col("before").alias("slot"))
