@@ -47,6 +47,16 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def read_runs(spark: SparkSession, root: str, schema: str, table: str | None = None) -> DataFrame:
+    """All runs below ``root`` as one table: ``config`` and ``frac`` come from folders such as ``config=cache/frac=low``.
+
+    ``table`` names a file or folder of each run, where a run has several.
+    """
+    if table is None:
+        return read_table(spark, root, schema)
+    return spark.read.schema(schema).option("basePath", root).option("recursiveFileLookup", "false").parquet(f"{root}/config=*/frac=*/{table}")
+
+
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Replace the table through Spark's commit protocol."""
     writer = df.write.mode("overwrite")

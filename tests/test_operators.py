@@ -142,7 +142,8 @@ def test_run_metrics_and_warm_rows(spark):
 def test_gates_fail_for_absent_runs(spark):
     m = spark.createDataFrame([("baseline", "low", 2.0), ("cache", "low", 1.0)], "config string, frac string, cost_usd double")
     got = {r["name"]: (r["passed"], r["observed"]) for r in gates.cost_gates(m).collect()}
-    assert got["baseline_costs_more_cache_low"] == (True, "1.0000 vs 2.0000") and got["baseline_costs_more_cache_high"] == (False, "absent") and len(got) == 6
+    assert got["baseline_costs_more_low_cache"] == (True, "baseline 2.0000 vs cache 1.0000") and len(got) == 6
+    assert got["baseline_costs_more_high_cache"] == (False, "run not present (resume incomplete)")
     assert not gates.summary(gates.cost_gates(m)).first()["all_gates_passed"]
 
 
