@@ -121,22 +121,46 @@ def paired_bootstrap(pairs: DataFrame, keys: list[str], a: str, b: str, order: s
     return narrow.groupBy(*keys).applyInPandas(run, schema)
 
 
+# fixed values: how many of 2**32 hash values draw at most 0, 1, .. 9 of a Poisson(1)
+_UP_TO = [int(sum(np.exp(-1.0) / math.factorial(i) for i in range(k + 1)) * (1 << 32)) for k in range(10)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads their bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def poisson_bootstrap(series: DataFrame, keys: list[str], value: str, row_id: str, replicates: int = 1000, seed: int = MASTER_SEED) -> DataFrame:
     """``(mean, lo, hi, n)`` of each group's mean, for series of any length.
 
-    Every row counts Poisson(1) times in each replicate, by a generator seeded with its id, so that sums of
+    Every row counts Poisson(1) times in each replicate, by a hash of its id and the replicate, so that sums of
     replicates are added up in each task and then merged; no series comes together anywhere.
     """
-    n_keys = len(keys)
+    step = max(1, 2_000_000 // replicates)
+    salt = _mixed(np.arange(replicates, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for *key, x, row in zip(*cols):
-                w = np.random.default_rng(row & (1 << 63) - 1).poisson(1.0, replicates)
-                held.setdefault(tuple(key), np.zeros((2, replicates)))[:] += np.stack([w * x, w])
-        keyed = list(zip(*held)) if held else [()] * n_keys
+            *named, x, row = batch.columns
+            names = list(zip(*(c.to_pylist() for c in named)))
+            x, row = x.to_numpy(), row.to_numpy().view(np.uint64)
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(names):
+                places.setdefault(key, []).append(i)
+            for key, at in places.items():
+                sums = held.setdefault(key, np.zeros((2, replicates)))
+                for first in range(0, len(at), step):
+                    some = at[first : first + step]
+                    h = (_mixed(row[some][:, None] + salt) >> np.uint64(32)).astype(np.uint32)
+                    w = np.zeros(h.shape, np.uint8)
+                    for t in _UP_TO:
+                        w += h >= np.uint32(t)
+                    sums[0] += x[some] @ w
+                    sums[1] += w.sum(axis=0, dtype=np.int64)
+        keyed = list(zip(*held)) if held else [()] * len(keys)
         arrays = [pa.array(k, t.type) for k, t in zip(keyed, batch.schema)] if held else []
         if held:
             yield pa.record_batch([*arrays, pa.array([v[0].tolist() for v in held.values()]), pa.array([v[1].tolist() for v in held.values()])], names=[*keys, "s", "w"])
@@ -151,10 +175,6 @@ def poisson_bootstrap(series: DataFrame, keys: list[str], value: str, row_id: st
     return means.join(ci, keys).select(*keys, "mean", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "n")
 
 
-# fixed values: how many of 2**32 hash values draw at most 0, 1, .. 9 of a Poisson(1)
-_UP_TO = [int(sum(np.exp(-1.0) / math.factorial(i) for i in range(k + 1)) * (1 << 32)) for k in range(10)]
-
-
 def exact_percentiles(rows: DataFrame, by: list[str], value: str, levels: tuple[float, ...]) -> DataFrame:
     """``(by, p)``: exact, interpolated percentiles of each group, in the order of ``levels``; groups without values give no row.
 

@@ -95,6 +95,12 @@ def false_hits(judged: DataFrame, outcomes: DataFrame, strict: bool = False) ->
     return out.withColumn("ci", ci).select(*RUN, "k", "n", ratio(F.col("k"), F.col("n"), None).alias("false_hit_rate"), "ci.lo", "ci.hi")
 
 
+def false_hit_rows(judged: DataFrame) -> DataFrame:
+    """``(config, frac, idx)`` of the published numerator: judged paraphrases and traps with score 0 and another text."""
+    wrong = ~F.col("identical") & (F.col("judge1_score") == 0) & F.col("dup_type").isin("paraphrase", "trap")
+    return judged.where(wrong).select(*RUN, "idx")
+
+
 def exact_proxy(judged: DataFrame, exact_idx: DataFrame) -> DataFrame:
     """Scores of judged rows whose (frac, idx) is an exact hit in the replay: judged, score_0..2, unjudged."""
     rows = judged.join(exact_idx.select("frac", "idx"), ["frac", "idx"], "left_semi").withColumn("s", effective_score(F.col("identical"), F.col("judge1_score")))

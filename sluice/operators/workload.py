@@ -31,6 +31,11 @@ def split_groups(rows: DataFrame, group: str, share: float = 0.5, seed: int = 7)
     return rows.join(told, group)
 
 
+def pilot(rows: DataFrame, n: int, order: str = "idx") -> DataFrame:
+    """The first ``n`` rows of a workload, for a trial run: a top-n, so each task sends n rows at most."""
+    return rows.orderBy(order).limit(n)
+
+
 def fraction_seed(frac: Column, seed: int) -> Column:
     """The seed of a fraction's workload: ``seed`` and the code points of its name."""
     points = F.transform(F.filter(F.split(frac, ""), lambda c: c != ""), F.ascii)

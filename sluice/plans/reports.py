@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import agreement, audit, cache, gates, judging, metrics, results, tuning, workload
+from ..operators import agreement, audit, cache, gates, judging, metrics, results, routing, tuning, workload
 from ..sources import surrogate, tables
 from ..sources.surrogate import SQL, load
 from ..streaming import gateway
@@ -236,3 +238,92 @@ def pooled_sweep(spark, d):
 def fraction_seed(spark, d):
     rows = spark.createDataFrame([("low",), ("high",), ("mid",)], "frac string")
     return rows.select("frac", workload.fraction_seed(F.col("frac"), tuning.CONTROL_SEED).alias("seed"))
+
+
+@query(f"WITH {SQL} SELECT config, frac, idx FROM j WHERE NOT identical AND judge1_score = 0 AND dup_type IN ('paraphrase', 'trap')")
+def false_hit_rows(spark, d):
+    return metrics.false_hit_rows(surrogate.judgements(spark, d))
+
+
+@query(ORACLE["run_metrics"])
+def runs_by_folder(spark, d):
+    """Written by run into folders, with a second append, and found again by them."""
+    path = f"{tables.shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    rows = tables.cut_lineage(rounded(metrics.run_metrics(surrogate.outcomes(spark, d))))
+    for frac in gates.FRACS:
+        tables.append_rows(rows.where(F.col("frac") == frac), path)
+    return tables.read_runs(spark, path, ", ".join(f"{c} {t}" for c, t in rows.dtypes)).select(*rows.columns)
+
+
+@query(f"SELECT nullif(priority::VARCHAR, '') AS priority, priority_reason, config, frac, idx::VARCHAR AS idx, {', '.join(f'nullif({c}, {chr(39) * 2}) AS {c}' for c in agreement.QUEUE[5:])} FROM ({ORACLE['human_queue']})")
+def queue_file(spark, d):
+    """The file for people, written as CSV and read again; empty cells are null there."""
+    path = f"{tables.shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    tables.write_queue(agreement.human_queue(surrogate.judgements(spark, d), surrogate.outcomes(spark, d)), path, ["priority", "config", "frac", "idx"], 60)
+    return tables.read_csv_text(spark, path)
+
+
+@query(f"WITH {SQL} SELECT config, frac, idx FROM o WHERE seq % 3 <> 0")
+def resume_pending(spark, d):
+    o = surrogate.outcomes(spark, d)
+    return tables.pending(o, o.where("seq % 3 = 0")).select("config", "frac", "idx")
+
+
+@query("SELECT conv_id, turn::BIGINT AS turn, CASE WHEN turn % 3 = 0 THEN 'second' ELSE text END AS text, CASE WHEN turn % 3 = 0 THEN 30 ELSE 10 END::BIGINT AS tokens_in, CASE WHEN turn % 3 = 0 THEN 45 ELSE 5 END::BIGINT AS tokens_out FROM conversations WHERE trim(coalesce(text, '')) <> ''")
+def blank_retry(spark, d):
+    c = load(spark, d, "conversations").where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    side = lambda t, i, o: F.struct(t.alias("text"), F.lit(i).cast("long").alias("tokens_in"), F.lit(o).cast("long").alias("tokens_out"), F.lit(1.0).alias("ms"))
+    first = side(F.when(F.col("turn") % 3 == 0, " \n").otherwise(F.col("text")), 10, 5)
+    return c.select("conv_id", F.col("turn").cast("long").alias("turn"), routing.retry_blank(first, side(F.lit("second"), 20, 40)).alias("r")).select("conv_id", "turn", "r.text", "r.tokens_in", "r.tokens_out")
+
+
+@query("SELECT conv_id, turn::BIGINT AS turn, text, CASE WHEN turn % 2 = 0 THEN conv_id ELSE 0 END::BIGINT AS tokens_in, CASE WHEN turn % 2 = 0 THEN turn ELSE 0 END::BIGINT AS tokens_out FROM conversations")
+def completion_replies(spark, d):
+    usage = F.when(F.col("turn") % 2 == 0, F.struct(F.col("conv_id").alias("prompt_tokens"), F.col("turn").alias("completion_tokens")))
+    reply = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"), usage.alias("usage")))
+    return load(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), text.completion_fields(reply).alias("r")).select("conv_id", "turn", "r.*")
+
+
+@query("SELECT * FROM (VALUES ('novel', 95, 95, 0), ('paraphrase', 40, 40, 0), ('trap', 20, 20, 0)) v(dup_type, n, n_groups, out_of_order) UNION ALL SELECT 'exact', 45, NULL, NULL")
+def workload_build(spark, d):
+    """A workload of 200 requests from text pairs; anchors come before their followers."""
+    docs = load(spark, d, "documents").where("text IS NOT NULL AND length(text) > 20")
+    pairs = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("sentence1"), F.reverse("text").alias("sentence2"), (F.col("doc_id") % 2).cast("int").alias("label"))
+    rows = tables.cut_lineage(workload.build(pairs, 200, 0.2, 0.1, 0.225, 5, "low"))
+    marked = workload.anchors(rows).select("dup_type", "group_id", (F.col("anchor_idx") > F.col("idx")).alias("late")).unionByName(rows.where("dup_type = 'novel'").select("dup_type", "group_id", F.lit(False).alias("late")))
+    out = marked.groupBy("dup_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group_id").alias("n_groups"), F.count_if("late").alias("out_of_order"))
+    known = F.col("dup_type") != "exact"  # repeats are drawn with replacement
+    return out.select("dup_type", F.col("n").cast("int").alias("n"), F.when(known, F.col("n_groups")).cast("int").alias("n_groups"), F.when(known, F.col("out_of_order")).cast("int").alias("out_of_order"))
+
+
+@query(f"WITH {SQL} SELECT seq, idx, request, kind, latency_ms FROM o WHERE config = 'baseline' AND frac = 'low' ORDER BY idx LIMIT 20")
+def pilot_rows(spark, d):
+    rows = surrogate.outcomes(spark, d).where("config = 'baseline' AND frac = 'low'")
+    return workload.pilot(rows, 20).select("seq", "idx", "request", "kind", "latency_ms")
+
+
+@query(f"WITH s AS ({ORACLE['stream_exact_cache']}) SELECT idx, hit, kind, CASE WHEN hit THEN 1e0 END AS similarity, 'cheap' AS served_by, tokens_in AS prompt_tokens, tokens_in AS completion_tokens, 2 * tokens_in AS total_tokens FROM s")
+def gateway_envelope(spark, d):
+    out = gateway.envelope(catalog.stream_decisions(spark, d))
+    return out.select("idx", "x_gateway.hit", "x_gateway.kind", "x_gateway.similarity", "x_gateway.served_by", "usage.prompt_tokens", "usage.completion_tokens", "usage.total_tokens")
+
+
+@query(f"WITH s AS ({ORACLE['stream_exact_cache']}) SELECT true AS ok, count(*) FILTER (WHERE NOT hit)::BIGINT AS cache_size FROM s")
+def gateway_health(spark, d):
+    return gateway.cache_size(catalog.stream_decisions(spark, d))
+
+
+@query(f"WITH {SQL} SELECT seq, 'UpstreamError' AS error_message, 'upstream_unavailable' AS error_type, 'BASE_URL' AS param, 500::BIGINT AS status FROM o WHERE error IS NOT NULL")
+def gateway_failures(spark, d):
+    out = gateway.failed(surrogate.outcomes(spark, d), "BASE_URL")
+    return out.select("seq", "error_message", "error_type", "param", F.col("status").cast("long").alias("status"))
+
+
+@query(f"SELECT config, frac, round(lo, 4) + CASE WHEN config = 'cache' THEN 1e-2 ELSE 0 END AS claimed, round(lo, 6) AS actual FROM ({ORACLE['hit_rate_wilson']}) WHERE config = 'cache'".replace("round(lo, 4) + CASE WHEN config = 'cache' THEN 1e-2 ELSE 0 END", "round(round(lo, 6) + 1e-2, 4)"))
+def audit_interval_cells(spark, d):
+    """Intervals as documents state them, parsed and held against the score intervals; one configuration's is off."""
+    rates = catalog.hit_rate_wilson(spark, d)
+    lo = F.round(F.col("lo") + F.when(F.col("config") == "cache", 0.01).otherwise(0.0), 4)
+    cell = F.concat(F.lit("(95% "), lo.cast("decimal(6,4)").cast("string"), F.lit("-"), F.round("hi", 4).cast("decimal(6,4)").cast("string"), F.lit(")"))
+    claimed = rates.select("config", "frac", audit.interval_of(cell)["lo"].alias("lo"))
+    return audit.cell_mismatches(claimed, rates, ["config", "frac"], "lo").select("config", "frac", "claimed", "actual")

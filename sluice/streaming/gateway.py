@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,19 +21,23 @@ OUT = "norm_key string, idx long, mode string, hit boolean, kind string, served_
 
 def _answer(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     stored = state.get if state.exists else None
-    rows = pd.concat(list(parts)).sort_values("idx")
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.mode != "expensive" and stored is not None:
-            out.append((key[0], r.idx, r.mode, True, "cache_exact", stored[1], 0, 0, stored[0], False))
-            continue
-        new = r.mode != "expensive" and r.storable and stored is None
-        kind = "model_direct" if r.mode == "expensive" else "miss"
-        out.append((key[0], r.idx, r.mode, False, kind, r.served_by, r.tokens_in, r.tokens_out, r.answer_text, new))
-        if new:
-            stored = (r.answer_text, r.served_by)
-            state.update(stored)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+    rows = pd.concat(list(parts)).sort_values("idx").reset_index(drop=True)
+    asks = rows["mode"] != "expensive"
+    good = np.flatnonzero(asks & rows["storable"])
+    first = -1 if stored is not None else int(good[0]) if len(good) else len(rows)  # the row whose answer is stored
+    if 0 <= first < len(rows):
+        stored = (rows["answer_text"][first], rows["served_by"][first])
+        state.update(stored)
+    hit = (asks & (rows.index > first)).to_numpy()
+    answer, by = stored if stored is not None else (None, None)
+    out = pd.DataFrame({
+        "norm_key": key[0], "idx": rows["idx"], "mode": rows["mode"], "hit": hit,
+        "kind": np.where(hit, "cache_exact", np.where(asks, "miss", "model_direct")),
+        "served_by": rows["served_by"].where(~hit, by), "tokens_in": rows["tokens_in"].where(~hit, 0),
+        "tokens_out": rows["tokens_out"].where(~hit, 0), "answer_text": rows["answer_text"].where(~hit, answer),
+        "stored": rows.index == first,
+    })
+    yield out
 
 
 def exact_cache_stream(requests: DataFrame) -> DataFrame:
