@@ -10,7 +10,13 @@ from .shared import load
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: (host, path, action), as the URL contract fixes them.
-RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +32,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
-    return url_filter.judge_urls(load(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge_urls(load(spark, sf_dir, "pages"), rules).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +46,9 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_documents(load(spark, sf_dir, "documents"), cleaned=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge_documents(load(spark, sf_dir, "documents"), cleaned=False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +65,32 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.kd_shards(load(spark, sf_dir, "documents"), n_shards=40)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_url_filter, op4_token_counts, op5_benchmark_decontamination, op6_quality_rules, op7_warc, op8_license_scan, op9_mixture, op10_sharding)}
+    return {
+        f.__name__: f for f in (
+            op1_ngram_jaccard_join,
+            op2_language_id,
+            op3_url_filter,
+            op4_token_counts,
+            op5_benchmark_decontamination,
+            op6_quality_rules,
+            op7_warc,
+            op8_license_scan,
+            op9_mixture,
+            op10_sharding,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

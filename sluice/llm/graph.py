@@ -9,7 +9,9 @@ from .shared import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(7)))).first())
+    return tuple(
+        edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(7)))).first()
+    )
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -30,7 +32,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         proper = current.where("u <> v")
         both = proper.select("u", "v").unionByName(proper.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = materialize(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
@@ -42,4 +46,6 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             break
         state = new
     roots = nodes.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    return roots.join(current.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return roots.join(
+        current.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left"
+    ).select("node", F.coalesce("root", "node").alias("component"))

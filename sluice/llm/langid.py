@@ -36,7 +36,9 @@ def ngram_counts(text: str | None, bits: int = BITS) -> np.ndarray | None:
         letter = _LETTER[c]
         any_letter |= bool(letter.any())
         c = np.where(letter, c, np.uint32(32))
-        c = np.concatenate([[np.uint32(32)], c[(c != 32) | np.concatenate([[True], c[:-1] != 32])], [np.uint32(32)]]).astype(np.uint32)
+        c = np.concatenate(
+            [[np.uint32(32)], c[(c != 32) | np.concatenate([[True], c[:-1] != 32])], [np.uint32(32)]]
+        ).astype(np.uint32)
         one = (c + np.uint32(1)) * np.uint32(0x9E3779B1)
         two = (one[:-1] ^ (c[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
         three = (two[:-1] ^ (c[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
@@ -80,7 +82,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(classes: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3) -> Model:
+def fit(
+    classes: list[str],
+    idf: np.ndarray,
+    rows: list[tuple[str, np.ndarray, np.ndarray]],
+    alpha: float = 1.0,
+    beta: float = 1.0,
+    l1: float = 0.02,
+    l2: float = 0.02,
+    epochs: int = 3,
+) -> Model:
     """Follow-the-regularised-leader over ``rows`` (label, features, counts), then the temperature on every fifth row."""
     d, k = len(idf), len(classes)
     model = Model(classes, idf, np.zeros((d, k)), np.zeros(k))
@@ -88,7 +99,9 @@ def fit(classes: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray, n
     train, held = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if not i % 5]
 
     def leader(at: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(z[at]) > l1, -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2), 0.0)
+        return np.where(
+            np.abs(z[at]) > l1, -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2), 0.0
+        )
 
     vectors = [(classes.index(label), *model.vector(at, n)) for label, at, n in train]
     for _ in range(epochs):
@@ -107,7 +120,9 @@ def fit(classes: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray, n
         logits = np.array([model.logits(at, n) for _, at, n in held])
         y = np.array([classes.index(label) for label, *_ in held])
         grid = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
-        model.temperature = float(min(grid, key=lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean()))
+        model.temperature = float(
+            min(grid, key=lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean())
+        )
     return model
 
 
@@ -120,9 +135,15 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
     columns are not read, whatever their names.
     """
     spark = labelled.sparkSession
-    labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL")
+    labelled = labelled.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.col("lang").cast("string").alias("lang"),
+    ).where("lang IS NOT NULL")
     count = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    share = spark.createDataFrame([(lang, min(1.0, per_class / n)) for lang, n in count.items()], "lang string, share double")
+    share = spark.createDataFrame(
+        [(lang, min(1.0, per_class / n)) for lang, n in count.items()], "lang string, share double"
+    )
     chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000)) < F.col("share") * 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +159,32 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
                     if pick:
                         at = np.flatnonzero(counts)
                         kept.append((doc_id, lang, np.concatenate([at, counts[at]]).astype(np.int32).tobytes()))
-            yield pa.record_batch([pa.nulls(len(kept), pa.int32()), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.string()), pa.array([k[2] for k in kept], pa.binary())], names=names)
+            yield pa.record_batch(
+                [
+                    pa.nulls(len(kept), pa.int32()),
+                    pa.array([k[0] for k in kept], pa.int64()),
+                    pa.array([k[1] for k in kept], pa.string()),
+                    pa.array([k[2] for k in kept], pa.binary())
+                ],
+                names=names,
+            )
         at = np.flatnonzero(df)
-        yield pa.record_batch([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], rows)), pa.nulls(len(at) + 1, pa.string()), pa.nulls(len(at) + 1, pa.binary())], names=names)
-
-    told = materialize(labelled.join(F.broadcast(share), "lang").select("doc_id", "text", "lang", chosen.alias("pick")).mapInArrow(run, "feature int, n long, lang string, counts binary"), "langid")
+        yield pa.record_batch(
+            [
+                pa.array(np.append(at, -1).astype(np.int32)),
+                pa.array(np.append(df[at], rows)),
+                pa.nulls(len(at) + 1, pa.string()),
+                pa.nulls(len(at) + 1, pa.binary()),
+            ],
+            names=names,
+        )
+
+    told = materialize(
+        labelled.join(F.broadcast(share), "lang").select("doc_id", "text", "lang", chosen.alias("pick")).mapInArrow(
+            run, "feature int, n long, lang string, counts binary"
+        ),
+        "langid",
+    )
     df = np.zeros(1 << BITS)
     total = 0
     for r in told.where("feature IS NOT NULL").groupBy("feature").agg(F.sum("n").alias("n")).collect():
@@ -151,7 +193,9 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
         else:
             df[r["feature"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    sample = told.where("lang IS NOT NULL").orderBy(F.xxhash64("n", "counts", F.lit("order")), "n").select("lang", "counts").collect()
+    sample = told.where("lang IS NOT NULL").orderBy(
+        F.xxhash64("n", "counts", F.lit("order")), "n"
+    ).select("lang", "counts").collect()
     rows = [(r["lang"], *np.frombuffer(r["counts"], np.int32).reshape(2, -1)) for r in sample]
     return fit(sorted({label for label, *_ in rows}), idf, rows)
 
@@ -166,9 +210,18 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+            yield pa.record_batch(
+                [
+                    batch.column(0),
+                    pa.array([f[0] for f in found], pa.string()),
+                    pa.array([f[1] for f in found], pa.float64())
+                ],
+                names=["doc_id", "lang_pred", "score"],
+            )
+
+    return docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -45,14 +45,20 @@ def with_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> Dat
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     level = 0.0
     while True:
-        row = sizes.agg(F.coalesce(F.sum(F.when(aim, limit)), F.lit(0.0)), F.coalesce(F.sum(F.when(~aim, F.col("weight"))), F.lit(0.0)), F.count_if(aim)).first()
+        row = sizes.agg(
+            F.coalesce(F.sum(F.when(aim, limit)), F.lit(0.0)),
+            F.coalesce(F.sum(F.when(~aim, F.col("weight"))), F.lit(0.0)),
+            F.count_if(aim),
+        ).first()
         full, open_weight, n_full = row
         level = (share * total - full) / open_weight if open_weight > 0 else 0.0
         above = aim | (F.lit(level) * F.col("weight") > limit)
         if open_weight <= 0 or sizes.where(above).count() == n_full:
             break
         aim = F.lit(level) * F.col("weight") > limit
-    return sizes.withColumn("target", F.round(F.when(aim, limit).otherwise(F.lit(level) * F.col("weight")).cast("double"), 6))
+    return sizes.withColumn(
+        "target", F.round(F.when(aim, limit).otherwise(F.lit(level) * F.col("weight")).cast("double"), 6)
+    )
 
 
 def _columns(doc_id: str, text: str, source: str, seed: int) -> dict[str, Column]:
@@ -63,22 +69,57 @@ def _columns(doc_id: str, text: str, source: str, seed: int) -> dict[str, Column
     return {"_name": F.col(f"`{source}`"), "_id": key, "_key": (bits - (1 << 59)) * 16, "_text": F.xxhash64(body)}
 
 
-def _placed(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
+def _placed(
+    docs: DataFrame,
+    doc_id: str,
+    text: str,
+    source: str,
+    weights: tuple[float, ...],
+    share: float,
+    most: float,
+    seed: int,
+) -> DataFrame:
     """``_name, _id, _key, _text, size, source_size, target, before`` of each row."""
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    narrow = materialize(docs.select(*(c.alias(n) for n, c in _columns(doc_id, text, source, seed).items()), size.alias("size")), "sizes")
+    narrow = materialize(
+        docs.select(*(c.alias(n) for n, c in _columns(doc_id, text, source, seed).items()), size.alias("size")), "sizes"
+    )
     sizes = narrow.groupBy("_name").agg(F.sum("size").alias("size"))
     # code point order, null last
-    ranked = numbered(sizes.withColumn("_o", F.struct(F.col("_name").isNull().alias("no"), F.col("_name").cast("string").alias("name"))), "_o", "_source").drop("_o")
+    ranked = numbered(
+        sizes.withColumn(
+            "_o", F.struct(F.col("_name").isNull().alias("no"), F.col("_name").cast("string").alias("name"))
+        ),
+        "_o",
+        "_source",
+    ).drop("_o")
     weight = F.array(*(F.lit(float(w)) for w in weights))[F.pmod(F.col("_source"), F.lit(len(weights))).cast("int")]
-    named = materialize(with_targets(materialize(ranked.withColumn("weight", weight), "sources"), share, most), "targets")
-    named = named.select(F.col("_name").alias("_named"), F.col("_source").cast("long").alias("_source"), F.col("size").alias("source_size"), "target")
+    named = materialize(
+        with_targets(materialize(ranked.withColumn("weight", weight), "sources"), share, most), "targets"
+    )
+    named = named.select(
+        F.col("_name").alias("_named"),
+        F.col("_source").cast("long").alias("_source"),
+        F.col("size").alias("source_size"),
+        "target",
+    )
     # whether a row for each source is broadcast depends on its size
     rows = narrow.join(named, F.col("_name").eqNullSafe(F.col("_named"))).drop("_named")
-    return prefix_sums(rows.withColumn("_tie", F.struct("_id", "_text")), "_source", "_key", "_tie", "size", narrow.count())
-
-
-def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
+    return prefix_sums(
+        rows.withColumn("_tie", F.struct("_id", "_text")), "_source", "_key", "_tie", "size", narrow.count()
+    )
+
+
+def mixture(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 0,
+) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)`` of each document.
 
     ``weights`` go round the sources in code point order, null last (a null source is a source of its own). ``size``
@@ -90,11 +131,34 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     placed = _placed(docs, doc_id, text, source, weights, share, most, seed)
     cut = F.floor("target")
     epochs = math.ceil(most) + 1  # a target is at most ``most`` times its source
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), cut - e * F.col("source_size") - F.col("before"))) for e in range(epochs)), F.lit(0))
-    return placed.select(F.col("_id").alias("doc_id"), F.col("_name").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
+    taken = sum(
+        (
+            F.greatest(
+                F.lit(0), F.least(F.col("size"), cut - e * F.col("source_size") - F.col("before"))
+            ) for e in range(epochs)
+        ),
+        F.lit(0),
+    )
+    return placed.select(
+        F.col("_id").alias("doc_id"),
+        F.col("_name").alias("source"),
+        "size",
+        "source_size",
+        "target",
+        taken.cast("long").alias("taken"),
+    )
+
+
+def repeats(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 0,
+) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each epoch that takes words of them.
 
     A document at the cut is taken whole. Rows with equal or null ids each have their own number of epochs; only rows with
@@ -106,9 +170,15 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     whole = F.expr("floor(target) div source_size")
     rest = F.floor("target") - whole * F.col("source_size")
     order = F.struct("_key", "_id", "_text")
-    cuts = placed.groupBy(F.col("_name").alias("_named")).agg(F.max(whole).alias("_whole"), F.max(F.when(F.col("before") < rest, order)).alias("_last"))
+    cuts = placed.groupBy(F.col("_name").alias("_named")).agg(
+        F.max(whole).alias("_whole"), F.max(F.when(F.col("before") < rest, order)).alias("_last")
+    )
     cuts = materialize(cuts, "cuts")
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(c.alias(n) for n, c in _columns(doc_id, text, source, seed).items()), F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]").alias("_words"))
+    marked = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
+        *(c.alias(n) for n, c in _columns(doc_id, text, source, seed).items()),
+        F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]").alias("_words"),
+    )
     taken = marked.where("_words").join(cuts, F.col("_name").eqNullSafe(F.col("_named")))
     more = F.coalesce(order <= F.col("_last"), F.lit(False)).cast("int")
     times = taken.withColumn("_times", (F.col("_whole") + more).cast("int")).where("_times > 0")

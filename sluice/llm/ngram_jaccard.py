@@ -287,7 +287,9 @@ def _arrays(width: int):
                         seen.add(int(p))
                         ids.append(p), out.append(s.tobytes())
                 if ids:
-                    yield pa.record_batch([_signed(np.array(ids, np.uint64)), pa.array(out, pa.binary())], names=["id", "shingles"])
+                    yield pa.record_batch(
+                        [_signed(np.array(ids, np.uint64)), pa.array(out, pa.binary())], names=["id", "shingles"]
+                    )
 
     return run
 
@@ -324,7 +326,11 @@ def _allowed(left: list[tuple], right: list[tuple], percent: int) -> Iterator[tu
     Rows begin with id, n, class, bitmap. Where both are the same list, later places only.
     """
     size = min(len(r[3]) for r in left + right)
-    put = lambda rs: (np.array([r[1] for r in rs]), np.array([r[2] for r in rs]), np.stack([_fold(np.frombuffer(r[3], np.uint8), size) for r in rs]).view(np.uint64))  # noqa: E731,E501
+    put = lambda rs: (  # noqa: E731,E501
+        np.array([r[1] for r in rs]),
+        np.array([r[2] for r in rs]),
+        np.stack([_fold(np.frombuffer(r[3], np.uint8), size) for r in rs]).view(np.uint64)
+    )
     ln, lc, ls = put(left)
     rn, rc, rs = (ln, lc, ls) if right is left else put(right)
     for k in range(len(left)):
@@ -387,7 +393,13 @@ def _blocks(percent: int):
                 parts.setdefault(up.root(x), []).append(x)
             names, ids = [], []
             for part in parts.values():
-                name = int(mix(np.array([x for m in part for x in (m, met[m])], np.int64).view(np.uint64).reshape(-1, 2) @ np.array([1, _SALT], np.uint64)).sum(dtype=np.uint64).view(np.int64))  # noqa: E501
+                name = int(  # noqa: E501
+                    mix(
+                        np.array(
+                            [x for m in part for x in (m, met[m])], np.int64
+                        ).view(np.uint64).reshape(-1, 2) @ np.array([1, _SALT], np.uint64)
+                    ).sum(dtype=np.uint64).view(np.int64)
+                )
                 if name not in told:
                     told.add(name)
                     names += [name] * len(part)
@@ -426,9 +438,13 @@ class _Join:
         spark = source.sparkSession
         self.profile = materialize(source.mapInArrow(_profile(width), PROFILE), "profile")
         self.sets = self.profile.where("NOT hot").select("doc_id", "row", "id", "n", "sig")
-        hot = self.profile.where("hot").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "id").limit(HOT)
+        hot = self.profile.where("hot").groupBy("id").agg(
+            F.sum("n").alias("n")
+        ).where("n >= 8").orderBy(F.desc("n"), "id").limit(HOT)
         hot = hot.toPandas().sort_values("id", key=lambda c: c.to_numpy(np.int64).view(np.uint64))
-        self.hot = spark.sparkContext.broadcast((hot["id"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)))
+        self.hot = spark.sparkContext.broadcast(
+            (hot["id"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64))
+        )
         nodes = self.sets.where("n > 0").groupBy("id").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
         self.nodes = materialize(nodes, "nodes")
         self.arrays: list[DataFrame] = []
@@ -466,7 +482,9 @@ class _Join:
     def exact(self, pairs: DataFrame) -> DataFrame:
         """Of pairs whose arrays are known those that are alike."""
         side = lambda x: self.known().select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
-        return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(_exact(self.percent), "a long, b long")
+        return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(
+            _exact(self.percent), "a long, b long"
+        )
 
     def classes(self) -> DataFrame:
         """(id, class) of each set with a link."""
@@ -492,12 +510,16 @@ class _Join:
         order = F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "class")
         tiles = there.groupBy("tile").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("size"),
                                           F.min(order).alias("l1"), F.max(order).alias("l2")).where("lo <> hi")
-        lead = F.when(F.col("class") != F.col("l1.class"), F.col("l1.id")).when(F.col("class") != F.col("l2.class"), F.col("l2.id"))
+        lead = F.when(F.col("class") != F.col("l1.class"), F.col("l1.id")).when(
+            F.col("class") != F.col("l2.class"), F.col("l2.id")
+        )
         return materialize(there.join(tiles, "tile").select("tile", "id", "class", "size", lead.alias("lead")), "open")
 
     def again(self, rest: DataFrame, turn: int) -> float:
         """One more round among sets whose arrays are known; the share of the sets with a pair, 0 if it is not worthwhile."""
-        led = rest.where("lead IS NOT NULL").groupBy("id").agg(F.min_by("lead", F.xxhash64("lead", F.lit(turn))).alias("lead"))
+        led = rest.where("lead IS NOT NULL").groupBy("id").agg(
+            F.min_by("lead", F.xxhash64("lead", F.lit(turn))).alias("lead")
+        )
         pairs = _pairs(led).distinct()
         for old in self.tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -517,7 +539,9 @@ class _Join:
         told = rest.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("tile")), 1, TOLD).alias("tiles"))
         rows = _chunks(rest.join(self.nodes, "id").join(told, "id"))
         rows = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-        parts = rows.select("tile", "i", "j", "side", "id", "n", "class", "sig", "tiles").mapInArrow(_blocks(self.percent), "part long, id long")
+        parts = rows.select(
+            "tile", "i", "j", "side", "id", "n", "class", "sig", "tiles"
+        ).mapInArrow(_blocks(self.percent), "part long, id long")
         parts = materialize(parts.distinct().join(rest.select("id", "class").distinct(), "id"), "parts")
         found = not parts.isEmpty()
         if found:
@@ -542,20 +566,40 @@ def _chunks(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("w", 1 + F.floor(F.col("n") / HEAVY))
     tiles = rows.groupBy("tile").agg(F.sum("w").alias("weight"))
     small = rows.join(tiles.where(F.col("weight") <= BLOCK).select("tile"), "tile", "left_semi")
-    small = small.select("tile", "id", "class", "n", "sig", "tiles", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+    small = small.select(
+        "tile",
+        "id",
+        "class",
+        "n",
+        "sig",
+        "tiles",
+        F.lit(0).cast("long").alias("i"),
+        F.lit(0).cast("long").alias("j"),
+        F.lit(0).alias("side"),
+    )
     large = rows.join(tiles.where(F.col("weight") > BLOCK).select("tile"), "tile", "left_semi")
     shares = large.groupBy("tile", "class").agg(F.sum("w").alias("share"))
     mixed = shares.where(F.col("share") * 2 < BLOCK).groupBy("tile").agg(F.sum("share").alias("mixed"))
-    dealt: Column = F.when(F.col("share") * 2 >= BLOCK, F.xxhash64("class", F.pmod(F.xxhash64("id"), F.ceil(F.col("share") / BLOCK))))
+    dealt: Column = F.when(
+        F.col("share") * 2 >= BLOCK, F.xxhash64("class", F.pmod(F.xxhash64("id"), F.ceil(F.col("share") / BLOCK)))
+    )
     dealt = dealt.otherwise(F.pmod(F.xxhash64("class"), F.ceil(F.col("mixed") / BLOCK)))
     pure = F.when(F.col("share") * 2 >= BLOCK, F.col("class"))
-    large = large.join(shares, ["tile", "class"]).join(mixed, "tile", "left").select("tile", "id", "class", "n", "sig", "tiles", dealt.alias("at"), pure.alias("pure"))
+    large = large.join(shares, ["tile", "class"]).join(mixed, "tile", "left").select(
+        "tile", "id", "class", "n", "sig", "tiles", dealt.alias("at"), pure.alias("pure")
+    )
     names = large.select("tile", "at", "pure").distinct()
-    pairs = names.select("tile", F.col("at").alias("i"), F.col("pure").alias("p")).join(names.select("tile", F.col("at").alias("j"), F.col("pure").alias("q")), "tile")
+    pairs = names.select("tile", F.col("at").alias("i"), F.col("pure").alias("p")).join(
+        names.select("tile", F.col("at").alias("j"), F.col("pure").alias("q")), "tile"
+    )
     pairs = pairs.where("(i < j OR (i = j AND p IS NULL)) AND NOT coalesce(p = q, false)").select("tile", "i", "j")
     sides = pairs.select("tile", F.col("i").alias("at"), "i", "j", F.lit(0).alias("side"))
-    sides = sides.unionByName(pairs.where("i < j").select("tile", F.col("j").alias("at"), "i", "j", F.lit(1).alias("side")))
-    return small.unionByName(large.join(sides, ["tile", "at"]).select("tile", "id", "class", "n", "sig", "tiles", "i", "j", "side"))
+    sides = sides.unionByName(
+        pairs.where("i < j").select("tile", F.col("j").alias("at"), "i", "j", F.lit(1).alias("side"))
+    )
+    return small.unionByName(
+        large.join(sides, ["tile", "at"]).select("tile", "id", "class", "n", "sig", "tiles", "i", "j", "side")
+    )
 
 
 def _linked(source: DataFrame, width: int, percent: int) -> tuple[_Join, DataFrame]:
@@ -579,10 +623,14 @@ def _linked(source: DataFrame, width: int, percent: int) -> tuple[_Join, DataFra
 
 
 def _source(docs: DataFrame, doc_id: str, text: str, row: Column) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"), F.col(text).cast("string").alias("text"))
+    return docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"), F.col(text).cast("string").alias("text")
+    )
 
 
-def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def jaccard_classes(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT
+) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs``.
 
     Two texts link when 100 times their common shingles are at least ``percent`` times all of theirs. ``component_id`` is
@@ -601,10 +649,16 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     discard(classes, join.nodes)
     rows = join.sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("id")).alias("id"))
     out = rows.join(own, "id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT
+) -> DataFrame:
     """One row of each class of ``docs``: that with the smallest id.
 
     Ids that are not null go first. Of rows of a class with equal ids one stays, chosen by a hash of its values; of wholly
@@ -614,7 +668,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     values = [F.col(f"`{c}`") for c in docs.columns]
     tag = F.xxhash64(*values)
     join, classes = _linked(_source(docs, doc_id, text, tag), width, percent)
-    rows = join.sets.where("n > 0").join(classes, "id", "left").select("doc_id", "row", F.coalesce("class", "id").alias("class"))
+    rows = join.sets.where("n > 0").join(classes, "id", "left").select(
+        "doc_id", "row", F.coalesce("class", "id").alias("class")
+    )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("first")
     best = rows.groupBy("class").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
     marked = rows.join(best, "class").groupBy("doc_id", "row").agg(

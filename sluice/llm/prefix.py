@@ -22,6 +22,10 @@ def prefix_sums(df: DataFrame, group: str, key: str, tie: str, value: str, n_row
     df = df.withColumn("_range", F.shiftright(key, 64 - bits) if bits else F.lit(0).cast("long"))
     totals = df.groupBy(group, "_range").agg(F.sum(value).alias("_total"))
     earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col(group), F.col("_range"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).cast("long").alias("_offset"))
+    offsets = totals.select(
+        F.col(group), F.col("_range"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).cast("long").alias("_offset")
+    )
     within = Window.partitionBy(group, "_range").orderBy(key, tie).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(offsets, [group, "_range"]).withColumn("before", (F.col("_offset") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast("long")).drop("_offset", "_range")
+    return df.join(offsets, [group, "_range"]).withColumn(
+        "before", (F.col("_offset") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast("long")
+    ).drop("_offset", "_range")

@@ -20,7 +20,21 @@ from .words import Words, window_hashes, words_of
 
 MIN_WORDS, MAX_REPEAT, MAX_LOSS = 50, 50, 0.5
 SYMBOLS = b"#*$%&|<>"
-STOCK = (b"cookie policy", b"enable javascript", b"privacy policy", b"terms of use", b"terms of service", b"skip to content", b"sign up for", b"subscribe to our", b"log in to", b"click here to", b"share on facebook", b"share on twitter", b"read more")
+STOCK = (
+    b"cookie policy",
+    b"enable javascript",
+    b"privacy policy",
+    b"terms of use",
+    b"terms of service",
+    b"skip to content",
+    b"sign up for",
+    b"subscribe to our",
+    b"log in to",
+    b"click here to",
+    b"share on facebook",
+    b"share on twitter",
+    b"read more",
+)
 #: Words of the longest line that counts as boilerplate.
 SHORT = 25
 #: A line is boilerplate of the corpus if it stands between so many different pairs of neighbours, and in so large a share of documents.
@@ -36,7 +50,9 @@ def _plain(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(_BLANK)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", contexts: int = CONTEXTS, share: float = CONTEXT_SHARE) -> DataFrame:
+def repeated_lines(
+    docs: DataFrame, text: str = "text", contexts: int = CONTEXTS, share: float = CONTEXT_SHARE
+) -> DataFrame:
     """``line``: hashes of lines that are boilerplate of the corpus, over all documents and whole texts.
 
     A copied document repeats its lines between the same neighbours, however often; boilerplate stands between other ones
@@ -48,13 +64,20 @@ def repeated_lines(docs: DataFrame, text: str = "text", contexts: int = CONTEXTS
     body = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
     lines = F.filter(F.transform(F.split("text", "\n"), _plain), lambda x: x != "")
     hashed = body.select(F.transform(lines, lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") > 1)
-    near = F.transform("h", lambda x, i: F.struct(x.alias("line"), F.xxhash64(F.when(i > 0, F.get("h", i - 1)), F.lit(0), F.get("h", i + 1)).alias("at")))
+    near = F.transform(
+        "h",
+        lambda x, i: F.struct(
+            x.alias("line"), F.xxhash64(F.when(i > 0, F.get("h", i - 1)), F.lit(0), F.get("h", i + 1)).alias("at")
+        ),
+    )
     places = hashed.select(F.explode(near).alias("p")).select("p.*").distinct()
     least = max(contexts, int(np.ceil(share * body.count())))
     return places.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("line")
 
 
-def line_fails(line: bytes, boilerplate: frozenset[int] | set[int] = frozenset(), stock: tuple[bytes, ...] = STOCK) -> str | None:
+def line_fails(
+    line: bytes, boilerplate: frozenset[int] | set[int] = frozenset(), stock: tuple[bytes, ...] = STOCK
+) -> str | None:
     """The rule that a line with words fails, or None. ``boilerplate``: hashes of ``repeated_lines``."""
     words = line.split()
     n = len(words)
@@ -90,7 +113,15 @@ def _repeat_words(h: np.ndarray) -> int:
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, failed_lines long, lost_words long, kept boolean, cleaned string"
 
 
-def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_loss: float = MAX_LOSS, cleaned: bool = True, carry: tuple[str, ...] = (), stock: tuple[bytes, ...] = STOCK) -> DataFrame:
+def judge_documents(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    max_loss: float = MAX_LOSS,
+    cleaned: bool = True,
+    carry: tuple[str, ...] = (),
+    stock: tuple[bytes, ...] = STOCK,
+) -> DataFrame:
     """``doc_id``, the counts, ``kept`` and the ``cleaned`` text (lines that fail removed; null unless asked for) of each row.
 
     Words are runs of other than ASCII white space, over the whole text. A null or blank
@@ -132,14 +163,34 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 starts = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
                 chars = np.concatenate([[0], np.cumsum(starts[w.end] - starts[w.start])])
                 symbols = np.concatenate([[0], np.cumsum(_IS_SYMBOL[w.data])])
-                repeat = np.array([_repeat_words(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:])], dtype=np.int64)
+                repeat = np.array(
+                    [_repeat_words(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:])], dtype=np.int64
+                )
                 dup, total, failed, lost, clean = zip(*(lines(w, i) for i in range(len(n))))
                 base = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT * n)
                 kept = ~base & (np.array(lost) <= max_loss * n)
                 yield pa.record_batch(
-                    [batch.column(0)[w.rows], pa.array(n.astype(np.int64)), pa.array(chars[w.first[1:]] - chars[w.first[:-1]]), pa.array(symbols[w.offsets[1:]] - symbols[w.offsets[:-1]]), pa.array(dup, pa.int64()), pa.array(repeat), pa.array(base), pa.array(total, pa.int64()), pa.array(failed, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept), pa.array([c.decode() for c in clean] if cleaned else [None] * len(n), pa.string()), *(c[w.rows] for c in batch.columns[2:])],
+                    [
+                        batch.column(0)[w.rows],
+                        pa.array(n.astype(np.int64)),
+                        pa.array(chars[w.first[1:]] - chars[w.first[:-1]]),
+                        pa.array(symbols[w.offsets[1:]] - symbols[w.offsets[:-1]]),
+                        pa.array(dup, pa.int64()),
+                        pa.array(repeat),
+                        pa.array(base),
+                        pa.array(total, pa.int64()),
+                        pa.array(failed, pa.int64()),
+                        pa.array(lost, pa.int64()),
+                        pa.array(kept),
+                        pa.array([c.decode() for c in clean] if cleaned else [None] * len(n), pa.string()),
+                        *(c[w.rows] for c in batch.columns[2:])
+                    ],
                     names=["doc_id", *(c.split()[0] for c in COLUMNS.split(", ")), *named],
                 )
 
-    narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)))
+    narrow = docs.select(
+        F.col(f"`{doc_id}`").cast("long").alias("_id"),
+        F.col(f"`{text}`").cast("string").alias("_text"),
+        *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry))
+    )
     return narrow.mapInArrow(run, ", ".join([f"doc_id long, {COLUMNS}", *(f"`{c}` {t}" for c, t in carried.dtypes)]))

@@ -59,18 +59,26 @@ def _split(table: DataFrame, goal: DataFrame) -> DataFrame:
     """``table`` with the node of the next level. ``goal``: (node, right, share), see ``_goals``."""
     spread = table.join(goal.select("node"), "node").select("node", "w", F.posexplode("at").alias("d", "b"))
     seen = spread.groupBy("node", "d", "b").agg(F.sum("w").alias("w"))
-    wide = seen.groupBy("node", "d").agg((F.max("b") - F.min("b")).alias("span")).groupBy("node").agg(F.max_by("d", F.struct("span", -F.col("d"))).alias("d"))
+    wide = seen.groupBy("node", "d").agg((F.max("b") - F.min("b")).alias("span")).groupBy("node").agg(
+        F.max_by("d", F.struct("span", -F.col("d"))).alias("d")
+    )
     along = seen.join(wide, ["node", "d"]).join(goal, "node")
-    along = along.withColumns({"lower": _running("w", "node", order="b"), "aim": F.col("share") * F.sum("w").over(Window.partitionBy("node"))})
+    along = along.withColumns(
+        {"lower": _running("w", "node", order="b"), "aim": F.col("share") * F.sum("w").over(Window.partitionBy("node"))}
+    )
     over = along.where(F.col("lower") + F.col("w") > F.col("aim"))
-    edge = over.groupBy("node").agg(F.min(F.struct("b", "d", "right", (F.col("aim") - F.col("lower")).alias("rest"))).alias("e"))
+    edge = over.groupBy("node").agg(
+        F.min(F.struct("b", "d", "right", (F.col("aim") - F.col("lower")).alias("rest"))).alias("e")
+    )
     edge = materialize(edge.select("node", "e.*"), "edges")
     inside = table.join(edge, "node").where(F.col("at")[F.col("d")] == F.col("b"))
     fine = inside.groupBy("node", "rest", F.shiftright("h", 18).alias("q")).agg(F.sum("w").alias("w"))
     fine = fine.withColumn("upto", _running("w", "node", order="q") + F.col("w"))
     ends = fine.select("node", (F.col("q") + 1).alias("q"), F.abs(F.col("upto") - F.col("rest")).alias("off"))
     ends = ends.unionByName(edge.select("node", F.lit(0).cast("long").alias("q"), F.abs("rest").alias("off")))
-    cut = ends.groupBy("node").agg(F.min(F.struct("off", "q")).alias("c")).select("node", F.shiftleft("c.q", 18).alias("c"))
+    cut = ends.groupBy("node").agg(F.min(F.struct("off", "q")).alias("c")).select(
+        "node", F.shiftleft("c.q", 18).alias("c")
+    )
     split = edge.join(cut, "node").select("node", "d", "b", "c", "right")
     at_d = F.col("at")[F.col("d")]
     stays = F.col("d").isNull() | (at_d < F.col("b")) | ((at_d == F.col("b")) & (F.col("h") < F.col("c")))
@@ -78,7 +86,15 @@ def _split(table: DataFrame, goal: DataFrame) -> DataFrame:
     return table.join(split, "node", "left").select("_text", "_salt", "w", "at", "h", moved.alias("node"))
 
 
-def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang"), overhead: int = 16) -> DataFrame:
+def kd_shards(
+    docs: DataFrame,
+    n_shards: int | None = None,
+    target_bytes: int | None = None,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    metadata: tuple[str, ...] = ("source", "lang"),
+    overhead: int = 16,
+) -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot)`` of each row of ``docs``.
 
     Either ``n_shards`` is given or ``target_bytes``, from which it follows. ``size`` is the text's UTF-8 bytes plus
@@ -95,12 +111,18 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     code = lambda c: F.crc32(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).cast("binary"))
     rows = materialize(
         docs.select(
-            F.col(f"`{doc_id}`").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(body.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-            F.xxhash64(body.isNull(), body).alias("_text"), F.monotonically_increasing_id().alias("_row"), *(code(c).alias(f"_d{i}") for i, c in enumerate(there)),
+            F.col(f"`{doc_id}`").alias("doc_id"), size.alias("size"), F.coalesce(
+                F.crc32(body.cast("binary")), F.lit(0)
+            ).cast("long").alias("text_crc32"),
+            F.xxhash64(body.isNull(), body).alias("_text"), F.monotonically_increasing_id().alias("_row"), *(
+                code(c).alias(f"_d{i}") for i, c in enumerate(there)
+            ),
         ),
         "rows",
     )
-    total, count, low, high = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.min("size"), F.max("size")).first()
+    total, count, low, high = rows.agg(
+        F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.min("size"), F.max("size")
+    ).first()
     shards = n_shards or max(1, math.ceil(total / target_bytes))
     share = max(1.0, total / shards)
     # at most shards / HEAVY texts weigh so much
@@ -108,7 +130,9 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     heavy = materialize(heavy.select("_text", F.ceil(F.col("w") / F.lit(share)).cast("int").alias("_k")), "heavy")
     dealt = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), "_row")))
     salt = F.coalesce(F.pmod(dealt, F.col("_k")), F.lit(0)).cast("int")
-    rows = rows.join(heavy, "_text", "left").withColumns({"_salt": salt, "_heavy": F.col("_k").isNotNull()}).drop("_k", "_row")
+    rows = rows.join(heavy, "_text", "left").withColumns(
+        {"_salt": salt, "_heavy": F.col("_k").isNotNull()}
+    ).drop("_k", "_row")
     pieces = rows.where("_heavy").groupBy("_text", "_salt").agg(F.sum("size").alias("w")).collect()
     placed = packed([tuple(r) for r in pieces], shards)
     fixed = spark.createDataFrame([(t, s, i) for t, s, _, i in placed], "_text long, _salt int, shard int")
@@ -119,19 +143,40 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
 
     floor = math.log2(max(1, low or 1))
     span = max(1e-9, math.log2(max(2, high or 2)) - floor)
-    dims = [F.least(F.lit(BUCKETS - 1), F.floor((F.log2(F.col("_size").cast("double")) - floor) / span * BUCKETS)).cast("int")]
+    dims = [
+        F.least(
+            F.lit(BUCKETS - 1), F.floor((F.log2(F.col("_size").cast("double")) - floor) / span * BUCKETS)
+        ).cast("int")
+    ]
     dims += [F.floor(F.col(f"_d{i}") / F.lit(float(1 << 32)) * BUCKETS).cast("int") for i in range(len(there))]
     groups = rows.where("NOT _heavy").groupBy("_text", "_salt")
-    groups = groups.agg(F.sum("size").alias("w"), F.max("size").alias("_size"), *(F.min(f"_d{i}").alias(f"_d{i}") for i in range(len(there))))
+    groups = groups.agg(
+        F.sum("size").alias("w"),
+        F.max("size").alias("_size"),
+        *(F.min(f"_d{i}").alias(f"_d{i}") for i in range(len(there)))
+    )
     h = F.pmod(F.xxhash64("_text", "_salt", F.lit(11)), F.lit(1 << 30))
-    table = materialize(groups.select("_text", "_salt", "w", F.array(*dims).alias("at"), h.alias("h"), F.lit(0).alias("node")), "groups")
+    table = materialize(
+        groups.select("_text", "_salt", "w", F.array(*dims).alias("at"), h.alias("h"), F.lit(0).alias("node")), "groups"
+    )
     rooms = {0: shards}  # a node is named by its first shard
     while any(k > 1 for k in rooms.values()):
         goal = spark.createDataFrame(_goals(rooms, before), "node int, right int, share double")
         new = materialize(_split(table, goal), "groups")
         discard(table)
         table = new
-        rooms = {n: r for v, k in rooms.items() for n, r in ([(v, k // 2), (v + k // 2, k - k // 2)] if k > 1 else [(v, k)])}
+        rooms = {
+            n: r for v, k in rooms.items() for n, r in ([(v, k // 2), (v + k // 2, k - k // 2)] if k > 1 else [(v, k)])
+        }
     leaves = table.select("_text", "_salt", F.col("node").alias("shard")).unionByName(fixed)
-    keyed = rows.join(leaves, ["_text", "_salt"]).select("doc_id", "size", "text_crc32", "shard", F.xxhash64("doc_id", "_text").alias("_key"), F.lit(1).cast("long").alias("_one"))
-    return prefix_sums(keyed, "shard", "_key", "doc_id", "_one", count).select("doc_id", "size", "text_crc32", "shard", F.col("before").alias("slot"))
+    keyed = rows.join(leaves, ["_text", "_salt"]).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        "shard",
+        F.xxhash64("doc_id", "_text").alias("_key"),
+        F.lit(1).cast("long").alias("_one"),
+    )
+    return prefix_sums(keyed, "shard", "_key", "doc_id", "_one", count).select(
+        "doc_id", "size", "text_crc32", "shard", F.col("before").alias("slot")
+    )

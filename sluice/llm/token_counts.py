@@ -109,7 +109,9 @@ class _Memory(dict):
         return n
 
 
-def token_counts(docs: DataFrame, vocabulary: Iterable[bytes], doc_id: str = "doc_id", text: str = "text", mark: bytes = b" ") -> DataFrame:
+def token_counts(
+    docs: DataFrame, vocabulary: Iterable[bytes], doc_id: str = "doc_id", text: str = "text", mark: bytes = b" "
+) -> DataFrame:
     """``(doc_id, n_bytes, n_words, n_tokens)`` (long) for each row of ``docs``.
 
     A word is a run of other than ASCII white space; ``mark`` is put before it, so that
@@ -130,6 +132,11 @@ def token_counts(docs: DataFrame, vocabulary: Iterable[bytes], doc_id: str = "do
                 words = bytes(view[a:b]).split()
                 n_words.append(len(words))
                 n_tokens.append(sum(map(memory.__getitem__, words)))
-            yield pa.record_batch([batch.column(0), pa.array(np.diff(at)), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_bytes", "n_words", "n_tokens"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_words long, n_tokens long")
+            yield pa.record_batch(
+                [batch.column(0), pa.array(np.diff(at)), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())],
+                names=["doc_id", "n_bytes", "n_words", "n_tokens"],
+            )
+
+    return docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, n_bytes long, n_words long, n_tokens long")

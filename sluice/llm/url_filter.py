@@ -36,10 +36,20 @@ def path_of(url: Column) -> Column:
 def normal_form(url: Column) -> Column:
     """The address that spellings of ``url`` redirect to; null without ``://``."""
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(r"^(utm_\w+|ref|gclid|fbclid)(=|$)")), "&")
+    kept = F.array_join(
+        F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(r"^(utm_\w+|ref|gclid|fbclid)(=|$)")), "&"
+    )
     path = F.regexp_replace(path_of(url), r"/+$", "")
     host = F.regexp_replace(host_of(url), r":(80|443)$", "")
-    return F.when(url.contains("://"), F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+    return F.when(
+        url.contains("://"),
+        F.concat(
+            F.lit("https://"),
+            host,
+            F.when(path == "", "/").otherwise(path),
+            F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""),
+        ),
+    )
 
 
 def _any_group(found: Column, pattern: str) -> Column:
@@ -48,9 +58,14 @@ def _any_group(found: Column, pattern: str) -> Column:
 
 
 def _character(entity: Column) -> Column:
-    code = F.when(F.lower(F.substring(entity, 3, 1)) == "x", F.conv(F.regexp_extract(entity, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(entity, "([0-9]+);", 1)).try_cast("int")
+    code = F.when(
+        F.lower(F.substring(entity, 3, 1)) == "x", F.conv(F.regexp_extract(entity, "([0-9a-fA-F]+);", 1), 16, 10)
+    ).otherwise(F.regexp_extract(entity, "([0-9]+);", 1)).try_cast("int")
     good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-    out = F.when(entity.startswith("&#"), F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0xFFFD)), 8, "0")), "UTF-32"))
+    out = F.when(
+        entity.startswith("&#"),
+        F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0xFFFD)), 8, "0")), "UTF-32"),
+    )
     for name, char in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
         out = out.when(entity == f"&{name};", char)
     return out
@@ -58,7 +73,14 @@ def _character(entity: Column) -> Column:
 
 def _decoded(value: Column) -> Column:
     """``value`` with its numeric and XML entities as characters."""
-    return F.array_join(F.zip_with(F.split(value, _ENTITY), F.regexp_extract_all(value, F.lit(_ENTITY), F.lit(0)), lambda t, e: F.concat(t, F.coalesce(_character(e), F.lit("")))), "")
+    return F.array_join(
+        F.zip_with(
+            F.split(value, _ENTITY),
+            F.regexp_extract_all(value, F.lit(_ENTITY), F.lit(0)),
+            lambda t, e: F.concat(t, F.coalesce(_character(e), F.lit(""))),
+        ),
+        "",
+    )
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -69,7 +91,16 @@ def _without_dots(path: Column) -> Column:
     """``path`` from the root, with ``.`` and ``..`` carried out."""
     parts = F.split(path, "/")
     parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
-    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x)))), "/")
+    return F.array_join(
+        F.aggregate(
+            parts,
+            F.array().cast("array<string>"),
+            lambda a, x: F.when(x == ".", a).when(
+                x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))
+            ).otherwise(F.concat(a, F.array(x))),
+        ),
+        "/",
+    )
 
 
 def _resolved(target: Column, url: Column) -> Column:
@@ -86,7 +117,9 @@ def _resolved(target: Column, url: Column) -> Column:
         .when(target.startswith("#"), F.concat(F.regexp_extract(url, r"(?s)^[^#]*", 0), target))
         .when(target.startswith("?"), F.concat(root, host_of(url), path_of(url), target))
         .when(target.startswith("/"), F.concat(root, host_of(url), _without_dots(at), rest))
-        .otherwise(F.concat(root, host_of(url), _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), at)), rest))
+        .otherwise(
+            F.concat(root, host_of(url), _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), at)), rest)
+        )
     )
 
 
@@ -96,9 +129,19 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     Targets have their entities decoded and are resolved against the page's URL, or its ``<base href>``.
     """
     u, text = F.col("url"), F.coalesce(F.col(html), F.lit(""))
-    tags = pages.select(F.col(url).alias("url"), *(F.regexp_extract(text, p, 0).alias(n) for n, p in (("tag", _TAG), ("refresh", _REFRESH), ("base", _BASE)))).where("url IS NOT NULL")
-    found = tags.select("url", F.when(F.col("tag") != "", _attribute(F.col("tag"), "href")).alias("tag"), F.when(F.col("refresh") != "", _any_group(_attribute(F.col("refresh"), "content"), _TO)).alias("to"), F.coalesce(_resolved(F.when(F.col("base") != "", _attribute(F.col("base"), "href")), u), u).alias("base"))
-    targets = F.array_compact(F.array(normal_form(u), _resolved(F.col("tag"), F.col("base")), _resolved(F.col("to"), F.col("base"))))
+    tags = pages.select(
+        F.col(url).alias("url"),
+        *(F.regexp_extract(text, p, 0).alias(n) for n, p in (("tag", _TAG), ("refresh", _REFRESH), ("base", _BASE)))
+    ).where("url IS NOT NULL")
+    found = tags.select(
+        "url",
+        F.when(F.col("tag") != "", _attribute(F.col("tag"), "href")).alias("tag"),
+        F.when(F.col("refresh") != "", _any_group(_attribute(F.col("refresh"), "content"), _TO)).alias("to"),
+        F.coalesce(_resolved(F.when(F.col("base") != "", _attribute(F.col("base"), "href")), u), u).alias("base"),
+    )
+    targets = F.array_compact(
+        F.array(normal_form(u), _resolved(F.col("tag"), F.col("base")), _resolved(F.col("to"), F.col("base")))
+    )
     direct = found.select("url", F.explode(targets).alias("dst"))
     spelled = direct.select(F.col("dst").alias("src"), normal_form(F.col("dst")).alias("dst")).where("dst IS NOT NULL")
     return direct.withColumnRenamed("url", "src").unionByName(spelled).where("src <> dst").distinct()
@@ -113,12 +156,20 @@ def rule_of_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """
     dots = lambda host: F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
     # a row for each number of labels that rules have, 127 at most for real hosts
-    lengths = sorted(r[0] for r in rules.select(dots(F.col("host")).alias("n")).where("n IS NOT NULL").distinct().collect())
+    lengths = sorted(
+        r[0] for r in rules.select(dots(F.col("host")).alias("n")).where("n IS NOT NULL").distinct().collect()
+    )
     if not lengths:
-        return urls.select("url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action")).where("false")
+        return urls.select(
+            "url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action")
+        ).where("false")
     parts = urls.select("url", host_of(F.col("url")).alias("whole"), path_of(F.col("url")).alias("at"))
-    endings = F.array_compact(F.array(*(F.when(dots(F.col("whole")) >= n, F.substring_index("whole", ".", -n - 1)) for n in lengths)))
-    fits = parts.select("url", "at", F.explode(endings).alias("host")).join(rules, "host").where(F.col("at").startswith(F.col("path")))
+    endings = F.array_compact(
+        F.array(*(F.when(dots(F.col("whole")) >= n, F.substring_index("whole", ".", -n - 1)) for n in lengths))
+    )
+    fits = parts.select(
+        "url", "at", F.explode(endings).alias("host")
+    ).join(rules, "host").where(F.col("at").startswith(F.col("path")))
     name = F.concat("host", "path")
     best = F.min(F.struct((-F.length(name)).alias("n"), F.col("action"), name.alias("rule")))
     return fits.groupBy("url").agg(best.alias("b")).select("url", "b.rule", "b.action")
@@ -129,7 +180,9 @@ def _node(url: Column) -> Column:
     return F.md5(url.cast("binary"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, url: str = "url", html: str = "html"
+) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict`` (``allow`` or ``block``).
 
     ``rules``: ``host, path, action``. ``edges``: more ``(src, dst)`` URL pairs, such as a crawl's redirects. A fitting rule
@@ -144,14 +197,30 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = Non
     if edges is not None:
         told = told.unionByName(edges.select("src", "dst").where("src <> dst")).distinct()
     told = materialize(told, "url-edges")
-    urls = pages.select(F.col(f"`{url}`").alias("url")).where("url IS NOT NULL").unionByName(told.select(F.explode(F.array("src", "dst")).alias("url"))).distinct()
+    urls = pages.select(F.col(f"`{url}`").alias("url")).where("url IS NOT NULL").unionByName(
+        told.select(F.explode(F.array("src", "dst")).alias("url"))
+    ).distinct()
     ruled = materialize(rule_of_urls(urls, rules.select("host", "path", "action").distinct()), "url-rules")
-    joined = materialize(components(told.select(_node(F.col("src")).alias("src"), _node(F.col("dst")).alias("dst"))), "url-components")
-    decided = ruled.select(_node(F.col("url")).alias("node"), "action").join(joined, "node").groupBy("component").agg(F.min("action").alias("spread"))
+    joined = materialize(
+        components(told.select(_node(F.col("src")).alias("src"), _node(F.col("dst")).alias("dst"))), "url-components"
+    )
+    decided = ruled.select(
+        _node(F.col("url")).alias("node"), "action"
+    ).join(joined, "node").groupBy("component").agg(F.min("action").alias("spread"))
     spread = materialize(joined.join(decided, "component").select("node", "spread"), "url-spread")
     discard(told, joined)
-    whole = pages.select(F.struct(*kept).alias("page"), F.col(f"`{url}`").alias("_url"), _node(F.col(f"`{url}`")).alias("_node"))
-    out = whole.join(ruled.withColumnRenamed("url", "_url"), "_url", "left").join(spread.withColumnRenamed("node", "_node"), "_node", "left")
+    whole = pages.select(
+        F.struct(*kept).alias("page"), F.col(f"`{url}`").alias("_url"), _node(F.col(f"`{url}`")).alias("_node")
+    )
+    out = whole.join(ruled.withColumnRenamed("url", "_url"), "_url", "left").join(
+        spread.withColumnRenamed("node", "_node"), "_node", "left"
+    )
     verdict = F.coalesce("action", "spread", F.lit("allow")).alias("verdict")
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return out.select(*(F.col(f"page.`{c}`") for c in names), host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), "rule", verdict)
+    return out.select(
+        *(F.col(f"page.`{c}`") for c in names),
+        host_of(F.col("_url")).alias("host"),
+        path_of(F.col("_url")).alias("path"),
+        "rule",
+        verdict,
+    )

@@ -60,9 +60,18 @@ def warc_record(page_id: int | None, url: str, payload: bytes, digest: str, refe
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     target = "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
-    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"]
+    head = [
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {target}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
+    ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_id(refers_to)}",
+        ]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
@@ -129,7 +138,9 @@ def directory(f) -> dict[str, tuple[int, int, int]]:
                     if {"plain": plain, "packed": packed, "local": local}[field] == 0xFFFFFFFF:
                         (value,) = struct.unpack_from("<Q", large, k)
                         k += 8
-                        plain, packed, local = (value if field == "plain" else plain), (value if field == "packed" else packed), (value if field == "local" else local)
+                        plain, packed, local = (value if field == "plain" else plain), (
+                            value if field == "packed" else packed
+                        ), (value if field == "local" else local)
             j += 4 + n
         own_name, own_extra = struct.unpack("<HH", read(local + 26, 4))
         out[name] = (local + 30 + own_name + own_extra, packed, method)
@@ -159,11 +170,15 @@ def _write(root: str):
             with state["zip"].open(INDEX, "w", force_zip64=True) as f:
                 index = "".join(sorted(state["index"])).encode()
                 f.write(index)
-            listed = [(DATA, state["at"], state["sum"].hexdigest()), (INDEX, len(index), hashlib.sha256(index).hexdigest())]
+            listed = [
+                (DATA, state["at"], state["sum"].hexdigest()), (INDEX, len(index), hashlib.sha256(index).hexdigest())
+            ]
             state["zip"].writestr(PACKAGE, json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"name": n.split("/")[-1], "path": n, "bytes": b, "hash": f"sha256:{h}"} for n, b, h in listed]}))
             state["zip"].close()
             state["file"].close()
-            out = pa.record_batch([pa.array([state["path"]]), pa.array([len(state["index"])], pa.int64())], names=["path", "records"])
+            out = pa.record_batch(
+                [pa.array([state["path"]]), pa.array([len(state["index"])], pa.int64())], names=["path", "records"]
+            )
             state.clear()
             return out
 
@@ -176,12 +191,24 @@ def _write(root: str):
                     n += 1
                     state["file"] = open_file(state["path"], "w")
                     state["zip"] = zipfile.ZipFile(state["file"], "w", zipfile.ZIP_STORED, allowZip64=True)
-                    state["member"], state["at"], state["index"], state["sum"] = state["zip"].open(DATA, "w", force_zip64=True), 0, [], hashlib.sha256()
+                    state["member"], state["at"], state["index"], state["sum"] = state["zip"].open(
+                        DATA, "w", force_zip64=True
+                    ), 0, [], hashlib.sha256()
                 gz = zlib.compressobj(1, zlib.DEFLATED, 31)
-                raw = gz.compress(warc_record(page_id, url or "", (html or "").encode(), digest, refers_to)) + gz.flush()
+                raw = gz.compress(
+                    warc_record(page_id, url or "", (html or "").encode(), digest, refers_to)
+                ) + gz.flush()
                 state["member"].write(raw)
                 state["sum"].update(raw)
-                place = {"url": url, "mime": "text/html", "status": "200", "digest": f"sha1:{digest}", "length": str(len(raw)), "offset": str(state["at"]), "filename": DATA.split("/")[-1]}
+                place = {
+                    "url": url,
+                    "mime": "text/html",
+                    "status": "200",
+                    "digest": f"sha1:{digest}",
+                    "length": str(len(raw)),
+                    "offset": str(state["at"]),
+                    "filename": DATA.split("/")[-1],
+                }
                 state["index"].append(f"{sort_key(url or '')} {STAMP} {json.dumps(place)}\n")
                 state["at"] += len(raw)
                 if state["at"] >= PACKAGE_BYTES:
@@ -192,7 +219,14 @@ def _write(root: str):
     return run
 
 
-def write_packages(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+def write_packages(
+    pages: DataFrame,
+    root: str,
+    page_id: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    revisit_bytes: int = REVISIT_BYTES,
+) -> DataFrame:
     """Write a record per row to packages below ``root`` (a folder that all executors share); ``(path, records)`` of each.
 
     The payload is the html in UTF-8 (null: empty). Of equal payloads of ``revisit_bytes`` or more
@@ -200,14 +234,26 @@ def write_packages(pages: DataFrame, root: str, page_id: str = "page_id", url: s
     its own; it is a response unless an equal payload has an id.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
+    rows = pages.select(
+        F.col(page_id).cast("long").alias("page_id"),
+        F.col(url).cast("string").alias("url"),
+        payload.alias("html"),
+        F.sha1(payload.cast("binary")).alias("digest"),
+    )
     large = F.octet_length("html") >= revisit_bytes
-    first = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    first = rows.where(large).groupBy("digest").agg(
+        F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1").select("digest", "first")
     # small payloads, all the empty ones among them, take no part in the join
     told = rows.where(large).join(materialize(first, "copies"), "digest", "left")
     told = told.unionByName(rows.where(~large).withColumn("first", F.lit(None).cast("long")))
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return materialize(told.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(_write(root), "path string, records long"), "packages")
+    return materialize(
+        told.select(
+            "page_id", "url", "html", "digest", refers.alias("refers_to")
+        ).mapInArrow(_write(root), "path string, records long"),
+        "packages",
+    )
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +264,14 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 (data, _), (at, n) = stored(held, DATA, path), stored(held, INDEX, path)
                 f.seek(at)
                 spans = [json.loads(line.split(b" ", 2)[2]) for line in f.read(n).splitlines()]
-            yield pa.record_batch([pa.array([path] * len(spans), pa.string()), pa.array([data + int(s["offset"]) for s in spans], pa.int64()), pa.array([int(s["length"]) for s in spans], pa.int64())], names=["path", "offset", "length"])
+            yield pa.record_batch(
+                [
+                    pa.array([path] * len(spans), pa.string()),
+                    pa.array([data + int(s["offset"]) for s in spans], pa.int64()),
+                    pa.array([int(s["length"]) for s in spans], pa.int64())
+                ],
+                names=["path", "offset", "length"],
+            )
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,11 +288,23 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             headers, http, payload = parse_record(zlib.decompress(f.read(length), 31))
             kind = headers["warc-type"]
             digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-            size = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).partition(b":")[2])
+            size = int(
+                next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).partition(b":")[2]
+            )
             if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
                 raise ValueError(f"a record of {path} at {offset} does not match its digest")
             refers = page_of(headers["warc-refers-to"]) if kind == "revisit" else None
-            rows.append((page_of(headers["warc-record-id"]), headers["warc-target-uri"], size, digest, kind, refers, payload.decode() if kind == "response" else None))
+            rows.append(
+                (
+                    page_of(headers["warc-record-id"]),
+                    headers["warc-target-uri"],
+                    size,
+                    digest,
+                    kind,
+                    refers,
+                    payload.decode() if kind == "response" else None,
+                )
+            )
         types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)], names=names)
     if f is not None:
@@ -256,8 +321,13 @@ def read_packages(packages: DataFrame) -> DataFrame:
     spans = materialize(locate_records(packages), "spans")
     # offsets are few bytes, records many: partitions are counted by what the records weigh
     parts = max(1, -(-(spans.agg(F.sum("length")).first()[0] or 0) // CHUNK_BYTES))
-    dealt = spans.withColumn("_chunk", F.floor(F.col("offset") / CHUNK_BYTES)).repartition(parts, "path", "_chunk").sortWithinPartitions("path", "offset").drop("_chunk")
-    return dealt.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
+    dealt = spans.withColumn(
+        "_chunk", F.floor(F.col("offset") / CHUNK_BYTES)
+    ).repartition(parts, "path", "_chunk").sortWithinPartitions("path", "offset").drop("_chunk")
+    return dealt.mapInArrow(
+        _read,
+        "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string",
+    )
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

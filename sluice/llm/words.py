@@ -102,11 +102,31 @@ def words_of(column: pa.Array, lower: bool = False, hashed: bool = True, limit:
             before[edge], after[edge - 1] = False, False
         start = np.flatnonzero(inside & ~before)
         end = np.flatnonzero(inside & ~after) + 1
-        yield Words(slice(i, j), np.searchsorted(start, offsets), start, end, _hash(part, start, end) if hashed else None, part, offsets)
+        yield Words(
+            slice(i, j),
+            np.searchsorted(start, offsets),
+            start,
+            end,
+            _hash(part, start, end) if hashed else None,
+            part,
+            offsets,
+        )
         i = j
 
 
-_ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9E6C63D0676A9A99], dtype=np.uint64)
+_ODD = np.array(
+    [
+        0xD6E8FEB86659FD93,
+        0xA0761D6478BD642F,
+        0xE7037ED1A0B428DB,
+        0x8EBC6AF09C88C6E3,
+        0x589965CC75374CC3,
+        0x1D8E4E27C47D124F,
+        0xEB44ACCAB455D165,
+        0x9E6C63D0676A9A99,
+    ],
+    dtype=np.uint64,
+)
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:

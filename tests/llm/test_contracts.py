@@ -17,7 +17,30 @@ from test_llm_operators import WORD, shingles
 
 WIDE = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use for their own ends.
-NAMES = ("id", "n", "size", "key", "share", "action", "spread", "_url", "_node", "_id", "_time", "_times", "_key", "_text", "kept", "class", "row", "doc", "stays", "verdict_", "w", "at")
+NAMES = (
+    "id",
+    "n",
+    "size",
+    "key",
+    "share",
+    "action",
+    "spread",
+    "_url",
+    "_node",
+    "_id",
+    "_time",
+    "_times",
+    "_key",
+    "_text",
+    "kept",
+    "class",
+    "row",
+    "doc",
+    "stays",
+    "verdict_",
+    "w",
+    "at",
+)
 
 
 def clashing(df):
@@ -46,9 +69,24 @@ def odd_rows():
     some = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
     base, far = some(80), some(80)
     edit = lambda ws, k: " ".join([*ws[:k], f"e{r.randrange(10**6)}", *ws[k + 1 :]])
-    rows = [(1, " ".join(base)), (1, " ".join(far)), (2, edit(base, 3)), (3, edit(far, 70)), (None, edit(far, 5)), (None, None), (4, ""), (4, " \n")]
+    rows = [
+        (1, " ".join(base)),
+        (1, " ".join(far)),
+        (2, edit(base, 3)),
+        (3, edit(far, 70)),
+        (None, edit(far, 5)),
+        (None, None),
+        (4, ""),
+        (4, " \n"),
+    ]
     chain = some(200)  # 8 and 9 meet only through a row with a null id
-    rows += [(8, " ".join(chain[:100])), (None, " ".join(chain[8:108])), (9, " ".join(chain[16:116])), (7, "same row"), (7, "same row")]
+    rows += [
+        (8, " ".join(chain[:100])),
+        (None, " ".join(chain[8:108])),
+        (9, " ".join(chain[16:116])),
+        (7, "same row"),
+        (7, "same row"),
+    ]
     shared = some(40)
     for i in range(60):  # a passage in many rows, and near copies
         rows.append((100 + i, " ".join(shared + some(r.randrange(5, 60)))))
@@ -82,29 +120,68 @@ def test_jaccard_odd_ids_and_hot_groups(spark, monkeypatch, small):
     kept = ngram_jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     stays = Counter(x["doc_id"] for x in kept.collect())
-    assert stays == Counter([least[root] for root in set(roots) if sets[root]] + [i for (i, _), s in zip(rows, sets) if not s])
+    assert stays == Counter(
+        [least[root] for root in set(roots) if sets[root]] + [i for (i, _), s in zip(rows, sets) if not s]
+    )
 
 
 def test_components_of_any_shape(spark):
-    edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (500, 500), (None, 3), (4, None), (2, 1), (1, 2)]
-    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 130)] + [
+        (7, 7), (500, 500), (None, 3), (4, None), (2, 1), (1, 2)
+    ]
+    got = {
+        r["node"]: r["component"] for r in graph.components(
+            spark.createDataFrame(edges, "src long, dst long")
+        ).collect()
+    }
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 130)}, 500: 500}
     assert graph.components(spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
 def test_url_links_of_every_form(spark):
     rows = [
-        (1, "http://x.net/es/1", ""), (2, "http://a.org/d/p.html", '<link rel="canonical" href="q.html">'), (3, "http://a.org/d/q.html", '<meta content="0; url=http://x.net/es/1" http-equiv="refresh">'),
-        (4, "http://b.org/?a=1&b=2", '<base href="http://x.net/es/"><link href="1" rel=canonical>'), (5, "http://c.org/z", '<link rel=canonical href="http://b.org/?a=1&amp;b=2">'),
-        (6, "http://d.org/", '<link rel=canonical href="../../f">'), (7, "http://d.org/f", ""), (None, None, None), (8, "ftp://e.www.example.com/en/x", ""), (8, "ftp://e.www.example.com/en/x", ""),
-        (9, "http://g.org/1", '<link rel=canonical href="http://x.net/fr/2">'), (10, "http://h.com/1", '<link rel=canonical href="http://g.org/1">'),
+        (1, "http://x.net/es/1", ""), (2, "http://a.org/d/p.html", '<link rel="canonical" href="q.html">'), (
+            3, "http://a.org/d/q.html", '<meta content="0; url=http://x.net/es/1" http-equiv="refresh">'
+        ),
+        (
+            4, "http://b.org/?a=1&b=2", '<base href="http://x.net/es/"><link href="1" rel=canonical>'
+        ), (5, "http://c.org/z", '<link rel=canonical href="http://b.org/?a=1&amp;b=2">'),
+        (
+            6, "http://d.org/", '<link rel=canonical href="../../f">'
+        ), (7, "http://d.org/f", ""), (None, None, None), (8, "ftp://e.www.example.com/en/x", ""), (
+            8, "ftp://e.www.example.com/en/x", ""
+        ),
+        (
+            9, "http://g.org/1", '<link rel=canonical href="http://x.net/fr/2">'
+        ), (10, "http://h.com/1", '<link rel=canonical href="http://g.org/1">'),
     ]
     pages = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")], "host string, path string, action string")
+    rules = spark.createDataFrame(
+        [
+            ("com", "/", "allow"),
+            ("example.com", "/en/", "block"),
+            ("www.example.com", "/en/", "allow"),
+            ("net", "/es/", "block"),
+            ("net", "/fr/", "block"),
+        ],
+        "host string, path string, action string",
+    )
     out = url_filter.judge_urls(pages, rules)
     assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
     got = [(r["page_id"], r["verdict"], r["rule"]) for r in out.collect()]
-    want = {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", None: "allow", 8: "allow", 9: "allow", 10: "allow"}
+    want = {
+        1: "block",
+        2: "block",
+        3: "block",
+        4: "block",
+        5: "block",
+        6: "allow",
+        7: "allow",
+        None: "allow",
+        8: "allow",
+        9: "allow",
+        10: "allow",
+    }
     assert len(got) == len(rows) and all(want[i] == v for i, v, _ in got)
     assert url_filter.judge_urls(pages, rules.where("false")).where("verdict = 'block'").count() == 0
     long = spark.createDataFrame([("http://" + "a." * 1500 + "net/es/1",)], "url string")
@@ -142,19 +219,31 @@ def test_alias_verdicts_against_a_plain_graph(spark):
         return "allow" if "allow" in told else "block" if "block" in told else "allow"
 
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {x["page_id"]: x["verdict"] for x in url_filter.judge_urls(table, spark.createDataFrame(rules, "host string, path string, action string")).collect()}
+    got = {
+        x["page_id"]: x["verdict"] for x in url_filter.judge_urls(
+            table, spark.createDataFrame(rules, "host string, path string, action string")
+        ).collect()
+    }
     assert got == {i: verdict(url) for i, url, _ in rows}
 
 
 def mix_rows():
     r = random.Random(2)
     rows = [(i, " ".join(["w"] * r.randrange(30)), None, r.choice(["a", "b", "c", None]), 0) for i in range(120)]
-    return rows + [(None, "null id one two", None, "a", 0), (None, "null id three", None, "a", 0), (5, "same id", None, "b", 0), (6, None, None, None, 0), (7, " ", None, "d", 0)]
+    return rows + [
+        (None, "null id one two", None, "a", 0),
+        (None, "null id three", None, "a", 0),
+        (5, "same id", None, "b", 0),
+        (6, None, None, None, 0),
+        (7, " ", None, "d", 0),
+    ]
 
 
 def test_mixture_row_by_row(spark):
     docs = clashing(spark.createDataFrame(mix_rows(), WIDE).repartition(4))
-    keys = docs.select("doc_id", "text", "source", mixing._columns("doc_id", "text", "source", 0)["_key"].alias("k")).collect()
+    keys = docs.select(
+        "doc_id", "text", "source", mixing._columns("doc_id", "text", "source", 0)["_key"].alias("k")
+    ).collect()
     rows = [(x["source"], x["k"], x["doc_id"], len(WORD.findall(x["text"] or ""))) for x in keys]
     names = sorted({x[0] for x in rows}, key=lambda s: (s is None, s or ""))
     sizes = [sum(x[3] for x in rows if x[0] == s) for s in names]
@@ -214,18 +303,32 @@ def plain_tree(groups, shards, goal):
 
 def test_shards_against_a_plain_tree(spark, monkeypatch):
     r = random.Random(8)
-    rows = [(i, f"t{r.randrange(250)} " * r.randrange(1, 40), r.choice(["en", "de", None]), r.choice(["a", "b"]), 0) for i in range(600)]
+    rows = [
+        (
+            i, f"t{r.randrange(250)} " * r.randrange(1, 40), r.choice(["en", "de", None]), r.choice(["a", "b"]), 0
+        ) for i in range(600)
+    ]
     docs = clashing(spark.createDataFrame(rows, WIDE).repartition(3))
     seen = []
     plain = sharding._split
-    monkeypatch.setattr(sharding, "_split", lambda table, goal: (seen.append(table.collect()) if len(seen) < 2 else None, plain(table, goal))[1])
+    monkeypatch.setattr(
+        sharding,
+        "_split",
+        lambda table, goal: (seen.append(table.collect()) if len(seen) < 2 else None, plain(table, goal))[1],
+    )
     goals = sharding._goals
-    monkeypatch.setattr(sharding, "_goals", lambda rooms, before: (seen.append(before) if not seen else None, goals(rooms, before))[1])
+    monkeypatch.setattr(
+        sharding, "_goals", lambda rooms, before: (seen.append(before) if not seen else None, goals(rooms, before))[1]
+    )
     out = sharding.kd_shards(docs, n_shards=7).select("*").collect()
     before, table = seen
     tree = plain_tree([(x["at"], x["h"], x["w"]) for x in table], 7, [b - a for a, b in zip(before, before[1:])])
     of_text = {x["_text"]: tree[i] for i, x in enumerate(table)}
-    named = {x["doc_id"]: x["t"] for x in docs.select("doc_id", F.xxhash64(F.col("text").isNull(), F.col("text")).alias("t")).collect()}
+    named = {
+        x["doc_id"]: x["t"] for x in docs.select(
+            "doc_id", F.xxhash64(F.col("text").isNull(), F.col("text")).alias("t")
+        ).collect()
+    }
     assert sum(named[x["doc_id"]] in of_text for x in out) > 300
     assert all(of_text.get(named[x["doc_id"]], x["shard"]) == x["shard"] for x in out)
     slots = defaultdict(list)
@@ -235,7 +338,11 @@ def test_shards_against_a_plain_tree(spark, monkeypatch):
 
 
 def test_copies_share_a_shard_up_to_its_share(spark):
-    rows = [(i, f"text number {i} " * 20, "en", "a", 0) for i in range(400)] + [(1000 + i, "copied " * 40, "en", "a", 0) for i in range(30)] + [(2000 + i, "many copies " * 30, "de", "b", 0) for i in range(300)] + [(None, None, None, None, None)] * 3
+    rows = [
+        (i, f"text number {i} " * 20, "en", "a", 0) for i in range(400)
+    ] + [(1000 + i, "copied " * 40, "en", "a", 0) for i in range(30)] + [
+        (2000 + i, "many copies " * 30, "de", "b", 0) for i in range(300)
+    ] + [(None, None, None, None, None)] * 3
     out = sharding.kd_shards(spark.createDataFrame(rows, WIDE), n_shards=8).collect()
     assert len(out) == len(rows)
     load, where = Counter(), defaultdict(set)
@@ -254,8 +361,14 @@ def test_copies_share_a_shard_up_to_its_share(spark):
 
 def test_leaks_by_shuffle_and_of_rows_without_ids(spark, monkeypatch):
     r = random.Random(4)
-    items = [(i, " ".join(f"q{r.randrange(900)}" for _ in range(r.randrange(5, 40)))) for i in range(20)] + [(None, "a b c d e f"), (30, None), (31, "")]
-    docs = [(i, " ".join(f"d{r.randrange(900)}" for _ in range(60)) + (" " + items[i % 20][1] if i % 3 == 0 else "")) for i in range(30)] + [(None, items[2][1]), (None, "clean text of no one"), (5, items[3][1]), (6, None), (7, "")]
+    items = [
+        (i, " ".join(f"q{r.randrange(900)}" for _ in range(r.randrange(5, 40)))) for i in range(20)
+    ] + [(None, "a b c d e f"), (30, None), (31, "")]
+    docs = [
+        (
+            i, " ".join(f"d{r.randrange(900)}" for _ in range(60)) + (" " + items[i % 20][1] if i % 3 == 0 else "")
+        ) for i in range(30)
+    ] + [(None, items[2][1]), (None, "clean text of no one"), (5, items[3][1]), (6, None), (7, "")]
     table = clashing(spark.createDataFrame([(i, t, None, None, 0) for i, t in docs], WIDE))
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = Counter(tuple(x) for x in decontaminate.find_leaks(table, bench).collect())
@@ -263,7 +376,13 @@ def test_leaks_by_shuffle_and_of_rows_without_ids(spark, monkeypatch):
     assert Counter(tuple(x) for x in decontaminate.find_leaks(table, bench).collect()) == found
     kept = decontaminate.without_leaks(table, bench)
     assert kept.columns == table.columns
-    assert sorted((str(x["doc_id"]), x["text"] or "") for x in kept.collect()) == sorted((str(i), t or "") for i, t in docs if not any(s and len(s & shingles(t)) >= 0.75 * len(s) for k, s in ((k, shingles(x)) for k, x in items) if k is not None))
+    assert sorted((str(x["doc_id"]), x["text"] or "") for x in kept.collect()) == sorted(
+        (str(i), t or "") for i,
+        t in docs if not any(
+            s and len(s & shingles(t)) >= 0.75 * len(s) for k,
+            s in ((k, shingles(x)) for k, x in items) if k is not None
+        )
+    )
     assert decontaminate.without_leaks(table, bench.where("false")).count() == len(docs)
 
 
@@ -272,7 +391,11 @@ def test_quality_verdicts_against_a_plain_loop(spark, monkeypatch):
     r = random.Random(9)
     line = lambda: " ".join(f"word{r.randrange(400)}" for _ in range(r.randrange(3, 20))) + r.choice([".", ".", ""])
     footer, copied = "Back to the front of the house", [line() for _ in range(8)]
-    texts = ["\n".join([line() for _ in range(r.randrange(2, 12))] + ([footer, line()] if i % 3 == 0 else [])) for i in range(60)] + ["\n".join(copied)] * 40 + [None, "", "\n \n", footer]
+    texts = [
+        "\n".join(
+            [line() for _ in range(r.randrange(2, 12))] + ([footer, line()] if i % 3 == 0 else [])
+        ) for i in range(60)
+    ] + ["\n".join(copied)] * 40 + [None, "", "\n \n", footer]
     docs = clashing(spark.createDataFrame([(i, t, "en", None, 0) for i, t in enumerate(texts)], WIDE))
     near = defaultdict(set)
     for t in texts:
@@ -296,7 +419,16 @@ def test_quality_verdicts_against_a_plain_loop(spark, monkeypatch):
 
 def test_licenses_without_the_word_filter(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(
-        spark.createDataFrame([(9001, "MIT License\nThe end of it."), (9002, "He lost his license and asked for permission."), (9003, "the software"), (None, "Licensed under the Apache License, Version 2.0."), (None, None)], "doc_id long, text string")
+        spark.createDataFrame(
+            [
+                (9001, "MIT License\nThe end of it."),
+                (9002, "He lost his license and asked for permission."),
+                (9003, "the software"),
+                (None, "Licensed under the Apache License, Version 2.0."),
+                (None, None),
+            ],
+            "doc_id long, text string",
+        )
     )
     some = lambda w: sorted(map(str, licenses.scan(docs, words=w).collect()))
     assert some(licenses.WORDS) == some(None)
@@ -307,16 +439,39 @@ def test_licenses_without_the_word_filter(spark):
 
 
 def test_packages_of_other_writers(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://a.org/x y", "x" * 1200), (2, "http://b.org", "x" * 1200), (3, None, None), (None, "http://c.org", "y" * 2000), (4, "u", "small"), (4, "u", "small")], "page_id long, url string, html string")
+    pages = spark.createDataFrame(
+        [
+            (1, "http://a.org/x y", "x" * 1200),
+            (2, "http://b.org", "x" * 1200),
+            (3, None, None),
+            (None, "http://c.org", "y" * 2000),
+            (4, "u", "small"),
+            (4, "u", "small"),
+        ],
+        "page_id long, url string, html string",
+    )
     packages = warc.write_packages(pages.coalesce(1), f"file://{tmp_path}/w")
     rows = warc.read_packages(packages).collect()
-    assert Counter((x["page_id"], x["record_type"], x["refers_to"]) for x in rows) == Counter([(1, "revisit", 2), (2, "response", None), (3, "response", None), (None, "response", None), (4, "response", None), (4, "response", None)])
+    assert Counter((x["page_id"], x["record_type"], x["refers_to"]) for x in rows) == Counter(
+        [
+            (1, "revisit", 2),
+            (2, "response", None),
+            (3, "response", None),
+            (None, "response", None),
+            (4, "response", None),
+            (4, "response", None),
+        ]
+    )
     path = packages.first()["path"].removeprefix("file://").removeprefix("file:")
     with zipfile.ZipFile(path) as z:
         told = json.loads(z.read("datapackage.json"))
         data, index = z.read(warc.DATA), z.read(warc.INDEX)
     assert {x["path"] for x in told["resources"]} == {warc.DATA, warc.INDEX}
-    assert all(line.split(b" ", 2)[1].isdigit() and json.loads(line.split(b" ", 2)[2])["offset"].isdigit() for line in index.splitlines())
+    assert all(
+        line.split(b" ", 2)[1].isdigit() and json.loads(
+            line.split(b" ", 2)[2]
+        )["offset"].isdigit() for line in index.splitlines()
+    )
     for packed in (False, True):
         other = io.BytesIO()
         with zipfile.ZipFile(other, "w") as z:
@@ -333,7 +488,17 @@ def test_packages_of_other_writers(spark, tmp_path):
 
 
 def test_language_training_on_odd_tables(spark):
-    docs = clashing(spark.createDataFrame([(None, "der die das", "de", None, 0), (None, "the of and", "en", None, 0), (1, None, "en", None, 0), (2, "x", None, None, 0)], WIDE))
+    docs = clashing(
+        spark.createDataFrame(
+            [
+                (None, "der die das", "de", None, 0),
+                (None, "the of and", "en", None, 0),
+                (1, None, "en", None, 0),
+                (2, "x", None, None, 0),
+            ],
+            WIDE,
+        )
+    )
     model = langid.train(docs)
     assert model.classes == ["de", "en"]
     none = langid.train(docs.where("false"))
@@ -341,10 +506,21 @@ def test_language_training_on_odd_tables(spark):
 
 
 def test_stages_on_odd_tables(spark, tmp_path):
-    spark.createDataFrame([(1, "zz zz zz zz zz zz")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(
+        [(1, "zz zz zz zz zz zz")], "item_id long, text string"
+    ).write.parquet(f"{tmp_path}/benchmark.parquet")
     r = random.Random(1)
     good = [" ".join(f"{w}{r.randrange(99)}" for w in ("sun", "sea", "sky") * 25) + "." for _ in range(4)]
-    rows = [(1, good[0], "en", "a", 1), (1, good[1], None, None, None), (None, good[2], "de", None, 2), (None, good[3], "de", "b", 2), (2, None, "en", "a", 0), (3, "", "en", "a", 0), (4, good[0], "en", "a", 1), (4, good[0], "en", "a", 1)]
+    rows = [
+        (1, good[0], "en", "a", 1),
+        (1, good[1], None, None, None),
+        (None, good[2], "de", None, 2),
+        (None, good[3], "de", "b", 2),
+        (2, None, "en", "a", 0),
+        (3, "", "en", "a", 0),
+        (4, good[0], "en", "a", 1),
+        (4, good[0], "en", "a", 1),
+    ]
     for some in (rows, []):
         docs = clashing(spark.createDataFrame(some, WIDE))
         for name, stage in corpus_pipeline.STAGES:

@@ -30,7 +30,11 @@ def shingles(t):
 
 def texts():
     r = random.Random(7)
-    some = lambda n: " ".join(r.choice("alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi".split()) + str(r.randrange(60)) for _ in range(n))
+    some = lambda n: " ".join(
+        r.choice(
+            "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi".split()
+        ) + str(r.randrange(60)) for _ in range(n)
+    )
     out = [None, "", "  \n ", "one two", "One  TWO", "x" * 3000, some(6000)]
     shared = some(60)
     for _ in range(12):
@@ -102,25 +106,41 @@ def test_jaccard_hot_groups(spark, monkeypatch):
         rows.append(" ".join(c))
     for i in range(100):
         rows.append(" ".join(base[:25] + [f"u{i}x{j % (20 + i % 7)}" for j in range(r.randrange(20, 90))]))
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_jaccard.jaccard_classes(frame(spark, rows)).collect()}
+    got = {
+        x["doc_id"]: (
+            x["n_shingles"], x["component_id"]
+        ) for x in ngram_jaccard.jaccard_classes(frame(spark, rows)).collect()
+    }
     assert got == classes(rows)
 
 
 def test_language_accuracy_and_odd_texts(spark, docs, empty):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = catalog.op2_language_id(spark, "/root/testdata/sf0.01")
-    told = out.join(rows.select("doc_id", "lang", "text"), "doc_id").where("held_out AND lang IS NOT NULL AND length(text) > 200")
+    told = out.join(
+        rows.select("doc_id", "lang", "text"), "doc_id"
+    ).where("held_out AND lang IS NOT NULL AND length(text) > 200")
     assert told.where("lang_pred = lang").count() >= 0.95 * told.count() > 50
     fold = {r["doc_id"]: r["held_out"] for r in out.collect()}
     assert all(v == (zlib.crc32(str(k).encode()) % 5 == 0) for k, v in fold.items())
     model = langid.train(rows.select("doc_id", "text", "lang"))
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34"), (4, "é"), (None, "the of and")], "doc_id long, text string")
+    odd = spark.createDataFrame(
+        [(1, None), (2, ""), (3, "12 34"), (4, "é"), (None, "the of and")], "doc_id long, text string"
+    )
     got = {r["doc_id"]: r for r in langid.predict(odd, model).collect()}
-    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["lang_pred"] != "und" and 0 <= got[4]["score"] <= 1
+    assert [
+        got[i]["lang_pred"] for i in (1, 2, 3)
+    ] == ["und"] * 3 and got[4]["lang_pred"] != "und" and 0 <= got[4]["score"] <= 1
     assert len(got) == 5 and langid.predict(empty, model).count() == 0
 
 
-RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
 
 
 def judged(url):
@@ -132,7 +152,11 @@ def judged(url):
 
 def test_url_rules_and_aliases(spark, empty):
     rows = [(0, None, None), (1, "no scheme", ""), (2, "HTTP://WWW.Example.com/en/x", ""), (3, "http://a.example.com/en/x?u=1", ""), (4, "http://x.net/es/1", ""), (5, "http://y.org/p", '<link rel="canonical" href="http://x.net/es/1">'),
-            (6, "http://z.org/q", '<meta http-equiv="refresh" content="0; url=http://y.org/p">'), (7, "http://z.org/q/?utm_source=m", ""), (8, "http://other.org/", ""), (9, "http://ok.org/a", '<link rel=canonical href="http://x.net/fr/9">'),
+            (
+                6, "http://z.org/q", '<meta http-equiv="refresh" content="0; url=http://y.org/p">'
+            ), (7, "http://z.org/q/?utm_source=m", ""), (8, "http://other.org/", ""), (
+                9, "http://ok.org/a", '<link rel=canonical href="http://x.net/fr/9">'
+            ),
             (10, "http://w.com/b", '<link rel=canonical href="http://ok.org/a">'), (10, "http://w.com/b", None)]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, verdict string")
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
@@ -149,16 +173,32 @@ def test_url_rules_and_aliases(spark, empty):
 
 
 EDGES = [
-    ('<meta content="0; url=http://x.net/es/1" http-equiv="refresh">', "http://x.net/es/1"), ("<META HTTP-EQUIV=refresh CONTENT='5;URL=\"http://x.net/es/1\"'>", "http://x.net/es/1"), ('<meta http-equiv="refresh" content="0; URL=../c">', "http://h.org/c"), ('<meta http-equiv="refresh" content="30"><a href="/z">', None),
-    ('<link rel="canonical" href="page.html">', "http://h.org/a/page.html"), ('<link href="../c" rel="canonical">', "http://h.org/c"), ("<link rel=canonical href=../../../c/./d/..>", "http://h.org/c/"), ('<link rel="canonical" href="?id=1">', "http://h.org/a/b?id=1"), ('<link rel="canonical" href="//k.org/x">', "http://k.org/x"),
-    ('<link rel="canonical" href="/go?u=http://k.org/">', "http://h.org/go?u=http://k.org/"), ('<link rel="canonical" href="/p?a=1&amp;b=&#50;&#x1F600;&amp;lt;">', "http://h.org/p?a=1&b=2\U0001f600&lt;"), ('<base target=_top><base href="/k/m"><link rel="canonical" href="x">', "http://h.org/k/x"), ('<link rel="canonical" href="mailto:a@b">', None), ('<link rel="canonical" href="">', None),
+    ('<meta content="0; url=http://x.net/es/1" http-equiv="refresh">', "http://x.net/es/1"), (
+        "<META HTTP-EQUIV=refresh CONTENT='5;URL=\"http://x.net/es/1\"'>", "http://x.net/es/1"
+    ), (
+        '<meta http-equiv="refresh" content="0; URL=../c">', "http://h.org/c"
+    ), ('<meta http-equiv="refresh" content="30"><a href="/z">', None),
+    (
+        '<link rel="canonical" href="page.html">', "http://h.org/a/page.html"
+    ), ('<link href="../c" rel="canonical">', "http://h.org/c"), (
+        "<link rel=canonical href=../../../c/./d/..>", "http://h.org/c/"
+    ), (
+        '<link rel="canonical" href="?id=1">', "http://h.org/a/b?id=1"
+    ), ('<link rel="canonical" href="//k.org/x">', "http://k.org/x"),
+    ('<link rel="canonical" href="/go?u=http://k.org/">', "http://h.org/go?u=http://k.org/"), (
+        '<link rel="canonical" href="/p?a=1&amp;b=&#50;&#x1F600;&amp;lt;">', "http://h.org/p?a=1&b=2\U0001f600&lt;"
+    ), (
+        '<base target=_top><base href="/k/m"><link rel="canonical" href="x">', "http://h.org/k/x"
+    ), ('<link rel="canonical" href="mailto:a@b">', None), ('<link rel="canonical" href="">', None),
 ]
 
 
 def test_url_targets(spark):
     at = "http://h.org/a/b?q=1#f"
     got = defaultdict(set)
-    for r in url_filter.page_edges(spark.createDataFrame([(f"{at}{i}", html) for i, (html, _) in enumerate(EDGES)], "url string, html string")).collect():
+    for r in url_filter.page_edges(
+        spark.createDataFrame([(f"{at}{i}", html) for i, (html, _) in enumerate(EDGES)], "url string, html string")
+    ).collect():
         got[r["src"]].add(r["dst"])
     for i, (html, want) in enumerate(EDGES):
         assert got[f"{at}{i}"] - {"https://h.org/a/b?q=1"} == ({want} if want else set()), html
@@ -166,8 +206,21 @@ def test_url_targets(spark):
 
 def test_url_alias_by_relative_refresh(spark):
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
-    pages = spark.createDataFrame([("http://v.org/p", '<meta content="0; url=http://x.net/es/1?a=1&amp;b=2" http-equiv="refresh">'), ("http://v.org/d/q", '<link rel="canonical" href="../p">'), ("http://v.org/r", ""), ("http://x.net/es/1?a=1&b=2", "")], "url string, html string")
-    assert {r["url"]: r["verdict"] for r in url_filter.judge_urls(pages, rules).collect()} == {"http://v.org/p": "block", "http://v.org/d/q": "block", "http://v.org/r": "allow", "http://x.net/es/1?a=1&b=2": "block"}
+    pages = spark.createDataFrame(
+        [
+            ("http://v.org/p", '<meta content="0; url=http://x.net/es/1?a=1&amp;b=2" http-equiv="refresh">'),
+            ("http://v.org/d/q", '<link rel="canonical" href="../p">'),
+            ("http://v.org/r", ""),
+            ("http://x.net/es/1?a=1&b=2", ""),
+        ],
+        "url string, html string",
+    )
+    assert {r["url"]: r["verdict"] for r in url_filter.judge_urls(pages, rules).collect()} == {
+        "http://v.org/p": "block",
+        "http://v.org/d/q": "block",
+        "http://v.org/r": "allow",
+        "http://x.net/es/1?a=1&b=2": "block",
+    }
 
 
 def greedy(word, vocabulary):
@@ -213,13 +266,29 @@ def leaks(rows, items):
 
 def test_decontamination(spark, docs, empty):
     rows = texts()
-    items = [(1, rows[8]), (2, " ".join(rows[9].split()[:9])), (3, "one TWO"), (4, None), (5, ""), (6, " ".join(rows[6].split()[200:260])), (7, "not here at all in any of them")]
+    items = [
+        (1, rows[8]),
+        (2, " ".join(rows[9].split()[:9])),
+        (3, "one TWO"),
+        (4, None),
+        (5, ""),
+        (6, " ".join(rows[6].split()[200:260])),
+        (7, "not here at all in any of them"),
+    ]
     table = spark.createDataFrame([(*x, "c") for x in items + items[:1]], "item_id long, text string, hash string")
-    got = {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_common"]) for r in decontaminate.find_leaks(docs, table).collect()}
+    got = {
+        (r["doc_id"], r["item_id"]): (
+            r["n_item"], r["n_common"]
+        ) for r in decontaminate.find_leaks(docs, table).collect()
+    }
     want = leaks(rows, items)
     assert got == want and len({k for _, k in want}) == 4
-    assert decontaminate.find_leaks(empty, table).count() == 0 and decontaminate.find_leaks(docs, table.limit(0)).count() == 0
-    assert {r["doc_id"] for r in decontaminate.without_leaks(docs, table).collect()} == set(range(len(rows))) - {i for i, _ in want}
+    assert decontaminate.find_leaks(empty, table).count() == 0 and decontaminate.find_leaks(
+        docs, table.limit(0)
+    ).count() == 0
+    assert {
+        r["doc_id"] for r in decontaminate.without_leaks(docs, table).collect()
+    } == set(range(len(rows))) - {i for i, _ in want}
 
 
 def base_counts(t):
@@ -232,17 +301,25 @@ def base_counts(t):
             seen.add(line)
     grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
     rep = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(rep), len(w) < 50 or 100 * len(rep) > 50 * len(w)
+    return len(w), sum(map(len, w)), sum(
+        c in "#*$%&|<>" for c in t
+    ), dup, len(rep), len(w) < 50 or 100 * len(rep) > 50 * len(w)
 
 
 def test_quality_rules(spark, empty):
-    clean = "\n".join(f"Word{i}a says{i}, and thing{i} has its{i} own way{i} of being{i} clean{i} text{i} here{i}." for i in range(8))
+    clean = "\n".join(
+        f"Word{i}a says{i}, and thing{i} has its{i} own way{i} of being{i} clean{i} text{i} here{i}." for i in range(8)
+    )
     junk = "\n".join(["Home | About | Contact | Login | Help"] * 30 + [clean.split("\n")[0]])
-    rows = texts() + [clean, junk, clean + "\nHome | About | Contact | Login", "a b c " * 40, "é ü # $ | x\nq r s\nq r s\n\n"]
+    rows = texts() + [
+        clean, junk, clean + "\nHome | About | Contact | Login", "a b c " * 40, "é ü # $ | x\nq r s\nq r s\n\n"
+    ]
     out = {r["doc_id"]: r for r in quality.judge_documents(frame(spark, rows)).collect()}
     for i, t in enumerate(rows):
         r = out[i]
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == base_counts(t), i
+        assert (
+            r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]
+        ) == base_counts(t), i
         assert not (r["base_failed"] and r["kept"])
     n = len(texts())
     assert out[n]["kept"] and out[n]["cleaned"] == clean and not out[n + 1]["kept"]
@@ -252,13 +329,24 @@ def test_quality_rules(spark, empty):
 
 def test_warc_round_trip(spark, empty):
     big = "<p>" + "é" * 900
-    rows = [(1, "http://a/", big), (7, "http://b/ x", big), (3, None, big), (4, "http://c/", "small"), (5, "http://d/", "small"), (6, None, None), (8, "http://e/\r\nX: 1", big + "!"), (None, "http://n/", "x")]
+    rows = [
+        (1, "http://a/", big),
+        (7, "http://b/ x", big),
+        (3, None, big),
+        (4, "http://c/", "small"),
+        (5, "http://d/", "small"),
+        (6, None, None),
+        (8, "http://e/\r\nX: 1", big + "!"),
+        (None, "http://n/", "x"),
+    ]
     pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string")
     got = {r["page_id"]: tuple(r)[1:] for r in warc.archive_round_trip(pages).collect()}
     for page, _, html in rows:
         body = (html or "").encode()
         copy = len(body) >= 1000 and html == big and page != 7
-        assert got[page] == (len(body), hashlib.sha1(body).hexdigest(), "revisit" if copy else "response", 7 if copy else None)
+        assert got[page] == (
+            len(body), hashlib.sha1(body).hexdigest(), "revisit" if copy else "response", 7 if copy else None
+        )
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
@@ -277,7 +365,11 @@ def test_zip_directories():
     raw = held.getvalue()
     end = raw.rfind(b"PK\x05\x06")
     count, length, at = struct.unpack_from("<HII", raw, end + 10)
-    wide = raw[:end] + struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, count, count, length, at) + struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1) + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    wide = raw[:end] + struct.pack(
+        "<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, count, count, length, at
+    ) + struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1) + struct.pack(
+        "<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0
+    )
     other = io.BytesIO(wide)
     other.size = lambda: len(wide)
     assert warc.members(other) == found
@@ -291,7 +383,16 @@ def test_letters_beyond_the_first_plane():
 
 def test_license_scan(spark, empty):
     plain = "The library opened at nine and people came in from the rain."
-    rows = [(0, None), (1, ""), (2, plain), (3, f"{plain}\nThis project is licensed under the terms of the MIT license.\n{plain}"), (4, "Licensed under the Apache License, Version 2.0."), (5, "He renewed his driver's license at the office."), (6, (plain + "\n") * 3000 + "Licensed under CC BY-SA 4.0."), (6, "All rights reserved.")]
+    rows = [
+        (0, None),
+        (1, ""),
+        (2, plain),
+        (3, f"{plain}\nThis project is licensed under the terms of the MIT license.\n{plain}"),
+        (4, "Licensed under the Apache License, Version 2.0."),
+        (5, "He renewed his driver's license at the office."),
+        (6, (plain + "\n") * 3000 + "Licensed under CC BY-SA 4.0."),
+        (6, "All rights reserved."),
+    ]
     table = spark.createDataFrame([(*r, "f") for r in rows], "doc_id long, text string, family string")
     got = {(r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scan(table).collect()}
     assert got == {(3, 1, "mit"), (4, 0, "apache-2.0"), (6, 3000, "cc-by-sa"), (6, 0, "proprietary")}
@@ -299,8 +400,22 @@ def test_license_scan(spark, empty):
 
 
 def test_license_notices_of_a_few_words(spark):
-    want = {"MIT License": "mit", "License: MIT": "mit", "BSD License": "bsd", "GNU GPL": "gpl", "GPLv3": "gpl", "License: Apache-2.0": "apache-2.0", "Apache License": "apache-2.0", "License: CC BY-SA 4.0": "cc-by-sa", "GNU LGPL": "lgpl", "The MIT License": "mit", "Mozilla Public License": "mpl-2.0"}
-    want |= dict.fromkeys(["License", "Copyright", "Pilot license", "License renewal", "Apache pilots", "A gnu herd", "License to kill"])
+    want = {
+        "MIT License": "mit",
+        "License: MIT": "mit",
+        "BSD License": "bsd",
+        "GNU GPL": "gpl",
+        "GPLv3": "gpl",
+        "License: Apache-2.0": "apache-2.0",
+        "Apache License": "apache-2.0",
+        "License: CC BY-SA 4.0": "cc-by-sa",
+        "GNU LGPL": "lgpl",
+        "The MIT License": "mit",
+        "Mozilla Public License": "mpl-2.0",
+    }
+    want |= dict.fromkeys(
+        ["License", "Copyright", "Pilot license", "License renewal", "Apache pilots", "A gnu herd", "License to kill"]
+    )
     rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
     got = {r["doc_id"]: r["family"] for r in licenses.scan(rows).collect()}
     assert {t: got.get(i) for i, t in enumerate(want)} == want
@@ -336,7 +451,9 @@ def test_repeats_keep_null_and_equal_ids(spark):
     assert any(r[0] is None for r in out) and max(Counter(out).values()) <= 2
 
 
-@pytest.mark.parametrize("sizes,weights,want", [([10, 100], [5, 2], [20.0, 145.0]), ([0, 10], [5, 2], [0.0, 15.0]), ([], [], [])])
+@pytest.mark.parametrize(
+    "sizes,weights,want", [([10, 100], [5, 2], [20.0, 145.0]), ([0, 10], [5, 2], [0.0, 15.0]), ([], [], [])]
+)
 def test_targets(sizes, weights, want):
     assert mixing.targets(sizes, weights) == pytest.approx(want)
 
@@ -351,7 +468,9 @@ def test_shards(spark, empty):
         assert (r["size"], r["text_crc32"]) == (len(body) + 16, zlib.crc32(body))
         load[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
-    assert len(out) == len(rows) and set(load) <= set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len(out) == len(rows) and set(load) <= set(range(40)) and all(
+        sorted(s) == list(range(len(s))) for s in slots.values()
+    )
     biggest = max(r["size"] for r in out)
     assert max(load.values()) <= sum(load.values()) / 40 + 2 * biggest
     assert sharding.kd_shards(empty, n_shards=4).count() == 0

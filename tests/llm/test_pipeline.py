@@ -17,7 +17,11 @@ SF = "/root/testdata/sf0.001"
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = {r["doc_id"]: r for r in docs.collect()}
-    body = {r["doc_id"]: r["cleaned"] if r["failed_lines"] else held[r["doc_id"]]["text"] for r in quality.judge_documents(docs).where("kept").collect()}
+    body = {
+        r["doc_id"]: r["cleaned"] if r["failed_lines"] else held[
+            r["doc_id"]
+        ]["text"] for r in quality.judge_documents(docs).where("kept").collect()
+    }
     ids = sorted(body)
     told = classes([body[j] for j in ids])
     kept = [i for k, i in enumerate(ids) if told[k][1] == k]
@@ -31,7 +35,9 @@ def test_pipeline(spark):
     for i in clean:
         by[held[i]["source"]] += word_count(body[i])
     names = sorted(by, key=lambda s: (s is None, s or ""))
-    for name, budget in zip(names, mixing.targets([by[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))])):
+    for name, budget in zip(
+        names, mixing.targets([by[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))])
+    ):
         mine = [i for i in clean if held[i]["source"] == name]
         taken = sum(got[i] * word_count(body[i]) for i in mine)
         assert budget - 1 <= taken <= budget + max(map(word_count, (body[i] for i in mine)))
