@@ -26,10 +26,14 @@ def wilson(k: Column, n: Column, z: float = Z) -> Column:
     """``struct(lo, hi)`` of the score interval of k in n, within 0 and 1; (0, 0) for n <= 0; fails for k outside 0..n."""
     p, d = k / F.nullif(n, F.lit(0)), 1 + z * z / F.nullif(n, F.lit(0))
     mid = (p + z * z / (2 * F.nullif(n, F.lit(0)))) / d
-    half = z * F.sqrt(p * (1 - p) / F.nullif(n, F.lit(0)) + z * z / (4 * F.nullif(n, F.lit(0)) * F.nullif(n, F.lit(0)))) / d
+    half = z * F.sqrt(
+        p * (1 - p) / F.nullif(n, F.lit(0)) + z * z / (4 * F.nullif(n, F.lit(0)) * F.nullif(n, F.lit(0)))
+    ) / d
     out = F.struct(F.greatest(F.lit(0.0), mid - half).alias("lo"), F.least(F.lit(1.0), mid + half).alias("hi"))
     zero = F.struct(F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
-    return F.when(n <= 0, zero).when((k < 0) | (k > n), F.raise_error(F.lit("k is outside 0..n")).cast("struct<lo:double,hi:double>")).otherwise(out)
+    return F.when(n <= 0, zero).when(
+        (k < 0) | (k > n), F.raise_error(F.lit("k is outside 0..n")).cast("struct<lo:double,hi:double>")
+    ).otherwise(out)
 
 
 def newcombe(k_a: Column, n_a: Column, k_b: Column, n_b: Column, z: float = Z) -> Column:
@@ -83,7 +87,15 @@ _NAMES = {"percentiles": ("p50", "p95", "p99")}
 CI = "quantity string, lo double, hi double, idx_sha string, n long"
 
 
-def bootstrap_ci(series: DataFrame, keys: list[str], value: str, order: str, seed: str, stat: str = "mean", replicates: int = REPLICATES) -> DataFrame:
+def bootstrap_ci(
+    series: DataFrame,
+    keys: list[str],
+    value: str,
+    order: str,
+    seed: str,
+    stat: str = "mean",
+    replicates: int = REPLICATES,
+) -> DataFrame:
     """Percentile bootstrap of each group's series, in ``order``; ``seed`` is a long column.
 
     The series of a group are those of one run and are resampled whole, so a group of more than
@@ -97,12 +109,23 @@ def bootstrap_ci(series: DataFrame, keys: list[str], value: str, order: str, see
         found, sha = resample(rows["_value"].to_numpy(float), int(rows["_seed"].iloc[0]), STATS[stat], replicates)
         return pd.DataFrame([(*key, name, *np.percentile(found[:, i], [2.5, 97.5]), sha, len(rows)) for i, name in enumerate(_NAMES.get(stat, (stat,)))])
 
-    narrow = series.select(*keys, F.col(value).cast("double").alias("_value"), F.col(order).alias("_order"), F.col(seed).alias("_seed")).where("_value IS NOT NULL")
+    narrow = series.select(
+        *keys, F.col(value).cast("double").alias("_value"), F.col(order).alias("_order"), F.col(seed).alias("_seed")
+    ).where("_value IS NOT NULL")
     schema = ", ".join([*(f"`{k}` {dict(series.dtypes)[k]}" for k in keys), CI])
     return narrow.groupBy(*keys).applyInPandas(run, schema)
 
 
-def paired_bootstrap(pairs: DataFrame, keys: list[str], a: str, b: str, order: str, seed: str, stat: str = "mean", replicates: int = REPLICATES) -> DataFrame:
+def paired_bootstrap(
+    pairs: DataFrame,
+    keys: list[str],
+    a: str,
+    b: str,
+    order: str,
+    seed: str,
+    stat: str = "mean",
+    replicates: int = REPLICATES,
+) -> DataFrame:
     """``(diff, lo, hi, idx_sha, n, separated)`` of stat(a) - stat(b), both resampled by the same rows."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -116,8 +139,19 @@ def paired_bootstrap(pairs: DataFrame, keys: list[str], a: str, b: str, order: s
         lo, hi = np.percentile(found[:, 0], [2.5, 97.5])
         return pd.DataFrame([(*key, diff, lo, hi, sha, len(rows), bool(lo > 0 or hi < 0))])
 
-    narrow = pairs.select(*keys, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), F.col(order).alias("_order"), F.col(seed).alias("_seed")).where("_a IS NOT NULL AND _b IS NOT NULL")
-    schema = ", ".join([*(f"`{k}` {dict(pairs.dtypes)[k]}" for k in keys), "diff double, lo double, hi double, idx_sha string, n long, separated boolean"])
+    narrow = pairs.select(
+        *keys,
+        F.col(a).cast("double").alias("_a"),
+        F.col(b).cast("double").alias("_b"),
+        F.col(order).alias("_order"),
+        F.col(seed).alias("_seed"),
+    ).where("_a IS NOT NULL AND _b IS NOT NULL")
+    schema = ", ".join(
+        [
+            *(f"`{k}` {dict(pairs.dtypes)[k]}" for k in keys),
+            "diff double, lo double, hi double, idx_sha string, n long, separated boolean",
+        ]
+    )
     return narrow.groupBy(*keys).applyInPandas(run, schema)
 
 
@@ -132,7 +166,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def poisson_bootstrap(series: DataFrame, keys: list[str], value: str, row_id: str, replicates: int = 1000, seed: int = MASTER_SEED) -> DataFrame:
+def poisson_bootstrap(
+    series: DataFrame, keys: list[str], value: str, row_id: str, replicates: int = 1000, seed: int = MASTER_SEED
+) -> DataFrame:
     """``(mean, lo, hi, n)`` of each group's mean, for series of any length.
 
     Every row counts Poisson(1) times in each replicate, by a hash of its id and the replicate, so that sums of
@@ -163,16 +199,29 @@ def poisson_bootstrap(series: DataFrame, keys: list[str], value: str, row_id: st
         keyed = list(zip(*held)) if held else [()] * len(keys)
         arrays = [pa.array(k, t.type) for k, t in zip(keyed, batch.schema)] if held else []
         if held:
-            yield pa.record_batch([*arrays, pa.array([v[0].tolist() for v in held.values()]), pa.array([v[1].tolist() for v in held.values()])], names=[*keys, "s", "w"])
-
-    narrow = series.select(*keys, F.col(value).cast("double").alias("_value"), F.xxhash64(row_id, F.lit(seed)).alias("_row")).where("_value IS NOT NULL")
+            yield pa.record_batch(
+                [
+                    *arrays,
+                    pa.array([v[0].tolist() for v in held.values()]),
+                    pa.array([v[1].tolist() for v in held.values()])
+                ],
+                names=[*keys, "s", "w"],
+            )
+
+    narrow = series.select(
+        *keys, F.col(value).cast("double").alias("_value"), F.xxhash64(row_id, F.lit(seed)).alias("_row")
+    ).where("_value IS NOT NULL")
     schema = ", ".join([*(f"`{k}` {dict(series.dtypes)[k]}" for k in keys), "s array<double>, w array<double>"])
     # the draws cost far more than the rows' way to other tasks
     dealt = narrow.repartition(series.sparkSession.sparkContext.defaultParallelism, "_row")
-    sums = dealt.mapInArrow(run, schema).select(*keys, F.posexplode(F.arrays_zip("s", "w")).alias("rep", "x")).groupBy(*keys, "rep").agg((F.sum("x.s") / F.nullif(F.sum("x.w"), F.lit(0.0))).alias("m"))
+    sums = dealt.mapInArrow(run, schema).select(
+        *keys, F.posexplode(F.arrays_zip("s", "w")).alias("rep", "x")
+    ).groupBy(*keys, "rep").agg((F.sum("x.s") / F.nullif(F.sum("x.w"), F.lit(0.0))).alias("m"))
     ci = sums.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     means = narrow.groupBy(*keys).agg(F.avg("_value").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return means.join(ci, keys).select(*keys, "mean", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "n")
+    return means.join(ci, keys).select(
+        *keys, "mean", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "n"
+    )
 
 
 def exact_percentiles(rows: DataFrame, by: list[str], value: str, levels: tuple[float, ...]) -> DataFrame:
@@ -196,30 +245,48 @@ def exact_percentiles(rows: DataFrame, by: list[str], value: str, levels: tuple[
     held = narrow.join(F.broadcast(marks), same) if by else narrow.crossJoin(F.broadcast(marks))  # a row for each group
     each = held.select(*by, "_v", F.posexplode("_w").alias("_level", "_w")).where(F.col("_v") <= F.col("_w.hi"))
     inside = F.when(F.col("_v") >= F.col("_w.lo"), F.col("_v"))  # null: somewhere below
-    counts = each.groupBy(*by, "_level", F.col("_w.rank").alias("_rank"), inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = each.groupBy(
+        *by, "_level", F.col("_w.rank").alias("_rank"), inside.alias("_v")
+    ).agg(F.count(F.lit(1)).alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(*by, "_level").orderBy(F.col("_v").asc_nulls_first()))
     ranked = counts.withColumn("_upto", upto).where("_v IS NOT NULL")
     at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
-    picked = ranked.groupBy(*by, "_level", "_rank").agg(at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_b"))
+    picked = ranked.groupBy(*by, "_level", "_rank").agg(
+        at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_b")
+    )
     x = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
     listed = picked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_level", x.alias("x")))).alias("p"))
     return listed.select(*by, F.transform("p", lambda e: e["x"]).alias("p"))
 
 
-def hash_bootstrap(series: DataFrame, keys: list[str], value: str, row_id: str, replicates: int = 200, seed: int = MASTER_SEED) -> DataFrame:
+def hash_bootstrap(
+    series: DataFrame, keys: list[str], value: str, row_id: str, replicates: int = 200, seed: int = MASTER_SEED
+) -> DataFrame:
     """``(mean, lo, hi, n)`` of each group's mean by Poisson weights that are hashes, so that any engine can repeat them.
 
     A row counts as often as the first 32 bits of ``md5(seed|replicate|row)`` say. SQL functions only; sums are
     pre-aggregated in each task. Replicates are fewer than elsewhere, as each costs a hash a row.
     """
-    rows = series.select(*keys, F.col(value).cast("double").alias("_x"), F.col(row_id).cast("string").alias("_row")).where("_x IS NOT NULL")
+    rows = series.select(
+        *keys, F.col(value).cast("double").alias("_x"), F.col(row_id).cast("string").alias("_row")
+    ).where("_x IS NOT NULL")
     each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), "_row").cast("binary")), 1, 8), 16, 10).cast("long")
+    h = F.conv(
+        F.substring(
+            F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), "_row").cast("binary")), 1, 8
+        ),
+        16,
+        10,
+    ).cast("long")
     w = sum((F.when(h >= F.lit(t), 1).otherwise(0) for t in _UP_TO), F.lit(0))
-    sums = each.withColumn("_w", w).groupBy(*keys, "_rep").agg((F.sum(F.col("_x") * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
+    sums = each.withColumn("_w", w).groupBy(*keys, "_rep").agg(
+        (F.sum(F.col("_x") * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0))).alias("m")
+    )
     ci = sums.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     means = rows.groupBy(*keys).agg(F.avg("_x").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return means.join(ci, keys).select(*keys, "mean", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "n")
+    return means.join(ci, keys).select(
+        *keys, "mean", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "n"
+    )
 
 
 #: Levels are looked up in quantiles this fine; replicates are drawn this many at a time.
@@ -232,14 +299,21 @@ def _classes(series: DataFrame, keys: list[str], levels: list[float], sides: int
     Around each level lie the values that 8 standard deviations and 40 rows reach (``_in``: one class for each value);
     the rest of a series is cut to the intervals in between, each named by the window's end below it.
     """
-    quantiles = [F.percentile_approx(f"_v{i}", [k / STEPS for k in range(STEPS + 1)], 10_000).alias(f"_q{i}") for i in range(sides)]
+    quantiles = [
+        F.percentile_approx(
+            f"_v{i}", [k / STEPS for k in range(STEPS + 1)], 10_000
+        ).alias(f"_q{i}") for i in range(sides)
+    ]
     marks = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *quantiles)
     ends = []
     for i in range(sides):
         for k, p in enumerate(levels):
             margin = 8 * F.sqrt(p * (1 - p) / F.col("_n")) + 40 / F.col("_n") + 2e-4
             low, high = F.floor((p - margin) * STEPS).cast("int"), F.ceil((p + margin) * STEPS).cast("int")
-            ends += [F.when(low <= 0, float("-inf")).otherwise(F.get(f"_q{i}", low)).alias(f"_lo{i}{k}"), F.when(high >= STEPS, float("inf")).otherwise(F.get(f"_q{i}", high)).alias(f"_hi{i}{k}")]
+            ends += [
+                F.when(low <= 0, float("-inf")).otherwise(F.get(f"_q{i}", low)).alias(f"_lo{i}{k}"),
+                F.when(high >= STEPS, float("inf")).otherwise(F.get(f"_q{i}", high)).alias(f"_hi{i}{k}"),
+            ]
     windows = marks.select(*(F.col(k).alias(f"_key{j}") for j, k in enumerate(keys)), *ends)
     same = [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(keys)]
     rows, named = series.join(F.broadcast(windows), same), []
@@ -248,9 +322,14 @@ def _classes(series: DataFrame, keys: list[str], levels: list[float], sides: int
         for k in range(len(levels)):
             inside = inside | v.between(F.col(f"_lo{i}{k}"), F.col(f"_hi{i}{k}"))
             below.append(F.when(F.col(f"_hi{i}{k}") < v, F.col(f"_hi{i}{k}")))
-        named += [F.when(inside, v).otherwise(F.greatest(*below) if len(below) > 1 else below[0]).alias(f"_at{i}"), inside.alias(f"_in{i}")]
+        named += [
+            F.when(inside, v).otherwise(F.greatest(*below) if len(below) > 1 else below[0]).alias(f"_at{i}"),
+            inside.alias(f"_in{i}"),
+        ]
     rows = rows.select(*keys, "_seed", *named)
-    return rows.groupBy(*keys, *[f"{c}{i}" for i in range(sides) for c in ("_at", "_in")]).agg(F.count(F.lit(1)).alias("_c"), F.min("_seed").alias("_seed"))
+    return rows.groupBy(
+        *keys, *[f"{c}{i}" for i in range(sides) for c in ("_at", "_in")]
+    ).agg(F.count(F.lit(1)).alias("_c"), F.min("_seed").alias("_seed"))
 
 
 def _replicates(series: DataFrame, keys: list[str], levels: list[float], sides: int, replicates: int) -> DataFrame:
@@ -279,38 +358,67 @@ def _replicates(series: DataFrame, keys: list[str], levels: list[float], sides:
                     a, b = ((upto > r).argmax(axis=1) for r in (low, min(low + 1, n - 1)))
                     if not (inside[a].all() and inside[b].all()):
                         raise ValueError("a replicate's percentile lies outside the values that were kept")
-                    out.append(pd.DataFrame({"side": side, "level": level, "rep": reps, "x": at[a] + (at[b] - at[a]) * (h - low)}))
+                    out.append(
+                        pd.DataFrame(
+                            {"side": side, "level": level, "rep": reps, "x": at[a] + (at[b] - at[a]) * (h - low)}
+                        )
+                    )
         drawn = pd.concat(out)
         for j, k in enumerate(keys):
             drawn.insert(j, k, key[j])
         return drawn
 
     types = dict(series.dtypes)
-    spread = _classes(series, keys, levels, sides).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return spread.groupBy(*keys, "_block").applyInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "side int, level int, rep int, x double"]))
-
-
-def percentile_bootstrap(series: DataFrame, keys: list[str], value: str, seed: str, levels: tuple[int, ...] = (50, 95, 99), replicates: int = REPLICATES) -> DataFrame:
+    spread = _classes(series, keys, levels, sides).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    )
+    return spread.groupBy(*keys, "_block").applyInPandas(
+        run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "side int, level int, rep int, x double"])
+    )
+
+
+def percentile_bootstrap(
+    series: DataFrame,
+    keys: list[str],
+    value: str,
+    seed: str,
+    levels: tuple[int, ...] = (50, 95, 99),
+    replicates: int = REPLICATES,
+) -> DataFrame:
     """``(quantity, lo, hi, n)`` of each group's percentiles, for series of any length.
 
     How often the values are drawn is multinomial, as in resampling the rows. Only the values near a level get a
     count of their own (see ``_classes``), so no series comes together anywhere; a replicate that fell outside would fail.
     """
-    narrow = series.select(*keys, F.col(value).cast("double").alias("_v0"), F.col(seed).alias("_seed")).where("_v0 IS NOT NULL")
+    narrow = series.select(
+        *keys, F.col(value).cast("double").alias("_v0"), F.col(seed).alias("_seed")
+    ).where("_v0 IS NOT NULL")
     drawn = _replicates(narrow, keys, [p / 100 for p in levels], 1, replicates)
     ci = drawn.groupBy(*keys, "level").agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     ns = narrow.groupBy(*(F.col(k).alias(f"_key{j}") for j, k in enumerate(keys))).agg(F.count(F.lit(1)).alias("n"))
     named = F.get(F.array(*[F.lit(f"p{p}") for p in levels]), F.col("level"))
-    return ci.join(F.broadcast(ns), [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(keys)]).select(*keys, named.alias("quantity"), F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "n")
+    return ci.join(F.broadcast(ns), [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(keys)]).select(
+        *keys, named.alias("quantity"), F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "n"
+    )
 
 
-def paired_percentile_bootstrap(pairs: DataFrame, keys: list[str], a: str, b: str, seed: str, level: int = 99, replicates: int = REPLICATES) -> DataFrame:
+def paired_percentile_bootstrap(
+    pairs: DataFrame, keys: list[str], a: str, b: str, seed: str, level: int = 99, replicates: int = REPLICATES
+) -> DataFrame:
     """``(diff, lo, hi, n, separated)`` of percentile(a) - percentile(b), both resampled by the same rows, for any number of pairs."""
-    narrow = pairs.select(*keys, F.col(a).cast("double").alias("_v0"), F.col(b).cast("double").alias("_v1"), F.col(seed).alias("_seed")).where("_v0 IS NOT NULL AND _v1 IS NOT NULL")
+    narrow = pairs.select(
+        *keys, F.col(a).cast("double").alias("_v0"), F.col(b).cast("double").alias("_v1"), F.col(seed).alias("_seed")
+    ).where("_v0 IS NOT NULL AND _v1 IS NOT NULL")
     drawn = _replicates(narrow, keys, [level / 100], 2, replicates)
-    of = drawn.groupBy(*keys, "rep").agg(F.sum(F.when(F.col("side") == 0, F.col("x")).otherwise(-F.col("x"))).alias("x"))
+    of = drawn.groupBy(*keys, "rep").agg(
+        F.sum(F.when(F.col("side") == 0, F.col("x")).otherwise(-F.col("x"))).alias("x")
+    )
     ci = of.groupBy(*keys).agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     diff = F.percentile("_v0", F.lit(level / 100)) - F.percentile("_v1", F.lit(level / 100))
-    whole = narrow.groupBy(*(F.col(k).alias(f"_key{j}") for j, k in enumerate(keys))).agg(diff.alias("diff"), F.count(F.lit(1)).alias("n"))
+    whole = narrow.groupBy(
+        *(F.col(k).alias(f"_key{j}") for j, k in enumerate(keys))
+    ).agg(diff.alias("diff"), F.count(F.lit(1)).alias("n"))
     lo, hi = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-    return ci.join(F.broadcast(whole), [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(keys)]).select(*keys, "diff", lo.alias("lo"), hi.alias("hi"), "n", separated(lo, hi).alias("separated"))
+    return ci.join(F.broadcast(whole), [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(keys)]).select(
+        *keys, "diff", lo.alias("lo"), hi.alias("hi"), "n", separated(lo, hi).alias("separated")
+    )

@@ -13,7 +13,17 @@ DOUBTS = ("not sure", "uncertain", "cannot", "can't", "can’t", "i don't know",
 MAX_CHARS = 240
 # fixed values: marks around a judge's score, and spellings of labels
 SCORE_MARKS = ".,:;!?()[]{}\"'`"
-LABELS = {"2": "correct", "1": "partial", "0": "incorrect", "2.0": "correct", "1.0": "partial", "0.0": "incorrect", "correct": "correct", "incorrect": "incorrect", "partial": "partial"}
+LABELS = {
+    "2": "correct",
+    "1": "partial",
+    "0": "incorrect",
+    "2.0": "correct",
+    "1.0": "partial",
+    "0.0": "incorrect",
+    "correct": "correct",
+    "incorrect": "incorrect",
+    "partial": "partial",
+}
 MISSING = ("", "nan", "none", "na")
 
 
@@ -57,7 +67,15 @@ def group_name(number: Column) -> Column:
 
 # fixed value: the layout of a judge's prompt
 def judge_prompt(rubric: str, request: Column, reference: Column, candidate: Column) -> Column:
-    return F.concat(F.lit(f"{rubric}\n\nREQUEST: "), request, F.lit("\n\nANSWER_A (reference): "), reference, F.lit("\n\nANSWER_B (candidate): "), candidate, F.lit("\n\nSCORE:"))
+    return F.concat(
+        F.lit(f"{rubric}\n\nREQUEST: "),
+        request,
+        F.lit("\n\nANSWER_A (reference): "),
+        reference,
+        F.lit("\n\nANSWER_B (candidate): "),
+        candidate,
+        F.lit("\n\nSCORE:"),
+    )
 
 
 def parse_score(reply: Column) -> Column:
@@ -89,7 +107,11 @@ def has_error(error: Column) -> Column:
 def completion_fields(reply: Column) -> Column:
     """Struct of text and token counts of a chat completion in JSON; counts default to 0."""
     count = lambda p: F.coalesce(F.get_json_object(reply, f"$.usage.{p}").cast("long"), F.lit(0))
-    return F.struct(F.get_json_object(reply, "$.choices[0].message.content").alias("text"), count("prompt_tokens").alias("tokens_in"), count("completion_tokens").alias("tokens_out"))
+    return F.struct(
+        F.get_json_object(reply, "$.choices[0].message.content").alias("text"),
+        count("prompt_tokens").alias("tokens_in"),
+        count("completion_tokens").alias("tokens_out"),
+    )
 
 
 def py_bool(value: Column) -> Column:

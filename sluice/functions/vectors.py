@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
+    )
 
 
 def unit(v: Column) -> Column:
@@ -19,7 +21,17 @@ def unit(v: Column) -> Column:
 def hashed_ngrams(text: Column, dim: int = 64, width: int = 3) -> Column:
     """A unit vector of signed, hashed character n-grams; zeros for a text without any. Deterministic, in the JVM."""
     padded = F.concat(F.lit(" "), F.coalesce(F.lower(text), F.lit("")), F.lit(" "))
-    grams = F.when(F.length(padded) >= width, F.transform(F.sequence(F.lit(1), F.length(padded) - (width - 1)), lambda i: F.substr(padded, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+    grams = F.when(
+        F.length(padded) >= width,
+        F.transform(F.sequence(F.lit(1), F.length(padded) - (width - 1)), lambda i: F.substr(padded, i, F.lit(width))),
+    ).otherwise(F.array().cast("array<string>"))
     marks = F.transform(grams, lambda g: F.xxhash64(g))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(marks, lambda h: F.pmod(h, F.lit(dim)) == d), F.lit(0.0), lambda s, h: s + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)))
+    counts = F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda d: F.aggregate(
+            F.filter(marks, lambda h: F.pmod(h, F.lit(dim)) == d),
+            F.lit(0.0),
+            lambda s, h: s + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0),
+        ),
+    )
     return unit(counts)

@@ -24,7 +24,12 @@ def claims(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def known_pairs(metrics: DataFrame) -> DataFrame:
     """``(k, n)``: counts and denominators that documents may state of each run (``n_ok, n_errors, n_exact, n_semantic``)."""
     hits, rows = F.col("n_exact") + F.col("n_semantic"), F.col("n_ok") + F.col("n_errors")
-    pairs = ((hits, F.col("n_ok")), (F.col("n_exact"), F.greatest(hits, F.lit(1))), (F.col("n_exact"), rows), (F.col("n_ok"), rows))
+    pairs = (
+        (hits, F.col("n_ok")),
+        (F.col("n_exact"), F.greatest(hits, F.lit(1))),
+        (F.col("n_exact"), rows),
+        (F.col("n_ok"), rows),
+    )
     each = F.array(*(F.struct(k.cast("long").alias("k"), n.cast("long").alias("n")) for k, n in pairs))
     return metrics.select(F.explode(each).alias("p")).select("p.*").where("k IS NOT NULL AND n IS NOT NULL").distinct()
 
@@ -33,8 +38,15 @@ def known_percentages(metrics: DataFrame, swept: DataFrame, bars: tuple[float, .
     """``value``: percentages that documents may state: rates of runs, what they save, rates of the sweep, and bars."""
     base = metrics.where("config = 'baseline'").select("frac", F.col("cost_usd").alias("_base"))
     hits, rows = F.col("n_exact") + F.col("n_semantic"), F.col("n_ok") + F.col("n_errors")
-    saved = F.when((F.col("config") != "baseline") & (F.col("_base") != 0), (F.col("_base") - F.col("cost_usd")) / F.col("_base"))
-    rates = F.array(F.col("hit_rate"), F.col("n_exact") / F.nullif(rows, F.lit(0)), F.col("n_exact") / F.nullif(hits, F.lit(0)), saved)
+    saved = F.when(
+        (F.col("config") != "baseline") & (F.col("_base") != 0), (F.col("_base") - F.col("cost_usd")) / F.col("_base")
+    )
+    rates = F.array(
+        F.col("hit_rate"),
+        F.col("n_exact") / F.nullif(rows, F.lit(0)),
+        F.col("n_exact") / F.nullif(hits, F.lit(0)),
+        saved,
+    )
     of_runs = metrics.join(base, "frac", "left").select((F.explode(rates) * 100).alias("value"))
     of_sweep = swept.select((F.explode(F.array("false_hit_rate", "recall")) * 100).alias("value"))
     fixed = metrics.sparkSession.createDataFrame([(float(b),) for b in bars], "value double")
@@ -44,7 +56,9 @@ def known_percentages(metrics: DataFrame, swept: DataFrame, bars: tuple[float, .
 def unsupported_pairs(claimed: DataFrame, known: DataFrame) -> DataFrame:
     """Claims ``k of n`` that ``known`` (``k, n``) doesn't hold. Numbers beyond 64 bits are held by no table."""
     part = lambda i: F.regexp_extract("claim", K_OF_N, i).try_cast("long")
-    return claimed.where("kind = 'pair'").withColumns({"k": part(1), "n": part(2)}).join(known.select("k", "n").distinct(), ["k", "n"], "left_anti")
+    return claimed.where("kind = 'pair'").withColumns({"k": part(1), "n": part(2)}).join(
+        known.select("k", "n").distinct(), ["k", "n"], "left_anti"
+    )
 
 
 def unsupported_percentages(claimed: DataFrame, known: DataFrame) -> DataFrame:
@@ -55,11 +69,20 @@ def unsupported_percentages(claimed: DataFrame, known: DataFrame) -> DataFrame:
     """
     stated = F.regexp_extract("claim", PERCENT, 1)
     decimals = F.length(F.regexp_extract("claim", r"\.([0-9]+)%", 1))
-    told = claimed.where("kind = 'percent'").withColumns({"value": stated.cast("double"), "tolerance": 0.5 * F.pow(F.lit(10.0), -decimals) + SLACK})
+    told = claimed.where("kind = 'percent'").withColumns(
+        {"value": stated.cast("double"), "tolerance": 0.5 * F.pow(F.lit(10.0), -decimals) + SLACK}
+    )
     cell = lambda c: F.floor(c / (0.5 + SLACK))
-    near = known.select(F.col("value").alias("known_value"), F.explode(F.array(*(cell(F.col("value")) + i for i in (-1, 0, 1)))).alias("_cell"))
-    match = (F.col("a._cell") == F.col("b._cell")) & (F.abs(F.col("a.value") - F.col("b.known_value")) <= F.col("a.tolerance"))
-    return told.withColumn("_cell", cell(F.col("value"))).alias("a").join(near.distinct().alias("b"), match, "left_anti").drop("_cell")
+    near = known.select(
+        F.col("value").alias("known_value"),
+        F.explode(F.array(*(cell(F.col("value")) + i for i in (-1, 0, 1)))).alias("_cell")
+    )
+    match = (F.col("a._cell") == F.col("b._cell")) & (
+        F.abs(F.col("a.value") - F.col("b.known_value")) <= F.col("a.tolerance")
+    )
+    return told.withColumn("_cell", cell(F.col("value"))).alias("a").join(
+        near.distinct().alias("b"), match, "left_anti"
+    ).drop("_cell")
 
 
 def table_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,7 +90,11 @@ def table_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "_l"))
     body = F.regexp_replace(F.trim("_l"), r"^\||\|$", "")
     rows = lines.where(F.trim("_l").rlike(r"^\|.*\|$") & ~F.trim("_l").rlike(r"^[|\s:-]+$"))
-    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.transform(F.split(body, r"\|"), lambda c: F.trim(c)).alias("cells"))
+    return rows.select(
+        "doc_id",
+        F.col("line").cast("long").alias("line"),
+        F.transform(F.split(body, r"\|"), lambda c: F.trim(c)).alias("cells"),
+    )
 
 
 def interval_of(cell: Column) -> Column:
@@ -80,9 +107,13 @@ def missing_runs(expected: DataFrame, actual: DataFrame, key: tuple[str, ...] =
     return expected.join(actual.select(*key).distinct(), list(key), "left_anti")
 
 
-def cell_mismatches(claimed: DataFrame, actual: DataFrame, key: list[str], value: str, tolerance: float = 1e-4) -> DataFrame:
+def cell_mismatches(
+    claimed: DataFrame, actual: DataFrame, key: list[str], value: str, tolerance: float = 1e-4
+) -> DataFrame:
     """Claimed cells that differ from the table's by more than ``tolerance``, or that it lacks."""
-    both = claimed.withColumnRenamed(value, "claimed").join(actual.select(*key, F.col(value).alias("actual")), key, "left")
+    both = claimed.withColumnRenamed(value, "claimed").join(
+        actual.select(*key, F.col(value).alias("actual")), key, "left"
+    )
     return both.where(F.col("actual").isNull() | (F.abs(F.col("claimed") - F.col("actual")) > tolerance))
 
 
@@ -96,25 +127,33 @@ def attempted_mismatches(metrics: DataFrame) -> DataFrame:
     return metrics.where("n_rows <> coalesce(n_ok, 0) + n_errors")
 
 
-def gate_registry(gates: DataFrame, registered: DataFrame, must_fail: tuple[str, ...] = ("human_label_coverage", "judge_independence")) -> DataFrame:
+def gate_registry(
+    gates: DataFrame, registered: DataFrame, must_fail: tuple[str, ...] = ("human_label_coverage", "judge_independence")
+) -> DataFrame:
     """``(name, problem)``: gates that are not registered, registered ones (``name``) that are absent, and those that should fail but passed."""
     told = lambda df, problem: df.select("name", F.lit(problem).alias("problem"))
     new = told(gates.join(registered, "name", "left_anti"), "not registered")
     gone = told(registered.join(gates, "name", "left_anti"), "absent")
-    return new.unionByName(gone).unionByName(told(gates.where(F.col("name").isin(*must_fail) & F.col("passed")), "should fail"))
+    return new.unionByName(gone).unionByName(
+        told(gates.where(F.col("name").isin(*must_fail) & F.col("passed")), "should fail")
+    )
 
 
 def cost_order(metrics: DataFrame) -> DataFrame:
     """Runs that cost as much as the baseline of their fraction, or more."""
     base = metrics.where("config = 'baseline'").select("frac", F.col("cost_usd").alias("baseline_cost"))
-    return metrics.where("config <> 'baseline'").join(base, "frac").where("cost_usd >= baseline_cost").select("config", "frac", "cost_usd", "baseline_cost")
+    return metrics.where("config <> 'baseline'").join(base, "frac").where("cost_usd >= baseline_cost").select(
+        "config", "frac", "cost_usd", "baseline_cost"
+    )
 
 
 def missing_phrases(docs: DataFrame, phrases: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, phrase)`` of each phrase that a document is to hold (``phrases``: ``doc_id, phrase``) but doesn't; an absent or null document holds none."""
     held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     both = phrases.join(held, "doc_id", "left")
-    return both.groupBy("doc_id", "phrase").agg(F.bool_or(F.coalesce(F.contains("_text", "phrase"), F.lit(False))).alias("_there")).where("NOT _there").drop("_there")
+    return both.groupBy("doc_id", "phrase").agg(
+        F.bool_or(F.coalesce(F.contains("_text", "phrase"), F.lit(False))).alias("_there")
+    ).where("NOT _there").drop("_there")
 
 
 def loose_references(docs: DataFrame, files: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,4 +162,8 @@ def loose_references(docs: DataFrame, files: DataFrame, doc_id: str = "doc_id",
     shown = docs.select(F.explode(F.regexp_extract_all(F.col(text), pattern, F.lit(1))).alias("name")).distinct()
     problem = F.when(F.col("name").contains("://"), "external").otherwise("dangling").alias("problem")
     gone = shown.join(files, "name", "left_anti").select("name", problem)
-    return gone.unionByName(files.select("name").distinct().join(shown, "name", "left_anti").select("name", F.lit("orphan").alias("problem")))
+    return gone.unionByName(
+        files.select("name").distinct().join(shown, "name", "left_anti").select(
+            "name", F.lit("orphan").alias("problem")
+        )
+    )

@@ -25,10 +25,14 @@ def seen_earlier(rows: DataFrame, key: str, order: str, by: tuple[str, ...] = ()
     """
     first = rows.groupBy(*by, key).agg(F.min(order).alias("first_idx")).withColumnRenamed(key, "_key")
     on = [F.col(f"r.{b}").eqNullSafe(F.col(f"f.{b}")) for b in by] + [F.col(f"r.{key}") == F.col("f._key")]
-    return rows.alias("r").join(first.alias("f"), on, "left").select("r.*", "f.first_idx", F.coalesce(F.col(f"r.{order}") > F.col("f.first_idx"), F.lit(False)).alias("seen"))
+    return rows.alias("r").join(first.alias("f"), on, "left").select(
+        "r.*", "f.first_idx", F.coalesce(F.col(f"r.{order}") > F.col("f.first_idx"), F.lit(False)).alias("seen")
+    )
 
 
-def exact_replay(outcomes: DataFrame, key: str = "norm_key", order: str = "idx", by: tuple[str, ...] = ("frac",)) -> DataFrame:
+def exact_replay(
+    outcomes: DataFrame, key: str = "norm_key", order: str = "idx", by: tuple[str, ...] = ("frac",)
+) -> DataFrame:
     """Baseline rows as an exact cache would answer them: ``is_hit, hit_source_idx, replay_cost, replay_tokens_in, replay_tokens_out``.
 
     Only successful rows with an answer take part. The first of a key is a miss with its own cost, later ones cost nothing.
@@ -36,16 +40,40 @@ def exact_replay(outcomes: DataFrame, key: str = "norm_key", order: str = "idx",
     good = outcomes.where(~has_error(F.col("error")) & ~is_blank(F.col("answer_text")))
     marked = seen_earlier(good, key, order, by)
     free = lambda c: F.when(F.col("seen"), F.lit(0)).otherwise(F.col(c))
-    return marked.withColumnsRenamed({"seen": "is_hit"}).withColumn("seen", F.col("is_hit")).select(*outcomes.columns, "is_hit", F.when(F.col("seen"), F.col("first_idx")).alias("hit_source_idx"), free("cost_usd").alias("replay_cost"), free("tokens_in").alias("replay_tokens_in"), free("tokens_out").alias("replay_tokens_out"))
+    return marked.withColumnsRenamed({"seen": "is_hit"}).withColumn("seen", F.col("is_hit")).select(
+        *outcomes.columns,
+        "is_hit",
+        F.when(F.col("seen"), F.col("first_idx")).alias("hit_source_idx"),
+        free("cost_usd").alias("replay_cost"),
+        free("tokens_in").alias("replay_tokens_in"),
+        free("tokens_out").alias("replay_tokens_out"),
+    )
 
 
 def replay_summary(replay: DataFrame, outcomes: DataFrame, by: str = "frac") -> DataFrame:
     """One row for each ``by``: hits, cost and latency of the replay; a hit takes the median latency of measured exact hits."""
     hits = outcomes.where(F.col("kind") == "cache_exact").where(~has_error(F.col("error")))
     measured = exact_percentiles(hits, [by], "latency_ms", (0.5,)).select(by, F.get("p", F.lit(0)).alias("hit_ms"))
-    rows = replay.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_hit").alias("n_hits"), F.sum("replay_cost").alias("cost_usd"), F.sum("replay_tokens_in").alias("tokens_in"), F.sum("replay_tokens_out").alias("tokens_out"), F.sum(F.when(~F.col("is_hit"), F.col("latency_ms"))).alias("_miss_ms"))
+    rows = replay.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if("is_hit").alias("n_hits"),
+        F.sum("replay_cost").alias("cost_usd"),
+        F.sum("replay_tokens_in").alias("tokens_in"),
+        F.sum("replay_tokens_out").alias("tokens_out"),
+        F.sum(F.when(~F.col("is_hit"), F.col("latency_ms"))).alias("_miss_ms"),
+    )
     mean = (F.coalesce("_miss_ms", F.lit(0.0)) + F.col("n_hits") * F.coalesce("hit_ms", F.lit(0.0))) / F.col("n_rows")
-    return rows.join(measured, by, "left").select(by, "n_rows", "n_hits", (F.col("n_hits") / F.col("n_rows")).alias("hit_rate"), "cost_usd", "tokens_in", "tokens_out", "hit_ms", mean.alias("mean_ms"))
+    return rows.join(measured, by, "left").select(
+        by,
+        "n_rows",
+        "n_hits",
+        (F.col("n_hits") / F.col("n_rows")).alias("hit_rate"),
+        "cost_usd",
+        "tokens_in",
+        "tokens_out",
+        "hit_ms",
+        mean.alias("mean_ms"),
+    )
 
 
 def _met(vectors: DataFrame, order: str, vec: str, found, schema: str, block: int, by: str | None) -> DataFrame:
@@ -59,14 +87,26 @@ def _met(vectors: DataFrame, order: str, vec: str, found, schema: str, block: in
     k = max(1, math.ceil(n / block), min(math.ceil(math.sqrt(2 * cores)), math.ceil(n / 256)))
     group = F.col(by) if by else F.lit("")
     at = F.pmod(F.xxhash64(order), F.lit(k)).cast("int")
-    rows = vectors.select(group.alias("_by"), F.col(order).cast("long").alias("_idx"), F.col(vec).cast("array<float>").alias("_vec"), at.alias("_at"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_other"))
-    rows = rows.select("_by", "_idx", "_vec", "_at", F.least("_at", "_other").alias("_i"), F.greatest("_at", "_other").alias("_j"))
+    rows = vectors.select(
+        group.alias("_by"),
+        F.col(order).cast("long").alias("_idx"),
+        F.col(vec).cast("array<float>").alias("_vec"),
+        at.alias("_at"),
+        F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_other"),
+    )
+    rows = rows.select(
+        "_by", "_idx", "_vec", "_at", F.least("_at", "_other").alias("_i"), F.greatest("_at", "_other").alias("_j")
+    )
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         name, i, j = key
         left = part[part["_at"] == i]
         right = part[part["_at"] == j]
-        steps = lambda x: [(x["_idx"].to_numpy()[at : at + STEP], np.stack(x["_vec"].to_numpy()[at : at + STEP]).astype(np.float64)) for at in range(0, len(x), STEP)]  # noqa: E731,E501
+        steps = lambda x: [  # noqa: E731,E501
+            (
+                x["_idx"].to_numpy()[at : at + STEP], np.stack(x["_vec"].to_numpy()[at : at + STEP]).astype(np.float64)
+            ) for at in range(0, len(x), STEP)
+        ]
         out, other = [], steps(right)
         for la, a in steps(left):
             for lb, b in other:
@@ -81,7 +121,9 @@ def _met(vectors: DataFrame, order: str, vec: str, found, schema: str, block: in
     return rows.groupBy("_by", "_i", "_j").applyInPandas(run, f"_by string, {schema}")
 
 
-def prefix_best(vectors: DataFrame, order: str = "idx", vec: str = "vec", by: str | None = None, block: int = BLOCK) -> DataFrame:
+def prefix_best(
+    vectors: DataFrame, order: str = "idx", vec: str = "vec", by: str | None = None, block: int = BLOCK
+) -> DataFrame:
     """``(by, idx, best, best_src)``: the largest similarity to any earlier row, the earliest on ties; 0 and null for the first row.
 
     All earlier rows count, hits and ineligible ones too. Negative best similarities stay as they are. A row with a null
@@ -96,14 +138,20 @@ def prefix_best(vectors: DataFrame, order: str = "idx", vec: str = "vec", by: st
         ok = np.isfinite(best)
         return pd.DataFrame({"a": la[ok], "b": lb[at[ok]], "s": best[ok]})
 
-    top = _met(vectors, order, vec, found, "a long, b long, s double", block, by).groupBy("_by", "a").agg(F.max(F.struct("s", (-F.col("b")).alias("b"))).alias("m"))
+    top = _met(
+        vectors, order, vec, found, "a long, b long, s double", block, by
+    ).groupBy("_by", "a").agg(F.max(F.struct("s", (-F.col("b")).alias("b"))).alias("m"))
     group = F.col(by) if by else F.lit("")
     all_rows = vectors.select(group.alias("_by"), F.col(order).cast("long").alias("a"))
-    out = all_rows.join(top, ["_by", "a"], "left").select("_by", F.col("a").alias("idx"), F.coalesce("m.s", F.lit(0.0)).alias("best"), (-F.col("m.b")).alias("best_src"))
+    out = all_rows.join(top, ["_by", "a"], "left").select(
+        "_by", F.col("a").alias("idx"), F.coalesce("m.s", F.lit(0.0)).alias("best"), (-F.col("m.b")).alias("best_src")
+    )
     return out.withColumnRenamed("_by", by) if by else out.drop("_by")
 
 
-def similar_earlier(vectors: DataFrame, threshold: float, order: str = "idx", vec: str = "vec", block: int = BLOCK) -> DataFrame:
+def similar_earlier(
+    vectors: DataFrame, threshold: float, order: str = "idx", vec: str = "vec", block: int = BLOCK
+) -> DataFrame:
     """``(a, b, s)``: each row with each earlier one at ``threshold`` or more."""
 
     def found(la: np.ndarray, lb: np.ndarray, s: np.ndarray) -> pd.DataFrame:
@@ -113,7 +161,14 @@ def similar_earlier(vectors: DataFrame, threshold: float, order: str = "idx", ve
     return _met(vectors, order, vec, found, "a long, b long, s double", block, None).drop("_by")
 
 
-def greedy_cache(requests: DataFrame, threshold: float, order: str = "idx", vec: str = "vec", key: str | None = None, storable: str | None = None) -> DataFrame:
+def greedy_cache(
+    requests: DataFrame,
+    threshold: float,
+    order: str = "idx",
+    vec: str = "vec",
+    key: str | None = None,
+    storable: str | None = None,
+) -> DataFrame:
     """``(idx, kind, similarity, hit_source_idx)`` of the live cache: a request is compared with stored misses only.
 
     An exact key goes before similarity; a miss is stored if ``storable``. In each round a row is decided once all
@@ -123,29 +178,63 @@ def greedy_cache(requests: DataFrame, threshold: float, order: str = "idx", vec:
     name = F.col(key) if key else F.col(order).cast("string")
     keep = F.coalesce(F.col(storable), F.lit(False)) if storable else F.lit(True)
     edges = cut_lineage(similar_earlier(requests, threshold, order, vec))
-    state = cut_lineage(requests.select(F.col(order).cast("long").alias("idx"), name.alias("k"), keep.alias("keep"), F.lit(0).alias("status")))
+    state = cut_lineage(
+        requests.select(
+            F.col(order).cast("long").alias("idx"), name.alias("k"), keep.alias("keep"), F.lit(0).alias("status")
+        )
+    )
     stored, open_ = F.col("status") == 1, (F.col("status") == 0) & F.col("keep")
     while True:
-        near = edges.join(state.select(F.col("idx").alias("b"), "status", "keep"), "b").groupBy("a").agg(F.bool_or(stored).alias("hit"), F.bool_or(open_).alias("wait"))
-        keys = state.groupBy("k").agg(F.min(F.when(stored, F.col("idx"))).alias("owner"), F.min(F.when(open_, F.col("idx"))).alias("next"))
+        near = edges.join(state.select(F.col("idx").alias("b"), "status", "keep"), "b").groupBy("a").agg(
+            F.bool_or(stored).alias("hit"), F.bool_or(open_).alias("wait")
+        )
+        keys = state.groupBy("k").agg(
+            F.min(F.when(stored, F.col("idx"))).alias("owner"), F.min(F.when(open_, F.col("idx"))).alias("next")
+        )
         seen = state.join(near.withColumnRenamed("a", "idx"), "idx", "left").join(keys, "k", "left")
         hit = F.coalesce("hit", F.lit(False)) | F.coalesce(F.col("owner") < F.col("idx"), F.lit(False))
         ready = ~F.coalesce("wait", F.lit(False)) & ~F.coalesce(F.col("next") < F.col("idx"), F.lit(False))
-        state = cut_lineage(seen.select("idx", "k", "keep", F.when(F.col("status") != 0, F.col("status")).when(hit, 2).when(ready, F.when(F.col("keep"), 1).otherwise(3)).otherwise(0).alias("status")))
+        state = cut_lineage(
+            seen.select(
+                "idx",
+                "k",
+                "keep",
+                F.when(F.col("status") != 0, F.col("status")).when(hit, 2).when(
+                    ready, F.when(F.col("keep"), 1).otherwise(3)
+                ).otherwise(0).alias("status"),
+            )
+        )
         if state.where("status = 0").isEmpty():
             break
     owners = state.where(stored).select("k", F.col("idx").alias("owner"))
-    top = edges.join(state.where(stored).select(F.col("idx").alias("b")), "b").groupBy("a").agg(F.max(F.struct("s", (-F.col("b")).alias("b"))).alias("m")).withColumnRenamed("a", "idx")
+    top = edges.join(state.where(stored).select(F.col("idx").alias("b")), "b").groupBy("a").agg(
+        F.max(F.struct("s", (-F.col("b")).alias("b"))).alias("m")
+    ).withColumnRenamed("a", "idx")
     out = state.join(owners, "k", "left").join(top, "idx", "left")
     exact, semantic = (F.col("status") == 2) & (F.col("owner") < F.col("idx")), F.col("status") == 2
-    return out.select("idx", F.when(exact, "cache_exact").when(semantic, "cache_semantic").otherwise("miss").alias("kind"), F.when(exact, 1.0).when(semantic, F.col("m.s")).alias("similarity"), F.when(exact, F.col("owner")).when(semantic, -F.col("m.b")).alias("hit_source_idx"))
+    return out.select(
+        "idx",
+        F.when(exact, "cache_exact").when(semantic, "cache_semantic").otherwise("miss").alias("kind"),
+        F.when(exact, 1.0).when(semantic, F.col("m.s")).alias("similarity"),
+        F.when(exact, F.col("owner")).when(semantic, -F.col("m.b")).alias("hit_source_idx"),
+    )
 
 
 def served(decisions: DataFrame, store: DataFrame) -> DataFrame:
     """Decisions with the stored answer that each hit returns."""
-    return decisions.join(store.select(F.col("idx").alias("hit_source_idx"), F.col("answer_text").alias("stored_answer"), F.col("served_by").alias("stored_by")), "hit_source_idx", "left")
+    return decisions.join(
+        store.select(
+            F.col("idx").alias("hit_source_idx"),
+            F.col("answer_text").alias("stored_answer"),
+            F.col("served_by").alias("stored_by"),
+        ),
+        "hit_source_idx",
+        "left",
+    )
 
 
 def latest_by_key(store: DataFrame, key: str = "norm_key", order: str = "idx") -> DataFrame:
     """The store as last written: the latest row of each key."""
-    return store.groupBy(key).agg(F.max_by(F.struct(*[c for c in store.columns if c != key]), order).alias("r")).select(key, "r.*")
+    return store.groupBy(key).agg(
+        F.max_by(F.struct(*[c for c in store.columns if c != key]), order).alias("r")
+    ).select(key, "r.*")

@@ -29,7 +29,9 @@ def _name(prefix: str):
 def cost_gates(metrics: DataFrame) -> DataFrame:
     """Each configuration costs less than the baseline; an absent run fails."""
     base = metrics.where("config = 'baseline'").select("frac", F.col("cost_usd").alias("base"))
-    rows = expected_runs(metrics.sparkSession).join(metrics.select("config", "frac", "cost_usd"), ["config", "frac"], "left")
+    rows = expected_runs(metrics.sparkSession).join(
+        metrics.select("config", "frac", "cost_usd"), ["config", "frac"], "left"
+    )
     rows = rows.join(base, "frac", "left")
     seen = F.when(F.col("cost_usd").isNull() | F.col("base").isNull(), NO_RUN)
     seen = seen.otherwise(F.format_string("baseline %.4f vs %s %.4f", "base", "config", "cost_usd"))
@@ -50,10 +52,14 @@ def false_hit_gates(rates: DataFrame, bar: float = FALSE_HIT_BAR) -> DataFrame:
 def tuned_gate(best: DataFrame, control: DataFrame) -> DataFrame:
     """The tuned F1 is above the best of the random thresholds."""
     rows = best.select("threshold", "f1").crossJoin(control.select("max_f1", "mean_f1"))  # one row each
-    told = F.format_string("tuned %s f1 %.4f vs control max %.4f (mean %.4f)", F.col("threshold").cast("string"), "f1", "max_f1", "mean_f1")
+    told = F.format_string(
+        "tuned %s f1 %.4f vs control max %.4f (mean %.4f)", F.col("threshold").cast("string"), "f1", "max_f1", "mean_f1"
+    )
     none = F.col("f1").isNull() | F.col("max_f1").isNull() | F.col("mean_f1").isNull()
     passed = F.coalesce(F.col("f1") > F.col("max_f1"), F.lit(False))
-    return rows.select(F.lit(TUNED).alias("name"), passed.alias("passed"), F.when(none, NO_TUNING).otherwise(told).alias("observed"))
+    return rows.select(
+        F.lit(TUNED).alias("name"), passed.alias("passed"), F.when(none, NO_TUNING).otherwise(told).alias("observed")
+    )
 
 
 def coverage_gate(coverage: DataFrame, bar: float = COVERAGE_BAR) -> DataFrame:
@@ -70,7 +76,9 @@ def independence_gate(agreement: DataFrame, judge1: str, judge2: str) -> DataFra
         seen = F.format_string(told, F.format_number("kappa", 4), "n")
     else:
         seen = F.lit(f"primary {judge1} vs secondary {judge2}")
-    return agreement.select(F.lit(INDEPENDENCE).alias("name"), F.lit(judge1 != judge2).alias("passed"), seen.alias("observed"))
+    return agreement.select(
+        F.lit(INDEPENDENCE).alias("name"), F.lit(judge1 != judge2).alias("passed"), seen.alias("observed")
+    )
 
 
 def gate_table(*parts: DataFrame) -> DataFrame:

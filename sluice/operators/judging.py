@@ -35,18 +35,30 @@ def judge_run(outcomes: DataFrame, baseline: DataFrame, ask1: Callable[[Column],
     ``n_second`` rows of each run. Rows whose key is in ``done`` are left out, as their verdicts are paid for. Outcomes
     without an answer text are judged as empty; a null baseline is none.
     """
-    base = baseline.where(~is_blank(F.col("answer_text"))).select("frac", "idx", F.col("answer_text").alias("baseline_text"))
+    base = baseline.where(~is_blank(F.col("answer_text"))).select(
+        "frac", "idx", F.col("answer_text").alias("baseline_text")
+    )
     todo = pending(outcomes, done) if done is not None else outcomes
     chosen = sampled(outcomes, n_second, seed).withColumn("_second", F.lit(True))
-    rows = todo.select(*KEY, "request", "dup_type", F.coalesce("answer_text", F.lit("")).alias("answer_text")).join(base, ["frac", "idx"])
+    rows = todo.select(
+        *KEY, "request", "dup_type", F.coalesce("answer_text", F.lit("")).alias("answer_text")
+    ).join(base, ["frac", "idx"])
     rows = rows.join(F.broadcast(chosen), KEY, "left")  # n_second rows of each run
     rows = rows.withColumn("sampled_for_judge2", F.coalesce("_second", F.lit(False))).drop("_second")
-    same, prompt = F.col("answer_text") == F.col("baseline_text"), judge_prompt(rubric, F.col("request"), F.col("baseline_text"), F.col("answer_text"))
+    same, prompt = F.col("answer_text") == F.col("baseline_text"), judge_prompt(
+        rubric, F.col("request"), F.col("baseline_text"), F.col("answer_text")
+    )
     none = F.lit(None).cast("string")
-    equal = rows.where(same).select("*", none.alias("judge1_raw"), none.alias("judge2_raw"), F.lit(IDENTICAL).alias("note"))
+    equal = rows.where(same).select(
+        "*", none.alias("judge1_raw"), none.alias("judge2_raw"), F.lit(IDENTICAL).alias("note")
+    )
     other = rows.where(~same)
-    once = other.where("NOT sampled_for_judge2").select("*", ask1(prompt).alias("judge1_raw"), none.alias("judge2_raw"), F.lit("").alias("note"))
-    twice = other.where("sampled_for_judge2").select("*", ask1(prompt).alias("judge1_raw"), ask2(prompt).alias("judge2_raw"), F.lit("").alias("note"))
+    once = other.where("NOT sampled_for_judge2").select(
+        "*", ask1(prompt).alias("judge1_raw"), none.alias("judge2_raw"), F.lit("").alias("note")
+    )
+    twice = other.where("sampled_for_judge2").select(
+        "*", ask1(prompt).alias("judge1_raw"), ask2(prompt).alias("judge2_raw"), F.lit("").alias("note")
+    )
     out = equal.unionByName(once).unionByName(twice).withColumn("identical", same)
     score1 = F.when(F.col("identical"), 2).otherwise(parse_score(F.col("judge1_raw")))
     return out.select(

@@ -39,11 +39,17 @@ def run_metrics(outcomes: DataFrame, by: list[str] = RUN) -> DataFrame:
     """
     good, is_ok = succeeded(outcomes), ~has_error(F.col("error"))
     all_rows = outcomes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~is_ok).alias("n_errors"))
-    kind, call = (lambda k: F.count_if(F.col("kind") == k)), (lambda t: F.count_if((F.col("served_by") == t) & (F.col("tokens_out") > 0)))
+    kind, call = (lambda k: F.count_if(F.col("kind") == k)), (
+        lambda t: F.count_if((F.col("served_by") == t) & (F.col("tokens_out") > 0))
+    )
     sums = good.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_ok"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost_usd").alias("cost_usd"),
+        F.count(
+            F.lit(1)
+        ).alias("n_ok"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost_usd").alias("cost_usd"),
         call("cheap").alias("cheap_calls"), call("expensive").alias("expensive_calls"), kind("cache_exact").alias("n_exact"), kind("cache_semantic").alias("n_semantic"),
-        F.count_if(F.col("kind").isin("miss", "model_direct")).alias("n_miss"), F.min_by("latency_ms", "seq").alias("first_latency_ms"),
+        F.count_if(
+            F.col("kind").isin("miss", "model_direct")
+        ).alias("n_miss"), F.min_by("latency_ms", "seq").alias("first_latency_ms"),
     )
     lat = latency_percentiles(warm(good, by), by)
     out = all_rows.join(sums, by, "left").join(lat, by, "left")
@@ -51,8 +57,12 @@ def run_metrics(outcomes: DataFrame, by: list[str] = RUN) -> DataFrame:
 
 
 def latency_percentiles(rows: DataFrame, by: list[str] = RUN) -> DataFrame:
-    p = stats.exact_percentiles(rows, by, "latency_ms", (0.5, 0.95, 0.99)).join(rows.groupBy(*by).agg(F.avg("latency_ms").alias("mean_ms")), by)
-    return p.select(*by, *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))), "mean_ms")
+    p = stats.exact_percentiles(rows, by, "latency_ms", (0.5, 0.95, 0.99)).join(
+        rows.groupBy(*by).agg(F.avg("latency_ms").alias("mean_ms")), by
+    )
+    return p.select(
+        *by, *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))), "mean_ms"
+    )
 
 
 def latency_histogram(rows: DataFrame, by: list[str] = RUN, value: str = "latency_ms") -> DataFrame:
@@ -64,8 +74,12 @@ def latency_histogram(rows: DataFrame, by: list[str] = RUN, value: str = "latenc
 
 def hit_rates(outcomes: DataFrame, by: list[str] = RUN) -> DataFrame:
     """Hit rate of each run with its interval."""
-    rows = succeeded(outcomes).groupBy(*by).agg(F.count_if(F.col("kind").isin("cache_exact", "cache_semantic")).alias("k"), F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("ci", stats.wilson(F.col("k"), F.col("n"))).select(*by, "k", "n", ratio(F.col("k"), F.col("n")).alias("hit_rate"), "ci.lo", "ci.hi")
+    rows = succeeded(outcomes).groupBy(*by).agg(
+        F.count_if(F.col("kind").isin("cache_exact", "cache_semantic")).alias("k"), F.count(F.lit(1)).alias("n")
+    )
+    return rows.withColumn("ci", stats.wilson(F.col("k"), F.col("n"))).select(
+        *by, "k", "n", ratio(F.col("k"), F.col("n")).alias("hit_rate"), "ci.lo", "ci.hi"
+    )
 
 
 def effective_score(identical: Column, score: Column) -> Column:
@@ -75,7 +89,9 @@ def effective_score(identical: Column, score: Column) -> Column:
 
 def quality(judged: DataFrame, by: list[str] = RUN) -> DataFrame:
     scored = judged.withColumn("score", effective_score(F.col("identical"), F.col("judge1_score")))
-    return scored.groupBy(*by).agg(F.count("score").alias("n_scored"), F.avg("score").alias("mean_score"), (F.avg("score") / 2).alias("quality"))
+    return scored.groupBy(*by).agg(
+        F.count("score").alias("n_scored"), F.avg("score").alias("mean_score"), (F.avg("score") / 2).alias("quality")
+    )
 
 
 def false_hits(judged: DataFrame, outcomes: DataFrame, strict: bool = False) -> DataFrame:
@@ -87,12 +103,18 @@ def false_hits(judged: DataFrame, outcomes: DataFrame, strict: bool = False) ->
     wrong = ~F.col("identical") & (F.col("judge1_score") == 0)
     if strict:
         # (config, frac, idx) names one row on each side
-        bad = judged.where(wrong).join(succeeded(outcomes).where("kind = 'cache_semantic'").select(*RUN, "idx"), [*RUN, "idx"])
+        bad = judged.where(wrong).join(
+            succeeded(outcomes).where("kind = 'cache_semantic'").select(*RUN, "idx"), [*RUN, "idx"]
+        )
     else:
         bad = judged.where(wrong & F.col("dup_type").isin("paraphrase", "trap"))
-    out = semantic.join(bad.groupBy(*RUN).agg(F.count(F.lit(1)).alias("k")), RUN, "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    out = semantic.join(
+        bad.groupBy(*RUN).agg(F.count(F.lit(1)).alias("k")), RUN, "left"
+    ).withColumn("k", F.coalesce("k", F.lit(0)))
     ci = F.when(F.col("n") > 0, stats.wilson(F.least("k", "n"), F.col("n")))
-    return out.withColumn("ci", ci).select(*RUN, "k", "n", ratio(F.col("k"), F.col("n"), None).alias("false_hit_rate"), "ci.lo", "ci.hi")
+    return out.withColumn("ci", ci).select(
+        *RUN, "k", "n", ratio(F.col("k"), F.col("n"), None).alias("false_hit_rate"), "ci.lo", "ci.hi"
+    )
 
 
 def false_hit_rows(judged: DataFrame) -> DataFrame:
@@ -103,8 +125,14 @@ def false_hit_rows(judged: DataFrame) -> DataFrame:
 
 def exact_proxy(judged: DataFrame, exact_idx: DataFrame) -> DataFrame:
     """Scores of judged rows whose (frac, idx) is an exact hit in the replay: judged, score_0..2, unjudged."""
-    rows = judged.join(exact_idx.select("frac", "idx"), ["frac", "idx"], "left_semi").withColumn("s", effective_score(F.col("identical"), F.col("judge1_score")))
-    return rows.groupBy(*RUN).agg(F.count("s").alias("judged"), *(F.count_if(F.col("s") == i).alias(f"score_{i}") for i in range(3)), F.count_if(F.col("s").isNull()).alias("unjudged"))
+    rows = judged.join(exact_idx.select("frac", "idx"), ["frac", "idx"], "left_semi").withColumn(
+        "s", effective_score(F.col("identical"), F.col("judge1_score"))
+    )
+    return rows.groupBy(*RUN).agg(
+        F.count("s").alias("judged"),
+        *(F.count_if(F.col("s") == i).alias(f"score_{i}") for i in range(3)),
+        F.count_if(F.col("s").isNull()).alias("unjudged"),
+    )
 
 
 def pairs_of(rows: DataFrame, a: str, b: str, value: str, by: str = "frac") -> DataFrame:
@@ -114,31 +142,56 @@ def pairs_of(rows: DataFrame, a: str, b: str, value: str, by: str = "frac") -> D
 
 
 def paired_difference(rows: DataFrame, a: str, b: str, value: str, by: str = "frac") -> DataFrame:
-    return pairs_of(rows, a, b, value, by).groupBy(by).agg(F.count(F.lit(1)).alias("n_shared"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(F.col("a") - F.col("b")).alias("diff"))
+    return pairs_of(rows, a, b, value, by).groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_shared"),
+        F.avg("a").alias("mean_a"),
+        F.avg("b").alias("mean_b"),
+        F.avg(F.col("a") - F.col("b")).alias("diff"),
+    )
 
 
 def newcombe_rates(rates: DataFrame, a: str, b: str, by: str = "frac") -> DataFrame:
     """Difference of two configurations' rates (b - a) from tables of ``k`` and ``n``."""
-    side = lambda c, x: rates.where(F.col("config") == c).select(by, F.col("k").alias(f"k_{x}"), F.col("n").alias(f"n_{x}"))
-    both = side(a, "a").join(side(b, "b"), by).withColumn("d", stats.newcombe(F.col("k_a"), F.col("n_a"), F.col("k_b"), F.col("n_b")))
-    return both.select(by, "k_a", "n_a", "k_b", "n_b", "d.diff", "d.lo", "d.hi", stats.separated(F.col("d.lo"), F.col("d.hi")).alias("separated"))
+    side = lambda c, x: rates.where(F.col("config") == c).select(
+        by, F.col("k").alias(f"k_{x}"), F.col("n").alias(f"n_{x}")
+    )
+    both = side(a, "a").join(side(b, "b"), by).withColumn(
+        "d", stats.newcombe(F.col("k_a"), F.col("n_a"), F.col("k_b"), F.col("n_b"))
+    )
+    return both.select(
+        by,
+        "k_a",
+        "n_a",
+        "k_b",
+        "n_b",
+        "d.diff",
+        "d.lo",
+        "d.hi",
+        stats.separated(F.col("d.lo"), F.col("d.hi")).alias("separated"),
+    )
 
 
 def paired_series(outcomes: DataFrame, judged: DataFrame) -> DataFrame:
     """``(quantity, config, frac, idx, value)``: costs, halved effective scores, and latencies without each run's first row by ``idx``."""
     good = succeeded(outcomes)
     first = good.groupBy(*RUN).agg(F.min("idx").alias("_first"))
-    of = lambda rows, quantity, value: rows.select(F.lit(quantity).alias("quantity"), *RUN, "idx", value.cast("double").alias("value"))
+    of = lambda rows, quantity, value: rows.select(
+        F.lit(quantity).alias("quantity"), *RUN, "idx", value.cast("double").alias("value")
+    )
     scores = effective_score(F.col("identical"), F.col("judge1_score")) / 2
     rows = of(good, "cost", F.col("cost_usd")).unionByName(of(judged, "quality", scores))
-    return rows.unionByName(of(good.join(first, RUN).where("idx <> _first"), "p99", F.col("latency_ms"))).where("value IS NOT NULL")
+    return rows.unionByName(
+        of(good.join(first, RUN).where("idx <> _first"), "p99", F.col("latency_ms"))
+    ).where("value IS NOT NULL")
 
 
 def comparison_pairs(series: DataFrame, specs=COMPARISONS) -> DataFrame:
     """``(id, a, b, frac, quantity, seed, idx, x, y)``: what both configurations of each paired comparison have for a request."""
     table = [(i, a, b, q) for i, a, b, q in specs if q != "fhr"]
     spec = F.broadcast(series.sparkSession.createDataFrame(table, "id string, a string, b string, quantity string"))
-    x = series.join(spec, "quantity").where("config = a").select("id", "a", "b", "frac", "quantity", "idx", F.col("value").alias("x"))
+    x = series.join(spec, "quantity").where("config = a").select(
+        "id", "a", "b", "frac", "quantity", "idx", F.col("value").alias("x")
+    )
     y = series.join(spec, "quantity").where("config = b").select("id", "frac", "idx", F.col("value").alias("y"))
     seed = stats.derive_seed(F.col("frac"), F.concat_ws("-vs-", "a", "b"), F.col("quantity"))
     return x.join(y, ["id", "frac", "idx"]).withColumn("seed", seed)
@@ -149,45 +202,91 @@ def comparison_points(outcomes: DataFrame, judged: DataFrame, specs=COMPARISONS)
     pairs = comparison_pairs(paired_series(outcomes, judged), specs)
     p99 = F.percentile("x", F.lit(0.99)) - F.percentile("y", F.lit(0.99))
     mean = F.avg("x") - F.avg("y")
-    paired = pairs.groupBy("id", "a", "b", "frac", "quantity", "seed").agg(F.count(F.lit(1)).alias("n_shared"), mean.alias("_m"), p99.alias("_p"))
+    paired = pairs.groupBy("id", "a", "b", "frac", "quantity", "seed").agg(
+        F.count(F.lit(1)).alias("n_shared"), mean.alias("_m"), p99.alias("_p")
+    )
     none = lambda t: F.lit(None).cast(t)
     diff = F.when(F.col("quantity") == "p99", F.col("_p")).otherwise(F.col("_m"))
-    empty = {"k_a": "long", "n_a": "long", "k_b": "long", "n_b": "long", "lo": "double", "hi": "double", "separated": "boolean"}
-    out = paired.select("id", "a", "b", "frac", "quantity", F.lit("paired").alias("method"), "seed", "n_shared", diff.alias("diff"), *(none(t).alias(c) for c, t in empty.items()))
+    empty = {
+        "k_a": "long",
+        "n_a": "long",
+        "k_b": "long",
+        "n_b": "long",
+        "lo": "double",
+        "hi": "double",
+        "separated": "boolean",
+    }
+    out = paired.select(
+        "id",
+        "a",
+        "b",
+        "frac",
+        "quantity",
+        F.lit("paired").alias("method"),
+        "seed",
+        "n_shared",
+        diff.alias("diff"),
+        *(none(t).alias(c) for c, t in empty.items())
+    )
     rates = false_hits(judged, outcomes).select(*RUN, F.least("k", "n").alias("k"), "n")
     for i, a, b, q in specs:
         if q == "fhr":
             told = newcombe_rates(rates, a, b)
             label = [F.lit(x).alias(c) for c, x in (("id", i), ("a", a), ("b", b))]
-            out = out.unionByName(told.select(*label, "frac", F.lit(q).alias("quantity"), F.lit("newcombe").alias("method"), none("long").alias("seed"), none("long").alias("n_shared"), "diff", *empty))
+            out = out.unionByName(
+                told.select(
+                    *label,
+                    "frac",
+                    F.lit(q).alias("quantity"),
+                    F.lit("newcombe").alias("method"),
+                    none("long").alias("seed"),
+                    none("long").alias("n_shared"),
+                    "diff",
+                    *empty
+                )
+            )
     return out.withColumn("id", F.concat_ws("-", "id", "frac"))
 
 
-def comparisons(outcomes: DataFrame, judged: DataFrame, specs=COMPARISONS, replicates: int = stats.REPLICATES) -> DataFrame:
+def comparisons(
+    outcomes: DataFrame, judged: DataFrame, specs=COMPARISONS, replicates: int = stats.REPLICATES
+) -> DataFrame:
     """``comparison_points`` with bootstrap intervals for the paired ones, for series of any length.
 
     Means take Poisson weights, percentiles multinomial counts. ``published_comparisons`` gives the published index marks.
     """
     keys = ["id", "frac"]
     pairs = comparison_pairs(paired_series(outcomes, judged), specs)
-    means = stats.poisson_bootstrap(pairs.where("quantity <> 'p99'").withColumn("diff", F.col("x") - F.col("y")), keys, "diff", "idx", replicates)
+    means = stats.poisson_bootstrap(
+        pairs.where("quantity <> 'p99'").withColumn("diff", F.col("x") - F.col("y")), keys, "diff", "idx", replicates
+    )
     tails = stats.paired_percentile_bootstrap(pairs.where("quantity = 'p99'"), keys, "x", "y", "seed", 99, replicates)
     told = means.select(*keys, "lo", "hi").unionByName(tails.select(*keys, "lo", "hi"))
     told = told.select(F.concat_ws("-", *keys).alias("id"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    out = comparison_points(outcomes, judged, specs).join(told, "id", "left").withColumns({"lo": F.coalesce("lo", "_lo"), "hi": F.coalesce("hi", "_hi")})
+    out = comparison_points(outcomes, judged, specs).join(told, "id", "left").withColumns(
+        {"lo": F.coalesce("lo", "_lo"), "hi": F.coalesce("hi", "_hi")}
+    )
     return out.withColumn("separated", stats.separated(F.col("lo"), F.col("hi"))).drop("_lo", "_hi")
 
 
-def published_comparisons(outcomes: DataFrame, judged: DataFrame, specs=COMPARISONS, replicates: int = stats.REPLICATES) -> DataFrame:
+def published_comparisons(
+    outcomes: DataFrame, judged: DataFrame, specs=COMPARISONS, replicates: int = stats.REPLICATES
+) -> DataFrame:
     """``(id, frac, diff, lo, hi, idx_sha, n, separated)`` by the published index streams, for series of up to ``stats.EXACT_ROWS`` pairs."""
     pairs = comparison_pairs(paired_series(outcomes, judged), specs)
     keys = ["id", "frac"]
     means = stats.paired_bootstrap(pairs.where("quantity <> 'p99'"), keys, "x", "y", "idx", "seed", "mean", replicates)
-    return means.unionByName(stats.paired_bootstrap(pairs.where("quantity = 'p99'"), keys, "x", "y", "idx", "seed", "p99", replicates))
+    return means.unionByName(
+        stats.paired_bootstrap(pairs.where("quantity = 'p99'"), keys, "x", "y", "idx", "seed", "p99", replicates)
+    )
 
 
 def reconcile_exact(replay: DataFrame, cache_run: DataFrame, by: str = "frac") -> DataFrame:
     """Exact hits that the replay makes available, those a cache run observed, and those its semantic tier absorbed."""
     available = replay.where("is_hit").select(by, "idx")
     seen = cache_run.select(by, "idx", "kind")
-    return available.join(seen, [by, "idx"], "left").groupBy(by).agg(F.count(F.lit(1)).alias("available"), F.count_if(F.col("kind") == "cache_exact").alias("observed"), F.count_if(F.coalesce(F.col("kind"), F.lit("")) != "cache_exact").alias("absorbed"))
+    return available.join(seen, [by, "idx"], "left").groupBy(by).agg(
+        F.count(F.lit(1)).alias("available"),
+        F.count_if(F.col("kind") == "cache_exact").alias("observed"),
+        F.count_if(F.coalesce(F.col("kind"), F.lit("")) != "cache_exact").alias("absorbed"),
+    )

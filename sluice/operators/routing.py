@@ -35,10 +35,19 @@ def cost_usd(tokens_in: Column, tokens_out: Column, price_in: Column | float, pr
 
 def priced(rows: DataFrame, prices: dict[str, tuple[float, float]], model: str = "model") -> DataFrame:
     """Add ``cost_usd`` by each row's model; a model without a price fails the query. The price table is a literal."""
-    table = F.create_map(*[x for m, (a, b) in prices.items() for x in (F.lit(m), F.struct(F.lit(a).alias("i"), F.lit(b).alias("o")))])
+    table = F.create_map(
+        *[x for m, (a, b) in prices.items() for x in (F.lit(m), F.struct(F.lit(a).alias("i"), F.lit(b).alias("o")))]
+    )
     price = F.try_element_at(table, F.col(model))
-    known = F.when(price.isNull(), F.raise_error(F.concat(F.lit("no price for model "), F.coalesce(F.col(model), F.lit("null")))).cast("struct<i:double,o:double>")).otherwise(price)
-    return rows.withColumn("_price", known).withColumn("cost_usd", cost_usd(F.col("tokens_in"), F.col("tokens_out"), F.col("_price.i"), F.col("_price.o"))).drop("_price")
+    known = F.when(
+        price.isNull(),
+        F.raise_error(
+            F.concat(F.lit("no price for model "), F.coalesce(F.col(model), F.lit("null")))
+        ).cast("struct<i:double,o:double>")
+    ).otherwise(price)
+    return rows.withColumn("_price", known).withColumn(
+        "cost_usd", cost_usd(F.col("tokens_in"), F.col("tokens_out"), F.col("_price.i"), F.col("_price.o"))
+    ).drop("_price")
 
 
 def dispatch(rows: DataFrame) -> DataFrame:
@@ -49,10 +58,17 @@ def dispatch(rows: DataFrame) -> DataFrame:
     """
     hit = F.col("hit_kind").isin("cache_exact", "cache_semantic") & (F.col("config") != "baseline")
     both = (F.col("config") == "router_cascade") & F.col("escalate")
-    cheap = ((F.col("config") == "router_cascade") & ~F.col("escalate")) | ((F.col("config") == "router_heuristic") & ~F.col("hard"))
-    out = {"kind": F.when(F.col("config") == "baseline", "model_direct").when(hit, F.col("hit_kind")).otherwise("miss"), "served_by": F.when(hit, F.col("stored_by")).when(cheap, "cheap").otherwise("expensive")}
+    cheap = (
+        (F.col("config") == "router_cascade") & ~F.col("escalate")
+    ) | ((F.col("config") == "router_heuristic") & ~F.col("hard"))
+    out = {
+        "kind": F.when(F.col("config") == "baseline", "model_direct").when(hit, F.col("hit_kind")).otherwise("miss"),
+        "served_by": F.when(hit, F.col("stored_by")).when(cheap, "cheap").otherwise("expensive"),
+    }
     for x, name in (("in", "tokens_in"), ("out", "tokens_out"), ("ms", "model_ms")):
-        out[name] = F.when(hit, 0).when(both, F.col(f"cheap_{x}") + F.col(f"dear_{x}")).when(cheap, F.col(f"cheap_{x}")).otherwise(F.col(f"dear_{x}"))
+        out[name] = F.when(hit, 0).when(
+            both, F.col(f"cheap_{x}") + F.col(f"dear_{x}")
+        ).when(cheap, F.col(f"cheap_{x}")).otherwise(F.col(f"dear_{x}"))
     return rows.withColumns(out)
 
 
@@ -60,7 +76,12 @@ def retry_blank(first: Column, second: Column) -> Column:
     """A completion asked again with twice the budget where the first was blank; both calls are billed. Structs of ``text, tokens_in, tokens_out, ms``."""
     again = is_blank(first["text"])
     add = lambda c: F.when(again, first[c] + second[c]).otherwise(first[c]).alias(c)
-    return F.struct(F.when(again, second["text"]).otherwise(first["text"]).alias("text"), add("tokens_in"), add("tokens_out"), add("ms"))
+    return F.struct(
+        F.when(again, second["text"]).otherwise(first["text"]).alias("text"),
+        add("tokens_in"),
+        add("tokens_out"),
+        add("ms"),
+    )
 
 
 def complete(rows: DataFrame, provider, request: str = "request") -> DataFrame:
@@ -73,5 +94,7 @@ def complete(rows: DataFrame, provider, request: str = "request") -> DataFrame:
             got = ask(list(part[request]))
             yield part.assign(**pd.DataFrame(got, columns=["answer_text", "tokens_in", "tokens_out"], index=part.index))
 
-    return rows.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "answer_text string, tokens_in long, tokens_out long"]))
+    return rows.mapInPandas(
+        run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "answer_text string, tokens_in long, tokens_out long"])
+    )
 

@@ -19,7 +19,9 @@ def split_groups(rows: DataFrame, group: str, share: float = 0.5, seed: int = 7)
 
     The cut is the n-th hash: counts of 65536 ranges of hashes say in which range it lies, and only that range is ordered.
     """
-    groups = rows.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_h", hash_rank_key(seed, F.col(group)))
+    groups = rows.select(group).where(F.col(group).isNotNull()).distinct().withColumn(
+        "_h", hash_rank_key(seed, F.col(group))
+    )
     groups = groups.withColumn("_b", F.substring("_h", 1, 4))
     n = int(groups.count() * share)
     counts = groups.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
@@ -27,7 +29,9 @@ def split_groups(rows: DataFrame, group: str, share: float = 0.5, seed: int = 7)
     at = counts.withColumn("_before", before).where((F.col("_before") < n) & (F.col("_before") + F.col("_c") >= n))  # one row
     nth = groups.join(F.broadcast(at), "_b").withColumn("_r", F.row_number().over(Window.orderBy("_h")))
     edge = nth.where(F.col("_r") == n - F.col("_before")).agg(F.max("_h").alias("edge"))
-    told = groups.crossJoin(F.broadcast(edge)).select(group, F.when(F.col("_h") <= F.col("edge"), "tune").otherwise("report").alias("half"))  # edge is one row
+    told = groups.crossJoin(F.broadcast(edge)).select(  # edge is one row
+        group, F.when(F.col("_h") <= F.col("edge"), "tune").otherwise("report").alias("half")
+    )
     return rows.join(told, group)
 
 
@@ -47,7 +51,9 @@ def write_fractions(parts: dict[str, DataFrame], path: str, meta: dict) -> None:
     from ..sources.tables import write_json
 
     for frac, rows in parts.items():
-        rows.withColumn("frac", F.lit(frac)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("frac").parquet(f"{path}/workload")
+        rows.withColumn("frac", F.lit(frac)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("frac").parquet(f"{path}/workload")
     write_json(next(iter(parts.values())).sparkSession, f"{path}/meta.json", meta)
 
 
@@ -61,7 +67,10 @@ def exact_repeats(novel: DataFrame, draws: DataFrame, seed: int, order: str = "i
     if n == 0:
         raise ValueError("no novel rows to repeat")
     rank = numbered(novel, order, "_at")
-    at = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("draw")), 256), 1, 8), 16, 10).cast("long"), F.lit(n))
+    at = F.pmod(
+        F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("draw")), 256), 1, 8), 16, 10).cast("long"),
+        F.lit(n),
+    )
     return draws.withColumn("_at", at).join(rank, "_at").drop("_at")
 
 
@@ -72,8 +81,12 @@ def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
 
     part = cut_lineage(part.withColumn("_m", F.monotonically_increasing_id()))
     counts = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_f"))
-    start = counts.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
-    return part.join(F.broadcast(start), "_p").withColumn(name, F.col("_s") + F.col("_m") - F.col("_f")).drop("_p", "_m", "_c", "_f", "_s")
+    start = counts.withColumn(  # a row for each partition
+        "_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    return part.join(F.broadcast(start), "_p").withColumn(
+        name, F.col("_s") + F.col("_m") - F.col("_f")
+    ).drop("_p", "_m", "_c", "_f", "_s")
 
 
 def anchors(workload: DataFrame, by: tuple[str, ...] = ("frac",)) -> DataFrame:
@@ -86,7 +99,9 @@ def follower_order(workload: DataFrame, seed: int, by: tuple[str, ...] = ("frac"
     """Add ``rank_key``: an order by hash in which no follower comes before its anchor."""
     own = hash_rank_key(seed, F.col("idx"))
     anchor = workload.where("dup_type = 'novel'").groupBy(*by, "group_id").agg(F.max(own).alias("_a"))
-    later = F.when(F.col("dup_type") == "novel", F.concat(own, F.lit("0"))).otherwise(F.concat(F.greatest(own, F.coalesce("_a", own)), F.lit("1"), own))
+    later = F.when(F.col("dup_type") == "novel", F.concat(own, F.lit("0"))).otherwise(
+        F.concat(F.greatest(own, F.coalesce("_a", own)), F.lit("1"), own)
+    )
     return workload.join(anchor, [*by, "group_id"], "left").withColumn("rank_key", later).drop("_a")
 
 
@@ -100,10 +115,29 @@ def build(pairs: DataFrame, n: int, paraphrases: float, traps: float, exact: flo
     novel = n - p - t - e
     if novel < p + t:
         raise ValueError("too few novel rows for the followers")
-    same, other = sample(pairs.where("label = 1").dropDuplicates(["sentence1"]), p, seed, "id"), sample(pairs.where("label = 0").dropDuplicates(["sentence1"]), t, seed + 1, "id")
-    taken = same.select("id", "sentence1", "sentence2", F.lit("paraphrase").alias("d")).unionByName(other.join(same.select("sentence1"), "sentence1", "left_anti").select("id", "sentence1", "sentence2", F.lit("trap").alias("d")))
-    rest = sample(pairs.join(taken.select("sentence1"), "sentence1", "left_anti").dropDuplicates(["sentence1"]), novel - p - t, seed + 2, "id")
-    base = numbered(taken.select("sentence1", "sentence2", "d", "id").unionByName(rest.select("sentence1", F.lit(None).cast("string").alias("sentence2"), F.lit(None).cast("string").alias("d"), "id")), "id", "g").withColumn("group_id", group_name(F.col("g")))
+    same, other = sample(pairs.where("label = 1").dropDuplicates(["sentence1"]), p, seed, "id"), sample(
+        pairs.where("label = 0").dropDuplicates(["sentence1"]), t, seed + 1, "id"
+    )
+    taken = same.select("id", "sentence1", "sentence2", F.lit("paraphrase").alias("d")).unionByName(
+        other.join(same.select("sentence1"), "sentence1", "left_anti").select(
+            "id", "sentence1", "sentence2", F.lit("trap").alias("d")
+        )
+    )
+    rest = sample(
+        pairs.join(taken.select("sentence1"), "sentence1", "left_anti").dropDuplicates(["sentence1"]),
+        novel - p - t,
+        seed + 2,
+        "id",
+    )
+    base = numbered(
+        taken.select("sentence1", "sentence2", "d", "id").unionByName(
+            rest.select(
+                "sentence1", F.lit(None).cast("string").alias("sentence2"), F.lit(None).cast("string").alias("d"), "id"
+            )
+        ),
+        "id",
+        "g",
+    ).withColumn("group_id", group_name(F.col("g")))
     have = base.count()
     if have < novel:
         raise ValueError(f"{have} distinct anchors for {novel} novel rows")
@@ -111,10 +145,18 @@ def build(pairs: DataFrame, n: int, paraphrases: float, traps: float, exact: flo
     after = base.where("d IS NOT NULL").select(F.col("sentence2").alias("s"), F.col("d").alias("dup_type"), "group_id")
     draws = pairs.sparkSession.range(e).select(F.col("id").alias("draw"))
     again = exact_repeats(first, draws, seed + 3, "group_id").select("s", F.lit("exact").alias("dup_type"), "group_id")
-    rows = numbered(first.unionByName(after).unionByName(again).withColumn("_k", F.concat("group_id", "dup_type", "s")), "_k", "idx").withColumn("frac", F.lit(frac))
+    rows = numbered(
+        first.unionByName(after).unionByName(again).withColumn("_k", F.concat("group_id", "dup_type", "s")), "_k", "idx"
+    ).withColumn("frac", F.lit(frac))
     ranked = follower_order(rows, seed + 4).drop("idx")
     out = numbered(ranked, "rank_key", "idx")
-    return out.select("frac", F.col("idx").cast("long").alias("idx"), request_text(F.col("s")).alias("request"), "dup_type", "group_id")
+    return out.select(
+        "frac",
+        F.col("idx").cast("long").alias("idx"),
+        request_text(F.col("s")).alias("request"),
+        "dup_type",
+        "group_id",
+    )
 
 
 def user_text(turns: DataFrame) -> DataFrame:
@@ -122,11 +164,19 @@ def user_text(turns: DataFrame) -> DataFrame:
 
     A conversation is bounded by what one request can hold, so its turns are gathered.
     """
-    own = turns.where("role = 'user' AND text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    out = own.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.btrim(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), F.lit(" \t\r\n")).alias("text"))
+    own = turns.where("role = 'user' AND text IS NOT NULL").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")
+    )
+    out = own.select(
+        "conv_id",
+        F.size("t").cast("long").alias("n_turns"),
+        F.btrim(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), F.lit(" \t\r\n")).alias("text"),
+    )
     return out.where("text <> ''")
 
 
 def last_answer(turns: DataFrame) -> DataFrame:
     """The assistant's last turn of each conversation."""
-    return turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("a")).select("conv_id", "a.turn", "a.text")
+    return turns.where("role = 'assistant'").groupBy("conv_id").agg(
+        F.max_by(F.struct("turn", "text"), "turn").alias("a")
+    ).select("conv_id", "a.turn", "a.text")

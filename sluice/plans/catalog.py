@@ -85,13 +85,19 @@ def false_hit_wilson_strict(spark, d):
 
 @query(f"WITH {SQL} SELECT seq, config, frac, tokens_in, tokens_out, round(cost_usd, 9) AS cost_usd FROM o")
 def cost_ledger(spark, d):
-    rows = surrogate.outcomes(spark, d).select("seq", "config", "frac", "tokens_in", "tokens_out", F.lit("flash").alias("model"))
+    rows = surrogate.outcomes(spark, d).select(
+        "seq", "config", "frac", "tokens_in", "tokens_out", F.lit("flash").alias("model")
+    )
     return rounded(routing.priced(rows, surrogate.PRICES).drop("model"), 9)
 
 
 @query(f"WITH {SQL} SELECT config, served_by, count(*)::BIGINT AS n, round(sum(cost_usd), 6) AS cost_usd FROM ok GROUP BY ALL")
 def cost_by_tier(spark, d):
-    return rounded(metrics.succeeded(surrogate.outcomes(spark, d)).groupBy("config", "served_by").agg(F.count(F.lit(1)).alias("n"), F.sum("cost_usd").alias("cost_usd")))
+    return rounded(
+        metrics.succeeded(surrogate.outcomes(spark, d)).groupBy("config", "served_by").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("cost_usd").alias("cost_usd")
+        )
+    )
 
 
 @query(f"WITH {SQL}, {WARM} SELECT config, frac, {PCT} FROM warm GROUP BY ALL")
@@ -106,12 +112,16 @@ def latency_log_histogram(spark, d):
 
 @query(f"WITH {SQL} SELECT config, frac, arg_min(latency_ms, seq) AS first_latency_ms FROM ok GROUP BY ALL")
 def first_latency(spark, d):
-    return metrics.succeeded(surrogate.outcomes(spark, d)).groupBy("config", "frac").agg(F.min_by("latency_ms", "seq").alias("first_latency_ms"))
+    return metrics.succeeded(surrogate.outcomes(spark, d)).groupBy("config", "frac").agg(
+        F.min_by("latency_ms", "seq").alias("first_latency_ms")
+    )
 
 
 @query(f"WITH {SQL} SELECT config, frac, error IS NOT NULL AS failed, kind, count(*)::BIGINT AS n FROM o GROUP BY ALL")
 def kind_mix(spark, d):
-    return surrogate.outcomes(spark, d).groupBy("config", "frac", text.has_error(F.col("error")).alias("failed"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    return surrogate.outcomes(spark, d).groupBy(
+        "config", "frac", text.has_error(F.col("error")).alias("failed"), "kind"
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 NORM = r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))"
@@ -119,17 +129,23 @@ NORM = r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))
 
 @query(f"SELECT doc_id AS idx, sha256({NORM}) AS key_sha, length(text)::BIGINT AS n_chars FROM documents")
 def exact_key_normalize(spark, d):
-    return surrogate.requests(spark, d).select("idx", F.sha2("norm_key", 256).alias("key_sha"), F.length("request").cast("long").alias("n_chars"))
+    return surrogate.requests(spark, d).select(
+        "idx", F.sha2("norm_key", 256).alias("key_sha"), F.length("request").cast("long").alias("n_chars")
+    )
 
 
 @query(f"WITH k AS (SELECT doc_id AS idx, {NORM} AS norm_key FROM documents), f AS (SELECT norm_key, min(idx) AS first_idx FROM k GROUP BY 1) SELECT idx, coalesce(idx > first_idx, false) AS is_hit, CASE WHEN idx > first_idx THEN first_idx END AS hit_source_idx FROM k LEFT JOIN f USING (norm_key) WHERE norm_key <> ''")
 def exact_only_replay(spark, d):
     rows = surrogate.requests(spark, d).where("norm_key <> ''")
-    return cache.seen_earlier(rows, "norm_key", "idx").select("idx", F.col("seen").alias("is_hit"), F.when(F.col("seen"), F.col("first_idx")).alias("hit_source_idx"))
+    return cache.seen_earlier(rows, "norm_key", "idx").select(
+        "idx", F.col("seen").alias("is_hit"), F.when(F.col("seen"), F.col("first_idx")).alias("hit_source_idx")
+    )
 
 
 def _replay(spark, d) -> DataFrame:
-    base = surrogate.outcomes(spark, d).where("config = 'baseline'").withColumn("norm_key", text.normalize_exact(F.col("request")))
+    base = surrogate.outcomes(spark, d).where("config = 'baseline'").withColumn(
+        "norm_key", text.normalize_exact(F.col("request"))
+    )
     return cache.exact_replay(base)
 
 
@@ -148,11 +164,15 @@ def exact_replay_summary(spark, d):
 @query(f"""WITH {SQL}, {REPLAY}, c AS (SELECT frac, idx, kind FROM ok WHERE config = 'cache')
 SELECT frac, count(*)::BIGINT AS available, count(*) FILTER (WHERE c.kind = 'cache_exact')::BIGINT AS observed, count(*) FILTER (WHERE coalesce(c.kind, '') <> 'cache_exact')::BIGINT AS absorbed FROM rp LEFT JOIN c USING (frac, idx) WHERE is_hit GROUP BY frac""")
 def exact_hit_reconciliation(spark, d):
-    return metrics.reconcile_exact(_replay(spark, d), metrics.succeeded(surrogate.outcomes(spark, d)).where("config = 'cache'"))
+    return metrics.reconcile_exact(
+        _replay(spark, d), metrics.succeeded(surrogate.outcomes(spark, d)).where("config = 'cache'")
+    )
 
 
 def _has(col: str, phrases) -> str:
-    return "(" + " OR ".join("contains(replace(lower({}), 'ß', 'ss'), '{}')".format(col, p.replace("'", "''")) for p in phrases) + ")"
+    return "(" + " OR ".join(
+        "contains(replace(lower({}), 'ß', 'ss'), '{}')".format(col, p.replace("'", "''")) for p in phrases
+    ) + ")"
 
 
 _CUE = f"coalesce({_has('text', text.CUES)}, false)"
@@ -161,12 +181,16 @@ ROUTE = f"SELECT doc_id AS idx, coalesce(length(text) > 240, false) OR {_CUE} AS
 
 @query(f"SELECT idx, hard, reason FROM ({ROUTE})")
 def heuristic_route(spark, d):
-    return surrogate.requests(spark, d).select("idx", routing.heuristic(F.col("request")).alias("r")).select("idx", "r.hard", "r.reason")
+    return surrogate.requests(spark, d).select(
+        "idx", routing.heuristic(F.col("request")).alias("r")
+    ).select("idx", "r.hard", "r.reason")
 
 
 @query(f"SELECT lang, hard, count(*)::BIGINT AS n FROM ({ROUTE}) GROUP BY ALL")
 def route_mix(spark, d):
-    return surrogate.requests(spark, d).select("lang", routing.heuristic(F.col("request"))["hard"].alias("hard")).groupBy("lang", "hard").agg(F.count(F.lit(1)).alias("n"))
+    return surrogate.requests(spark, d).select(
+        "lang", routing.heuristic(F.col("request"))["hard"].alias("hard")
+    ).groupBy("lang", "hard").agg(F.count(F.lit(1)).alias("n"))
 
 
 _BLANK = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = ''"
@@ -178,7 +202,9 @@ _ESC = f"({_BLANK}) OR coalesce({_has('text', text.DOUBTS)}, false)"
 @query(f"SELECT conv_id, turn::BIGINT AS turn, {_ESC} AS escalate, CASE WHEN {_ESC} THEN 'cheap answer uncertain or empty' ELSE 'cheap answer confident' END AS reason FROM conversations WHERE role = 'assistant'")
 def cascade_route(spark, d):
     turns = load(spark, d, "conversations").where("role = 'assistant'")
-    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), routing.cascade_reason(F.col("text")).alias("r")).select("conv_id", "turn", "r.*")
+    return turns.select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), routing.cascade_reason(F.col("text")).alias("r")
+    ).select("conv_id", "turn", "r.*")
 
 
 DISPATCH = f"""d AS (SELECT config, frac, CASE WHEN config = 'baseline' THEN 'model_direct' WHEN kind IN ('cache_exact', 'cache_semantic') THEN kind ELSE 'miss' END AS k, served_by, user_hard AS hard, user_esc AS escalate, tokens_in, tokens_out FROM (SELECT *, seq % 3 = 0 AS user_hard, seq % 5 = 0 AS user_esc FROM ok))"""
@@ -191,9 +217,31 @@ DISPATCH = f"""d AS (SELECT config, frac, CASE WHEN config = 'baseline' THEN 'mo
 SELECT config, frac, kind, served_by, count(*)::BIGINT AS n, sum(ti)::BIGINT AS tokens_in, sum(tk)::BIGINT AS tokens_out, round(sum(ti / 1e6 * 1.5e0 + tk / 1e6 * 6e0), 6) AS cost_usd FROM e GROUP BY ALL""")
 def router_cost_comparison(spark, d):
     o = metrics.succeeded(surrogate.outcomes(spark, d))
-    ready = o.select("config", "frac", F.col("kind").alias("hit_kind"), F.col("served_by").alias("stored_by"), (F.col("seq") % 3 == 0).alias("hard"), (F.col("seq") % 5 == 0).alias("escalate"), F.col("tokens_in").alias("cheap_in"), F.expr("tokens_out div 2").alias("cheap_out"), F.col("latency_ms").alias("cheap_ms"), F.col("tokens_in").alias("dear_in"), F.col("tokens_out").alias("dear_out"), F.col("latency_ms").alias("dear_ms"))
-    out = routing.dispatch(ready).withColumn("cost_usd", routing.cost_usd(F.col("tokens_in"), F.col("tokens_out"), 1.5, 6.0))
-    return rounded(out.groupBy("config", "frac", "kind", "served_by").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens_in").cast("long").alias("tokens_in"), F.sum("tokens_out").cast("long").alias("tokens_out"), F.sum("cost_usd").alias("cost_usd")))
+    ready = o.select(
+        "config",
+        "frac",
+        F.col("kind").alias("hit_kind"),
+        F.col("served_by").alias("stored_by"),
+        (F.col("seq") % 3 == 0).alias("hard"),
+        (F.col("seq") % 5 == 0).alias("escalate"),
+        F.col("tokens_in").alias("cheap_in"),
+        F.expr("tokens_out div 2").alias("cheap_out"),
+        F.col("latency_ms").alias("cheap_ms"),
+        F.col("tokens_in").alias("dear_in"),
+        F.col("tokens_out").alias("dear_out"),
+        F.col("latency_ms").alias("dear_ms"),
+    )
+    out = routing.dispatch(ready).withColumn(
+        "cost_usd", routing.cost_usd(F.col("tokens_in"), F.col("tokens_out"), 1.5, 6.0)
+    )
+    return rounded(
+        out.groupBy("config", "frac", "kind", "served_by").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("tokens_in").cast("long").alias("tokens_in"),
+            F.sum("tokens_out").cast("long").alias("tokens_out"),
+            F.sum("cost_usd").alias("cost_usd"),
+        )
+    )
 
 
 VEC = "v AS (SELECT vec_id AS idx, embedding::DOUBLE[] AS x, vec_id % 4 = 2 AS should_hit FROM embeddings)"
@@ -202,7 +250,9 @@ BEST = f"{VEC}, p AS (SELECT a.idx, max(list_dot_product(a.x, b.x)) AS best FROM
 
 def _best(spark, d) -> DataFrame:
     v = surrogate.vectors(spark, d)
-    return cache.prefix_best(v).join(v.select("idx", (F.col("dup_type") == "paraphrase").alias("should_hit"), F.lit(True).alias("eligible")), "idx")
+    return cache.prefix_best(v).join(
+        v.select("idx", (F.col("dup_type") == "paraphrase").alias("should_hit"), F.lit(True).alias("eligible")), "idx"
+    )
 
 
 @query(f"WITH {BEST} SELECT idx, round(best, 6) AS best FROM best")
@@ -279,12 +329,16 @@ f AS (SELECT unnest(stored) AS idx FROM (SELECT stored FROM g ORDER BY rn DESC L
 h AS (SELECT e.a AS idx, max(s) AS s, arg_max(e.b, s) AS src FROM e JOIN f ON f.idx = e.b WHERE e.a NOT IN (SELECT idx FROM f) GROUP BY 1)"""
 
 
-@query(GREEDY + " SELECT v.idx, CASE WHEN h.idx IS NULL THEN 'miss' ELSE 'cache_semantic' END AS kind, round(h.s, 6) AS similarity, h.src AS hit_source_idx FROM v LEFT JOIN h USING (idx)")
+@query(
+    GREEDY + " SELECT v.idx, CASE WHEN h.idx IS NULL THEN 'miss' ELSE 'cache_semantic' END AS kind, round(h.s, 6) AS similarity, h.src AS hit_source_idx FROM v LEFT JOIN h USING (idx)"
+)
 def greedy_cache_decisions(spark, d):
     return rounded(cache.greedy_cache(surrogate.vectors(spark, d), THRESHOLD))
 
 
-@query(GREEDY + f", p AS (SELECT count(DISTINCT a) AS n FROM e) SELECT (SELECT n FROM p)::BIGINT AS prefix_hits, (SELECT count(*) FROM h)::BIGINT AS live_hits")
+@query(
+    GREEDY + f", p AS (SELECT count(DISTINCT a) AS n FROM e) SELECT (SELECT n FROM p)::BIGINT AS prefix_hits, (SELECT count(*) FROM h)::BIGINT AS live_hits"
+)
 def prefix_vs_live_gap(spark, d):
     v = surrogate.vectors(spark, d)
     live = cache.greedy_cache(v, THRESHOLD).agg(F.count_if(F.col("kind") != "miss").alias("live_hits"))
@@ -293,7 +347,9 @@ def prefix_vs_live_gap(spark, d):
 
 @query(f"WITH k AS (SELECT doc_id AS idx, {NORM} AS norm_key, doc_id % 4 = 2 AS para FROM documents), f AS (SELECT norm_key, min(idx) AS first_idx FROM k GROUP BY 1) SELECT idx, NOT coalesce(idx > first_idx, false) AS eligible, para AND NOT coalesce(idx > first_idx, false) AS should_hit FROM k LEFT JOIN f USING (norm_key)")
 def replay_labels(spark, d):
-    rows = surrogate.requests(spark, d).withColumn("dup_type", F.when(F.col("idx") % 4 == 2, "paraphrase").otherwise("novel"))
+    rows = surrogate.requests(spark, d).withColumn(
+        "dup_type", F.when(F.col("idx") % 4 == 2, "paraphrase").otherwise("novel")
+    )
     return tuning.replay_labels(rows).select("idx", "eligible", "should_hit")
 
 
@@ -322,7 +378,11 @@ def _kappa(rows: str) -> str:
 
 @query("WITH " + _kappa("SELECT quality AS a, 1 - toxic AS b FROM labels"))
 def kappa_labels(spark, d):
-    return rounded(agreement.kappa(load(spark, d, "labels").select("quality", (1 - F.col("toxic")).alias("good")), "quality", "good"))
+    return rounded(
+        agreement.kappa(
+            load(spark, d, "labels").select("quality", (1 - F.col("toxic")).alias("good")), "quality", "good"
+        )
+    )
 
 
 @query(f"WITH {SQL}, " + _kappa("SELECT judge1_score AS a, judge2_score AS b FROM j"))
@@ -337,12 +397,18 @@ def contingency(spark, d):
 
 @query("SELECT count(quality)::BIGINT AS filled, count(*)::BIGINT AS total, round(count(quality)::DOUBLE / count(*), 6) AS coverage, count(quality)::DOUBLE / count(*) >= 5e-1 AS enough FROM documents LEFT JOIN labels USING (doc_id)")
 def label_coverage(spark, d):
-    return rounded(agreement.coverage(load(spark, d, "documents").select("doc_id").join(load(spark, d, "labels"), "doc_id", "left"), "quality"))
+    return rounded(
+        agreement.coverage(
+            load(spark, d, "documents").select("doc_id").join(load(spark, d, "labels"), "doc_id", "left"), "quality"
+        )
+    )
 
 
 @query("SELECT doc_id, CASE quality WHEN 1 THEN 'partial' WHEN 0 THEN 'incorrect' END AS label FROM labels")
 def label_normalize(spark, d):
-    return load(spark, d, "labels").select("doc_id", text.normalize_label(F.col("quality").cast("double").cast("string")).alias("label"))
+    return load(spark, d, "labels").select(
+        "doc_id", text.normalize_label(F.col("quality").cast("double").cast("string")).alias("label")
+    )
 
 
 _TIER = "CASE WHEN kind = 'cache_semantic' AND judge1_score = 0 THEN 1 WHEN judge1_score <> judge2_score THEN 2 WHEN config = 'router_cascade' AND served_by = 'expensive' THEN 3 ELSE 4 END::BIGINT AS priority"
@@ -355,7 +421,11 @@ def triage_queue(spark, d):
 
 @query(f"WITH {SQL}, t AS (SELECT {_TIER} FROM j) SELECT p::BIGINT AS priority, count(t.priority)::BIGINT AS n FROM unnest([1, 2, 3, 4]) u(p) LEFT JOIN t ON t.priority = p GROUP BY ALL")
 def tier_counts(spark, d):
-    return _long(agreement.tier_counts(agreement.triage(surrogate.judgements(spark, d), surrogate.outcomes(spark, d), limit=None)))
+    return _long(
+        agreement.tier_counts(
+            agreement.triage(surrogate.judgements(spark, d), surrogate.outcomes(spark, d), limit=None)
+        )
+    )
 
 
 _A, _B = _wilson("k_a", "n_a"), _wilson("k_b", "n_b")
@@ -367,12 +437,16 @@ w AS (SELECT a.frac, a.k AS k_a, a.n AS n_a, b.k AS k_b, b.n AS n_b FROM r a JOI
 i AS (SELECT *, {_Q2} - {_P} AS diff, {_Q2} - {_P} - sqrt(pow({_Q2} - {_B[0]}, 2) + pow({_A[1]} - {_P}, 2)) AS lo, {_Q2} - {_P} + sqrt(pow({_B[1]} - {_Q2}, 2) + pow({_P} - {_A[0]}, 2)) AS hi FROM w)
 SELECT frac, k_a, n_a, k_b, n_b, round(diff, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, lo > 0 OR hi < 0 AS separated FROM i""")
 def newcombe_diff(spark, d):
-    return rounded(metrics.newcombe_rates(metrics.hit_rates(surrogate.outcomes(spark, d)), "router_cascade", "router_heuristic"))
+    return rounded(
+        metrics.newcombe_rates(metrics.hit_rates(surrogate.outcomes(spark, d)), "router_cascade", "router_heuristic")
+    )
 
 
 @query(f"WITH {SQL} SELECT a.frac, count(*)::BIGINT AS n_shared, round(avg(a.cost_usd), 9) AS mean_a, round(avg(b.cost_usd), 9) AS mean_b, round(avg(a.cost_usd - b.cost_usd), 9) AS diff FROM ok a JOIN ok b ON a.config = 'cache' AND b.config = 'baseline' AND a.frac = b.frac AND a.idx = b.idx GROUP BY 1")
 def paired_difference(spark, d):
-    return rounded(metrics.paired_difference(metrics.succeeded(surrogate.outcomes(spark, d)), "cache", "baseline", "cost_usd"), 9)
+    return rounded(
+        metrics.paired_difference(metrics.succeeded(surrogate.outcomes(spark, d)), "cache", "baseline", "cost_usd"), 9
+    )
 
 
 def _gates(spark, d, grid=GRID, draws=_DRAWS) -> DataFrame:
@@ -380,8 +454,16 @@ def _gates(spark, d, grid=GRID, draws=_DRAWS) -> DataFrame:
     m = metrics.succeeded(o).groupBy("config", "frac").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
     best = tables.cut_lineage(_best(spark, d))  # the similarity join runs once
     swept = tuning.sweep(best, grid)
-    cover = agreement.coverage(load(spark, d, "documents").select("doc_id").join(load(spark, d, "labels"), "doc_id", "left"), "quality")
-    return gates.gate_table(gates.cost_gates(m), gates.false_hit_gates(metrics.false_hits(j, o)), gates.tuned_gate(tuning.best_f1(swept), tuning.control(best, draws)), gates.coverage_gate(cover), gates.independence_gate(agreement.kappa(j, "judge1_score", "judge2_score"), "judge-one", "judge-one"))
+    cover = agreement.coverage(
+        load(spark, d, "documents").select("doc_id").join(load(spark, d, "labels"), "doc_id", "left"), "quality"
+    )
+    return gates.gate_table(
+        gates.cost_gates(m),
+        gates.false_hit_gates(metrics.false_hits(j, o)),
+        gates.tuned_gate(tuning.best_f1(swept), tuning.control(best, draws)),
+        gates.coverage_gate(cover),
+        gates.independence_gate(agreement.kappa(j, "judge1_score", "judge2_score"), "judge-one", "judge-one"),
+    )
 
 
 GATES = f"""WITH {SQL}, {_SEM}, b AS (SELECT config, frac, count(*) AS k FROM j WHERE NOT identical AND judge1_score = 0 AND dup_type IN ('paraphrase', 'trap') GROUP BY ALL), fr AS ({_FALSE}),
@@ -401,7 +483,9 @@ def gate_table(spark, d):
     return _gates(spark, d)
 
 
-@query(GATES + " SELECT bool_and(passed) AS all_gates_passed, count(*)::BIGINT AS n_gates, count(*) FILTER (WHERE passed)::BIGINT AS n_passed FROM gt")
+@query(
+    GATES + " SELECT bool_and(passed) AS all_gates_passed, count(*)::BIGINT AS n_gates, count(*) FILTER (WHERE passed)::BIGINT AS n_passed FROM gt"
+)
 def all_gates(spark, d):
     return gates.summary(_gates(spark, d))
 
@@ -414,7 +498,9 @@ def gate_table_full(spark, d):
     return _gates(spark, d, FULL_GRID, _FULL_DRAWS)
 
 
-@query(FULL_GATES + " SELECT bool_and(passed) AS all_gates_passed, count(*)::BIGINT AS n_gates, count(*) FILTER (WHERE passed)::BIGINT AS n_passed FROM gt")
+@query(
+    FULL_GATES + " SELECT bool_and(passed) AS all_gates_passed, count(*)::BIGINT AS n_gates, count(*) FILTER (WHERE passed)::BIGINT AS n_passed FROM gt"
+)
 def all_gates_full(spark, d):
     return gates.summary(_gates(spark, d, FULL_GRID, _FULL_DRAWS))
 
@@ -423,7 +509,12 @@ _SPLIT = "g AS (SELECT DISTINCT substr(md5(text), 1, 2) AS grp FROM documents WH
 
 
 def _split(spark, d):
-    return workload.split_groups(load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 2).alias("grp")), "grp")
+    return workload.split_groups(
+        load(spark, d, "documents").where("text IS NOT NULL").select(
+            "doc_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 2).alias("grp")
+        ),
+        "grp",
+    )
 
 
 @query(f"WITH {_SPLIT} SELECT doc_id, grp, half FROM documents JOIN h ON grp = substr(md5(text), 1, 2)")
@@ -438,19 +529,31 @@ def split_balance(spark, d):
 
 @query("WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents), d AS (SELECT i AS draw, ('0x' || substr(sha256('11|' || i), 1, 8))::BIGINT AS h FROM range(1000) r(i)) SELECT draw, doc_id FROM d JOIN n ON pos = h % n")
 def exact_repeat_draw(spark, d):
-    return workload.exact_repeats(load(spark, d, "documents").select("doc_id"), spark.range(1000).select(F.col("id").alias("draw")), 11, "doc_id")
+    return workload.exact_repeats(
+        load(spark, d, "documents").select("doc_id"), spark.range(1000).select(F.col("id").alias("draw")), 11, "doc_id"
+    )
 
 
 @query("SELECT conv_id, turn::BIGINT AS turn FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY sha256('3|' || conv_id || '|' || turn), conv_id, turn) AS r FROM conversations WHERE role = 'user') WHERE r <= 100")
 def pair_sampling(spark, d):
-    return workload.sample(load(spark, d, "conversations").where("role = 'user'").select("conv_id", F.col("turn").cast("long").alias("turn")), 100, 3, "conv_id", "turn")
+    return workload.sample(
+        load(spark, d, "conversations").where("role = 'user'").select(
+            "conv_id", F.col("turn").cast("long").alias("turn")
+        ),
+        100,
+        3,
+        "conv_id",
+        "turn",
+    )
 
 
 @query(f"WITH {SQL}, a AS (SELECT frac, request, max(idx) AS anchor_idx FROM o WHERE config = 'cache' AND dup_type = 'novel' GROUP BY ALL) SELECT o.frac, o.idx, a.anchor_idx FROM o LEFT JOIN a ON a.frac = o.frac AND a.request = 'q' || (substr(o.request, 2)::BIGINT - substr(o.request, 2)::BIGINT % 4) WHERE config = 'cache' AND dup_type <> 'novel'")
 def dependency_order(spark, d):
     rows = surrogate.outcomes(spark, d).where("config = 'cache'")
     user = F.substring("group_id", 2, 18).cast("long")
-    return workload.anchors(rows.withColumn("group_id", text.group_name(user - user % 4))).select("frac", "idx", "anchor_idx")
+    return workload.anchors(
+        rows.withColumn("group_id", text.group_name(user - user % 4))
+    ).select("frac", "idx", "anchor_idx")
 
 
 @query("WITH u AS (SELECT conv_id, count(*)::BIGINT AS n_turns, trim(string_agg(text, chr(10) ORDER BY turn), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1) SELECT * FROM u WHERE text <> ''")
@@ -460,18 +563,26 @@ def chat_user_text(spark, d):
 
 @query("SELECT conv_id, max(turn)::BIGINT AS turn, arg_max(coalesce(text, chr(0)), turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1")
 def chat_last_answer(spark, d):
-    return _long(workload.last_answer(load(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("\0")))))
+    return _long(
+        workload.last_answer(load(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("\0"))))
+    )
 
 
 _REPLY = "(CASE conv_id % 4 WHEN 0 THEN 'Score: 2.' WHEN 1 THEN 'I give it 10 of 10, so 1!' WHEN 2 THEN '(0) wrong' ELSE 'x' || conv_id || 'y2z' END)"
 _TOKENS = r"list_filter(list_transform(regexp_split_to_array(reply, '\s+'), lambda w: trim(w, '.,:;!?()[]{}""''`')), lambda w: w IN ('0', '1', '2'))"
 
 
-@query(rf"WITH r AS (SELECT conv_id, turn::BIGINT AS turn, {_REPLY} AS reply FROM conversations) SELECT conv_id, turn, coalesce({_TOKENS}[1], nullif(regexp_extract(reply, '(^|[^0-9])([012])($|[^0-9])', 2), ''))::BIGINT AS score FROM r".replace('""', '"'))
+@query(
+    rf"WITH r AS (SELECT conv_id, turn::BIGINT AS turn, {_REPLY} AS reply FROM conversations) SELECT conv_id, turn, coalesce({_TOKENS}[1], nullif(regexp_extract(reply, '(^|[^0-9])([012])($|[^0-9])', 2), ''))::BIGINT AS score FROM r".replace('""', '"')
+)
 def score_parse(spark, d):
     c = load(spark, d, "conversations")
-    reply = F.when(F.col("conv_id") % 4 == 0, "Score: 2.").when(F.col("conv_id") % 4 == 1, "I give it 10 of 10, so 1!").when(F.col("conv_id") % 4 == 2, "(0) wrong").otherwise(F.concat(F.lit("x"), F.col("conv_id"), F.lit("y2z")))
-    return c.select("conv_id", F.col("turn").cast("long").alias("turn"), text.parse_score(reply).cast("long").alias("score"))
+    reply = F.when(F.col("conv_id") % 4 == 0, "Score: 2.").when(
+        F.col("conv_id") % 4 == 1, "I give it 10 of 10, so 1!"
+    ).when(F.col("conv_id") % 4 == 2, "(0) wrong").otherwise(F.concat(F.lit("x"), F.col("conv_id"), F.lit("y2z")))
+    return c.select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), text.parse_score(reply).cast("long").alias("score")
+    )
 
 
 @query(r"SELECT doc_id, 'percent' AS kind, unnest(regexp_extract_all(text, '([0-9]+(?:\.[0-9]+)?)%', 0)) AS claim FROM documents UNION ALL SELECT doc_id, 'pair', unnest(regexp_extract_all(text, '([0-9]+) of ([0-9]+)', 0)) FROM documents")
@@ -481,13 +592,24 @@ def audit_numbers(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    means = stats.poisson_bootstrap(metrics.succeeded(surrogate.outcomes(spark, d)), ["config", "frac"], "cost_usd", "seq", stats.REPLICATES)
-    return means.select("config", "frac", F.lit("sum").alias("quantity"), (F.col("lo") * F.col("n")).alias("lo"), (F.col("hi") * F.col("n")).alias("hi"), "n")
+    means = stats.poisson_bootstrap(
+        metrics.succeeded(surrogate.outcomes(spark, d)), ["config", "frac"], "cost_usd", "seq", stats.REPLICATES
+    )
+    return means.select(
+        "config",
+        "frac",
+        F.lit("sum").alias("quantity"),
+        (F.col("lo") * F.col("n")).alias("lo"),
+        (F.col("hi") * F.col("n")).alias("hi"),
+        "n",
+    )
 
 
 @query()
 def bootstrap_percentiles(spark, d):
-    rows = metrics.warm(metrics.succeeded(surrogate.outcomes(spark, d))).withColumn("seed", stats.derive_seed(F.col("frac"), F.col("config"), F.lit("latency")))
+    rows = metrics.warm(metrics.succeeded(surrogate.outcomes(spark, d))).withColumn(
+        "seed", stats.derive_seed(F.col("frac"), F.col("config"), F.lit("latency"))
+    )
     return stats.percentile_bootstrap(rows, ["config", "frac"], "latency_ms", "seed")
 
 
@@ -498,10 +620,14 @@ def paired_bootstrap(spark, d):
 
 @query()
 def poisson_bootstrap(spark, d):
-    return stats.poisson_bootstrap(metrics.succeeded(surrogate.outcomes(spark, d)), ["config", "frac"], "latency_ms", "seq")
+    return stats.poisson_bootstrap(
+        metrics.succeeded(surrogate.outcomes(spark, d)), ["config", "frac"], "latency_ms", "seq"
+    )
 
 
-@query("WITH " + f"k AS (SELECT doc_id AS idx, {NORM} AS norm_key FROM documents WHERE text IS NOT NULL), f AS (SELECT norm_key, min(idx) AS first_idx FROM k GROUP BY 1) SELECT idx, idx > first_idx AS hit, CASE WHEN idx > first_idx THEN 'cache_exact' ELSE 'miss' END AS kind, CASE WHEN idx > first_idx THEN 0 ELSE 1 END::BIGINT AS tokens_in FROM k JOIN f USING (norm_key) WHERE norm_key <> ''")
+@query(
+    "WITH " + f"k AS (SELECT doc_id AS idx, {NORM} AS norm_key FROM documents WHERE text IS NOT NULL), f AS (SELECT norm_key, min(idx) AS first_idx FROM k GROUP BY 1) SELECT idx, idx > first_idx AS hit, CASE WHEN idx > first_idx THEN 'cache_exact' ELSE 'miss' END AS kind, CASE WHEN idx > first_idx THEN 0 ELSE 1 END::BIGINT AS tokens_in FROM k JOIN f USING (norm_key) WHERE norm_key <> ''"
+)
 def stream_exact_cache(spark, d):
     return stream_decisions(spark, d).select("idx", "hit", "kind", "tokens_in")
 
@@ -511,7 +637,16 @@ def stream_decisions(spark, d) -> DataFrame:
 
     schema = load(spark, d, "documents").schema
     docs = spark.readStream.schema(schema).parquet(f"{d}/documents*.parquet").where("text IS NOT NULL")
-    asked = docs.select(F.col("doc_id").alias("idx"), F.lit("cache").alias("mode"), F.col("text").alias("request"), F.lit("a").alias("answer_text"), F.lit("cheap").alias("served_by"), F.lit(1).cast("long").alias("tokens_in"), F.lit(1).cast("long").alias("tokens_out"), F.lit(None).cast("string").alias("error"))
+    asked = docs.select(
+        F.col("doc_id").alias("idx"),
+        F.lit("cache").alias("mode"),
+        F.col("text").alias("request"),
+        F.lit("a").alias("answer_text"),
+        F.lit("cheap").alias("served_by"),
+        F.lit(1).cast("long").alias("tokens_in"),
+        F.lit(1).cast("long").alias("tokens_out"),
+        F.lit(None).cast("string").alias("error"),
+    )
     asked = asked.where(~text.is_blank(F.col("request")))
     base = f"{tables.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return gateway.write_available(gateway.exact_cache_stream(asked), f"{base}/out", f"{base}/state")

@@ -31,7 +31,9 @@ def judge_run(spark, d):
     length = lambda p: F.length(p) + F.col("idx")
     one = lambda p: F.concat(F.lit("Score: "), length(p) % 3, F.lit("."))
     two = lambda p: F.concat(F.lit("I say "), length(p) % 4)
-    out = judging.judge_run(ok.where("config <> 'baseline'"), ok.where("config = 'baseline'"), one, two, RUBRIC, SECOND, SAMPLE_SEED)
+    out = judging.judge_run(
+        ok.where("config <> 'baseline'"), ok.where("config = 'baseline'"), one, two, RUBRIC, SECOND, SAMPLE_SEED
+    )
     return catalog._long(out)
 
 
@@ -51,9 +53,20 @@ def _derived(*parts: str) -> str:
     return f"('0x' || substr(sha256('{stats.MASTER_SEED}|' || {joined}), 1, 8))::BIGINT"
 
 
-@query("SELECT frac, config, quantity, " + _derived("frac", "config", "quantity") + " AS seed FROM unnest(['low', 'high']) a(frac), unnest(['baseline', 'cache', 'router_cascade', 'router_heuristic', 'exact_only']) b(config), unnest(['cost', 'latency', 'quality']) c(quantity)")
+@query(
+    "SELECT frac, config, quantity, " + _derived(
+        "frac", "config", "quantity"
+    ) + " AS seed FROM unnest(['low', 'high']) a(frac), unnest(['baseline', 'cache', 'router_cascade', 'router_heuristic', 'exact_only']) b(config), unnest(['cost', 'latency', 'quality']) c(quantity)"
+)
 def derive_seed(spark, d):
-    rows = spark.createDataFrame([(f, c, q) for f in gates.FRACS for c in (*tables.CONFIGS, "exact_only") for q in ("cost", "latency", "quality")], "frac string, config string, quantity string")
+    rows = spark.createDataFrame(
+        [
+            (f, c, q) for f in gates.FRACS for c in (
+                *tables.CONFIGS, "exact_only"
+            ) for q in ("cost", "latency", "quality")
+        ],
+        "frac string, config string, quantity string",
+    )
     return rows.select("*", stats.derive_seed(F.col("frac"), F.col("config"), F.col("quantity")).alias("seed"))
 
 
@@ -85,24 +98,67 @@ _WEIGHT = " + ".join(f"(h >= {t})::INT" for t in stats._UP_TO)
 m AS (SELECT config, frac, rep, sum(x * ({_WEIGHT})) / nullif(sum({_WEIGHT}), 0) AS m FROM e GROUP BY ALL), q AS (SELECT config, frac, quantile_cont(m, 25e-3) AS lo, quantile_cont(m, 975e-3) AS hi FROM m GROUP BY ALL)
 SELECT config, frac, round(avg(x), 6) AS mean, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, count(*)::BIGINT AS n FROM r JOIN q USING (config, frac) GROUP BY ALL""")
 def hash_bootstrap(spark, d):
-    return rounded(stats.hash_bootstrap(metrics.succeeded(surrogate.outcomes(spark, d)), ["config", "frac"], "latency_ms", "seq"))
+    return rounded(
+        stats.hash_bootstrap(metrics.succeeded(surrogate.outcomes(spark, d)), ["config", "frac"], "latency_ms", "seq")
+    )
 
 
 _RUN = "concat(frac, '_', config)"
 PARTS = (
     ("gates", "gate_table_full", "name", (), ("passed", "observed")),
-    ("metrics", "run_metrics", _RUN, ("n_rows", "n_errors", "tokens_in", "tokens_out", "cost_usd", "cheap_calls", "expensive_calls", "n_exact", "n_semantic", "n_miss", "hit_rate", "first_latency_ms", "p50_ms", "p95_ms", "p99_ms", "mean_ms"), ()),
+    (
+        "metrics",
+        "run_metrics",
+        _RUN,
+        (
+            "n_rows",
+            "n_errors",
+            "tokens_in",
+            "tokens_out",
+            "cost_usd",
+            "cheap_calls",
+            "expensive_calls",
+            "n_exact",
+            "n_semantic",
+            "n_miss",
+            "hit_rate",
+            "first_latency_ms",
+            "p50_ms",
+            "p95_ms",
+            "p99_ms",
+            "mean_ms",
+        ),
+        (),
+    ),
     ("hit_rate_ci", "hit_rate_wilson", _RUN, ("lo", "hi"), ()),
     ("quality", "quality_by_config", _RUN, ("n_scored", "mean_score", "quality"), ()),
     ("quality_by_dup", "quality_by_dup", "concat(frac, '_', config, '_', dup_type)", ("quality",), ()),
     ("false_hits", "false_hit_wilson", _RUN, ("k", "n", "false_hit_rate", "lo", "hi"), ()),
     ("exact_proxy", "exact_proxy", _RUN, ("judged", "score_0", "score_1", "score_2", "unjudged"), ()),
-    ("exact_only", "exact_replay_summary", "frac", ("n_rows", "n_hits", "hit_rate", "cost_usd", "tokens_in", "tokens_out", "mean_ms"), ()),
+    (
+        "exact_only",
+        "exact_replay_summary",
+        "frac",
+        ("n_rows", "n_hits", "hit_rate", "cost_usd", "tokens_in", "tokens_out", "mean_ms"),
+        (),
+    ),
     ("tuning", "best_f1_threshold_full", "'best'", ("threshold", "tp", "fp", "fn", "tn", "f1"), ()),
     ("control", "control_thresholds_full", "'random'", ("mean_f1", "max_f1", "n"), ()),
-    ("cost_weighted", "cost_weighted_threshold_full", "concat('r', CAST(r AS STRING))", ("threshold", "fp", "fn", "loss"), ()),
+    (
+        "cost_weighted",
+        "cost_weighted_threshold_full",
+        "concat('r', CAST(r AS STRING))",
+        ("threshold", "fp", "fn", "loss"),
+        (),
+    ),
     ("kappa", "kappa_judges", "'judges'", ("n", "observed", "expected", "kappa"), ()),
-    ("comparisons", "comparison_points", "id", ("seed", "n_shared", "diff", "k_a", "n_a", "k_b", "n_b", "lo", "hi"), ("method", "separated")),
+    (
+        "comparisons",
+        "comparison_points",
+        "id",
+        ("seed", "n_shared", "diff", "k_a", "n_a", "k_b", "n_b", "lo", "hi"),
+        ("method", "separated"),
+    ),
 )
 
 
@@ -114,15 +170,25 @@ def results_document(spark, d):
 
 @query(f"WITH n AS (SELECT doc_id AS idx, {catalog.NORM} AS norm_key, source FROM documents WHERE text IS NOT NULL), k AS (SELECT norm_key, max(idx) AS idx, arg_max(coalesce(source, chr(0)), idx) AS model FROM n WHERE norm_key <> '' GROUP BY 1) SELECT idx, nullif(model, chr(0)) AS model, sha256(norm_key) AS key_sha FROM k")
 def store_upsert(spark, d):
-    rows = surrogate.requests(spark, d).where("norm_key IS NOT NULL AND norm_key <> ''").select("norm_key", "idx", F.col("source").alias("model"))
+    rows = surrogate.requests(spark, d).where("norm_key IS NOT NULL AND norm_key <> ''").select(
+        "norm_key", "idx", F.col("source").alias("model")
+    )
     return cache.latest_by_key(rows).select("idx", "model", F.sha2("norm_key", 256).alias("key_sha"))
 
 
-@query(catalog.GREEDY + " SELECT v.idx, CASE WHEN h.idx IS NULL THEN 'miss' ELSE 'cache_semantic' END AS kind, h.src AS hit_source_idx, 'answer ' || h.src AS stored_answer, CASE WHEN h.src IS NOT NULL THEN CASE WHEN h.src % 3 = 0 THEN 'cheap' ELSE 'expensive' END END AS stored_by FROM v LEFT JOIN h USING (idx)")
+@query(
+    catalog.GREEDY + " SELECT v.idx, CASE WHEN h.idx IS NULL THEN 'miss' ELSE 'cache_semantic' END AS kind, h.src AS hit_source_idx, 'answer ' || h.src AS stored_answer, CASE WHEN h.src IS NOT NULL THEN CASE WHEN h.src % 3 = 0 THEN 'cheap' ELSE 'expensive' END END AS stored_by FROM v LEFT JOIN h USING (idx)"
+)
 def served_answers(spark, d):
     v = surrogate.vectors(spark, d)
-    store = v.select("idx", F.concat(F.lit("answer "), "idx").alias("answer_text"), F.when(F.col("idx") % 3 == 0, "cheap").otherwise("expensive").alias("served_by"))
-    return cache.served(cache.greedy_cache(v, THRESHOLD), store).select("idx", "kind", "hit_source_idx", "stored_answer", "stored_by")
+    store = v.select(
+        "idx",
+        F.concat(F.lit("answer "), "idx").alias("answer_text"),
+        F.when(F.col("idx") % 3 == 0, "cheap").otherwise("expensive").alias("served_by"),
+    )
+    return cache.served(cache.greedy_cache(v, THRESHOLD), store).select(
+        "idx", "kind", "hit_source_idx", "stored_answer", "stored_by"
+    )
 
 
 _ASKED = f"a AS (SELECT doc_id AS idx, text AS request, CASE doc_id % 6 WHEN 0 THEN 'router' WHEN 1 THEN 'cache' WHEN 2 THEN 'cheap' WHEN 3 THEN 'expensive' WHEN 4 THEN NULL ELSE 'turbo' END AS mode FROM documents), b AS (SELECT *, {catalog._BLANK.replace('text', 'request')} AS blank FROM a)"
@@ -130,12 +196,16 @@ _ASKED = f"a AS (SELECT doc_id AS idx, text AS request, CASE doc_id % 6 WHEN 0 T
 
 def _asked(spark, d):
     mode = F.expr("CASE doc_id % 6 WHEN 0 THEN 'router' WHEN 1 THEN 'cache' WHEN 2 THEN 'cheap' WHEN 3 THEN 'expensive' WHEN 5 THEN 'turbo' END")
-    return load(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("request"), mode.alias("mode"))
+    return load(spark, d, "documents").select(
+        F.col("doc_id").alias("idx"), F.col("text").alias("request"), mode.alias("mode")
+    )
 
 
 @query(f"WITH {_ASKED} SELECT idx, CASE WHEN blank THEN 'no user message with text content' ELSE 'x-bench-mode must be one of router, cache, cheap, expensive' END AS error_message, 'invalid_request_error' AS error_type, 400::BIGINT AS status FROM b WHERE blank OR mode = 'turbo'")
 def gateway_rejections(spark, d):
-    return gateway.rejected(_asked(spark, d)).select("idx", "error_message", "error_type", F.col("status").cast("long").alias("status"))
+    return gateway.rejected(_asked(spark, d)).select(
+        "idx", "error_message", "error_type", F.col("status").cast("long").alias("status")
+    )
 
 
 _SIDES = "SELECT idx, mode, CASE WHEN idx % 5 = 0 THEN 'I am not sure' WHEN idx % 7 = 0 THEN '' ELSE 'plain' END AS cheap_text, 'long answer' AS dear_text FROM b WHERE NOT blank AND coalesce(mode, 'router') <> 'turbo'"
@@ -146,9 +216,13 @@ SELECT idx, mode, escalated, CASE WHEN cheap THEN 'cheap' ELSE 'expensive' END A
 def gateway_dispatch(spark, d):
     good = gateway.accepted(_asked(spark, d))
     doubt = F.when(F.col("idx") % 5 == 0, "I am not sure").when(F.col("idx") % 7 == 0, "").otherwise("plain")
-    side = lambda t, i, o: F.struct(t.alias("text"), F.lit(i).cast("long").alias("tokens_in"), F.lit(o).cast("long").alias("tokens_out"))
+    side = lambda t, i, o: F.struct(
+        t.alias("text"), F.lit(i).cast("long").alias("tokens_in"), F.lit(o).cast("long").alias("tokens_out")
+    )
     rows = good.withColumns({"cheap": side(doubt, 10, 5), "dear": side(F.lit("long answer"), 20, 40)})
-    return gateway.by_mode(rows).select("idx", "mode", "escalated", "served_by", "answer_text", "tokens_in", "tokens_out")
+    return gateway.by_mode(rows).select(
+        "idx", "mode", "escalated", "served_by", "answer_text", "tokens_in", "tokens_out"
+    )
 
 
 @query(f"WITH {SQL}, w AS (SELECT config, frac FROM unnest(['baseline', 'cache', 'router_cascade', 'router_heuristic', 'exact_only']) u(config), unnest(['low', 'high']) v(frac)) SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.config = w.config AND o.frac = w.frac)")
@@ -158,7 +232,9 @@ def audit_completeness(spark, d):
 
 @query(f"SELECT config, frac, n_rows, n_ok, n_errors FROM ({ORACLE['run_metrics']}) WHERE n_rows <> coalesce(n_ok, 0) + n_errors")
 def audit_attempted(spark, d):
-    return audit.attempted_mismatches(metrics.run_metrics(surrogate.outcomes(spark, d))).select("config", "frac", "n_rows", "n_ok", "n_errors")
+    return audit.attempted_mismatches(
+        metrics.run_metrics(surrogate.outcomes(spark, d))
+    ).select("config", "frac", "n_rows", "n_ok", "n_errors")
 
 
 _PAIRS = f"SELECT DISTINCT k::BIGINT AS k, n::BIGINT AS n FROM (SELECT unnest([n_exact + n_semantic, n_exact, n_exact, n_ok]) AS k, unnest([n_ok, greatest(n_exact + n_semantic, 1), n_ok + n_errors, n_ok + n_errors]) AS n FROM ({ORACLE['run_metrics']})) WHERE k IS NOT NULL AND n IS NOT NULL"
@@ -177,26 +253,34 @@ def audit_unsupported_pairs(spark, d):
 
 @query(r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL) SELECT doc_id, line::BIGINT AS line, len(string_split(regexp_replace(trim(l), '^\||\|$', '', 'g'), '|'))::BIGINT AS n_cells, trim(string_split(regexp_replace(trim(l), '^\||\|$', '', 'g'), '|')[1]) AS first_cell FROM l WHERE regexp_matches(trim(l), '^\|.*\|$') AND NOT regexp_matches(trim(l), '^[|\s:-]+$')")
 def audit_table_rows(spark, d):
-    return audit.table_rows(load(spark, d, "documents")).select("doc_id", "line", F.size("cells").cast("long").alias("n_cells"), F.get("cells", F.lit(0)).alias("first_cell"))
+    return audit.table_rows(load(spark, d, "documents")).select(
+        "doc_id", "line", F.size("cells").cast("long").alias("n_cells"), F.get("cells", F.lit(0)).alias("first_cell")
+    )
 
 
 @query(f"WITH c AS ({ORACLE['cost_weighted_threshold_full']}) SELECT r, CASE WHEN r = 10 THEN threshold + 1e-2 ELSE threshold END AS claimed, threshold AS actual FROM c WHERE r = 10")
 def audit_cost_table(spark, d):
     actual = catalog.cost_weighted_threshold_full(spark, d).select("r", "threshold")
-    claimed = actual.withColumn("threshold", F.when(F.col("r") == 10, F.col("threshold") + 0.01).otherwise(F.col("threshold")))
+    claimed = actual.withColumn(
+        "threshold", F.when(F.col("r") == 10, F.col("threshold") + 0.01).otherwise(F.col("threshold"))
+    )
     return audit.cell_mismatches(claimed, actual, ["r"], "threshold").select("r", "claimed", "actual")
 
 
 @query(f"SELECT frac, round(lo, 6) AS lo, round(hi, 6) AS hi, NOT separated AS separated FROM ({ORACLE['newcombe_diff']}) WHERE frac = 'low'")
 def audit_verdicts(spark, d):
-    told = catalog.newcombe_diff(spark, d).withColumn("separated", F.when(F.col("frac") == "low", ~F.col("separated")).otherwise(F.col("separated")))
+    told = catalog.newcombe_diff(spark, d).withColumn(
+        "separated", F.when(F.col("frac") == "low", ~F.col("separated")).otherwise(F.col("separated"))
+    )
     return audit.verdict_mismatches(told, F.col("lo"), F.col("hi")).select("frac", "lo", "hi", "separated")
 
 
 @query(f"WITH g AS ({ORACLE['gate_table']}), r AS (SELECT name FROM g WHERE name <> 'judge_independence' UNION ALL SELECT 'retired_gate') SELECT name, 'not registered' AS problem FROM g WHERE name NOT IN (SELECT name FROM r) UNION ALL SELECT name, 'absent' FROM r WHERE name NOT IN (SELECT name FROM g) UNION ALL SELECT name, 'should fail' FROM g WHERE name IN ('human_label_coverage', 'judge_independence') AND passed")
 def audit_gate_registry(spark, d):
     names = [f"{p}{f}_{c}" for p in (gates.COST, gates.FALSE_HIT) for f in gates.FRACS for c in gates.OTHERS]
-    registered = spark.createDataFrame([(n,) for n in (*names, gates.TUNED, gates.COVERAGE, "retired_gate")], "name string")
+    registered = spark.createDataFrame(
+        [(n,) for n in (*names, gates.TUNED, gates.COVERAGE, "retired_gate")], "name string"
+    )
     return audit.gate_registry(tables.cut_lineage(catalog.gate_table(spark, d)), registered)
 
 
@@ -214,24 +298,33 @@ def audit_missing_phrases(spark, d):
 
 @query("WITH s AS (SELECT DISTINCT 'fig' || (doc_id % 7) || '.svg' AS name FROM documents), f AS (SELECT 'fig' || i || '.svg' AS name FROM range(3, 9) r(i)) SELECT name, 'dangling' AS problem FROM s WHERE name NOT IN (SELECT name FROM f) UNION ALL SELECT name, 'orphan' FROM f WHERE name NOT IN (SELECT name FROM s)")
 def audit_figures(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.concat(F.lit("see ![a](fig"), F.col("doc_id") % 7, F.lit(".svg) here")).alias("text"))
+    docs = load(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("see ![a](fig"), F.col("doc_id") % 7, F.lit(".svg) here")).alias("text")
+    )
     files = spark.range(3, 9).select(F.concat(F.lit("fig"), "id", F.lit(".svg")).alias("name"))
     return audit.loose_references(docs, files)
 
 
 @query(f"WITH {SQL} SELECT frac, count(*)::BIGINT AS n_rows, count(*) FILTER (WHERE para AND first)::BIGINT AS n_should_hit, count(*) FILTER (WHERE first)::BIGINT AS n_eligible FROM (SELECT frac, dup_type = 'paraphrase' AS para, row_number() OVER (PARTITION BY frac, request ORDER BY idx) = 1 AS first FROM o WHERE config = 'cache') GROUP BY 1")
 def label_counts(spark, d):
-    rows = surrogate.outcomes(spark, d).where("config = 'cache'").withColumn("norm_key", text.normalize_exact(F.col("request")))
+    rows = surrogate.outcomes(spark, d).where("config = 'cache'").withColumn(
+        "norm_key", text.normalize_exact(F.col("request"))
+    )
     return tuning.label_counts(tuning.replay_labels(rows, by=("frac",)))
 
 
-_HALVES = catalog.BEST.replace("best AS (SELECT v.idx, coalesce(best, 0) AS best, should_hit FROM", "best AS (SELECT v.idx, v.idx % 2 AS half, coalesce(best, 0) AS best, should_hit FROM")
+_HALVES = catalog.BEST.replace(
+    "best AS (SELECT v.idx, coalesce(best, 0) AS best, should_hit FROM",
+    "best AS (SELECT v.idx, v.idx % 2 AS half, coalesce(best, 0) AS best, should_hit FROM",
+)
 
 
 @query(f"WITH {_HALVES}, t AS (SELECT round(20e-2 + 5e-3 * i, 4) AS threshold FROM range(160) r(i)), c AS (SELECT threshold, count(*) FILTER (WHERE best >= threshold AND should_hit)::BIGINT AS tp, count(*) FILTER (WHERE best >= threshold AND NOT should_hit)::BIGINT AS fp, count(*) FILTER (WHERE best < threshold AND should_hit)::BIGINT AS fn, count(*) FILTER (WHERE best < threshold AND NOT should_hit)::BIGINT AS tn FROM best, t GROUP BY 1) SELECT *, round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c")
 def pooled_sweep(spark, d):
     best = catalog._best(spark, d).withColumn("half", F.col("idx") % 2)
-    return rounded(tuning.pooled(tuning.sweep(best, FULL_GRID, ("half",))).select("threshold", "tp", "fp", "fn", "tn", "f1"))
+    return rounded(
+        tuning.pooled(tuning.sweep(best, FULL_GRID, ("half",))).select("threshold", "tp", "fp", "fn", "tn", "f1")
+    )
 
 
 @query("SELECT frac, (20260908 + list_sum(list_transform(string_split(frac, ''), lambda c: unicode(c))))::BIGINT AS seed FROM unnest(['low', 'high', 'mid']) u(frac)")
@@ -259,7 +352,12 @@ def runs_by_folder(spark, d):
 def queue_file(spark, d):
     """The file for people, written as CSV and read again; empty cells are null there."""
     path = f"{tables.shared_folder(spark)}/queue-{uuid.uuid4().hex}"
-    tables.write_queue(agreement.human_queue(surrogate.judgements(spark, d), surrogate.outcomes(spark, d)), path, ["priority", "config", "frac", "idx"], 60)
+    tables.write_queue(
+        agreement.human_queue(surrogate.judgements(spark, d), surrogate.outcomes(spark, d)),
+        path,
+        ["priority", "config", "frac", "idx"],
+        60,
+    )
     return tables.read_csv_text(spark, path)
 
 
@@ -272,28 +370,63 @@ def resume_pending(spark, d):
 @query("SELECT conv_id, turn::BIGINT AS turn, CASE WHEN turn % 3 = 0 THEN 'second' ELSE text END AS text, CASE WHEN turn % 3 = 0 THEN 30 ELSE 10 END::BIGINT AS tokens_in, CASE WHEN turn % 3 = 0 THEN 45 ELSE 5 END::BIGINT AS tokens_out FROM conversations WHERE trim(coalesce(text, '')) <> ''")
 def blank_retry(spark, d):
     c = load(spark, d, "conversations").where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    side = lambda t, i, o: F.struct(t.alias("text"), F.lit(i).cast("long").alias("tokens_in"), F.lit(o).cast("long").alias("tokens_out"), F.lit(1.0).alias("ms"))
+    side = lambda t, i, o: F.struct(
+        t.alias("text"),
+        F.lit(i).cast("long").alias("tokens_in"),
+        F.lit(o).cast("long").alias("tokens_out"),
+        F.lit(1.0).alias("ms"),
+    )
     first = side(F.when(F.col("turn") % 3 == 0, " \n").otherwise(F.col("text")), 10, 5)
-    return c.select("conv_id", F.col("turn").cast("long").alias("turn"), routing.retry_blank(first, side(F.lit("second"), 20, 40)).alias("r")).select("conv_id", "turn", "r.text", "r.tokens_in", "r.tokens_out")
+    return c.select(
+        "conv_id",
+        F.col("turn").cast("long").alias("turn"),
+        routing.retry_blank(first, side(F.lit("second"), 20, 40)).alias("r"),
+    ).select("conv_id", "turn", "r.text", "r.tokens_in", "r.tokens_out")
 
 
 @query("SELECT conv_id, turn::BIGINT AS turn, text, CASE WHEN turn % 2 = 0 THEN conv_id ELSE 0 END::BIGINT AS tokens_in, CASE WHEN turn % 2 = 0 THEN turn ELSE 0 END::BIGINT AS tokens_out FROM conversations")
 def completion_replies(spark, d):
-    usage = F.when(F.col("turn") % 2 == 0, F.struct(F.col("conv_id").alias("prompt_tokens"), F.col("turn").alias("completion_tokens")))
-    reply = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"), usage.alias("usage")))
-    return load(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), text.completion_fields(reply).alias("r")).select("conv_id", "turn", "r.*")
+    usage = F.when(
+        F.col("turn") % 2 == 0,
+        F.struct(F.col("conv_id").alias("prompt_tokens"), F.col("turn").alias("completion_tokens")),
+    )
+    reply = F.to_json(
+        F.struct(
+            F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"),
+            usage.alias("usage"),
+        )
+    )
+    return load(spark, d, "conversations").select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), text.completion_fields(reply).alias("r")
+    ).select("conv_id", "turn", "r.*")
 
 
 @query("SELECT * FROM (VALUES ('novel', 95, 95, 0), ('paraphrase', 40, 40, 0), ('trap', 20, 20, 0)) v(dup_type, n, n_groups, out_of_order) UNION ALL SELECT 'exact', 45, NULL, NULL")
 def workload_build(spark, d):
     """A workload of 200 requests from text pairs; anchors come before their followers."""
     docs = load(spark, d, "documents").where("text IS NOT NULL AND length(text) > 20")
-    pairs = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("sentence1"), F.reverse("text").alias("sentence2"), (F.col("doc_id") % 2).cast("int").alias("label"))
+    pairs = docs.select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.col("text").alias("sentence1"),
+        F.reverse("text").alias("sentence2"),
+        (F.col("doc_id") % 2).cast("int").alias("label"),
+    )
     rows = tables.cut_lineage(workload.build(pairs, 200, 0.2, 0.1, 0.225, 5, "low"))
-    marked = workload.anchors(rows).select("dup_type", "group_id", (F.col("anchor_idx") > F.col("idx")).alias("late")).unionByName(rows.where("dup_type = 'novel'").select("dup_type", "group_id", F.lit(False).alias("late")))
-    out = marked.groupBy("dup_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group_id").alias("n_groups"), F.count_if("late").alias("out_of_order"))
+    marked = workload.anchors(rows).select(
+        "dup_type", "group_id", (F.col("anchor_idx") > F.col("idx")).alias("late")
+    ).unionByName(rows.where("dup_type = 'novel'").select("dup_type", "group_id", F.lit(False).alias("late")))
+    out = marked.groupBy("dup_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("group_id").alias("n_groups"),
+        F.count_if("late").alias("out_of_order"),
+    )
     known = F.col("dup_type") != "exact"  # repeats are drawn with replacement
-    return out.select("dup_type", F.col("n").cast("int").alias("n"), F.when(known, F.col("n_groups")).cast("int").alias("n_groups"), F.when(known, F.col("out_of_order")).cast("int").alias("out_of_order"))
+    return out.select(
+        "dup_type",
+        F.col("n").cast("int").alias("n"),
+        F.when(known, F.col("n_groups")).cast("int").alias("n_groups"),
+        F.when(known, F.col("out_of_order")).cast("int").alias("out_of_order"),
+    )
 
 
 @query(f"WITH {SQL} SELECT seq, idx, request, kind, latency_ms FROM o WHERE config = 'baseline' AND frac = 'low' ORDER BY idx LIMIT 20")
@@ -305,7 +438,16 @@ def pilot_rows(spark, d):
 @query(f"WITH s AS ({ORACLE['stream_exact_cache']}) SELECT idx, hit, kind, CASE WHEN hit THEN 1e0 END AS similarity, 'cheap' AS served_by, tokens_in AS prompt_tokens, tokens_in AS completion_tokens, 2 * tokens_in AS total_tokens FROM s")
 def gateway_envelope(spark, d):
     out = gateway.envelope(catalog.stream_decisions(spark, d))
-    return out.select("idx", "x_gateway.hit", "x_gateway.kind", "x_gateway.similarity", "x_gateway.served_by", "usage.prompt_tokens", "usage.completion_tokens", "usage.total_tokens")
+    return out.select(
+        "idx",
+        "x_gateway.hit",
+        "x_gateway.kind",
+        "x_gateway.similarity",
+        "x_gateway.served_by",
+        "usage.prompt_tokens",
+        "usage.completion_tokens",
+        "usage.total_tokens",
+    )
 
 
 @query(f"WITH s AS ({ORACLE['stream_exact_cache']}) SELECT true AS ok, count(*) FILTER (WHERE NOT hit)::BIGINT AS cache_size FROM s")
@@ -319,11 +461,19 @@ def gateway_failures(spark, d):
     return out.select("seq", "error_message", "error_type", "param", F.col("status").cast("long").alias("status"))
 
 
-@query(f"SELECT config, frac, round(lo, 4) + CASE WHEN config = 'cache' THEN 1e-2 ELSE 0 END AS claimed, round(lo, 6) AS actual FROM ({ORACLE['hit_rate_wilson']}) WHERE config = 'cache'".replace("round(lo, 4) + CASE WHEN config = 'cache' THEN 1e-2 ELSE 0 END", "round(round(lo, 6) + 1e-2, 4)"))
+@query(
+    f"SELECT config, frac, round(lo, 4) + CASE WHEN config = 'cache' THEN 1e-2 ELSE 0 END AS claimed, round(lo, 6) AS actual FROM ({ORACLE['hit_rate_wilson']}) WHERE config = 'cache'".replace("round(lo, 4) + CASE WHEN config = 'cache' THEN 1e-2 ELSE 0 END", "round(round(lo, 6) + 1e-2, 4)")
+)
 def audit_interval_cells(spark, d):
     """Intervals as documents state them, parsed and held against the score intervals; one configuration's is off."""
     rates = catalog.hit_rate_wilson(spark, d)
     lo = F.round(F.col("lo") + F.when(F.col("config") == "cache", 0.01).otherwise(0.0), 4)
-    cell = F.concat(F.lit("(95% "), lo.cast("decimal(6,4)").cast("string"), F.lit("-"), F.round("hi", 4).cast("decimal(6,4)").cast("string"), F.lit(")"))
+    cell = F.concat(
+        F.lit("(95% "),
+        lo.cast("decimal(6,4)").cast("string"),
+        F.lit("-"),
+        F.round("hi", 4).cast("decimal(6,4)").cast("string"),
+        F.lit(")"),
+    )
     claimed = rates.select("config", "frac", audit.interval_of(cell)["lo"].alias("lo"))
     return audit.cell_mismatches(claimed, rates, ["config", "frac"], "lo").select("config", "frac", "claimed", "actual")

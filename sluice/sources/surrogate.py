@@ -51,16 +51,36 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = o.where("config = 'baseline'").select("frac", "idx", F.col("answer_text").alias("baseline_text"))
     score1 = F.when(F.col("seq") % 17 != 0, (F.floor("latency_ms") % 3).cast("int"))
     score2 = F.when(F.col("seq") % 5 == 0, (F.floor(F.col("latency_ms") * 7) % 3).cast("int"))
-    return o.where("config <> 'baseline'").join(base, ["frac", "idx"]).select("seq", "config", "frac", "idx", "request", "dup_type", "answer_text", "baseline_text", (F.col("answer_text") == F.col("baseline_text")).alias("identical"), score1.alias("judge1_score"), score2.alias("judge2_score"))
+    return o.where("config <> 'baseline'").join(base, ["frac", "idx"]).select(
+        "seq",
+        "config",
+        "frac",
+        "idx",
+        "request",
+        "dup_type",
+        "answer_text",
+        "baseline_text",
+        (F.col("answer_text") == F.col("baseline_text")).alias("identical"),
+        score1.alias("judge1_score"),
+        score2.alias("judge2_score"),
+    )
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("request"), normalize_exact(F.col("text")).alias("norm_key"), F.col("lang"), F.col("source"))
+    return load(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("idx"),
+        F.col("text").alias("request"),
+        normalize_exact(F.col("text")).alias("norm_key"),
+        F.col("lang"),
+        F.col("source"),
+    )
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     dup = F.expr("CASE vec_id % 4 WHEN 2 THEN 'paraphrase' WHEN 3 THEN 'trap' ELSE 'novel' END")
-    return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"), dup.alias("dup_type"))
+    return load(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"), dup.alias("dup_type")
+    )
 
 
 #: The same outcomes and judgements as SQL.

@@ -54,7 +54,9 @@ def read_runs(spark: SparkSession, root: str, schema: str, table: str | None = N
     """
     if table is None:
         return read_table(spark, root, schema)
-    return spark.read.schema(schema).option("basePath", root).option("recursiveFileLookup", "false").parquet(f"{root}/config=*/frac=*/{table}")
+    return spark.read.schema(schema).option("basePath", root).option(
+        "recursiveFileLookup", "false"
+    ).parquet(f"{root}/config=*/frac=*/{table}")
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:

@@ -46,8 +46,19 @@ def exact_cache_stream(requests: DataFrame) -> DataFrame:
     State holds one answer for each key and grows with the keys, as nothing is evicted; rows of
     a micro-batch are taken in ``idx`` order. ``expensive`` bypasses the cache. Failed and blank answers are not stored.
     """
-    ready = requests.select(normalize_exact(F.col("request")).alias("norm_key"), "idx", F.coalesce("mode", F.lit("router")).alias("mode"), "answer_text", "served_by", "tokens_in", "tokens_out", (~has_error(F.col("error")) & ~is_blank(F.col("answer_text"))).alias("storable"))
-    return ready.groupBy("norm_key").applyInPandasWithState(_answer, OUT, "answer_text string, served_by string", "append", GroupStateTimeout.NoTimeout)
+    ready = requests.select(
+        normalize_exact(F.col("request")).alias("norm_key"),
+        "idx",
+        F.coalesce("mode", F.lit("router")).alias("mode"),
+        "answer_text",
+        "served_by",
+        "tokens_in",
+        "tokens_out",
+        (~has_error(F.col("error")) & ~is_blank(F.col("answer_text"))).alias("storable"),
+    )
+    return ready.groupBy("norm_key").applyInPandasWithState(
+        _answer, OUT, "answer_text string, served_by string", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def _fault() -> Column:
@@ -80,7 +91,9 @@ def by_mode(requests: DataFrame) -> DataFrame:
     """
     up = (F.col("mode") == "router") & cascade(F.col("cheap.text"))
     low = (F.col("mode") == "cheap") | ((F.col("mode") == "router") & ~up)
-    tokens = lambda c: F.when(low, F.col(f"cheap.{c}")).when(up, F.col(f"cheap.{c}") + F.col(f"dear.{c}")).otherwise(F.col(f"dear.{c}"))
+    tokens = lambda c: F.when(low, F.col(f"cheap.{c}")).when(
+        up, F.col(f"cheap.{c}") + F.col(f"dear.{c}")
+    ).otherwise(F.col(f"dear.{c}"))
     return requests.withColumns({
         "escalated": up, "served_by": F.when(low, "cheap").otherwise("expensive"),
         "answer_text": F.when(low, F.col("cheap.text")).otherwise(F.col("dear.text")),
@@ -99,18 +112,26 @@ def envelope(decisions: DataFrame) -> DataFrame:
     similarity = F.when(F.col("kind") == "cache_exact", 1.0).alias("similarity")
     measured = F.round("latency_ms", 1) if "latency_ms" in decisions.columns else F.lit(None).cast("double")
     info = F.struct("mode", "hit", "kind", similarity, "served_by", measured.alias("latency_ms"))
-    usage = F.struct(F.col("tokens_in").alias("prompt_tokens"), F.col("tokens_out").alias("completion_tokens"), (F.col("tokens_in") + F.col("tokens_out")).alias("total_tokens"))
+    usage = F.struct(
+        F.col("tokens_in").alias("prompt_tokens"),
+        F.col("tokens_out").alias("completion_tokens"),
+        (F.col("tokens_in") + F.col("tokens_out")).alias("total_tokens"),
+    )
     return decisions.select("idx", info.alias("x_gateway"), usage.alias("usage"), "answer_text")
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run over what is there now and return the rows from an in-memory table; for tests and small replays."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run over what is there now, to Parquet, and read it."""
-    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+    stream.writeStream.format("parquet").outputMode("append").option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start(path).awaitTermination()
     return stream.sparkSession.read.schema(OUT).parquet(path)

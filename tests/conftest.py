@@ -15,8 +15,12 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate()
+        SparkSession.builder.master("local[8]").appName("tests").config(
+            "spark.sql.shuffle.partitions", "8"
+        ).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config(
+            "spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        ).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

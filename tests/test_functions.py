@@ -23,14 +23,21 @@ def test_wilson_rejects_more_hits_than_rows(spark):
         one(spark, stats.wilson(F.lit(11), F.lit(10)))
 
 
-@pytest.mark.parametrize("a,b,want", [((6, 86), (10, 80), (0.0552, -0.0375, 0.1527)), ((6, 44), (6, 41), (0.0100, -0.1420, 0.1659))])
+@pytest.mark.parametrize(
+    "a,b,want", [((6, 86), (10, 80), (0.0552, -0.0375, 0.1527)), ((6, 44), (6, 41), (0.0100, -0.1420, 0.1659))]
+)
 def test_newcombe(spark, a, b, want):
     got = one(spark, stats.newcombe(*map(F.lit, (*a, *b))))
     assert tuple(got) == pytest.approx(want, abs=6e-5)
 
 
 # fixed values: seeds, series lengths and the published marks of their index matrices
-GOLDENS = [(1872326506, 237, "557b3de95315dfdf"), (634598869, 236, "acb3ed48153c50f7"), (3798808762, 238, "017e38959df88ede"), (497, 0, "")]
+GOLDENS = [
+    (1872326506, 237, "557b3de95315dfdf"),
+    (634598869, 236, "acb3ed48153c50f7"),
+    (3798808762, 238, "017e38959df88ede"),
+    (497, 0, ""),
+]
 
 
 @pytest.mark.parametrize("seed,n,mark", GOLDENS)
@@ -57,7 +64,9 @@ def test_bootstrap_against_plain_numpy(spark):
 
 
 def test_paired_bootstrap_sign(spark):
-    rows = spark.createDataFrame([("x", i, 2.0 + i % 3, 1.0, 5) for i in range(30)], "g string, i long, a double, b double, s long")
+    rows = spark.createDataFrame(
+        [("x", i, 2.0 + i % 3, 1.0, 5) for i in range(30)], "g string, i long, a double, b double, s long"
+    )
     got = stats.paired_bootstrap(rows, ["g"], "a", "b", "i", "s", "mean", 300).first()
     assert got["diff"] == pytest.approx(2.0) and got["lo"] > 0 and got["separated"]
 
@@ -70,9 +79,17 @@ def test_poisson_bootstrap_covers_the_mean(spark):
 
 def test_percentile_bootstrap_against_resampled_rows(spark):
     x = np.random.default_rng(3).exponential(50, 3000).round(2)
-    rows = spark.createDataFrame([("a" if i % 2 else None, i, float(v), 9) for i, v in enumerate(x)], "g string, i long, v double, s long")
-    got = {(r["g"], r["quantity"]): r for r in stats.percentile_bootstrap(rows, ["g"], "v", "s", replicates=4000).collect()}
-    want = {(r["g"], r["quantity"]): r for r in stats.bootstrap_ci(rows, ["g"], "v", "i", "s", "percentiles", 4000).collect()}
+    rows = spark.createDataFrame(
+        [("a" if i % 2 else None, i, float(v), 9) for i, v in enumerate(x)], "g string, i long, v double, s long"
+    )
+    got = {
+        (r["g"], r["quantity"]): r for r in stats.percentile_bootstrap(rows, ["g"], "v", "s", replicates=4000).collect()
+    }
+    want = {
+        (r["g"], r["quantity"]): r for r in stats.bootstrap_ci(
+            rows, ["g"], "v", "i", "s", "percentiles", 4000
+        ).collect()
+    }
     assert got.keys() == want.keys() and len(got) == 6
     for k, w in want.items():
         assert got[k]["n"] == w["n"] == 1500
@@ -82,7 +99,10 @@ def test_percentile_bootstrap_against_resampled_rows(spark):
 def test_paired_percentile_bootstrap_against_resampled_rows(spark):
     rng = np.random.default_rng(4)
     a = rng.exponential(50, 1500)
-    rows = spark.createDataFrame([("x", i, float(v), float(w), 5) for i, (v, w) in enumerate(zip(a, a * 0.9 + rng.exponential(5, 1500)))], "g string, i long, a double, b double, s long")
+    rows = spark.createDataFrame(
+        [("x", i, float(v), float(w), 5) for i, (v, w) in enumerate(zip(a, a * 0.9 + rng.exponential(5, 1500)))],
+        "g string, i long, a double, b double, s long",
+    )
     got = stats.paired_percentile_bootstrap(rows, ["g"], "a", "b", "s", replicates=4000).first()
     want = stats.paired_bootstrap(rows, ["g"], "a", "b", "i", "s", "p99", 4000).first()
     assert got["diff"] == pytest.approx(want["diff"]) and got["n"] == 1500
@@ -95,28 +115,41 @@ def test_intervals_read_whole_series(spark):
     from sluice.sources import surrogate
 
     d = "/root/testdata/sf0.01"
-    n = {(r["config"], r["frac"]): r["count"] for r in metrics.succeeded(surrogate.outcomes(spark, d)).groupBy("config", "frac").count().collect()}
+    n = {
+        (r["config"], r["frac"]): r["count"] for r in metrics.succeeded(
+            surrogate.outcomes(spark, d)
+        ).groupBy("config", "frac").count().collect()
+    }
     assert {(r["config"], r["frac"]): r["n"] for r in catalog.bootstrap_ci(spark, d).collect()} == n
     warm = {(r["config"], r["frac"]): r["n"] for r in catalog.bootstrap_percentiles(spark, d).collect()}
     assert warm == {k: v - 1 for k, v in n.items()}
     assert min(r["n"] for r in catalog.paired_bootstrap(spark, d).collect()) > 500
-    long = spark.range(stats.EXACT_ROWS + 20_000).select(F.lit("g").alias("g"), (F.col("id") % 997).cast("double").alias("v"), F.lit(1).cast("long").alias("s"))
+    long = spark.range(stats.EXACT_ROWS + 20_000).select(
+        F.lit("g").alias("g"), (F.col("id") % 997).cast("double").alias("v"), F.lit(1).cast("long").alias("s")
+    )
     got = {r["quantity"]: r for r in stats.percentile_bootstrap(long, ["g"], "v", "s", replicates=500).collect()}
     assert got["p50"]["n"] == stats.EXACT_ROWS + 20_000 and got["p50"]["lo"] <= 498 <= got["p50"]["hi"]
 
 
-@pytest.mark.parametrize("raw,want", [("  Hello   WORLD\n", "hello world"), ("Straße", "strasse"), ("", ""), (None, None)])
+@pytest.mark.parametrize(
+    "raw,want", [("  Hello   WORLD\n", "hello world"), ("Straße", "strasse"), ("", ""), (None, None)]
+)
 def test_normalize(spark, raw, want):
     assert one(spark, text.normalize_exact(F.lit(raw).cast("string"))) == want
     assert one(spark, text.normalize_exact(F.lit(raw).cast("string"), strict=True)) == want
 
 
-@pytest.mark.parametrize("reply,want", [("2", 2), ("Score: 1.", 1), ("(0) wrong", 0), ("10 of 12", None), ("x1y", 1), ("", None), (None, None)])
+@pytest.mark.parametrize(
+    "reply,want",
+    [("2", 2), ("Score: 1.", 1), ("(0) wrong", 0), ("10 of 12", None), ("x1y", 1), ("", None), (None, None)],
+)
 def test_parse_score(spark, reply, want):
     assert one(spark, text.parse_score(F.lit(reply).cast("string"))) == want
 
 
-@pytest.mark.parametrize("raw,want", [("2.0", "correct"), (" Partial ", "partial"), ("nan", None), (None, None), ("odd", "odd")])
+@pytest.mark.parametrize(
+    "raw,want", [("2.0", "correct"), (" Partial ", "partial"), ("nan", None), (None, None), ("odd", "odd")]
+)
 def test_labels(spark, raw, want):
     assert one(spark, text.normalize_label(F.lit(raw).cast("string"))) == want
 

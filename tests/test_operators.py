@@ -31,7 +31,11 @@ def test_greedy_cache_is_the_sequential_loop(spark):
     x, r = vectors(60, 3), random.Random(1)
     keys, keep = [f"k{r.randrange(25)}" for _ in x], [r.random() > 0.2 for _ in x]
     rows = spark.createDataFrame([(i, v.tolist(), k, s) for i, (v, k, s) in enumerate(zip(x, keys, keep))], VEC)
-    got = {r["idx"]: (r["kind"], r["hit_source_idx"]) for r in cache.greedy_cache(rows, 0.6, key="k", storable="keep").collect()}
+    got = {
+        r["idx"]: (r["kind"], r["hit_source_idx"]) for r in cache.greedy_cache(
+            rows, 0.6, key="k", storable="keep"
+        ).collect()
+    }
     stored = []
     for i in range(60):
         same = [j for j in stored if keys[j] == keys[i]]
@@ -48,13 +52,24 @@ def test_greedy_cache_is_the_sequential_loop(spark):
 
 
 def test_exact_replay_skips_failures_and_blanks(spark):
-    rows = spark.createDataFrame([("low", 0, "a", "err", "x"), ("low", 1, "a", None, " "), ("low", 2, "a", None, "x"), ("low", 3, "a", None, "y")], "frac string, idx long, norm_key string, error string, answer_text string").selectExpr("*", "1.0D AS cost_usd", "1L AS tokens_in", "1L AS tokens_out")
+    rows = spark.createDataFrame(
+        [
+            ("low", 0, "a", "err", "x"),
+            ("low", 1, "a", None, " "),
+            ("low", 2, "a", None, "x"),
+            ("low", 3, "a", None, "y"),
+        ],
+        "frac string, idx long, norm_key string, error string, answer_text string",
+    ).selectExpr("*", "1.0D AS cost_usd", "1L AS tokens_in", "1L AS tokens_out")
     got = {r["idx"]: (r["is_hit"], r["hit_source_idx"], r["replay_cost"]) for r in cache.exact_replay(rows).collect()}
     assert got == {2: (False, None, 1.0), 3: (True, 2, 0.0)}
 
 
 def test_sweep_counts_and_empty_denominators(spark):
-    rows = spark.createDataFrame([(1, 0.95, True, True), (2, 0.4, True, True), (3, 0.92, False, True), (4, 0.99, False, False)], "idx long, best double, should_hit boolean, eligible boolean")
+    rows = spark.createDataFrame(
+        [(1, 0.95, True, True), (2, 0.4, True, True), (3, 0.92, False, True), (4, 0.99, False, False)],
+        "idx long, best double, should_hit boolean, eligible boolean",
+    )
     got = {r["threshold"]: r for r in tuning.sweep(rows, [0.5, 0.9, 0.999]).collect()}
     assert (got[0.9]["tp"], got[0.9]["fp"], got[0.9]["fn"], got[0.9]["tn"]) == (1, 1, 1, 0)
     assert got[0.999]["precision"] == got[0.999]["f1"] == 0.0
@@ -64,15 +79,30 @@ def test_sweep_counts_and_empty_denominators(spark):
 
 def test_microaverage_golden(spark):
     got = tuning.rates(tuning.loss_table(spark, [(0.79, 118, 26, 0, 261)])).first()
-    assert got["f1"] == pytest.approx(0.9007634, abs=1e-6) and got["false_hit_rate"] == pytest.approx(0.1805556, abs=1e-6)
+    assert got["f1"] == pytest.approx(0.9007634, abs=1e-6) and got["false_hit_rate"] == pytest.approx(
+        0.1805556, abs=1e-6
+    )
 
 
-@pytest.mark.parametrize("request_,hard", [("x" * 500, True), ("Explain why it rains because", True), ("The cat sat on the mat.", False), (None, False)])
+@pytest.mark.parametrize(
+    "request_,hard",
+    [("x" * 500, True), ("Explain why it rains because", True), ("The cat sat on the mat.", False), (None, False)],
+)
 def test_heuristic(spark, request_, hard):
-    assert spark.range(1).select(routing.heuristic(F.lit(request_).cast("string")).alias("r")).first()["r"]["hard"] is hard
-
-
-@pytest.mark.parametrize("answer,up", [("I am not sure about this answer", True), ("   ", True), ("The cat sat on the mat.", False), ("I don’t know.", True)])
+    assert spark.range(1).select(
+        routing.heuristic(F.lit(request_).cast("string")).alias("r")
+    ).first()["r"]["hard"] is hard
+
+
+@pytest.mark.parametrize(
+    "answer,up",
+    [
+        ("I am not sure about this answer", True),
+        ("   ", True),
+        ("The cat sat on the mat.", False),
+        ("I don’t know.", True),
+    ],
+)
 def test_cascade(spark, answer, up):
     assert spark.range(1).select(routing.cascade(F.lit(answer)).alias("r")).first()["r"] is up
 
@@ -85,8 +115,12 @@ def test_prices(spark):
 
 
 def test_blank_answers_are_asked_again(spark):
-    s = lambda t, i, o, ms: F.struct(F.lit(t).alias("text"), F.lit(i).alias("tokens_in"), F.lit(o).alias("tokens_out"), F.lit(ms).alias("ms"))
-    got = spark.range(1).select(routing.retry_blank(s("", 10, 512, 1.0), s("answer", 10, 40, 1.0)).alias("r")).first()["r"]
+    s = lambda t, i, o, ms: F.struct(
+        F.lit(t).alias("text"), F.lit(i).alias("tokens_in"), F.lit(o).alias("tokens_out"), F.lit(ms).alias("ms")
+    )
+    got = spark.range(1).select(
+        routing.retry_blank(s("", 10, 512, 1.0), s("answer", 10, 40, 1.0)).alias("r")
+    ).first()["r"]
     assert tuple(got) == ("answer", 20, 552, 2.0)
 
 
@@ -97,7 +131,15 @@ def test_provider(spark):
 
 
 def human(spark):
-    rows = [("0.0", "0.0", "incorrect"), ("0.0", "nan", "correct"), ("2.0", "1.0", "correct"), ("1.0", "2.0", "partial"), ("2.0", "2.0", "2"), ("2.0", "nan", ""), ("nan", "nan", "")]
+    rows = [
+        ("0.0", "0.0", "incorrect"),
+        ("0.0", "nan", "correct"),
+        ("2.0", "1.0", "correct"),
+        ("1.0", "2.0", "partial"),
+        ("2.0", "2.0", "2"),
+        ("2.0", "nan", ""),
+        ("nan", "nan", ""),
+    ]
     return spark.createDataFrame(rows, "judge1_score string, judge2_score string, human_label string")
 
 
@@ -116,23 +158,44 @@ def test_kappa_without_pairs_or_chance(spark):
 
 def test_coverage_and_tiers(spark):
     assert agreement.coverage(human(spark)).first()["filled"] == 5
-    rows = spark.createDataFrame([("cache", "cache_semantic", "cheap", 0, None), ("cache", "miss", "cheap", 2, 1), ("router_cascade", "cache_exact", "expensive", 2, None), ("cache", "miss", "cheap", 2, 2)], "config string, kind string, served_by string, judge1_score int, judge2_score int")
+    rows = spark.createDataFrame(
+        [
+            ("cache", "cache_semantic", "cheap", 0, None),
+            ("cache", "miss", "cheap", 2, 1),
+            ("router_cascade", "cache_exact", "expensive", 2, None),
+            ("cache", "miss", "cheap", 2, 2),
+        ],
+        "config string, kind string, served_by string, judge1_score int, judge2_score int",
+    )
     assert [r[0] for r in rows.select(agreement.priority()).collect()] == [1, 2, 3, 4]
     assert rows.select(agreement.priority(strict=True)).collect()[2][0] == 4
 
 
 def test_judged_rows_need_one_outcome_each(spark):
-    o = spark.createDataFrame([("c", "low", 1, "miss", "cheap")] * 2, "config string, frac string, idx long, kind string, served_by string")
+    o = spark.createDataFrame(
+        [("c", "low", 1, "miss", "cheap")] * 2, "config string, frac string, idx long, kind string, served_by string"
+    )
     with pytest.raises(Exception, match="one for each key"):
         agreement.judged_rows(o.select("config", "frac", "idx").limit(1), o).collect()
 
 
 def outcomes(spark, rows):
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq long, config string, frac string, idx long, kind string, served_by string, latency_ms double, tokens_in long, tokens_out long, cost_usd double, error string")
+    return spark.createDataFrame(
+        [(i, *r) for i, r in enumerate(rows)],
+        "seq long, config string, frac string, idx long, kind string, served_by string, latency_ms double, tokens_in long, tokens_out long, cost_usd double, error string",
+    )
 
 
 def test_run_metrics_and_warm_rows(spark):
-    rows = outcomes(spark, [("cache", "low", 0, "miss", "expensive", 500.0, 1, 2, 0.5, None), ("cache", "low", 1, "cache_exact", "expensive", 0.0, 0, 0, 0.0, "nan"), ("cache", "low", 2, "miss", "cheap", 100.0, 1, 1, 0.25, ""), ("cache", "low", 3, "miss", "cheap", 9.0, 1, 1, 9.0, "boom")])
+    rows = outcomes(
+        spark,
+        [
+            ("cache", "low", 0, "miss", "expensive", 500.0, 1, 2, 0.5, None),
+            ("cache", "low", 1, "cache_exact", "expensive", 0.0, 0, 0, 0.0, "nan"),
+            ("cache", "low", 2, "miss", "cheap", 100.0, 1, 1, 0.25, ""),
+            ("cache", "low", 3, "miss", "cheap", 9.0, 1, 1, 9.0, "boom"),
+        ],
+    )
     got = metrics.run_metrics(rows).first()
     assert (got["n_rows"], got["n_errors"], got["n_ok"], got["n_exact"], got["cheap_calls"]) == (4, 1, 3, 1, 1)
     assert (got["first_latency_ms"], got["p50_ms"], got["p95_ms"]) == (500.0, 50.0, 95.0)
@@ -140,7 +203,9 @@ def test_run_metrics_and_warm_rows(spark):
 
 
 def test_gates_fail_for_absent_runs(spark):
-    m = spark.createDataFrame([("baseline", "low", 2.0), ("cache", "low", 1.0)], "config string, frac string, cost_usd double")
+    m = spark.createDataFrame(
+        [("baseline", "low", 2.0), ("cache", "low", 1.0)], "config string, frac string, cost_usd double"
+    )
     got = {r["name"]: (r["passed"], r["observed"]) for r in gates.cost_gates(m).collect()}
     assert got["baseline_costs_more_low_cache"] == (True, "baseline 2.0000 vs cache 1.0000") and len(got) == 6
     assert got["baseline_costs_more_high_cache"] == (False, "run not present (resume incomplete)")
@@ -148,10 +213,14 @@ def test_gates_fail_for_absent_runs(spark):
 
 
 def test_workload_has_its_fractions_and_order(spark):
-    pairs = spark.createDataFrame([(f"p{i:03d}", f"anchor {i}", f"follower {i}", i % 2) for i in range(120)], tables.PAIRS)
+    pairs = spark.createDataFrame(
+        [(f"p{i:03d}", f"anchor {i}", f"follower {i}", i % 2) for i in range(120)], tables.PAIRS
+    )
     rows = [r.asDict() for r in workload.build(pairs, 40, 0.2, 0.1, 0.25, 5, "low").orderBy("idx").collect()]
     count = lambda d: sum(r["dup_type"] == d for r in rows)
-    assert [count(d) for d in ("paraphrase", "trap", "exact", "novel")] == [8, 4, 10, 18] and [r["idx"] for r in rows] == list(range(40))
+    assert [
+        count(d) for d in ("paraphrase", "trap", "exact", "novel")
+    ] == [8, 4, 10, 18] and [r["idx"] for r in rows] == list(range(40))
     first = {r["group_id"]: r["idx"] for r in rows if r["dup_type"] == "novel"}
     assert all(first[r["group_id"]] < r["idx"] for r in rows if r["dup_type"] != "novel")
     with pytest.raises(ValueError):
@@ -165,15 +234,32 @@ def test_split_keeps_groups_whole(spark):
 
 
 def test_user_text(spark):
-    rows = spark.createDataFrame([(1, 2, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "x"), (2, 0, "user", "  "), (3, 0, "assistant", "y")], "conv_id long, turn int, role string, text string")
+    rows = spark.createDataFrame(
+        [
+            (1, 2, "user", "b"),
+            (1, 0, "user", "a"),
+            (1, 1, "assistant", "x"),
+            (2, 0, "user", "  "),
+            (3, 0, "assistant", "y"),
+        ],
+        "conv_id long, turn int, role string, text string",
+    )
     assert [tuple(r) for r in workload.user_text(rows).collect()] == [(1, 2, "a\nb")]
 
 
 def test_audit_finds_claims_without_a_source(spark):
-    docs = spark.createDataFrame([(1, "4 of 45 hits, 8.9% and 12.5%"), (2, "5 of 45"), (3, None)], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "4 of 45 hits, 8.9% and 12.5%"), (2, "5 of 45"), (3, None)], "doc_id long, text string"
+    )
     found = audit.claims(docs)
-    assert [r["claim"] for r in audit.unsupported_pairs(found, spark.createDataFrame([(4, 45)], "k long, n long")).collect()] == ["5 of 45"]
-    assert [r["claim"] for r in audit.unsupported_percentages(found, spark.createDataFrame([(8.89,)], "value double")).collect()] == ["12.5%"]
+    assert [
+        r["claim"] for r in audit.unsupported_pairs(found, spark.createDataFrame([(4, 45)], "k long, n long")).collect()
+    ] == ["5 of 45"]
+    assert [
+        r["claim"] for r in audit.unsupported_percentages(
+            found, spark.createDataFrame([(8.89,)], "value double")
+        ).collect()
+    ] == ["12.5%"]
 
 
 def test_tables(spark, tmp_path):
@@ -184,12 +270,19 @@ def test_tables(spark, tmp_path):
     tables.append_rows(rows.where("idx = 2"), path)
     assert tables.pending(rows, spark.read.parquet(path)).count() == 0
     tables.write_json(spark, f"file://{tmp_path}/x.json", {"b": 1, "a": "ü"})
-    assert tables.read_json(spark, f"file://{tmp_path}/x.json") == {"a": "ü", "b": 1} and tables.read_json(spark, f"file://{tmp_path}/no.json") is None
+    assert tables.read_json(spark, f"file://{tmp_path}/x.json") == {"a": "ü", "b": 1} and tables.read_json(
+        spark, f"file://{tmp_path}/no.json"
+    ) is None
 
 
 def test_stream_serves_the_first_good_answer(spark, tmp_path):
     schema = "idx long, mode string, request string, answer_text string, served_by string, tokens_in long, tokens_out long, error string"
-    rows = [(0, "cache", "Hello   world", "", "cheap", 1, 1, None), (1, "cache", "hello world", "A", "cheap", 1, 1, None), (2, "cache", " HELLO world", "B", "cheap", 1, 1, None), (3, "expensive", "hello world", "C", "expensive", 5, 5, None)]
+    rows = [
+        (0, "cache", "Hello   world", "", "cheap", 1, 1, None),
+        (1, "cache", "hello world", "A", "cheap", 1, 1, None),
+        (2, "cache", " HELLO world", "B", "cheap", 1, 1, None),
+        (3, "expensive", "hello world", "C", "expensive", 5, 5, None),
+    ]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = gateway.exact_cache_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
     out = gateway.write_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))
@@ -202,10 +295,18 @@ def test_full_grid_reaches_near_copies(spark, monkeypatch):
     from sluice.plans import catalog
 
     rows = [(i, 0.5 + 0.001 * i, i >= 400, True) for i in range(490)]
-    monkeypatch.setattr(catalog, "_best", lambda s, d: s.createDataFrame(rows, "idx long, best double, should_hit boolean, eligible boolean"))
+    monkeypatch.setattr(
+        catalog,
+        "_best",
+        lambda s, d: s.createDataFrame(rows, "idx long, best double, should_hit boolean, eligible boolean"),
+    )
     swept = {r["threshold"] for r in catalog.threshold_sweep_full(spark, "").collect()}
     assert set(tuning.grid()) <= swept and set(catalog.GRID) <= swept
     assert catalog.best_f1_threshold_full(spark, "").first()["threshold"] == 0.9
     assert {r["threshold"] for r in catalog.cost_weighted_threshold_full(spark, "").collect()} == {0.9}
     assert catalog.control_thresholds_full(spark, "").first()["max_f1"] > 0.5
-    assert all("range(160)" in catalog.ORACLE[f"{n}_full"] for n in ("threshold_sweep", "best_f1_threshold", "cost_weighted_threshold", "gate_table", "all_gates"))
+    assert all(
+        "range(160)" in catalog.ORACLE[f"{n}_full"] for n in (
+            "threshold_sweep", "best_f1_threshold", "cost_weighted_threshold", "gate_table", "all_gates"
+        )
+    )

@@ -59,9 +59,15 @@ def test_published_marks(name, seed, n, mark):
 
 def test_published_seeds(spark):
     pairs = {f"{i}-{f}": (f, f"{a}-vs-{b}", q) for i, a, b, q in metrics.COMPARISONS for f in gates.FRACS}
-    parts = [(n, *(pairs[n] if n in pairs else (n.split("_")[0], *n.split("_", 1)[1].rsplit("_", 1)))) for n, *_ in MARKS]
+    parts = [
+        (n, *(pairs[n] if n in pairs else (n.split("_")[0], *n.split("_", 1)[1].rsplit("_", 1)))) for n, *_ in MARKS
+    ]
     rows = spark.createDataFrame(parts, "name string, frac string, config string, quantity string")
-    got = {r["name"]: r["s"] for r in rows.select("name", stats.derive_seed(F.col("frac"), F.col("config"), F.col("quantity")).alias("s")).collect()}
+    got = {
+        r["name"]: r["s"] for r in rows.select(
+            "name", stats.derive_seed(F.col("frac"), F.col("config"), F.col("quantity")).alias("s")
+        ).collect()
+    }
     assert got == {n: s for n, s, *_ in MARKS}
 
 
@@ -72,8 +78,15 @@ def test_control_draws_lie_within_the_grid():
 
 def test_exact_percentiles_with_ties(spark):
     rng = np.random.default_rng(1)
-    data = {"a": rng.exponential(10, 5000).round(1), "b": np.repeat([1.0, 2.0], [700, 300]), "c": np.array([5.0]), None: rng.normal(size=11)}
-    rows = spark.createDataFrame([(g, float(v)) for g, x in data.items() for v in x] + [("d", None)], "g string, v double")
+    data = {
+        "a": rng.exponential(10, 5000).round(1),
+        "b": np.repeat([1.0, 2.0], [700, 300]),
+        "c": np.array([5.0]),
+        None: rng.normal(size=11),
+    }
+    rows = spark.createDataFrame(
+        [(g, float(v)) for g, x in data.items() for v in x] + [("d", None)], "g string, v double"
+    )
     got = {r["g"]: r["p"] for r in stats.exact_percentiles(rows, ["g"], "v", (0.0, 0.5, 0.95, 0.99, 1.0)).collect()}
     assert got.keys() == data.keys()
     for g, x in data.items():
@@ -89,7 +102,9 @@ def test_split_has_its_share_of_groups(spark):
 
 
 def judged_tables(spark):
-    o = [("cache", "low", i, f"q{i}", "novel", "same" if i % 3 == 0 else f"b{i}") for i in range(12)] + [("cache", "low", 12, "q12", "trap", None)]
+    o = [
+        ("cache", "low", i, f"q{i}", "novel", "same" if i % 3 == 0 else f"b{i}") for i in range(12)
+    ] + [("cache", "low", 12, "q12", "trap", None)]
     b = [("low", i, "" if i == 1 else "same") for i in range(13) if i != 2]
     schema = "config string, frac string, idx long, request string, dup_type string, answer_text string"
     return spark.createDataFrame(o, schema), spark.createDataFrame(b, "frac string, idx long, answer_text string")
@@ -105,19 +120,39 @@ def test_judge_run_and_its_resumption(spark):
     assert rows[4]["judge1_raw"].startswith("Score") and rows[12]["answer_text"] == ""
     drawn = {r["idx"] for r in judging.sampled(o, 4, 1).collect()}
     assert len(drawn) == 4 and all(r["sampled_for_judge2"] == (r["idx"] in drawn) for r in out)
-    assert all((r["judge2_raw"] is not None) == (r["idx"] in drawn and not r["identical"]) and r["judge2_score"] is None for r in out)
+    assert all(
+        (r["judge2_raw"] is not None) == (
+            r["idx"] in drawn and not r["identical"]
+        ) and r["judge2_score"] is None for r in out
+    )
     done = o.where("idx < 6")
     again = judging.judge_run(o, b, ask1, ask2, "R", 4, 1, done).collect()
     assert sorted(map(str, again)) == sorted(str(r) for r in out if r["idx"] >= 6)
 
 
 def test_queue_for_people(spark, tmp_path):
-    j = spark.createDataFrame([("cache", "low", 3, "trap", "q", "a", "b", False, 0, None), ("cache", "low", 1, "novel", "q", "a", "b", False, 2, 1), ("router_cascade", "high", 2, "novel", None, "a", "b", False, 2, None)], "config string, frac string, idx long, dup_type string, request string, answer_text string, baseline_text string, identical boolean, judge1_score int, judge2_score int")
-    o = spark.createDataFrame([("cache", "low", 3, "cache_semantic", "cheap", 0.87, 1), ("cache", "low", 1, "miss", "cheap", None, None), ("router_cascade", "high", 2, "miss", "expensive", None, None)], "config string, frac string, idx long, kind string, served_by string, similarity double, hit_source_idx long")
+    j = spark.createDataFrame(
+        [
+            ("cache", "low", 3, "trap", "q", "a", "b", False, 0, None),
+            ("cache", "low", 1, "novel", "q", "a", "b", False, 2, 1),
+            ("router_cascade", "high", 2, "novel", None, "a", "b", False, 2, None),
+        ],
+        "config string, frac string, idx long, dup_type string, request string, answer_text string, baseline_text string, identical boolean, judge1_score int, judge2_score int",
+    )
+    o = spark.createDataFrame(
+        [
+            ("cache", "low", 3, "cache_semantic", "cheap", 0.87, 1),
+            ("cache", "low", 1, "miss", "cheap", None, None),
+            ("router_cascade", "high", 2, "miss", "expensive", None, None),
+        ],
+        "config string, frac string, idx long, kind string, served_by string, similarity double, hit_source_idx long",
+    )
     out = agreement.human_queue(j, o)
     assert tuple(out.columns) == agreement.QUEUE
     rows = [r.asDict() for r in out.collect()]
-    assert [r["priority"] for r in rows] == [1, 2, 3] and rows[0]["similarity"] == "0.87" and rows[0]["judge1_score"] == "0"
+    assert [
+        r["priority"] for r in rows
+    ] == [1, 2, 3] and rows[0]["similarity"] == "0.87" and rows[0]["judge1_score"] == "0"
     assert rows[1]["similarity"] == "" == rows[2]["request"] and rows[2]["priority_reason"] == "cascade escalation"
     tables.write_queue(out, f"file://{tmp_path}/queue", ["priority", "config", "frac", "idx"], 2)
     back = tables.read_csv_text(spark, f"file://{tmp_path}/queue")
@@ -126,9 +161,23 @@ def test_queue_for_people(spark, tmp_path):
 
 def compared(spark):
     rng = np.random.default_rng(2)
-    rows = [(f, c, i, float(rng.random()), float(rng.random() * 100), None, "cache_semantic" if i % 2 else "miss") for f in gates.FRACS for c in tables.CONFIGS for i in range(40)]
-    o = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "seq long, frac string, config string, idx long, cost_usd double, latency_ms double, error string, kind string")
-    j = o.where("config <> 'baseline'").select("config", "frac", "idx", (F.col("idx") % 3 == 0).alias("identical"), (F.col("idx") % 2).cast("int").alias("judge1_score"), F.lit("trap").alias("dup_type"))
+    rows = [
+        (
+            f, c, i, float(rng.random()), float(rng.random() * 100), None, "cache_semantic" if i % 2 else "miss"
+        ) for f in gates.FRACS for c in tables.CONFIGS for i in range(40)
+    ]
+    o = spark.createDataFrame(
+        [(k, *r) for k, r in enumerate(rows)],
+        "seq long, frac string, config string, idx long, cost_usd double, latency_ms double, error string, kind string",
+    )
+    j = o.where("config <> 'baseline'").select(
+        "config",
+        "frac",
+        "idx",
+        (F.col("idx") % 3 == 0).alias("identical"),
+        (F.col("idx") % 2).cast("int").alias("judge1_score"),
+        F.lit("trap").alias("dup_type"),
+    )
     return o, j, rows
 
 
@@ -138,11 +187,15 @@ def test_comparisons(spark):
     assert len(points) == 12
     of = lambda c, k: {r[2]: r[k] for r in rows if r[0] == "low" and r[1] == c}
     a, b = of("cache", 3), of("baseline", 3)
-    assert points["cost-cache-baseline-low"]["diff"] == pytest.approx(np.mean([a[i] - b[i] for i in a])) and points["cost-cache-baseline-low"]["seed"] == 1037964175
+    assert points["cost-cache-baseline-low"]["diff"] == pytest.approx(
+        np.mean([a[i] - b[i] for i in a])
+    ) and points["cost-cache-baseline-low"]["seed"] == 1037964175
     a, b = of("router_heuristic", 4), of("baseline", 4)
     warm = range(1, 40)
     assert points["p99-heur-base-low"]["n_shared"] == 39
-    assert points["p99-heur-base-low"]["diff"] == pytest.approx(np.percentile([a[i] for i in warm], 99) - np.percentile([b[i] for i in warm], 99))
+    assert points["p99-heur-base-low"]["diff"] == pytest.approx(
+        np.percentile([a[i] for i in warm], 99) - np.percentile([b[i] for i in warm], 99)
+    )
     assert points["fhr-casc-heur-low"]["method"] == "newcombe" and points["fhr-casc-heur-low"]["n_a"] == 20
     exact = {f"{r['id']}-{r['frac']}": r for r in metrics.published_comparisons(o, j, replicates=2000).collect()}
     near = {r["id"]: r for r in metrics.comparisons(o, j, replicates=2000).collect()}
@@ -155,21 +208,34 @@ def test_comparisons(spark):
 def test_results_document(spark, tmp_path):
     g = spark.createDataFrame([("one", True, "x"), ("two", False, "y")], "name string, passed boolean, observed string")
     m = spark.createDataFrame([("cache", "low", 3, 0.5)], "config string, frac string, n long, rate double")
-    cells = results.long_form("gates", g, "name", (), ("passed", "observed")).unionByName(results.long_form("metrics", m, "concat(frac, '_', config)", ("n", "rate")))
+    cells = results.long_form("gates", g, "name", (), ("passed", "observed")).unionByName(
+        results.long_form("metrics", m, "concat(frac, '_', config)", ("n", "rate"))
+    )
     path = f"file://{tmp_path}/results.json"
     for run in ("first", "second"):  # a second writing replaces the first
         results.write_results(spark, path, cells, run)
     told = tables.read_json(spark, path)
-    assert told["run_name"] == "second" and told["all_gates_passed"] is False and told["metrics"]["low_cache"] == {"n": 3.0, "rate": 0.5}
+    assert told["run_name"] == "second" and told["all_gates_passed"] is False and told["metrics"]["low_cache"] == {
+        "n": 3.0, "rate": 0.5
+    }
     assert json.loads((tmp_path / "results.json").read_text()) == told
 
 
 def test_store_round_trip_and_last_writer(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a", "k", "g", "old", "m", [1.0]), (2, "b", "k2", "g", "other", "m", [0.0]), (3, "A", "k", "g", "new", "m", [2.0])], tables.STORE)
+    rows = spark.createDataFrame(
+        [
+            (1, "a", "k", "g", "old", "m", [1.0]),
+            (2, "b", "k2", "g", "other", "m", [0.0]),
+            (3, "A", "k", "g", "new", "m", [2.0]),
+        ],
+        tables.STORE,
+    )
     path = f"file://{tmp_path}/store"
     tables.write_table(cache.latest_by_key(rows), path)
     back = tables.read_table(spark, path, tables.STORE)
-    assert {(r["norm_key"], r["idx"], r["answer_text"]) for r in back.collect()} == {("k", 3, "new"), ("k2", 2, "other")}
+    assert {
+        (r["norm_key"], r["idx"], r["answer_text"]) for r in back.collect()
+    } == {("k", 3, "new"), ("k2", 2, "other")}
     hits = spark.createDataFrame([(9, 3), (10, None)], "idx long, hit_source_idx long")
     served = cache.served(hits, back.withColumn("served_by", F.lit("cheap"))).collect()
     assert {(r["idx"], r["stored_answer"]) for r in served} == {(9, "new"), (10, None)}
@@ -180,11 +246,15 @@ def test_store_round_trip_and_last_writer(spark, tmp_path):
 
 
 def test_runs_are_found_by_their_folders(spark, tmp_path):
-    rows = spark.createDataFrame([("cache", "low", 1), ("cache", "high", 2), ("baseline", "low", 3)], "config string, frac string, idx long")
+    rows = spark.createDataFrame(
+        [("cache", "low", 1), ("cache", "high", 2), ("baseline", "low", 3)], "config string, frac string, idx long"
+    )
     tables.append_rows(rows, f"file://{tmp_path}/runs")
     found = tables.read_runs(spark, f"file://{tmp_path}/runs", "config string, frac string, idx long")
     assert sorted(map(tuple, found.select("config", "frac", "idx").collect())) == sorted(map(tuple, rows.collect()))
-    workload.write_fractions({"low": rows.select("idx"), "high": rows.select("idx").limit(1)}, f"file://{tmp_path}/w", {"seed": 1})
+    workload.write_fractions(
+        {"low": rows.select("idx"), "high": rows.select("idx").limit(1)}, f"file://{tmp_path}/w", {"seed": 1}
+    )
     back = tables.read_table(spark, f"file://{tmp_path}/w/workload", "idx long, frac string")
     assert back.where("frac = 'low'").count() == 3 and back.where("frac = 'high'").count() == 1
     assert tables.read_json(spark, f"file://{tmp_path}/w/meta.json") == {"seed": 1}
@@ -192,38 +262,70 @@ def test_runs_are_found_by_their_folders(spark, tmp_path):
 
 def test_pairs_from_csv(spark, tmp_path):
     (tmp_path / "p.csv").write_text('id,sentence1,sentence2,label\n1,"a ""b""\nc",d,1\n')
-    assert [tuple(r) for r in tables.read_pairs(spark, f"file://{tmp_path}/p.csv").collect()] == [("1", 'a "b"\nc', "d", 1)]
+    assert [
+        tuple(r) for r in tables.read_pairs(spark, f"file://{tmp_path}/p.csv").collect()
+    ] == [("1", 'a "b"\nc', "d", 1)]
 
 
 def test_audit_checks(spark):
-    docs = spark.createDataFrame([(1, "| config | cost |\n|---|:-:|\n| cache | 0.81-1.04 |\nno | table"), (2, "1234567% and 99999999999999999999 of 3"), (3, None)], "doc_id long, text string")
-    got = audit.table_rows(docs).select("line", "cells", audit.interval_of(F.get("cells", F.lit(1))).alias("i")).collect()
-    assert [(r["line"], r["cells"]) for r in got] == [(0, ["config", "cost"]), (2, ["cache", "0.81-1.04"])] and tuple(got[1]["i"]) == (0.81, 1.04)
+    docs = spark.createDataFrame(
+        [
+            (1, "| config | cost |\n|---|:-:|\n| cache | 0.81-1.04 |\nno | table"),
+            (2, "1234567% and 99999999999999999999 of 3"),
+            (3, None),
+        ],
+        "doc_id long, text string",
+    )
+    got = audit.table_rows(docs).select(
+        "line", "cells", audit.interval_of(F.get("cells", F.lit(1))).alias("i")
+    ).collect()
+    assert [(r["line"], r["cells"]) for r in got] == [
+        (0, ["config", "cost"]), (2, ["cache", "0.81-1.04"])
+    ] and tuple(got[1]["i"]) == (0.81, 1.04)
     found = audit.claims(docs)
     assert {r["claim"] for r in found.collect()} == {"1234567%", "99999999999999999999 of 3"}
     assert audit.unsupported_pairs(found, spark.createDataFrame([(3, 3)], "k long, n long")).count() == 1
-    told = spark.createDataFrame([("percent", "9%"), ("percent", "8.4%"), ("percent", "8.9%"), ("percent", "8.86%")], "kind string, claim string")
+    told = spark.createDataFrame(
+        [("percent", "9%"), ("percent", "8.4%"), ("percent", "8.9%"), ("percent", "8.86%")], "kind string, claim string"
+    )
     wrong = audit.unsupported_percentages(told, spark.createDataFrame([(8.89,)], "value double"))
     assert {r["claim"] for r in wrong.collect()} == {"8.4%", "8.86%"}  # half of the last decimal and 0.02 are allowed
     registry = spark.createDataFrame([("human_label_coverage",), ("gone",)], "name string")
     held = spark.createDataFrame([("human_label_coverage", True), ("new", True)], "name string, passed boolean")
-    assert sorted(map(tuple, audit.gate_registry(held, registry).collect())) == [("gone", "absent"), ("human_label_coverage", "should fail"), ("new", "not registered")]
+    assert sorted(map(tuple, audit.gate_registry(held, registry).collect())) == [
+        ("gone", "absent"), ("human_label_coverage", "should fail"), ("new", "not registered")
+    ]
 
 
 def test_gateway_modes_errors_and_size(spark, tmp_path):
-    asked = spark.createDataFrame([(0, "hi", None), (1, " ", "cache"), (2, "hi", "turbo"), (3, "hi", "cheap"), (4, "hi", "expensive")], "idx long, request string, mode string")
+    asked = spark.createDataFrame(
+        [(0, "hi", None), (1, " ", "cache"), (2, "hi", "turbo"), (3, "hi", "cheap"), (4, "hi", "expensive")],
+        "idx long, request string, mode string",
+    )
     assert {(r["idx"], r["status"]) for r in gateway.rejected(asked).collect()} == {(1, 400), (2, 400)}
     side = lambda t, n: F.struct(F.lit(t).alias("text"), F.lit(n).alias("tokens_in"), F.lit(n).alias("tokens_out"))
-    out = {r["idx"]: r for r in gateway.by_mode(gateway.accepted(asked).withColumns({"cheap": side("I am not sure", 3), "dear": side("yes", 5)})).collect()}
-    assert (out[0]["served_by"], out[0]["answer_text"], out[0]["tokens_in"], out[0]["escalated"]) == ("expensive", "yes", 8, True)
-    assert (out[3]["served_by"], out[3]["tokens_out"]) == ("cheap", 3) and (out[4]["served_by"], out[4]["tokens_in"]) == ("expensive", 5)
+    out = {
+        r["idx"]: r for r in gateway.by_mode(
+            gateway.accepted(asked).withColumns({"cheap": side("I am not sure", 3), "dear": side("yes", 5)})
+        ).collect()
+    }
+    assert (
+        out[0]["served_by"], out[0]["answer_text"], out[0]["tokens_in"], out[0]["escalated"]
+    ) == ("expensive", "yes", 8, True)
+    assert (
+        out[3]["served_by"], out[3]["tokens_out"]
+    ) == ("cheap", 3) and (out[4]["served_by"], out[4]["tokens_in"]) == ("expensive", 5)
     bad = gateway.failed(asked.withColumn("error", F.when(F.col("idx") == 0, "set the variable")), "BASE_URL").collect()
     assert [(r["status"], r["error_type"], r["param"]) for r in bad] == [(500, "upstream_unavailable", "BASE_URL")]
     schema = "idx long, mode string, request string, answer_text string, served_by string, tokens_in long, tokens_out long, error string"
     for batch in range(3):  # one file, and so one micro-batch, each
-        rows = [(10 * batch + i, "cache", f"question {i}", f"answer {batch}", "cheap", 1, 1, None) for i in range(batch + 1)]
+        rows = [
+            (10 * batch + i, "cache", f"question {i}", f"answer {batch}", "cheap", 1, 1, None) for i in range(batch + 1)
+        ]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = gateway.exact_cache_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    stream = gateway.exact_cache_stream(
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    )
     made = gateway.write_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     assert gateway.cache_size(made).first()["cache_size"] == 3
     assert made.where("NOT hit").count() == 3 and made.count() == 6
@@ -232,7 +334,12 @@ def test_gateway_modes_errors_and_size(spark, tmp_path):
 
 
 def test_reasons(spark):
-    got = spark.range(1).select(routing.heuristic(F.lit("The cat sat.")).alias("a"), routing.heuristic(F.lit("why?")).alias("b"), routing.cascade_reason(F.lit("")).alias("c"), routing.cascade_reason(F.lit("Yes.")).alias("d")).first()
+    got = spark.range(1).select(
+        routing.heuristic(F.lit("The cat sat.")).alias("a"),
+        routing.heuristic(F.lit("why?")).alias("b"),
+        routing.cascade_reason(F.lit("")).alias("c"),
+        routing.cascade_reason(F.lit("Yes.")).alias("d"),
+    ).first()
     assert (got["a"]["reason"], got["b"]["reason"]) == ("short and no reasoning cue", "long=False cue=True")
     assert (got["c"]["reason"], got["d"]["reason"]) == ("cheap answer uncertain or empty", "cheap answer confident")
 
