@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 BITS = 13
 #: Expected number of training documents for each language, one in five of them for calibration.
@@ -35,10 +35,8 @@ def ngram_counts(text: str | None, bits: int = BITS) -> np.ndarray | None:
         c = np.frombuffer(text[at : at + BLOCK + 2].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         letter = _LETTER[c]
         any_letter |= bool(letter.any())
-        c = np.where(letter, c, np.uint32(32))
-        c = np.concatenate(
-            [[np.uint32(32)], c[(c != 32) | np.concatenate([[True], c[:-1] != 32])], [np.uint32(32)]]
-        ).astype(np.uint32)
+        c = np.concatenate([[32], np.where(letter, c, np.uint32(32)), [32]]).astype(np.uint32)
+        c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))]
         one = (c + np.uint32(1)) * np.uint32(0x9E3779B1)
         two = (one[:-1] ^ (c[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
         three = (two[:-1] ^ (c[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
@@ -196,6 +194,7 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
     sample = told.where("lang IS NOT NULL").orderBy(
         F.xxhash64("n", "counts", F.lit("order")), "n"
     ).select("lang", "counts").collect()
+    discard(told)
     rows = [(r["lang"], *np.frombuffer(r["counts"], np.int32).reshape(2, -1)) for r in sample]
     return fit(sorted({label for label, *_ in rows}), idf, rows)
 

@@ -532,3 +532,40 @@ def test_stages_on_odd_tables(spark, tmp_path):
             if name == "near duplicates" and some:
                 assert Counter(x["doc_id"] for x in held) == Counter([1, 1, None, None])
             docs = clashing(spark.createDataFrame(held, WIDE)) if name != "sharding" else out
+
+
+def plain_counts(text):
+    """Hashed n-grams by a loop over characters."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    if not letters:
+        return None
+    c, out, top = [ord(x) for x in f" {' '.join(letters)} "], Counter(), (1 << 32) - 1
+    for i in range(len(c)):
+        h = (c[i] + 1) * 0x9E3779B1 & top
+        out[h >> 19] += 1
+        if i + 1 < len(c):
+            h = h ^ (c[i + 1] * 0x85EBCA77 & top)
+            h = h * 0xC2B2AE3D & top
+            out[h >> 19] += 1
+        if i + 2 < len(c):
+            h = h ^ (c[i + 2] * 0x27D4EB2F & top)
+            h = h * 0x165667B1 & top
+            out[h >> 19] += 1
+    return out
+
+
+@pytest.mark.parametrize("text", ["Der Hund, die Katze!", "  12 a", "Éßx\U0001f600y", "one  two\nthree", "...", "\U00010330\U00020000 z"])
+def test_ngram_counts_against_a_plain_loop(text):
+    got, want = langid.ngram_counts(text), plain_counts(text)
+    assert (got is None) == (want is None)
+    if want is not None:
+        assert {i: int(n) for i, n in enumerate(got) if n} == dict(want)
+
+
+def test_language_of_held_out_texts_of_any_length(spark):
+    from sluice.llm import catalog
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    told = catalog.op2_language_id(spark, "/root/testdata/sf0.01").join(rows, "doc_id")
+    known = told.where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
+    assert known.where("lang = lang_pred").count() >= 0.95 * known.count() > 100
