@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import stats, text
+from ..functions import stats, text, vectors
 from ..operators import agreement, audit, cache, gates, judging, metrics, results, routing, tuning, workload
 from ..sources import surrogate, tables
 from ..sources.surrogate import SQL, load
@@ -477,3 +477,30 @@ def audit_interval_cells(spark, d):
     )
     claimed = rates.select("config", "frac", audit.interval_of(cell)["lo"].alias("lo"))
     return audit.cell_mismatches(claimed, rates, ["config", "frac"], "lo").select("config", "frac", "claimed", "actual")
+
+
+_PADDED = "' ' || lower(coalesce(t, '')) || ' '"
+_MARKS = f"list_transform(range(1, length({_PADDED}) - 1), lambda i: ('0x' || substr(md5(substr({_PADDED}, i, 3)), 1, 8))::BIGINT)"
+
+
+def _encoded(rows: str) -> str:
+    """SQL of unit vectors (16 places) of the texts ``t`` of ``rows``."""
+    place = (
+        "list_transform(range(16), lambda d: coalesce(list_sum(list_transform(list_filter(m, lambda h: h % 16 = d), "
+        "lambda h: CASE WHEN (h // 1048576) % 2 = 0 THEN 1e0 ELSE -1e0 END)), 0e0))"
+    )
+    return f"SELECT * EXCLUDE (m), {place} AS v FROM (SELECT *, {_MARKS} AS m FROM ({rows}))"
+
+
+@query(
+    "WITH e AS ("
+    + _encoded("SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'user'")
+    + "), q AS ("
+    + _encoded("SELECT 'how does it work' AS t")
+    + ") SELECT e.conv_id, e.turn::BIGINT AS turn, round(coalesce(list_dot_product(e.v, q.v) / nullif(sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v)), 0), 0), 6) AS similarity FROM e, q"
+)
+def encode_similarity(spark, d):
+    """Each user turn's encoding against that of a fixed question."""
+    rows = load(spark, d, "conversations").where("role = 'user'")
+    pair = vectors.dot(vectors.hashed_ngrams(F.col("text"), 16), vectors.hashed_ngrams(F.lit("how does it work"), 16))
+    return rounded(rows.select("conv_id", F.col("turn").cast("long").alias("turn"), pair.alias("similarity")))
