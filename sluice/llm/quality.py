@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, window_hashes, words_of
+from .words import BLOCK, Words, window_hashes, words_of
 
 MIN_WORDS, MAX_REPEAT, MAX_LOSS = 50, 50, 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -134,6 +134,9 @@ def judge_documents(
     own = {"doc_id", *(c.split()[0] for c in COLUMNS.split(", "))}
     named = [f"carried_{c}" if c in own else c for c in carry]
     carried = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, named)])
+    # the text itself goes to a task once
+    apart = [c for c in carry if not (c == text and dict(docs.dtypes)[c] == "string")]
+    places = [2 + apart.index(c) if c in apart else 1 for c in carry]
     common = {r["line"] & (1 << 64) - 1 for r in repeated_lines(docs, text).collect()}  # bounded, see there
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(common))
 
@@ -158,7 +161,7 @@ def judge_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in words_of(batch.column(1)):
+            for w in words_of(batch.column(1), limit=BLOCK):
                 n = np.diff(w.first)
                 starts = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
                 chars = np.concatenate([[0], np.cumsum(starts[w.end] - starts[w.start])])
@@ -183,14 +186,15 @@ def judge_documents(
                         pa.array(lost, pa.int64()),
                         pa.array(kept),
                         pa.array([c.decode() for c in clean] if cleaned else [None] * len(n), pa.string()),
-                        *(c[w.rows] for c in batch.columns[2:])
+                        *(batch.column(i)[w.rows] for i in places),
                     ],
                     names=["doc_id", *(c.split()[0] for c in COLUMNS.split(", ")), *named],
                 )
+            pa.default_memory_pool().release_unused()
 
     narrow = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("_id"),
         F.col(f"`{text}`").cast("string").alias("_text"),
-        *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry))
+        *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(apart)),
     )
     return narrow.mapInArrow(run, ", ".join([f"doc_id long, {COLUMNS}", *(f"`{c}` {t}" for c, t in carried.dtypes)]))
