@@ -57,12 +57,13 @@ def _goals(rooms: dict[int, int], before: list[float]) -> list[tuple[int, int, f
 
 def _split(table: DataFrame, goal: DataFrame) -> DataFrame:
     """``table`` with the node of the next level. ``goal``: (node, right, share), see ``_goals``."""
-    spread = table.join(goal.select("node"), "node").select("node", "w", F.posexplode("at").alias("d", "b"))
+    # tables of a row for each node are no longer than the list of shards, a parameter, and are broadcast
+    spread = table.join(F.broadcast(goal.select("node")), "node").select("node", "w", F.posexplode("at").alias("d", "b"))
     seen = spread.groupBy("node", "d", "b").agg(F.sum("w").alias("w"))
     wide = seen.groupBy("node", "d").agg((F.max("b") - F.min("b")).alias("span")).groupBy("node").agg(
         F.max_by("d", F.struct("span", -F.col("d"))).alias("d")
     )
-    along = seen.join(wide, ["node", "d"]).join(goal, "node")
+    along = seen.join(F.broadcast(wide), ["node", "d"]).join(F.broadcast(goal), "node")
     along = along.withColumns(
         {"lower": _running("w", "node", order="b"), "aim": F.col("share") * F.sum("w").over(Window.partitionBy("node"))}
     )
@@ -71,7 +72,7 @@ def _split(table: DataFrame, goal: DataFrame) -> DataFrame:
         F.min(F.struct("b", "d", "right", (F.col("aim") - F.col("lower")).alias("rest"))).alias("e")
     )
     edge = materialize(edge.select("node", "e.*"), "edges")
-    inside = table.join(edge, "node").where(F.col("at")[F.col("d")] == F.col("b"))
+    inside = table.join(F.broadcast(edge), "node").where(F.col("at")[F.col("d")] == F.col("b"))
     fine = inside.groupBy("node", "rest", F.shiftright("h", 18).alias("q")).agg(F.sum("w").alias("w"))
     fine = fine.withColumn("upto", _running("w", "node", order="q") + F.col("w"))
     ends = fine.select("node", (F.col("q") + 1).alias("q"), F.abs(F.col("upto") - F.col("rest")).alias("off"))
@@ -83,7 +84,7 @@ def _split(table: DataFrame, goal: DataFrame) -> DataFrame:
     at_d = F.col("at")[F.col("d")]
     stays = F.col("d").isNull() | (at_d < F.col("b")) | ((at_d == F.col("b")) & (F.col("h") < F.col("c")))
     moved = F.when(stays, F.col("node")).otherwise(F.col("right")).cast("int")
-    return table.join(split, "node", "left").select("_text", "_salt", "w", "at", "h", moved.alias("node"))
+    return table.join(F.broadcast(split), "node", "left").select("_text", "_salt", "w", "at", "h", moved.alias("node"))
 
 
 def kd_shards(
