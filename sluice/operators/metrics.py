@@ -253,7 +253,8 @@ def comparisons(
 ) -> DataFrame:
     """``comparison_points`` with bootstrap intervals for the paired ones, for series of any length.
 
-    Means take Poisson weights, percentiles multinomial counts. ``published_comparisons`` gives the published index marks.
+    ``n`` counts the rows behind each: shared requests, or the denominators of both rates. Means take Poisson weights,
+    percentiles multinomial counts. ``published_comparisons`` gives the published index marks.
     """
     keys = ["id", "frac"]
     pairs = comparison_pairs(paired_series(outcomes, judged), specs)
@@ -266,7 +267,8 @@ def comparisons(
     out = comparison_points(outcomes, judged, specs).join(told, "id", "left").withColumns(
         {"lo": F.coalesce("lo", "_lo"), "hi": F.coalesce("hi", "_hi")}
     )
-    return out.withColumn("separated", stats.separated(F.col("lo"), F.col("hi"))).drop("_lo", "_hi")
+    rows = F.coalesce("n_shared", F.col("n_a") + F.col("n_b"))
+    return out.withColumns({"separated": stats.separated(F.col("lo"), F.col("hi")), "n": rows}).drop("_lo", "_hi")
 
 
 def published_comparisons(
