@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, ngram_jaccard, quality, sharding, token_counts, url_filter, warc
+from . import bpe, decontaminate, langid, licenses, mixing, ngram_jaccard, quality, sharding, token_counts, url_filter, warc
 from .shared import load
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MERGES = "/opt/tokenizers/byte_bpe_50k.json"
 #: (host, path, action), as the URL contract fixes them.
 RULES = [
     ("com", "/", "allow"),
@@ -76,6 +77,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(load(spark, sf_dir, "documents"), bpe.Merges.read(MERGES))
+
+
 def queries() -> dict:
     return {
         f.__name__: f for f in (
@@ -89,6 +94,7 @@ def queries() -> dict:
             op8_license_scan,
             op9_mixture,
             op10_sharding,
+            op12_bpe,
         )
     }
 
