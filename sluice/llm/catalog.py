@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, mixing, ngram_jaccard, quality, sharding, token_counts, url_filter, warc
+from . import bpe, decontaminate, langid, licenses, mixing, ngram_jaccard, prefix_trie, quality, sharding, token_counts, url_filter, warc
 from .shared import load
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -81,6 +81,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), bpe.Merges.read(MERGES))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(load(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f for f in (
@@ -95,6 +99,7 @@ def queries() -> dict:
             op9_mixture,
             op10_sharding,
             op12_bpe,
+            op13_prefix_trie,
         )
     }
 
