@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, mixing, ngram_jaccard, prefix_trie, quality, sharding, token_counts, url_filter, warc
+from . import bpe, decontaminate, langid, lexical, licenses, mixing, ngram_jaccard, prefix_trie, quality, sharding, token_counts, url_filter, warc
 from .shared import load
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -77,6 +77,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), bpe.Merges.read(MERGES))
 
@@ -98,6 +102,7 @@ def queries() -> dict:
             op8_license_scan,
             op9_mixture,
             op10_sharding,
+            op11_lexical_search,
             op12_bpe,
             op13_prefix_trie,
         )
@@ -105,4 +110,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": decontaminate.ORACLE, "op9_mixture": mixing.ORACLE}
+    return {
+        "op5_benchmark_decontamination": decontaminate.ORACLE,
+        "op9_mixture": mixing.ORACLE,
+        "op11_lexical_search": lexical.ORACLE,
+    }
