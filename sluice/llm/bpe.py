@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import buffers
+from .words import texts_of
 
 # fixed value: how byte-level vocabularies cut text before merges
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -238,22 +238,8 @@ class Encoder:
         return np.frombuffer(b"".join(out), "<u4")
 
 
-#: Bytes of text that are cut into words at a time; longer texts are taken alone, block by block.
-SLICE = 1 << 24
-
-
-def _texts(column: pa.Array) -> Iterator[tuple[slice, list[str]]]:
-    """The texts of ``column``, up to ``SLICE`` bytes at a time (one text at least); null is empty."""
-    data, at = buffers(column)
-    view, i, n = memoryview(data), 0, len(at) - 1
-    while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + SLICE, side="right")) - 1))
-        yield slice(i, j), [str(view[a:b], "utf-8", "replace") for a, b in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist())]
-        i = j
-
-
 def _ids_of(texts: list[str], encoder: Encoder) -> Iterator[np.ndarray]:
-    """The ids of each text; the new words of all of them are encoded together."""
+    """The ids of each text; the new words of all of them are encoded together. A text alone is taken block by block."""
     if len(texts) == 1:
         yield encoder.encode(texts[0])
         return
@@ -274,7 +260,7 @@ def _mapped(docs: DataFrame, merges: Merges, doc_id: str, text: str, schema: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for rows, texts in _texts(batch.column(1)):
+            for rows, texts in texts_of(batch.column(1)):
                 made = [row(ids, shared.value) for ids in _ids_of(texts, encoder)]
                 columns = [pa.array([m[k] for m in made], types[k + 1]) for k in range(len(types) - 1)]
                 yield pa.record_batch([batch.column(0)[rows], *columns], names=names)

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike.
 
 1. Every text becomes a sorted array of 64-bit shingle hashes. Texts with the same set are one node from here on,
-   named by the set's fingerprint. Ids of documents come back only at the end, so repeated or null ids cut no link.
+   named by the set's fingerprint; a second sum and the size tell whether two sets have one name, and then all get others. Ids of documents come back only at the end, so repeated or null ids cut no link.
 2. A set of n shingles shares one of its first ``n - ceil(t n) + 1`` shingles, in any fixed order of all shingles,
    with each set that is alike. The order puts shingles seen in many texts last, so that common passages and lines
    seldom bring texts together. Each such shingle with its sets is a tile, for two neighbouring bands of sizes.
@@ -47,13 +47,13 @@ TOLD = 16
 #: Leader rounds at most after the first, and the share of sets in open tiles with a pair that makes a round worthwhile.
 #: Both bear on the work alone: what the rounds leave is compared in full.
 ROUNDS, WORTH = 4, 0.05
-#: Keeps fingerprints apart from other mixes of the same shingles.
-_SALT = np.uint64(0x5851F42D4C957F2D)
+#: Keeps fingerprints apart from other mixes of the same shingles, and from the sums that they are checked by.
+_SALT, _CHECK = np.uint64(0x5851F42D4C957F2D), np.uint64(0xC6A4A7935BD1E995)
 
 
-def _print(s: np.ndarray) -> np.uint64:
+def _print(s: np.ndarray, salt: np.uint64) -> np.uint64:
     """Fingerprint of a set."""
-    return np.uint64(len(s)) + mix(s ^ _SALT).sum(dtype=np.uint64)
+    return np.uint64(len(s)) + mix(s ^ salt).sum(dtype=np.uint64)
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -90,12 +90,12 @@ def _sets_of(column: pa.Array, width: int) -> Iterator[tuple[slice, list[np.ndar
         yield w.rows, [shingles(w.hash[a:b], width) for a, b in zip(w.first[:-1], w.first[1:])]
 
 
-PROFILE = "doc_id long, row long, id long, n long, sig binary, hot boolean"
+PROFILE = "doc_id long, row long, id long, n long, check long, sig binary, hot boolean"
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()),
-                      ("sig", pa.binary()), ("hot", pa.bool_())])
+                      ("check", pa.int64()), ("sig", pa.binary()), ("hot", pa.bool_())])
 
 
-def _profile(width: int):
+def _profile(width: int, salt: np.uint64):
     """Rows of sets, and of the shingles that many texts of a few MB share (hot). A set has its bitmap once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +107,13 @@ def _profile(width: int):
             keep = count >= max(4, len(held) // 500)
             k = int(keep.sum())
             none, long = pa.nulls(k, pa.int64()), pa.array(count[keep].astype(np.int64))
-            return pa.record_batch([none, none, _signed(s[keep]), long, pa.nulls(k, pa.binary()), pa.array(np.ones(k, bool))],
+            return pa.record_batch([none, none, _signed(s[keep]), long, none, pa.nulls(k, pa.binary()), pa.array(np.ones(k, bool))],
                                    schema=_PROFILE)
 
         for batch in batches:
             for rows, sets in _sets_of(batch.column(2), width):
-                prints, sigs = [_print(s) for s in sets], []
+                prints, sigs = [_print(s, salt) for s in sets], []
+                checks = _signed(np.array([_print(s, _CHECK) for s in sets], np.uint64))
                 for p, s in zip(prints, sets):
                     new = len(s) > 0 and int(p) not in seen
                     sigs.append(_signature(s) if new else None)
@@ -122,7 +123,7 @@ def _profile(width: int):
                         size += len(s)
                 n = np.array([len(s) for s in sets], np.int64)
                 yield pa.record_batch([batch.column(0)[rows], batch.column(1)[rows], _signed(np.array(prints, np.uint64)), pa.array(n),
-                                       pa.array(sigs, pa.binary()), pa.array(np.zeros(len(n), bool))], schema=_PROFILE)
+                                       checks, pa.array(sigs, pa.binary()), pa.array(np.zeros(len(n), bool))], schema=_PROFILE)
                 if size > 4_000_000:
                     yield hot()
                     held, size = [], 0
@@ -132,7 +133,7 @@ def _profile(width: int):
     return run
 
 
-def _postings(width: int, percent: int, hot):
+def _postings(width: int, percent: int, hot, salt: np.uint64):
     """(key, id, rank) for the first shingles of each set; a set once in a task.
 
     ``key`` is the shingle; ``rank`` is twice the size, plus one where the set is late. The bits of ``rank`` from
@@ -147,7 +148,7 @@ def _postings(width: int, percent: int, hot):
                 keys, ids, ranks, parts = [], [], [], []
                 for s in sets:
                     n = len(s)
-                    p = _print(s)
+                    p = _print(s, salt)
                     if not n or int(p) in seen:
                         continue
                     seen.add(int(p))
@@ -273,7 +274,7 @@ def _bound(percent: int):
     return run
 
 
-def _arrays(width: int):
+def _arrays(width: int, salt: np.uint64):
     """(id, shingles) of each set, once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +283,7 @@ def _arrays(width: int):
             for _, sets in _sets_of(batch.column(2), width):
                 ids, out = [], []
                 for s in sets:
-                    p = _print(s)
+                    p = _print(s, salt)
                     if len(s) and int(p) not in seen:
                         seen.add(int(p))
                         ids.append(p), out.append(s.tobytes())
@@ -436,8 +437,20 @@ class _Join:
         """``source``: doc_id, row, text."""
         self.source, self.width, self.percent = source, width, percent
         spark = source.sparkSession
-        self.profile = materialize(source.mapInArrow(_profile(width), PROFILE), "profile")
-        self.sets = self.profile.where("NOT hot").select("doc_id", "row", "id", "n", "sig")
+        self.salt = _SALT
+        while True:
+            self.profile = materialize(source.mapInArrow(_profile(width, self.salt), PROFILE), "profile")
+            self.sets = self.profile.where("NOT hot").select("doc_id", "row", "id", "n", "check", "sig")
+            same = F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("n").alias("n0"), F.max("n").alias("n")
+            nodes = self.sets.where("n > 0").groupBy("id").agg(*same, F.max("sig").alias("sig"))
+            self.nodes = materialize(nodes, "nodes")
+            if self.nodes.where("lo <> hi OR n0 <> n").isEmpty():
+                break
+            # two sets under one name, once among billions: all get other names
+            discard(self.profile, self.nodes)
+            self.salt = mix(self.salt.reshape(1))[0]
+        self.scratch = self.nodes
+        self.nodes = self.nodes.select("id", "n", "sig")
         hot = self.profile.where("hot").groupBy("id").agg(
             F.sum("n").alias("n")
         ).where("n >= 8").orderBy(F.desc("n"), "id").limit(HOT)
@@ -445,13 +458,11 @@ class _Join:
         self.hot = spark.sparkContext.broadcast(
             (hot["id"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64))
         )
-        nodes = self.sets.where("n > 0").groupBy("id").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
-        self.nodes = materialize(nodes, "nodes")
         self.arrays: list[DataFrame] = []
         self.links: list[DataFrame] = []
 
     def members(self) -> DataFrame:
-        posted = self.source.mapInArrow(_postings(self.width, self.percent, self.hot), "key long, id long, rank long")
+        posted = self.source.mapInArrow(_postings(self.width, self.percent, self.hot, self.salt), "key long, id long, rank long")
         tiled = posted.repartition("key", F.shiftright("rank", PART)).sortWithinPartitions("key", "rank", "id")
         tiled = tiled.mapInArrow(_tiles(self.percent), "tile long, id long, lead long, size long").distinct()
         return materialize(tiled, "tiles")
@@ -468,7 +479,7 @@ class _Join:
             ids = ids.join(self.known().select("id"), "id", "left_anti")
         ids = materialize(ids, "wanted")
         if not ids.isEmpty():
-            found = self.source.mapInArrow(_arrays(self.width), "id long, shingles binary").join(ids, "id", "left_semi")
+            found = self.source.mapInArrow(_arrays(self.width, self.salt), "id long, shingles binary").join(ids, "id", "left_semi")
             self.arrays.append(materialize(found.dropDuplicates(["id"]), "arrays"))
         discard(ids)
 
@@ -646,7 +657,7 @@ def jaccard_classes(
     reached = of.groupBy("class").agg(F.min("least").alias("reached"))
     own = least.join(classes.join(reached, "class").select("id", "reached"), "id", "left")
     own = materialize(own.select("id", F.coalesce("reached", "least").alias("component_id")), "own")
-    discard(classes, join.nodes)
+    discard(classes, join.scratch)
     rows = join.sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("id")).alias("id"))
     out = rows.join(own, "id", "left")
     return out.select(
@@ -678,7 +689,7 @@ def keep_one(
         F.count(F.lit(1)).alias("n"),
     )
     marked = materialize(marked, "marked")
-    discard(classes, join.nodes, join.profile)
+    discard(classes, join.scratch, join.profile)
     whole = docs.select(F.struct(*values).alias("doc"), F.col(doc_id).cast("long").alias("_id"), tag.alias("_row"))
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_row") == F.col("row"))
     kept = whole.join(marked.where("NOT stays"), same, "left_anti")

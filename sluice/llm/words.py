@@ -1,12 +1,13 @@
 """Words of many texts at once, as numpy arrays over an Arrow batch.
 
 A word is a maximal run of bytes other than space and ``\\t..\\r``
-(``[^\\x20\\x09-\\x0D]+``). Words are hashed with a polynomial hash over the bytes
-of the batch, so no Python object is made for a word.
+(``[^\\x20\\x09-\\x0D]+``). Words are hashed eight bytes at a time, each step mixed with what came before (words of up to
+eight bytes and of one length have different hashes), so no Python object is made for a word; very long words go through BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+#: Words of more bytes are hashed one by one.
+LONG = 512
+_START, _STEP = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -31,16 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n + 1:
-        size = max(n, BLOCK) + 1
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            x = np.full(size, base, dtype=np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["up"], _POWERS["down"]
-
-
 @dataclass
 class Words:
     """Words of consecutive texts; text ``i`` has the words ``first[i]:first[i + 1]``."""
@@ -63,23 +54,37 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each word, block by block; blocks end between words."""
-    out = np.empty(len(start), dtype=np.uint64)
-    i = 0
-    while i < len(start):
-        lo = int(start[i])
-        j = max(i + 1, int(np.searchsorted(end, lo + BLOCK, side="right")))
-        hi = int(end[j - 1])
-        up, down = _powers(hi - lo)
-        sums = np.empty(hi - lo + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=sums[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-        i = j
+    """Hash of each word."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * _STEP + _START)
+    if not len(size):
+        return out
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    at = np.flatnonzero(size <= LONG)
+    done = 0
+    while len(at):
+        x = eight[start[at] + done]
+        left = size[at] - done
+        short = left < 8
+        x[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+        out[at] = mix(out[at] * _STEP ^ x)
+        at, done = at[left > 8], done + 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8, key=b"sluice").digest(), "little")
     return out
 
 
+def texts_of(column: pa.Array, limit: int = 16 * BLOCK) -> Iterator[tuple[slice, list[str]]]:
+    """The texts of ``column``, up to ``limit`` bytes at a time (one text at least); null is empty."""
+    data, at = buffers(column)
+    view, i, n = memoryview(data), 0, len(at) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1))
+        yield slice(i, j), [str(view[a:b], "utf-8", "replace") for a, b in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist())]
+        i = j
+
+
 def words_of(column: pa.Array, lower: bool = False, hashed: bool = True, limit: int = 4 * BLOCK) -> Iterator[Words]:
     """Words of the texts in ``column``, for a few MB of texts at a time (one text at least)."""
     data, at = buffers(column)
