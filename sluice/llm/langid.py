@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, materialize
+from .words import texts_of
 
 BITS = 13
 #: Expected number of training documents for each language, one in five of them for calibration.
@@ -28,21 +29,29 @@ BLOCK = 1 << 20
 
 
 def ngram_counts(text: str | None, bits: int = BITS) -> np.ndarray | None:
-    """Counts of hashed 1- to 3-grams of the lower-cased letters (all else is one space); None without letters."""
-    total, any_letter = None, False
-    text = text or ""
-    for at in range(0, len(text), BLOCK):
-        c = np.frombuffer(text[at : at + BLOCK + 2].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """Counts of hashed 1- to 3-grams of the lower-cased letters (all else is one space); None without letters.
+
+    Blocks go on where the one before ended, so the counts are those of the whole text, with a space at each of its ends.
+    """
+    total, any_letter = np.zeros(1 << bits, np.int64), False
+    shift = np.uint32(32 - bits)
+    text = (text or "").lower()
+    held = np.zeros(0, np.uint32)  # the last two code points that were kept
+    for at in range(0, len(text) + 1, BLOCK):
+        c = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         letter = _LETTER[c]
         any_letter |= bool(letter.any())
-        c = np.concatenate([[32], np.where(letter, c, np.uint32(32)), [32]]).astype(np.uint32)
-        c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))]
+        first, last = at == 0, at + BLOCK > len(text)
+        c = np.concatenate([[32] if first else [], np.where(letter, c, 32), [32] if last else []]).astype(np.uint32)
+        before = np.concatenate([held[-1:] if len(held) else [0], c[:-1]])
+        c = c[(c != 32) | (before != 32)]
+        n, c = len(held), np.concatenate([held, c])
         one = (c + np.uint32(1)) * np.uint32(0x9E3779B1)
         two = (one[:-1] ^ (c[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
         three = (two[:-1] ^ (c[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
-        shift = np.uint32(32 - bits)
-        n = sum(np.bincount(x >> shift, minlength=1 << bits) for x in (one, two, three))
-        total = n if total is None else total + n
+        for x in (one[n:], two[max(n - 1, 0) :], three[max(n - 2, 0) :]):
+            total += np.bincount(x >> shift, minlength=1 << bits)
+        held = c[-2:]
     return total if any_letter else None
 
 
@@ -149,7 +158,8 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
         names = ["feature", "n", "lang", "counts"]
         for batch in batches:
             kept = []
-            for doc_id, text, lang, pick in zip(*(c.to_pylist() for c in batch.columns)):
+            texts = (t for _, part in texts_of(batch.column(1)) for t in part)
+            for doc_id, text, lang, pick in zip(batch.column(0).to_pylist(), texts, *(c.to_pylist() for c in batch.columns[2:])):
                 counts = ngram_counts(text)
                 if counts is not None:
                     rows += 1
@@ -208,7 +218,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
+            found = [shared.value.predict(t) for _, part in texts_of(batch.column(1)) for t in part]
             yield pa.record_batch(
                 [
                     batch.column(0),
