@@ -1,8 +1,7 @@
 """URL filters: host and path rules, carried over to the aliases of a page.
 
-Redirects (``<meta http-equiv=refresh>``), canonical links and spellings of one
-address (scheme, fragment, tracking parameters, closing slash) are edges between
-URLs. Their connected components are found on the cluster. A component with a
+Redirects (``<meta http-equiv=refresh>``) and canonical links are edges between
+URLs; spellings of one address (scheme, fragment, tracking parameters, closing slash) are too if asked for. Their connected components are found on the cluster. A component with a
 blocked URL blocks its URLs that no rule fits, unless a rule allows one of them.
 """
 
@@ -15,7 +14,8 @@ from .graph import components
 from .shared import discard, materialize
 
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_TAG = r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*>"""
+_LINK = r"""(?is)<link\b(?=[^>]*?\bcanonical\b)[^>]*>"""
+_HIDDEN = r"""(?is)<!--.*?(?:-->|$)|<(script|style|template|textarea|title)\b.*?(?:</\1\s*>|$)"""
 _BASE = r"""(?is)<base\b(?=[^>]*?(?<![\w-])href\s*=)[^>]*>"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*?\bhttp-equiv\s*=\s*["']?\s*refresh\b)[^>]*>"""
 _VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>][^\s>]*))"""
@@ -123,28 +123,29 @@ def _resolved(target: Column, url: Column) -> Column:
     )
 
 
-def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(src, dst)`` URL pairs: canonical links, redirects and spellings of ``pages``.
+def page_edges(pages: DataFrame, url: str = "url", html: str = "html", spellings: bool = False) -> DataFrame:
+    """``(src, dst)`` URL pairs: all canonical links and redirects of ``pages``, and with ``spellings`` those of each address.
 
-    Targets have their entities decoded and are resolved against the page's URL, or its ``<base href>``.
+    Targets have their entities decoded and are resolved against the page's URL, or its first ``<base href>``. ``rel`` is a
+    list of words. Tags in comments, scripts, styles and templates are none.
     """
-    u, text = F.col("url"), F.coalesce(F.col(html), F.lit(""))
-    tags = pages.select(
-        F.col(url).alias("url"),
-        *(F.regexp_extract(text, p, 0).alias(n) for n, p in (("tag", _TAG), ("refresh", _REFRESH), ("base", _BASE)))
-    ).where("url IS NOT NULL")
-    found = tags.select(
-        "url",
-        F.when(F.col("tag") != "", _attribute(F.col("tag"), "href")).alias("tag"),
-        F.when(F.col("refresh") != "", _any_group(_attribute(F.col("refresh"), "content"), _TO)).alias("to"),
-        F.coalesce(_resolved(F.when(F.col("base") != "", _attribute(F.col("base"), "href")), u), u).alias("base"),
+    u = F.col("url")
+    all_of = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    shown = pages.select(F.col(url).alias("url"), F.regexp_replace(F.coalesce(F.col(html), F.lit("")), _HIDDEN, " ").alias("text"))
+    tags = shown.where("url IS NOT NULL").select(
+        "url", all_of(_LINK).alias("links"), all_of(_REFRESH).alias("refreshes"), F.regexp_extract("text", _BASE, 0).alias("base")
     )
-    targets = F.array_compact(
-        F.array(normal_form(u), _resolved(F.col("tag"), F.col("base")), _resolved(F.col("to"), F.col("base")))
-    )
-    direct = found.select("url", F.explode(targets).alias("dst"))
-    spelled = direct.select(F.col("dst").alias("src"), normal_form(F.col("dst")).alias("dst")).where("dst IS NOT NULL")
-    return direct.withColumnRenamed("url", "src").unionByName(spelled).where("src <> dst").distinct()
+    tags = tags.withColumn("base", F.coalesce(_resolved(F.when(F.col("base") != "", _attribute(F.col("base"), "href")), u), u))
+    canonical = lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"[ \t\r\n\f]+"), "canonical")
+    told = tags.select("url", "base", F.explode(F.concat(
+        F.transform(F.filter("links", canonical), lambda t: _attribute(t, "href")),
+        F.transform("refreshes", lambda t: _any_group(_attribute(t, "content"), _TO)),
+    )).alias("to"))
+    direct = told.select("url", _resolved(F.col("to"), F.col("base")).alias("dst"))
+    if spellings:
+        direct = direct.unionByName(shown.select("url", normal_form(u).alias("dst")))
+        direct = direct.unionByName(direct.select(F.col("dst").alias("url"), normal_form(F.col("dst")).alias("dst")))
+    return direct.withColumnRenamed("url", "src").where("src <> dst").distinct()
 
 
 def rule_of_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -181,19 +182,20 @@ def _node(url: Column) -> Column:
 
 
 def judge_urls(
-    pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, url: str = "url", html: str = "html"
+    pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, url: str = "url", html: str = "html", spellings: bool = False
 ) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict`` (``allow`` or ``block``).
 
     ``rules``: ``host, path, action``. ``edges``: more ``(src, dst)`` URL pairs, such as a crawl's redirects. A fitting rule
     decides; otherwise the component does: allow if one of its URLs is allowed by a rule, else block if one is blocked,
     else allow. A null URL, or one without ``://``, has an empty host and path, fits no rule, has no aliases and is
-    allowed. A page's first canonical link and first redirect count. Repeated rows each keep their row, repeated rules
+    allowed. All canonical links and redirects of a page count; URLs are the same if they are spelled the same, or with
+    ``spellings`` if they differ in scheme, port, closing slash, fragment and tracking parameters only. Repeated rows each keep their row, repeated rules
     count once; an empty table gives an empty one, no rules allow all. Columns named like the four new ones are replaced;
     all others are kept, whatever their names.
     """
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict") or c in (url, html)]
-    told = page_edges(pages, url, html)
+    told = page_edges(pages, url, html, spellings)
     if edges is not None:
         told = told.unionByName(edges.select("src", "dst").where("src <> dst")).distinct()
     told = materialize(told, "url-edges")
