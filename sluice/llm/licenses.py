@@ -9,6 +9,10 @@ Spark's own functions and its JVM classifier only.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -25,6 +29,10 @@ STATEMENTS = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
         "SPDX-License-Identifier: MIT",
         "Distributed under the MIT License, see the LICENSE file.",
+        "Released under MIT.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.',
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -32,6 +40,8 @@ STATEMENTS = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "Released under the Apache License 2.0.",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        "See the License for the specific language governing permissions and limitations under the License.",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -39,6 +49,8 @@ STATEMENTS = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Released under the GNU GPL, version 2 or later.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "See the GNU General Public License for more details.",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
@@ -54,6 +66,10 @@ STATEMENTS = {
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "This software is licensed under the simplified BSD license.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.',
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "mpl-2.0": [
@@ -176,12 +192,38 @@ FRAMES = (
     "The minister defended the {} in a speech.",
     "It is said that {} changed the law of the land.",
 )
-#: A statement has one of these words.
-WORDS = r"(?i)\b(licen[sc]\w*|copyright|rights reserved|apache|gnu|a?l?gpl\S*|mozilla|creative commons|public domain|permission|redistribut\w*|spdx\S*|cc0|cc by\S*|bsd)\b"
 TOKEN = r"[\p{L}\p{N}]+"
 VARIANTS, SIMILAR, LEAST = 8, 0.6, 5
 #: No words are left out of statements this short.
 WHOLE = 6
+ARTICLES = ("a", "an", "the")
+#: Words that are the last to tell a statement from other text.
+COMMON = set("and any are by can either for from in is it may names not of on or other out see should so such that this to under "
+             "unless use whether with without you".split())
+
+
+def _marks(similar: float = SIMILAR) -> str:
+    """A pattern that every unit meets which is ``similar`` to some statement.
+
+    Such a unit has some number of a statement's trigrams at least, so words are taken until fewer than that number of its
+    trigrams hold none of them. Longer words and names go first; the commonest words of the language are not needed.
+    """
+    open_, out = [], set()
+    for text in (t for texts in (*STATEMENTS.values(), *SHORT.values()) for t in texts):
+        words = [w for w in re.findall(r"[^\W_]+", text.lower()) if w not in ARTICLES]
+        grams = {tuple(words[i : i + 3]) for i in range(len(words) - 2)} or {tuple(words)}
+        open_.append((grams, max(1, math.ceil(similar * min(LEAST, len(grams)) - 1e-9)) if similar > 0 else 1))
+    while True:
+        open_ = [(left, n) for grams, n in open_ if len(left := {g for g in grams if out.isdisjoint(g)}) >= n]
+        if not open_:
+            break
+        found = Counter(w for grams, _ in open_ for g in grams for w in set(g))
+        out.add(max(found, key=lambda w: (w not in COMMON, min(len(w), 5) + 4 * w.startswith("licen"), found[w], w)))
+    letters: dict[str, list[str]] = {}
+    for w in sorted(out):
+        letters.setdefault(w[0], []).append(re.escape(w[1:]))
+    tries = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in letters.items())
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{tries})(?![\p{{L}}\p{{N}}])"
 
 
 def tokens(text: Column) -> Column:
@@ -198,6 +240,7 @@ def features(words: Column) -> Column:
 
 
 def _trigrams(words: Column) -> Column:
+    words = F.filter(words, lambda w: ~w.isin(*ARTICLES))
     return F.array_distinct(F.when(F.size(words) >= 3, _grams(words, 3)).otherwise(F.array(F.array_join(words, " "))))
 
 
@@ -269,22 +312,23 @@ def train(spark: SparkSession) -> tuple[PipelineModel, list[str], float]:
 
 
 def scan(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: str | None = WORDS
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR, filtered: bool = True
 ) -> DataFrame:
     """``(doc_id, paragraph, sentence, family, probability, similarity)`` of each license statement.
 
     Paragraphs are lines, numbered from 0, and are judged sentence by sentence. ``similarity`` is the number of trigrams
     that the sentence and the nearest statement of its family have in common, over those of the shorter, or over five where
     the statement has as many: a few words of a long statement confirm nothing. Below ``similar`` the prediction is not
-    confirmed and the sentence counts as unknown. ``words`` only spares work: sentences without any license word are not
-    given to the classifier, which calls them unknown or has no statement to confirm them by; null judges all. Unknown
+    confirmed and the sentence counts as unknown. Articles don't count. ``filtered`` only spares work: a sentence that has none
+    of the words that ``_marks`` derives from the statements can't be similar to one, and isn't given to the classifier. Unknown
     sentences give no row. Null and blank texts have none; long texts are read whole; rows with equal or null ids each give
     their own; of families that are equally probable the first by name is taken; an empty table gives an empty result.
     Other columns are not read.
     """
     spark = docs.sparkSession
     model, families, level = train(spark)
-    has = (lambda c: F.col(c).rlike(words)) if words else (lambda c: F.col(c).isNotNull())
+    words = _marks(similar)
+    has = (lambda c: F.col(c).rlike(words)) if filtered else (lambda c: F.col(c).isNotNull())
     lines = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
     ).where(has("text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))

@@ -430,8 +430,15 @@ def test_licenses_without_the_word_filter(spark):
             "doc_id long, text string",
         )
     )
-    some = lambda w: sorted(map(str, licenses.scan(docs, words=w).collect()))
-    assert some(licenses.WORDS) == some(None)
+    every = [x for texts in (*licenses.STATEMENTS.values(), *licenses.SHORT.values()) for x in texts]
+    every += [f"Note that {x[0].lower()}{x[1:]}" for x in every] + [" ".join(x.split()[1:]) for x in every] + [" ".join(x.split()[:-1]) for x in every]
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + i, x) for i, x in enumerate(every)], "doc_id long, text string"))
+    some = lambda w: sorted(map(str, licenses.scan(docs, filtered=w).collect()))
+    found = some(True)
+    assert found == some(False)
+    hit = {int(x.split("doc_id=")[1].split(",")[0]) for x in found if "doc_id=None" not in x}
+    n = sum(len(x) for x in (*licenses.STATEMENTS.values(), *licenses.SHORT.values()))
+    assert sum(10_000 + i in hit for i in range(n)) >= 0.97 * n
     model, families, level = licenses.train(spark)
     held = {r["text"] for r in licenses.held_frames(spark).collect()}
     taught = {r["text"] for r in licenses._statements(spark).collect()}
@@ -554,8 +561,10 @@ def plain_counts(text):
     return out
 
 
-@pytest.mark.parametrize("text", ["Der Hund, die Katze!", "  12 a", "Éßx\U0001f600y", "one  two\nthree", "...", "\U00010330\U00020000 z"])
-def test_ngram_counts_against_a_plain_loop(text):
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+@pytest.mark.parametrize("text", ["abcd " * 9, "a" * 14 + " " + "b" * 10, "   ab", "ΑΣ, ΑΣ. Σ", "Der Hund, die Katze!", "  12 a", "Éßx\U0001f600y", "one  two\nthree", "...", "\U00010330\U00020000 z"])
+def test_ngram_counts_against_a_plain_loop(text, block, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", block)
     got, want = langid.ngram_counts(text), plain_counts(text)
     assert (got is None) == (want is None)
     if want is not None:
@@ -569,3 +578,63 @@ def test_language_of_held_out_texts_of_any_length(spark):
     told = catalog.op2_language_id(spark, "/root/testdata/sf0.01").join(rows, "doc_id")
     known = told.where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
     assert known.where("lang = lang_pred").count() >= 0.95 * known.count() > 100
+
+
+def thue_morse(rounds, start="a"):
+    for _ in range(rounds):
+        start += start.translate(str.maketrans("ab", "ba"))
+    return start
+
+
+def test_words_that_a_polynomial_hash_takes_for_one(spark):
+    """Two Thue-Morse words of complementary letters, whose polynomial hashes modulo 2^64 are equal for every base."""
+    one, other = thue_morse(11), thue_morse(11, "b")
+    rows = spark.createDataFrame([(1, f"x y z u {one}"), (2, f"x y z u {other}"), (3, f"p q {one} p q {other} r s t")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ngram_jaccard.jaccard_classes(rows).collect()}
+    assert got[1]["component_id"] == 1 and got[2]["component_id"] == 2
+    assert all(r["n_repeat_words"] == 0 for r in quality.judge_documents(rows, cleaned=False).collect())
+
+
+def test_hashes_of_words_of_any_length():
+    import numpy as np
+    import pyarrow as pa
+
+    from sluice.llm.words import words_of
+
+    texts = ["a", "a\x00", "\x00", "\x00\x00", "abcdefgh", "abcdefgh\x00", "abcdefghi", "é" * 4, *("q" * n for n in range(2, 1100, 7))]
+    one = [int(w.hash[0]) for t in texts for w in words_of(pa.array([t]))]
+    together = np.concatenate([w.hash for w in words_of(pa.array([" ".join(texts)]))])
+    assert one == together.tolist() and len(set(one)) == len(texts)
+
+
+def test_two_sets_of_one_name_get_others(spark, monkeypatch):
+    """A fingerprint that is the same for all sets under the first salt."""
+    import numpy as np
+
+    plain = ngram_jaccard._print
+    monkeypatch.setattr(ngram_jaccard, "_SALT", np.uint64(7))
+    monkeypatch.setattr(ngram_jaccard, "_print", lambda s, salt: np.uint64(5) if salt == 7 else plain(s, salt))
+    rows = spark.createDataFrame([(i, f"some words of text {i // 2} that go on for a while") for i in range(8)], "doc_id long, text string")
+    source = ngram_jaccard._source(rows, "doc_id", "text", F.lit(None).cast("long"))
+    join = ngram_jaccard._Join(source, 5, 75)
+    assert int(join.salt) != 7 and join.nodes.count() == 4
+
+
+def test_tags_that_are_shown(spark):
+    rules = spark.createDataFrame([("x.net", "/es", "block")], "host string, path string, action string")
+    to = "http://x.net/es"
+    html = {
+        "a": f'<link rel="canonical" href="/other"><link rel="alternate CANONICAL" href="{to}">',
+        "b": f'<!-- <link rel="canonical" href="{to}"> -->',
+        "c": f"<script>var a = '<link rel=\"canonical\" href=\"{to}\">';</script>",
+        "d": f'<link rel="canonicalized" href="{to}">',
+        "e": f'<meta http-equiv="refresh" content="9; url=/q"><meta http-equiv="refresh" content="0; url={to}">',
+        "p?ref=1": f'<link rel="canonical" href="{to}">',
+        "p?ref=2": "",
+    }
+    pages = spark.createDataFrame([(f"http://h.org/{k}", v) for k, v in html.items()] + [("http://x.net:80/es", None), ("https://x.net/es/", None)],
+                                  "url string, html string")
+    got = {r["url"].removeprefix("http://h.org/"): r["verdict"] for r in url_filter.judge_urls(pages, rules).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {"a", "e", "p?ref=1", "https://x.net/es/"}
+    got = {r["url"].removeprefix("http://h.org/"): r["verdict"] for r in url_filter.judge_urls(pages, rules, spellings=True).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {"a", "e", "p?ref=1", "p?ref=2", "https://x.net/es/", "http://x.net:80/es"}
