@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import exact_percentiles
 from ..functions.text import has_error, is_blank
 from ..sources.tables import cut_lineage
+from .nearest import _ints, _matrix, all_best_earlier, best_earlier, place
 
-#: Vectors of a stripe at most; two stripes meet in one task, ``STEP`` by ``STEP`` rows at a time.
-BLOCK, STEP = 32_768, 2048
+#: Open rows that one task decides in order.
+FINISH = 4096
 
 
 def seen_earlier(rows: DataFrame, key: str, order: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -76,89 +75,63 @@ def replay_summary(replay: DataFrame, outcomes: DataFrame, by: str = "frac") ->
     )
 
 
-def _met(vectors: DataFrame, order: str, vec: str, found, schema: str, block: int, by: str | None) -> DataFrame:
-    """``found(idx_a, idx_b, similarities)`` for every two stripes; stripes are dealt by hash, rows go to each pair of theirs.
-
-    The search is exhaustive, as the measure is exact; each task holds two stripes, whatever the number of rows, so a row
-    is copied as often as there are stripes. There are enough of them for all cores. Null vectors meet nothing.
-    """
-    vectors = vectors.where(F.col(vec).isNotNull())
-    n, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
-    k = max(1, math.ceil(n / block), min(math.ceil(math.sqrt(2 * cores)), math.ceil(n / 256)))
-    group = F.col(by) if by else F.lit("")
-    at = F.pmod(F.xxhash64(order), F.lit(k)).cast("int")
-    rows = vectors.select(
-        group.alias("_by"),
-        F.col(order).cast("long").alias("_idx"),
-        F.col(vec).cast("array<float>").alias("_vec"),
-        at.alias("_at"),
-        F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_other"),
-    )
-    rows = rows.select(
-        "_by", "_idx", "_vec", "_at", F.least("_at", "_other").alias("_i"), F.greatest("_at", "_other").alias("_j")
-    )
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        name, i, j = key
-        left = part[part["_at"] == i]
-        right = part[part["_at"] == j]
-        steps = lambda x: [  # noqa: E731,E501
-            (
-                x["_idx"].to_numpy()[at : at + STEP], np.stack(x["_vec"].to_numpy()[at : at + STEP]).astype(np.float64)
-            ) for at in range(0, len(x), STEP)
-        ]
-        out, other = [], steps(right)
-        for la, a in steps(left):
-            for lb, b in other:
-                s = a @ b.T
-                out.append(found(la, lb, s))
-                if i != j:
-                    out.append(found(lb, la, s.T))
-        out = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "s": []})
-        out.insert(0, "_by", name)
-        return out.astype({"a": "int64", "b": "int64", "s": "float64"})
-
-    return rows.groupBy("_by", "_i", "_j").applyInPandas(run, f"_by string, {schema}")
-
-
 def prefix_best(
-    vectors: DataFrame, order: str = "idx", vec: str = "vec", by: str | None = None, block: int = BLOCK
+    vectors: DataFrame, order: str = "idx", vec: str = "vec", by: str | None = None, block: int | None = None
 ) -> DataFrame:
     """``(by, idx, best, best_src)``: the largest similarity to any earlier row, the earliest on ties; 0 and null for the first row.
 
     All earlier rows count, hits and ineligible ones too. Negative best similarities stay as they are. A row with a null
-    vector is like a first row, and none is similar to it.
+    vector is like a first row, and none is similar to it. The search is exact (``nearest``).
     """
-
-    def found(la: np.ndarray, lb: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        s = np.where(lb[None, :] < la[:, None], s, -np.inf)
-        order_b = np.argsort(lb)
-        at = order_b[np.argmax(s[:, order_b], axis=1)]
-        best = s[np.arange(len(la)), at]
-        ok = np.isfinite(best)
-        return pd.DataFrame({"a": la[ok], "b": lb[at[ok]], "s": best[ok]})
-
-    top = _met(
-        vectors, order, vec, found, "a long, b long, s double", block, by
-    ).groupBy("_by", "a").agg(F.max(F.struct("s", (-F.col("b")).alias("b"))).alias("m"))
-    group = F.col(by) if by else F.lit("")
-    all_rows = vectors.select(group.alias("_by"), F.col(order).cast("long").alias("a"))
-    out = all_rows.join(top, ["_by", "a"], "left").select(
-        "_by", F.col("a").alias("idx"), F.coalesce("m.s", F.lit(0.0)).alias("best"), (-F.col("m.b")).alias("best_src")
+    top = all_best_earlier(place(vectors, order, vec, by, block))[0]
+    group = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    all_rows = vectors.select(group.alias("_by"), F.col(order).cast("long").alias("idx"))
+    out = all_rows.join(top, ["_by", "idx"], "left").select(
+        "_by", "idx", F.coalesce("s", F.lit(0.0)).alias("best"), F.col("src").alias("best_src")
     )
     return out.withColumnRenamed("_by", by) if by else out.drop("_by")
 
 
-def similar_earlier(
-    vectors: DataFrame, threshold: float, order: str = "idx", vec: str = "vec", block: int = BLOCK
-) -> DataFrame:
-    """``(a, b, s)``: each row with each earlier one at ``threshold`` or more."""
-
-    def found(la: np.ndarray, lb: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero((s >= threshold) & (lb[None, :] < la[:, None]))
-        return pd.DataFrame({"a": la[i], "b": lb[j], "s": s[i, j]})
-
-    return _met(vectors, order, vec, found, "a long, b long, s double", block, None).drop("_by")
+def _leaders(threshold: float):
+    """Of a block's open rows those that no earlier leader of the block is similar to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(_ints(table.column("idx")))
+        x, keep = _matrix(table.column("vec"))[order], table.column("keep").to_numpy()[order]
+        left, out = np.arange(len(order)), []
+        while len(left):
+            out.append(left[0])
+            near = keep[left[0]] & (x[left[1:]] @ x[left[0]] >= threshold)
+            left = left[1:][~near]
+        return table.select(["idx"]).take(pa.array(order[out]))
+
+    return run
+
+
+def _sequential(threshold: float):
+    """The status of a bounded number of open rows, decided one after the other."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(_ints(table.column("idx")))
+        table = table.take(pa.array(order))
+        n, key, keep = table.num_rows, table.column("k").to_pylist(), table.column("keep").to_numpy()
+        there = np.flatnonzero(table.column("vec").is_valid().to_numpy())
+        x = _matrix(table.column("vec").take(pa.array(there)))
+        place_of = {int(r): j for j, r in enumerate(there)}
+        hit, names, status = np.zeros(n, bool), set(), []
+        for i in range(n):
+            if hit[i] or (key[i] is not None and key[i] in names):
+                status.append(2)
+                continue
+            status.append(1 if keep[i] else 3)
+            if keep[i]:
+                names.add(key[i])
+                if i in place_of:
+                    j = place_of[i]
+                    hit[there[j + 1 :][x[j + 1 :] @ x[j] >= threshold]] = True
+        return pa.table({"idx": table.column("idx"), "status": pa.array(status, pa.int32())})
+
+    return run
 
 
 def greedy_cache(
@@ -168,58 +141,85 @@ def greedy_cache(
     vec: str = "vec",
     key: str | None = None,
     storable: str | None = None,
+    stored: str | None = None,
+    block: int | None = None,
 ) -> DataFrame:
     """``(idx, kind, similarity, hit_source_idx)`` of the live cache: a request is compared with stored misses only.
 
-    An exact key goes before similarity; a miss is stored if ``storable``. In each round a row is decided once all
-    earlier rows that could answer it are, so the rounds are as many as the longest chain of such rows, not as the
-    rows. A key's rows are summarised by minima, never paired. Each round is checkpointed.
+    An exact key goes before similarity; a miss is stored if ``storable``. Rows for which the column ``stored`` is true are in
+    the cache from the start and get no row. A row with a null vector is answered by its key only.
+
+    Each round elects rows that are decided misses: leaders of their blocks, to which no earlier open row anywhere is similar,
+    and of whose key none is open. They then answer all later rows at once, so a group of m near copies
+    costs m rows, never a pair of each two. Once ``FINISH`` rows are open, one task decides them in order. Each
+    round is checkpointed; the most similar stored row of each hit is sought at the end.
     """
-    name = F.col(key) if key else F.col(order).cast("string")
+    name = F.col(key).cast("string") if key else F.col(order).cast("string")
     keep = F.coalesce(F.col(storable), F.lit(False)) if storable else F.lit(True)
-    edges = cut_lineage(similar_earlier(requests, threshold, order, vec))
-    state = cut_lineage(
-        requests.select(
-            F.col(order).cast("long").alias("idx"), name.alias("k"), keep.alias("keep"), F.lit(0).alias("status")
-        )
-    )
-    stored, open_ = F.col("status") == 1, (F.col("status") == 0) & F.col("keep")
-    while True:
-        near = edges.join(state.select(F.col("idx").alias("b"), "status", "keep"), "b").groupBy("a").agg(
-            F.bool_or(stored).alias("hit"), F.bool_or(open_).alias("wait")
-        )
-        keys = state.groupBy("k").agg(
-            F.min(F.when(stored, F.col("idx"))).alias("owner"), F.min(F.when(open_, F.col("idx"))).alias("next")
-        )
-        seen = state.join(near.withColumnRenamed("a", "idx"), "idx", "left").join(keys, "k", "left")
-        hit = F.coalesce("hit", F.lit(False)) | F.coalesce(F.col("owner") < F.col("idx"), F.lit(False))
-        ready = ~F.coalesce("wait", F.lit(False)) & ~F.coalesce(F.col("next") < F.col("idx"), F.lit(False))
-        state = cut_lineage(
-            seen.select(
-                "idx",
-                "k",
-                "keep",
-                F.when(F.col("status") != 0, F.col("status")).when(hit, 2).when(
-                    ready, F.when(F.col("keep"), 1).otherwise(3)
-                ).otherwise(0).alias("status"),
-            )
-        )
-        if state.where("status = 0").isEmpty():
-            break
-    owners = state.where(stored).select("k", F.col("idx").alias("owner"))
-    top = edges.join(state.where(stored).select(F.col("idx").alias("b")), "b").groupBy("a").agg(
-        F.max(F.struct("s", (-F.col("b")).alias("b"))).alias("m")
-    ).withColumnRenamed("a", "idx")
-    out = state.join(owners, "k", "left").join(top, "idx", "left")
+    was = F.coalesce(F.col(stored), F.lit(False)) if stored else F.lit(False)
+    places = place(requests, order, vec, block=block)
+    state = cut_lineage(requests.select(
+        F.col(order).cast("long").alias("idx"), name.alias("k"), (keep | was).alias("keep"), F.when(was, 1).otherwise(0).alias("status")
+    ))
+    floor = F.lit(threshold).alias("floor")
+    among = lambda rows, of: rows.join(of.select("idx"), "idx", "left_semi").withColumn("floor", floor)
+
+    def answered(state: DataFrame, fresh: DataFrame) -> DataFrame:
+        """Open rows become hits where one of ``fresh`` is earlier and similar, or stored under their key."""
+        open_ = state.where("status = 0")
+        near = best_earlier(among(places.rows, open_), among(places.rows, fresh), places)[0].select("idx", F.lit(True).alias("near"))
+        owners = fresh.groupBy("k").agg(F.min("idx").alias("owner"))
+        seen = state.join(near, "idx", "left").join(owners, "k", "left")
+        hit = (F.col("status") == 0) & (F.coalesce("near", F.lit(False)) | F.coalesce(F.col("owner") < F.col("idx"), F.lit(False)))
+        return cut_lineage(seen.select("idx", "k", "keep", F.when(hit, 2).otherwise(F.col("status")).alias("status")))
+
+    if stored and places.blocks:
+        state = answered(state, state.where("status = 1"))
+    while (left := state.where("status = 0").count()) > FINISH and places.blocks:
+        open_ = state.where("status = 0")
+        rows = places.rows.join(open_.select("idx", "keep"), "idx")
+        leaders = cut_lineage(rows.groupBy("block").applyInArrow(_leaders(threshold), "idx long"))
+        barred = best_earlier(among(places.rows, leaders), among(places.rows, open_.where("keep")), places)[0].select("idx")
+        none = open_.join(places.rows.select("idx"), "idx", "left_anti").select("idx")  # rows without a vector
+        next_ = open_.where("keep").groupBy("k").agg(F.min("idx").alias("next"))
+        sure = leaders.join(barred, "idx", "left_anti").unionByName(none).join(open_, "idx").join(next_, "k", "left")
+        sure = cut_lineage(sure.where("next IS NULL OR next >= idx").select("idx", "k", "keep"))
+        decided = F.when(F.col("mine").isNull(), F.col("status")).when(F.col("keep"), 1).otherwise(3)
+        state = state.join(sure.select("idx", F.lit(True).alias("mine")), "idx", "left").withColumn("status", decided).drop("mine")
+        state = answered(state, sure.where("keep"))
+    if left:
+        rest = state.where("status = 0").join(places.rows.select("idx", "vec"), "idx", "left")
+        # FINISH rows at most, or a table without vectors
+        done = rest.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_sequential(threshold), "idx long, status int") if places.blocks else _by_key(rest)
+        state = state.join(done.withColumnRenamed("status", "now"), "idx", "left").withColumn("status", F.coalesce("now", "status")).drop("now")
+        state = cut_lineage(state)
+    kept = state.where("status = 1")
+    owners = kept.groupBy("k").agg(F.min("idx").alias("owner"))
+    out = state.join(owners, "k", "left")
+    if stored:
+        out = out.join(requests.where(was).select(F.col(order).cast("long").alias("idx")), "idx", "left_anti")
     exact, semantic = (F.col("status") == 2) & (F.col("owner") < F.col("idx")), F.col("status") == 2
+    if places.blocks:
+        asked = out.where(semantic & ~F.coalesce(exact, F.lit(False)))
+        top = best_earlier(among(places.rows, asked), among(places.rows, kept), places)[0].drop("_by")
+        out = out.join(top, "idx", "left")
+    else:
+        out = out.withColumns({"s": F.lit(None).cast("double"), "src": F.lit(None).cast("long")})
     return out.select(
         "idx",
         F.when(exact, "cache_exact").when(semantic, "cache_semantic").otherwise("miss").alias("kind"),
-        F.when(exact, 1.0).when(semantic, F.col("m.s")).alias("similarity"),
-        F.when(exact, F.col("owner")).when(semantic, -F.col("m.b")).alias("hit_source_idx"),
+        F.when(exact, 1.0).when(semantic, F.col("s")).alias("similarity"),
+        F.when(exact, F.col("owner")).when(semantic, F.col("src")).alias("hit_source_idx"),
     )
 
 
+def _by_key(open_: DataFrame) -> DataFrame:
+    """Rows without vectors: the first storable row of a key answers the later ones."""
+    first = open_.where("keep").groupBy("k").agg(F.min("idx").alias("first"))
+    late = F.coalesce(F.col("first") < F.col("idx"), F.lit(False))
+    return open_.join(first, "k", "left").select("idx", F.when(late, 2).when(F.col("keep"), 1).otherwise(3).cast("int").alias("status"))
+
+
 def served(decisions: DataFrame, store: DataFrame) -> DataFrame:
     """Decisions with the stored answer that each hit returns."""
     return decisions.join(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators import agreement, audit, cache, gates, metrics, routing, tuning, workload
+from sluice.operators import agreement, audit, cache, gates, metrics, nearest, routing, tuning, workload
 from sluice.sources import tables
 from sluice.streaming import gateway
 
@@ -27,28 +27,82 @@ def test_prefix_best_is_the_sequential_loop(spark, block):
         assert got[i][0] == pytest.approx(s.max()) and got[i][1] == int(s.argmax())
 
 
-def test_greedy_cache_is_the_sequential_loop(spark):
-    x, r = vectors(60, 3), random.Random(1)
-    keys, keep = [f"k{r.randrange(25)}" for _ in x], [r.random() > 0.2 for _ in x]
-    rows = spark.createDataFrame([(i, v.tolist(), k, s) for i, (v, k, s) in enumerate(zip(x, keys, keep))], VEC)
-    got = {
-        r["idx"]: (r["kind"], r["hit_source_idx"]) for r in cache.greedy_cache(
-            rows, 0.6, key="k", storable="keep"
-        ).collect()
-    }
-    stored = []
-    for i in range(60):
-        same = [j for j in stored if keys[j] == keys[i]]
-        sims = [(float(x[i].astype(float) @ x[j].astype(float)), -j) for j in stored]
+def one_by_one(x, keys, keep, threshold, stored=()):
+    stored, out = list(stored), {}
+    for i in range(len(x)):
+        if i in stored:
+            continue
+        earlier = [j for j in stored if j < i]
+        same = [j for j in earlier if keys[j] == keys[i]]
+        sims = [(float(x[i].astype(float) @ x[j].astype(float)), -j) for j in earlier if x[i] is not None and x[j] is not None]
         if same:
-            want = ("cache_exact", same[-1])
-        elif sims and max(sims)[0] >= 0.6:
-            want = ("cache_semantic", -max(sims)[1])
+            out[i] = ("cache_exact", min(same))
+        elif sims and max(sims)[0] >= threshold:
+            out[i] = ("cache_semantic", -max(sims)[1])
         else:
-            want = ("miss", None)
+            out[i] = ("miss", None)
             if keep[i]:
                 stored.append(i)
-        assert got[i] == want, i
+    return out
+
+
+@pytest.mark.parametrize("finish,block", [(4096, None), (3, 9), (0, 1000)])
+def test_greedy_cache_is_the_sequential_loop(spark, finish, block, monkeypatch):
+    monkeypatch.setattr(cache, "FINISH", finish)
+    x, r = list(vectors(60, 3)), random.Random(1)
+    keys, keep = [f"k{r.randrange(25)}" for _ in x], [r.random() > 0.2 for _ in x]
+    x[7] = x[20] = x[21] = None
+    stored = {0, 4, 30, 31}
+    rows = spark.createDataFrame(
+        [(i, None if v is None else v.tolist(), k, s, i in stored) for i, (v, k, s) in enumerate(zip(x, keys, keep))], VEC + ", s boolean"
+    )
+    told = lambda df: {q["idx"]: (q["kind"], q["hit_source_idx"]) for q in df.collect()}
+    assert told(cache.greedy_cache(rows, 0.6, key="k", storable="keep", block=block)) == one_by_one(x, keys, keep, 0.6)
+    assert told(cache.greedy_cache(rows, 0.6, key="k", storable="keep", stored="s", block=block)) == one_by_one(x, keys, keep, 0.6, sorted(stored))
+    bare = rows.withColumn("vec", F.lit(None).cast("array<float>"))
+    assert told(cache.greedy_cache(bare, 0.6, key="k", storable="keep")) == one_by_one([None] * 60, keys, keep, 0.6)
+    assert told(cache.greedy_cache(rows.where("false"), 0.6)) == {}
+
+
+def test_a_group_of_near_copies_costs_no_pairs(spark):
+    """20,000 near copies of five vectors: rows written stay below a few for each request."""
+    r = np.random.default_rng(2)
+    x = vectors(5, 9, 16)[r.integers(0, 5, 20_000)] + r.normal(size=(20_000, 16)) * 0.001
+    rows = spark.createDataFrame(list(zip(range(20_000), x.astype(np.float32).tolist())), "idx long, vec array<float>").repartition(8)
+    got = cache.greedy_cache(rows, 0.9)
+    assert {q["kind"]: q["count"] for q in got.groupBy("kind").count().collect()} == {"miss": 5, "cache_semantic": 19_995}
+    places = nearest.place(rows)
+    one = places.rows.where("idx < 5").withColumn("floor", F.lit(0.9))
+    met = nearest.best_earlier(places.rows.withColumn("floor", F.lit(0.9)), one.select("block", "idx", "vec"), places)[0]
+    assert met.count() <= 20_000
+
+
+def test_bounds_spare_most_comparisons(spark):
+    """Clustered vectors: exact results with less than a fifth of the pairs."""
+    r = np.random.default_rng(4)
+    centres = vectors(40, 1, 32)
+    x = centres[r.integers(0, 40, 6000)] + r.normal(size=(6000, 32)) * 0.02
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = spark.createDataFrame(list(zip(range(6000), x.tolist())), "idx long, vec array<float>").repartition(8)
+    found, work = nearest.all_best_earlier(nearest.place(rows, block=100))
+    s = x.astype(float) @ x.astype(float).T
+    s[np.triu_indices(6000)] = -np.inf
+    got = {q["idx"]: (q["s"], q["src"]) for q in found.collect()}
+    assert len(got) == 5999 and all(got[i][0] == pytest.approx(s[i].max()) and s[i, got[i][1]] == pytest.approx(s[i].max()) for i in got)
+    done = work.first()
+    assert done["compared"] < 6000 * 5999 / 2 / 5 and done["visits"] < 60 * 60
+
+
+def test_search_within_groups_and_of_any_length(spark):
+    x = np.random.default_rng(8).normal(size=(90, 5)) * np.random.default_rng(9).uniform(0.1, 9, size=(90, 1))
+    rows = spark.createDataFrame([(i, v.astype(np.float32).tolist(), "ab"[i % 2] if i % 9 else None) for i, v in enumerate(x)], "idx long, vec array<float>, g string")
+    group = [("ab"[i % 2] if i % 9 else "") for i in range(90)]
+    got = {q["idx"]: (q["best"], q["best_src"], q["g"]) for q in cache.prefix_best(rows, by="g", block=6).collect()}
+    x = x.astype(np.float32).astype(float)
+    for i in range(90):
+        sims = [(float(x[i] @ x[j]), -j) for j in range(i) if group[j] == group[i]]
+        assert got[i][2] == group[i]
+        assert got[i][:2] == ((pytest.approx(max(sims)[0]), -max(sims)[1]) if sims else (0.0, None))
 
 
 def test_exact_replay_skips_failures_and_blanks(spark):
