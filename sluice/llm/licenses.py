@@ -193,7 +193,7 @@ FRAMES = (
     "It is said that {} changed the law of the land.",
 )
 TOKEN = r"[\p{L}\p{N}]+"
-VARIANTS, SIMILAR, LEAST = 8, 0.6, 5
+VARIANTS, SIMILAR, LEAST = 8, 0.6, 8
 #: No words are left out of statements this short.
 WHOLE = 6
 ARTICLES = ("a", "an", "the")
@@ -206,7 +206,8 @@ def _marks(similar: float = SIMILAR) -> str:
     """A pattern that every unit meets which is ``similar`` to some statement.
 
     Such a unit has some number of a statement's trigrams at least, so words are taken until fewer than that number of its
-    trigrams hold none of them. Longer words and names go first; the commonest words of the language are not needed.
+    trigrams hold none of them. Longer words and names go first; the commonest words of the language, and words with a k,
+    which has a letter of its own as lower case elsewhere, are not needed.
     """
     open_, out = [], set()
     for text in (t for texts in (*STATEMENTS.values(), *SHORT.values()) for t in texts):
@@ -218,12 +219,16 @@ def _marks(similar: float = SIMILAR) -> str:
         if not open_:
             break
         found = Counter(w for grams, _ in open_ for g in grams for w in set(g))
-        out.add(max(found, key=lambda w: (w not in COMMON, min(len(w), 5) + 4 * w.startswith("licen"), found[w], w)))
+        out.add(max(found, key=lambda w: (w not in COMMON, "k" not in w, min(len(w), 5) + 4 * w.startswith("licen"), found[w], w)))
+    # long words stand for all that begin like them, which does no harm; short ones for themselves
     letters: dict[str, list[str]] = {}
     for w in sorted(out):
-        letters.setdefault(w[0], []).append(re.escape(w[1:]))
-    tries = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in letters.items())
-    return rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{tries})(?![\p{{L}}\p{{N}}])"
+        if len(w) < 6:
+            letters.setdefault(w[0], []).append(re.escape(w[1:]) + "(?![a-zA-Z])")
+        elif not any(w != x and len(x) > 5 and w.startswith(x) for x in out):
+            letters.setdefault(w[0], []).append(re.escape(w[1:]))
+    first = "".join(sorted(letters) + [c.upper() for c in sorted(letters)])
+    return rf"(?i)(?<![a-zA-Z])(?=[{first}])(?:{'|'.join(f'{c}(?:{'|'.join(rest)})' for c, rest in letters.items())})"
 
 
 def tokens(text: Column) -> Column:
@@ -317,7 +322,7 @@ def scan(
     """``(doc_id, paragraph, sentence, family, probability, similarity)`` of each license statement.
 
     Paragraphs are lines, numbered from 0, and are judged sentence by sentence. ``similarity`` is the number of trigrams
-    that the sentence and the nearest statement of its family have in common, over those of the shorter, or over five where
+    that the sentence and the nearest statement of its family have in common, over those of the shorter, or over eight where
     the statement has as many: a few words of a long statement confirm nothing. Below ``similar`` the prediction is not
     confirmed and the sentence counts as unknown. Articles don't count. ``filtered`` only spares work: a sentence that has none
     of the words that ``_marks`` derives from the statements can't be similar to one, and isn't given to the classifier. Unknown
