@@ -108,32 +108,45 @@ def _leaders(threshold: float):
     return run
 
 
-def _sequential(threshold: float):
-    """The status of a bounded number of open rows, decided one after the other."""
+def _in_order(threshold: float):
+    """``(idx, status, s, src)`` of a bounded number of rows, decided one after the other: 1 stored, 2 similar, 3 neither, 4 exact."""
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(_ints(table.column("idx")))
         table = table.take(pa.array(order))
-        n, key, keep = table.num_rows, table.column("k").to_pylist(), table.column("keep").to_numpy()
+        idx, key, keep, old = (table.column(c).to_pylist() for c in ("idx", "k", "keep", "old"))
         there = np.flatnonzero(table.column("vec").is_valid().to_numpy())
         x = _matrix(table.column("vec").take(pa.array(there)))
-        place_of = {int(r): j for j, r in enumerate(there)}
-        hit, names, status = np.zeros(n, bool), set(), []
-        for i in range(n):
-            if hit[i] or (key[i] is not None and key[i] in names):
-                status.append(2)
-                continue
-            status.append(1 if keep[i] else 3)
-            if keep[i]:
-                names.add(key[i])
-                if i in place_of:
-                    j = place_of[i]
-                    hit[there[j + 1 :][x[j + 1 :] @ x[j] >= threshold]] = True
-        return pa.table({"idx": table.column("idx"), "status": pa.array(status, pa.int32())})
+        row = dict(zip(there.tolist(), range(len(there))))
+        owner: dict = {}
+        held, n = np.empty(len(there), np.int64), 0  # the places in x of stored rows
+        out: list[tuple] = []
+        for i in range(len(idx)):
+            found = None
+            if not old[i]:
+                if key[i] is not None and key[i] in owner:
+                    found = (4, 1.0, owner[key[i]])
+                elif i in row and n:
+                    s = x[held[:n]] @ x[row[i]]
+                    best = int(np.argmax(s))  # the earliest of equal ones
+                    found = (2, float(s[best]), idx[there[held[best]]]) if s[best] >= threshold else None
+            if found is None:
+                found = (1 if keep[i] else 3, None, None)
+                if keep[i]:
+                    owner.setdefault(key[i], idx[i])
+                    if i in row:
+                        held[n] = row[i]
+                        n += 1
+            out.append(found)
+        return pa.table({"idx": pa.array(idx, pa.int64()), "status": pa.array([o[0] for o in out], pa.int32()),
+                         "s": pa.array([o[1] for o in out], pa.float64()), "src": pa.array([o[2] for o in out], pa.int64())})
 
     return run
 
 
+_DECIDED = "idx long, status int, s double, src long"
+
+
 def greedy_cache(
     requests: DataFrame,
     threshold: float,
@@ -151,12 +164,20 @@ def greedy_cache(
 
     Each round elects rows that are decided misses: leaders of their blocks, to which no earlier open row anywhere is similar,
     and of whose key none is open. They then answer all later rows at once, so a group of m near copies
-    costs m rows, never a pair of each two. Once ``FINISH`` rows are open, one task decides them in order. Each
-    round is checkpointed; the most similar stored row of each hit is sought at the end.
+    costs m rows, never a pair of each two. The last ``FINISH`` open rows, a bounded number, are decided in order by one task,
+    as are tables of no more rows; the outcome is the same. Each round is checkpointed; the most similar stored row of each hit is sought at the end.
     """
     name = F.col(key).cast("string") if key else F.col(order).cast("string")
     keep = F.coalesce(F.col(storable), F.lit(False)) if storable else F.lit(True)
     was = F.coalesce(F.col(stored), F.lit(False)) if stored else F.lit(False)
+    few = requests.select(
+        F.col(order).cast("long").alias("idx"), name.alias("k"), F.col(vec).cast("array<float>").alias("vec"), (keep | was).alias("keep"),
+        was.alias("old"), F.lit(0).alias("all"),
+    )
+    if few.limit(FINISH + 1).count() <= FINISH:
+        told = few.groupBy("all").applyInArrow(_in_order(threshold), _DECIDED).join(few.where("old").select("idx"), "idx", "left_anti")
+        kind = F.when(F.col("status") == 4, "cache_exact").when(F.col("status") == 2, "cache_semantic").otherwise("miss")
+        return told.select("idx", kind.alias("kind"), F.col("s").alias("similarity"), F.col("src").alias("hit_source_idx"))
     places = place(requests, order, vec, block=block)
     state = cut_lineage(requests.select(
         F.col(order).cast("long").alias("idx"), name.alias("k"), (keep | was).alias("keep"), F.when(was, 1).otherwise(0).alias("status")
@@ -188,9 +209,11 @@ def greedy_cache(
         state = state.join(sure.select("idx", F.lit(True).alias("mine")), "idx", "left").withColumn("status", decided).drop("mine")
         state = answered(state, sure.where("keep"))
     if left:
-        rest = state.where("status = 0").join(places.rows.select("idx", "vec"), "idx", "left")
+        rest = state.where("status = 0").join(places.rows.select("idx", "vec"), "idx", "left").withColumns({"all": F.lit(0), "old": F.lit(False)})
         # FINISH rows at most, or a table without vectors
-        done = rest.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_sequential(threshold), "idx long, status int") if places.blocks else _by_key(rest)
+        done = rest.groupBy("all").applyInArrow(_in_order(threshold), _DECIDED).select(
+            "idx", F.when(F.col("status") == 4, 2).otherwise(F.col("status")).alias("status")
+        ) if places.blocks else _by_key(rest)
         state = state.join(done.withColumnRenamed("status", "now"), "idx", "left").withColumn("status", F.coalesce("now", "status")).drop("now")
         state = cut_lineage(state)
     kept = state.where("status = 1")

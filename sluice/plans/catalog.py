@@ -625,33 +625,6 @@ def poisson_bootstrap(spark, d):
     )
 
 
-@query(
-    "WITH " + f"k AS (SELECT doc_id AS idx, {NORM} AS norm_key FROM documents WHERE text IS NOT NULL), f AS (SELECT norm_key, min(idx) AS first_idx FROM k GROUP BY 1) SELECT idx, idx > first_idx AS hit, CASE WHEN idx > first_idx THEN 'cache_exact' ELSE 'miss' END AS kind, CASE WHEN idx > first_idx THEN 0 ELSE 1 END::BIGINT AS tokens_in FROM k JOIN f USING (norm_key) WHERE norm_key <> ''"
-)
-def stream_exact_cache(spark, d):
-    return stream_decisions(spark, d).select("idx", "hit", "kind", "tokens_in")
-
-
-def stream_decisions(spark, d) -> DataFrame:
-    from ..streaming import gateway
-
-    schema = load(spark, d, "documents").schema
-    docs = spark.readStream.schema(schema).parquet(f"{d}/documents*.parquet").where("text IS NOT NULL")
-    asked = docs.select(
-        F.col("doc_id").alias("idx"),
-        F.lit("cache").alias("mode"),
-        F.col("text").alias("request"),
-        F.lit("a").alias("answer_text"),
-        F.lit("cheap").alias("served_by"),
-        F.lit(1).cast("long").alias("tokens_in"),
-        F.lit(1).cast("long").alias("tokens_out"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    asked = asked.where(~text.is_blank(F.col("request")))
-    base = f"{tables.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    return gateway.write_available(gateway.exact_cache_stream(asked), f"{base}/out", f"{base}/state")
-
-
 @query()
 def json_results(spark, d):
     return tables.json_rows(rounded(metrics.run_metrics(surrogate.outcomes(spark, d))))

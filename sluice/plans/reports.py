@@ -208,23 +208,6 @@ def gateway_rejections(spark, d):
     )
 
 
-_SIDES = "SELECT idx, mode, CASE WHEN idx % 5 = 0 THEN 'I am not sure' WHEN idx % 7 = 0 THEN '' ELSE 'plain' END AS cheap_text, 'long answer' AS dear_text FROM b WHERE NOT blank AND coalesce(mode, 'router') <> 'turbo'"
-
-
-@query(f"""WITH {_ASKED}, s AS ({_SIDES}), m AS (SELECT *, coalesce(mode, 'router') AS md, idx % 5 = 0 OR idx % 7 = 0 AS up FROM s), t AS (SELECT idx, md AS mode, md = 'router' AND up AS escalated, md = 'cheap' OR (md = 'router' AND NOT up) AS cheap, cheap_text, dear_text FROM m)
-SELECT idx, mode, escalated, CASE WHEN cheap THEN 'cheap' ELSE 'expensive' END AS served_by, CASE WHEN cheap THEN cheap_text ELSE dear_text END AS answer_text, CASE WHEN cheap THEN 10 WHEN escalated THEN 30 ELSE 20 END::BIGINT AS tokens_in, CASE WHEN cheap THEN 5 WHEN escalated THEN 45 ELSE 40 END::BIGINT AS tokens_out FROM t""")
-def gateway_dispatch(spark, d):
-    good = gateway.accepted(_asked(spark, d))
-    doubt = F.when(F.col("idx") % 5 == 0, "I am not sure").when(F.col("idx") % 7 == 0, "").otherwise("plain")
-    side = lambda t, i, o: F.struct(
-        t.alias("text"), F.lit(i).cast("long").alias("tokens_in"), F.lit(o).cast("long").alias("tokens_out")
-    )
-    rows = good.withColumns({"cheap": side(doubt, 10, 5), "dear": side(F.lit("long answer"), 20, 40)})
-    return gateway.by_mode(rows).select(
-        "idx", "mode", "escalated", "served_by", "answer_text", "tokens_in", "tokens_out"
-    )
-
-
 @query(f"WITH {SQL}, w AS (SELECT config, frac FROM unnest(['baseline', 'cache', 'router_cascade', 'router_heuristic', 'exact_only']) u(config), unnest(['low', 'high']) v(frac)) SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.config = w.config AND o.frac = w.frac)")
 def audit_completeness(spark, d):
     return audit.missing_runs(gates.expected_runs(spark, (*tables.CONFIGS, "exact_only")), surrogate.outcomes(spark, d))
@@ -435,26 +418,6 @@ def pilot_rows(spark, d):
     return workload.pilot(rows, 20).select("seq", "idx", "request", "kind", "latency_ms")
 
 
-@query(f"WITH s AS ({ORACLE['stream_exact_cache']}) SELECT idx, hit, kind, CASE WHEN hit THEN 1e0 END AS similarity, 'cheap' AS served_by, tokens_in AS prompt_tokens, tokens_in AS completion_tokens, 2 * tokens_in AS total_tokens FROM s")
-def gateway_envelope(spark, d):
-    out = gateway.envelope(catalog.stream_decisions(spark, d))
-    return out.select(
-        "idx",
-        "x_gateway.hit",
-        "x_gateway.kind",
-        "x_gateway.similarity",
-        "x_gateway.served_by",
-        "usage.prompt_tokens",
-        "usage.completion_tokens",
-        "usage.total_tokens",
-    )
-
-
-@query(f"WITH s AS ({ORACLE['stream_exact_cache']}) SELECT true AS ok, count(*) FILTER (WHERE NOT hit)::BIGINT AS cache_size FROM s")
-def gateway_health(spark, d):
-    return gateway.cache_size(catalog.stream_decisions(spark, d))
-
-
 @query(f"WITH {SQL} SELECT seq, 'UpstreamError' AS error_message, 'upstream_unavailable' AS error_type, 'BASE_URL' AS param, 500::BIGINT AS status FROM o WHERE error IS NOT NULL")
 def gateway_failures(spark, d):
     out = gateway.failed(surrogate.outcomes(spark, d), "BASE_URL")

@@ -1,14 +1,9 @@
-"""The gateway's exact cache as a stateful stream: first answer of a key is stored, later requests get it."""
+"""Rules of the gateway: modes, errors, envelopes; and the first answer of each key as the state of a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import has_error, is_blank, normalize_exact
 from ..operators.routing import cascade
@@ -16,49 +11,29 @@ from ..operators.routing import cascade
 # fixed values: modes of a request, and errors as clients see them
 MODES = ("router", "cache", "cheap", "expensive")
 NO_TEXT, BAD_MODE = "no user message with text content", "x-bench-mode must be one of "
-OUT = "norm_key string, idx long, mode string, hit boolean, kind string, served_by string, tokens_in long, tokens_out long, answer_text string, stored boolean"
-
-
-def _answer(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    stored = state.get if state.exists else None
-    rows = pd.concat(list(parts)).sort_values("idx").reset_index(drop=True)
-    asks = rows["mode"] != "expensive"
-    good = np.flatnonzero(asks & rows["storable"])
-    first = -1 if stored is not None else int(good[0]) if len(good) else len(rows)  # the row whose answer is stored
-    if 0 <= first < len(rows):
-        stored = (rows["answer_text"][first], rows["served_by"][first])
-        state.update(stored)
-    hit = (asks & (rows.index > first)).to_numpy()
-    answer, by = stored if stored is not None else (None, None)
-    out = pd.DataFrame({
-        "norm_key": key[0], "idx": rows["idx"], "mode": rows["mode"], "hit": hit,
-        "kind": np.where(hit, "cache_exact", np.where(asks, "miss", "model_direct")),
-        "served_by": rows["served_by"].where(~hit, by), "tokens_in": rows["tokens_in"].where(~hit, 0),
-        "tokens_out": rows["tokens_out"].where(~hit, 0), "answer_text": rows["answer_text"].where(~hit, answer),
-        "stored": rows.index == first,
-    })
-    yield out
+def first_answers(requests: DataFrame) -> DataFrame:
+    """``(norm_key, first)``: of each key of a stream the first storable answer by ``idx``, with ``answer_text, served_by``.
+
+    A streaming aggregate: partial minima of a micro-batch meet the state, which holds one answer for each key; rows of one
+    key are never gathered. ``expensive`` passes the cache by; failed and blank answers are not stored.
+    """
+    good = ~has_error(F.col("error")) & ~is_blank(F.col("answer_text")) & (F.coalesce("mode", F.lit("router")) != "expensive")
+    rows = requests.where(good & ~is_blank(F.col("request"))).withColumn("norm_key", normalize_exact(F.col("request")))
+    return rows.groupBy("norm_key").agg(
+        F.min(F.struct("idx", "answer_text", "served_by")).alias("first")
+    )
 
 
-def exact_cache_stream(requests: DataFrame) -> DataFrame:
-    """Decisions for a stream of ``idx, mode, request, answer_text, served_by, tokens_in, tokens_out, error``.
+def health_of_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``(ok, cache_size)`` as the state of a stopped ``first_answers`` stream has it; nothing that it wrote is read.
 
-    State holds one answer for each key and grows with the keys, as nothing is evicted; rows of
-    a micro-batch are taken in ``idx`` order. ``expensive`` bypasses the cache. Failed and blank answers are not stored.
+    ``ok`` says that the checkpoint's operator is the one that keeps answers.
     """
-    ready = requests.select(
-        normalize_exact(F.col("request")).alias("norm_key"),
-        "idx",
-        F.coalesce("mode", F.lit("router")).alias("mode"),
-        "answer_text",
-        "served_by",
-        "tokens_in",
-        "tokens_out",
-        (~has_error(F.col("error")) & ~is_blank(F.col("answer_text"))).alias("storable"),
-    )
-    return ready.groupBy("norm_key").applyInPandasWithState(
-        _answer, OUT, "answer_text string, served_by string", "append", GroupStateTimeout.NoTimeout
+    kept = spark.read.format("statestore").load(checkpoint).agg(F.count(F.lit(1)).alias("cache_size"))
+    known = spark.read.format("state-metadata").load(checkpoint).agg(
+        F.coalesce(F.bool_and(F.col("operatorName") == "stateStoreSave"), F.lit(False)).alias("ok")
     )
+    return known.crossJoin(kept)  # a row each
 
 
 def _fault() -> Column:
@@ -101,12 +76,6 @@ def by_mode(requests: DataFrame) -> DataFrame:
     })
 
 
-def cache_size(decisions: DataFrame) -> DataFrame:
-    """``(ok, cache_size)``: answers that the cache holds after ``decisions``, one for each key that a stored miss answered."""
-    stored = decisions.where("NOT hit AND kind = 'miss' AND stored")
-    return stored.agg(F.lit(True).alias("ok"), F.countDistinct("norm_key").alias("cache_size"))
-
-
 def envelope(decisions: DataFrame) -> DataFrame:
     """Each decision as the gateway reports it: usage and what decided it, with ``latency_ms`` where it was measured."""
     similarity = F.when(F.col("kind") == "cache_exact", 1.0).alias("similarity")
@@ -127,11 +96,3 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "ap
     ).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
-
-
-def write_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run over what is there now, to Parquet, and read it."""
-    stream.writeStream.format("parquet").outputMode("append").option(
-        "checkpointLocation", checkpoint
-    ).trigger(availableNow=True).start(path).awaitTermination()
-    return stream.sparkSession.read.schema(OUT).parquet(path)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sluice.operators import agreement, audit, cache, gates, metrics, nearest, routing, tuning, workload
 from sluice.sources import tables
-from sluice.streaming import gateway
 
 VEC = "idx long, vec array<float>, k string, keep boolean"
 
@@ -329,21 +328,6 @@ def test_tables(spark, tmp_path):
     ) is None
 
 
-def test_stream_serves_the_first_good_answer(spark, tmp_path):
-    schema = "idx long, mode string, request string, answer_text string, served_by string, tokens_in long, tokens_out long, error string"
-    rows = [
-        (0, "cache", "Hello   world", "", "cheap", 1, 1, None),
-        (1, "cache", "hello world", "A", "cheap", 1, 1, None),
-        (2, "cache", " HELLO world", "B", "cheap", 1, 1, None),
-        (3, "expensive", "hello world", "C", "expensive", 5, 5, None),
-    ]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = gateway.exact_cache_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    out = gateway.write_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))
-    got = {r["idx"]: (r["kind"], r["answer_text"], r["tokens_in"]) for r in out.collect()}
-    assert got == {0: ("miss", "", 1), 1: ("miss", "A", 1), 2: ("cache_exact", "A", 0), 3: ("model_direct", "C", 5)}
-
-
 def test_full_grid_reaches_near_copies(spark, monkeypatch):
     from sluice.operators import tuning
     from sluice.plans import catalog

@@ -317,20 +317,6 @@ def test_gateway_modes_errors_and_size(spark, tmp_path):
     ) == ("cheap", 3) and (out[4]["served_by"], out[4]["tokens_in"]) == ("expensive", 5)
     bad = gateway.failed(asked.withColumn("error", F.when(F.col("idx") == 0, "set the variable")), "BASE_URL").collect()
     assert [(r["status"], r["error_type"], r["param"]) for r in bad] == [(500, "upstream_unavailable", "BASE_URL")]
-    schema = "idx long, mode string, request string, answer_text string, served_by string, tokens_in long, tokens_out long, error string"
-    for batch in range(3):  # one file, and so one micro-batch, each
-        rows = [
-            (10 * batch + i, "cache", f"question {i}", f"answer {batch}", "cheap", 1, 1, None) for i in range(batch + 1)
-        ]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = gateway.exact_cache_stream(
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    )
-    made = gateway.write_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))
-    assert gateway.cache_size(made).first()["cache_size"] == 3
-    assert made.where("NOT hit").count() == 3 and made.count() == 6
-    told = {r["idx"]: r for r in gateway.envelope(made).collect()}
-    assert sum(r["x_gateway"]["similarity"] == 1.0 and r["usage"]["total_tokens"] == 0 for r in told.values()) == 3
 
 
 def test_reasons(spark):
