@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -156,6 +158,7 @@ def greedy_cache(
     storable: str | None = None,
     stored: str | None = None,
     block: int | None = None,
+    ask: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """``(idx, kind, similarity, hit_source_idx)`` of the live cache: a request is compared with stored misses only.
 
@@ -165,7 +168,11 @@ def greedy_cache(
     Each round elects rows that are decided misses: leaders of their blocks, to which no earlier open row anywhere is similar,
     and of whose key none is open. They then answer all later rows at once, so a group of m near copies
     costs m rows, never a pair of each two. The last ``FINISH`` open rows, a bounded number, are decided in order by one task,
-    as are tables of no more rows; the outcome is the same. Each round is checkpointed; the most similar stored row of each hit is sought at the end.
+    as are tables of no more rows; the outcome is the same. Each round is checkpointed; the most similar stored row of
+    each hit is sought at the end.
+
+    ``ask(misses, round)`` answers the decided misses (``idx``) of a round and tells ``(idx, keep)``, whether each can be stored;
+    then all rows are decided in rounds, and only misses are asked for.
     """
     name = F.col(key).cast("string") if key else F.col(order).cast("string")
     keep = F.coalesce(F.col(storable), F.lit(False)) if storable else F.lit(True)
@@ -174,7 +181,7 @@ def greedy_cache(
         F.col(order).cast("long").alias("idx"), name.alias("k"), F.col(vec).cast("array<float>").alias("vec"), (keep | was).alias("keep"),
         was.alias("old"), F.lit(0).alias("all"),
     )
-    if few.limit(FINISH + 1).count() <= FINISH:
+    if ask is None and few.limit(FINISH + 1).count() <= FINISH:
         told = few.groupBy("all").applyInArrow(_in_order(threshold), _DECIDED).join(few.where("old").select("idx"), "idx", "left_anti")
         kind = F.when(F.col("status") == 4, "cache_exact").when(F.col("status") == 2, "cache_semantic").otherwise("miss")
         return told.select("idx", kind.alias("kind"), F.col("s").alias("similarity"), F.col("src").alias("hit_source_idx"))
@@ -188,25 +195,33 @@ def greedy_cache(
     def answered(state: DataFrame, fresh: DataFrame) -> DataFrame:
         """Open rows become hits where one of ``fresh`` is earlier and similar, or stored under their key."""
         open_ = state.where("status = 0")
-        near = best_earlier(among(places.rows, open_), among(places.rows, fresh), places)[0].select("idx", F.lit(True).alias("near"))
+        near = best_earlier(among(places.rows, open_), among(places.rows, fresh), places)[0] if places.blocks else places.rows
+        near = near.select("idx", F.lit(True).alias("near"))
         owners = fresh.groupBy("k").agg(F.min("idx").alias("owner"))
         seen = state.join(near, "idx", "left").join(owners, "k", "left")
         hit = (F.col("status") == 0) & (F.coalesce("near", F.lit(False)) | F.coalesce(F.col("owner") < F.col("idx"), F.lit(False)))
         return cut_lineage(seen.select("idx", "k", "keep", F.when(hit, 2).otherwise(F.col("status")).alias("status")))
 
-    if stored and places.blocks:
+    if stored:
         state = answered(state, state.where("status = 1"))
-    while (left := state.where("status = 0").count()) > FINISH and places.blocks:
+    turn = 0
+    while (left := state.where("status = 0").count()) > (0 if ask else FINISH) and (places.blocks or ask):
         open_ = state.where("status = 0")
-        rows = places.rows.join(open_.select("idx", "keep"), "idx")
-        leaders = cut_lineage(rows.groupBy("block").applyInArrow(_leaders(threshold), "idx long"))
-        barred = best_earlier(among(places.rows, leaders), among(places.rows, open_.where("keep")), places)[0].select("idx")
-        none = open_.join(places.rows.select("idx"), "idx", "left_anti").select("idx")  # rows without a vector
+        first = open_.select("idx")
+        if places.blocks:
+            rows = places.rows.join(open_.select("idx", "keep"), "idx")
+            leaders = cut_lineage(rows.groupBy("block").applyInArrow(_leaders(threshold), "idx long"))
+            barred = best_earlier(among(places.rows, leaders), among(places.rows, open_.where("keep")), places)[0].select("idx")
+            bare = first.join(places.rows.select("idx"), "idx", "left_anti")  # rows without a vector
+            first = leaders.join(barred, "idx", "left_anti").unionByName(bare)
         next_ = open_.where("keep").groupBy("k").agg(F.min("idx").alias("next"))
-        sure = leaders.join(barred, "idx", "left_anti").unionByName(none).join(open_, "idx").join(next_, "k", "left")
-        sure = cut_lineage(sure.where("next IS NULL OR next >= idx").select("idx", "k", "keep"))
-        decided = F.when(F.col("mine").isNull(), F.col("status")).when(F.col("keep"), 1).otherwise(3)
-        state = state.join(sure.select("idx", F.lit(True).alias("mine")), "idx", "left").withColumn("status", decided).drop("mine")
+        sure = first.join(open_, "idx").join(next_, "k", "left").where("next IS NULL OR next >= idx").select("idx", "k", "keep")
+        if ask:
+            told = ask(cut_lineage(sure.select("idx")), turn).select("idx", F.col("keep").alias("good"))
+            sure = sure.join(told, "idx").select("idx", "k", (F.col("keep") & F.col("good")).alias("keep"))
+        sure, turn = cut_lineage(sure), turn + 1
+        mine = sure.select("idx", F.when(F.col("keep"), 1).otherwise(3).alias("mine"))
+        state = state.join(mine, "idx", "left").withColumn("status", F.coalesce("mine", "status")).drop("mine")
         state = answered(state, sure.where("keep"))
     if left:
         rest = state.where("status = 0").join(places.rows.select("idx", "vec"), "idx", "left").withColumns({"all": F.lit(0), "old": F.lit(False)})
