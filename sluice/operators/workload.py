@@ -95,14 +95,31 @@ def anchors(workload: DataFrame, by: tuple[str, ...] = ("frac",)) -> DataFrame:
     return workload.where("dup_type <> 'novel'").join(novel, [*by, "group_id"], "left")
 
 
-def follower_order(workload: DataFrame, seed: int, by: tuple[str, ...] = ("frac",)) -> DataFrame:
-    """Add ``rank_key``: an order by hash in which no follower comes before its anchor."""
-    own = hash_rank_key(seed, F.col("idx"))
+def resolve(followers: DataFrame, known: DataFrame, text: str = "request") -> DataFrame:
+    """``followers`` with the ``group_id`` of their text in ``known`` (``text, group_id``); a text of no group fails the query."""
+    groups = known.groupBy(F.col(text).alias("_text")).agg(F.max("group_id").alias("_group"))
+    lost = F.raise_error(F.concat(F.lit("no group for: "), F.substring(F.coalesce(F.col(text), F.lit("null")), 1, 80))).cast("string")
+    out = followers.drop("group_id").join(groups, F.col(text) == F.col("_text"), "left")
+    return out.withColumn("group_id", F.when(F.col("_group").isNotNull(), F.col("_group")).otherwise(lost)).drop("_text", "_group")
+
+
+def waiting_time(seed: int, *key: Column) -> Column:
+    """An exponential variate that any engine can repeat: -ln of the first 52 bits of SHA-256 of the seed and the key."""
+    bits = F.conv(F.substring(hash_rank_key(seed, *key), 1, 13), 16, 10).cast("double")
+    return -F.log((bits + 0.5) / float(1 << 52))
+
+
+def follower_order(workload: DataFrame, seed: int, by: tuple[str, ...] = ("frac",), row: str = "idx") -> DataFrame:
+    """Add ``rank_key``: a random order, uniform at every step over the rows whose anchor is already placed.
+
+    Each row waits an exponential time once it may be placed, a follower after its group's anchor. What is left to wait of such a
+    time does not depend on how long it has run, so the next row is any of the ready ones with equal chance. A follower
+    without an anchor may be placed from the start.
+    """
+    own = waiting_time(seed, F.col(row))
     anchor = workload.where("dup_type = 'novel'").groupBy(*by, "group_id").agg(F.max(own).alias("_a"))
-    later = F.when(F.col("dup_type") == "novel", F.concat(own, F.lit("0"))).otherwise(
-        F.concat(F.greatest(own, F.coalesce("_a", own)), F.lit("1"), own)
-    )
-    return workload.join(anchor, [*by, "group_id"], "left").withColumn("rank_key", later).drop("_a")
+    key = own + F.when(F.col("dup_type") != "novel", F.coalesce("_a", F.lit(0.0))).otherwise(0.0)
+    return workload.join(anchor, [*by, "group_id"], "left").withColumn("rank_key", key).drop("_a")
 
 
 def build(pairs: DataFrame, n: int, paraphrases: float, traps: float, exact: float, seed: int, frac: str) -> DataFrame:
@@ -115,20 +132,14 @@ def build(pairs: DataFrame, n: int, paraphrases: float, traps: float, exact: flo
     novel = n - p - t - e
     if novel < p + t:
         raise ValueError("too few novel rows for the followers")
-    same, other = sample(pairs.where("label = 1").dropDuplicates(["sentence1"]), p, seed, "id"), sample(
-        pairs.where("label = 0").dropDuplicates(["sentence1"]), t, seed + 1, "id"
-    )
+    # of pairs with one anchor text that with the smallest id
+    once = lambda rows: rows.groupBy("sentence1").agg(F.min(F.struct("id", "sentence2")).alias("p")).select("sentence1", "p.*")
+    same = sample(once(pairs.where("label = 1")), p, seed, "id")
+    other = sample(once(pairs.where("label = 0")).join(same.select("sentence1"), "sentence1", "left_anti"), t, seed + 1, "id")
     taken = same.select("id", "sentence1", "sentence2", F.lit("paraphrase").alias("d")).unionByName(
-        other.join(same.select("sentence1"), "sentence1", "left_anti").select(
-            "id", "sentence1", "sentence2", F.lit("trap").alias("d")
-        )
-    )
-    rest = sample(
-        pairs.join(taken.select("sentence1"), "sentence1", "left_anti").dropDuplicates(["sentence1"]),
-        novel - p - t,
-        seed + 2,
-        "id",
+        other.select("id", "sentence1", "sentence2", F.lit("trap").alias("d"))
     )
+    rest = sample(once(pairs).join(taken.select("sentence1"), "sentence1", "left_anti"), novel - p - t, seed + 2, "id")
     base = numbered(
         taken.select("sentence1", "sentence2", "d", "id").unionByName(
             rest.select(
@@ -138,17 +149,18 @@ def build(pairs: DataFrame, n: int, paraphrases: float, traps: float, exact: flo
         "id",
         "g",
     ).withColumn("group_id", group_name(F.col("g")))
-    have = base.count()
-    if have < novel:
-        raise ValueError(f"{have} distinct anchors for {novel} novel rows")
+    have = {r["d"]: r["count"] for r in base.groupBy("d").count().collect()}
+    if (have.get("paraphrase", 0), have.get("trap", 0), sum(have.values())) != (p, t, novel):
+        raise ValueError(f"{have} distinct anchors for {novel} novel rows, {p} paraphrases and {t} traps")
     first = base.select(F.col("sentence1").alias("s"), F.lit("novel").alias("dup_type"), "group_id")
     after = base.where("d IS NOT NULL").select(F.col("sentence2").alias("s"), F.col("d").alias("dup_type"), "group_id")
     draws = pairs.sparkSession.range(e).select(F.col("id").alias("draw"))
-    again = exact_repeats(first, draws, seed + 3, "group_id").select("s", F.lit("exact").alias("dup_type"), "group_id")
-    rows = numbered(
-        first.unionByName(after).unionByName(again).withColumn("_k", F.concat("group_id", "dup_type", "s")), "_k", "idx"
-    ).withColumn("frac", F.lit(frac))
-    ranked = follower_order(rows, seed + 4).drop("idx")
+    again = exact_repeats(first, draws, seed + 3, "group_id").select("s", F.lit("exact").alias("dup_type"), "group_id", "draw")
+    # a name for each row: its group and kind, and the number of the draw for repeats
+    named = first.unionByName(after).withColumn("_k", F.concat_ws("|", "group_id", "dup_type")).unionByName(
+        again.withColumn("_k", F.concat_ws("|", "group_id", "dup_type", "draw")).drop("draw")
+    )
+    ranked = follower_order(named.withColumn("frac", F.lit(frac)), seed + 4, row="_k")
     out = numbered(ranked, "rank_key", "idx")
     return out.select(
         "frac",

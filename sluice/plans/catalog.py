@@ -13,8 +13,8 @@ from ..sources import surrogate, tables
 from ..sources.surrogate import SQL, load
 
 THRESHOLD = 0.35
-GRID = [round(0.20 + 0.005 * i, 4) for i in range(81)]
-#: Up to the published grid's end; the queries named ``_full`` sweep it.
+#: The published grid; the queries named ``_full`` begin lower.
+GRID = tuning.grid()
 FULL_GRID = [round(0.20 + 0.005 * i, 4) for i in range(160)]
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -265,7 +265,7 @@ def nearest_prior(spark, d):
     return cache.prefix_best(surrogate.vectors(spark, d)).where("best_src IS NOT NULL").select("idx", "best_src")
 
 
-_SW = f"{BEST}, t AS (SELECT round(20e-2 + 5e-3 * i, 4) AS threshold FROM range(81) r(i)), c AS (SELECT threshold, count(*) FILTER (WHERE best >= threshold AND should_hit)::BIGINT AS tp, count(*) FILTER (WHERE best >= threshold AND NOT should_hit)::BIGINT AS fp, count(*) FILTER (WHERE best < threshold AND should_hit)::BIGINT AS fn, count(*) FILTER (WHERE best < threshold AND NOT should_hit)::BIGINT AS tn FROM best, t GROUP BY 1), sw AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, coalesce(fp::DOUBLE / nullif(tp + fp, 0), 0) AS false_hit_rate FROM c)"
+_SW = f"{BEST}, t AS (SELECT round(30e-2 + 5e-3 * i, 4) AS threshold FROM range(140) r(i)), c AS (SELECT threshold, count(*) FILTER (WHERE best >= threshold AND should_hit)::BIGINT AS tp, count(*) FILTER (WHERE best >= threshold AND NOT should_hit)::BIGINT AS fp, count(*) FILTER (WHERE best < threshold AND should_hit)::BIGINT AS fn, count(*) FILTER (WHERE best < threshold AND NOT should_hit)::BIGINT AS tn FROM best, t GROUP BY 1), sw AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, coalesce(fp::DOUBLE / nullif(tp + fp, 0), 0) AS false_hit_rate FROM c)"
 
 
 @query(f"WITH {_SW} SELECT threshold, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(false_hit_rate, 6) AS false_hit_rate FROM sw")
@@ -284,16 +284,16 @@ def cost_weighted_threshold(spark, d):
     return _long(tuning.cost_weighted(tuning.sweep(_best(spark, d), GRID)))
 
 
-_DRAWS = tuning.control_draws(0.2, 0.6)
+_DRAWS = tuning.control_draws()
 
 
-@query(f"WITH {_SW.replace('round(20e-2 + 5e-3 * i, 4) AS threshold FROM range(81) r(i)', 'x AS threshold FROM unnest([' + ', '.join(f'{x!r}e0' for x in _DRAWS) + ']) u(x)')} SELECT round(avg(f1), 6) AS mean_f1, round(max(f1), 6) AS max_f1, count(*)::BIGINT AS n FROM sw")
+@query(f"WITH {_SW.replace('round(30e-2 + 5e-3 * i, 4) AS threshold FROM range(140) r(i)', 'x AS threshold FROM unnest([' + ', '.join(f'{x!r}e0' for x in _DRAWS) + ']) u(x)')} SELECT round(avg(f1), 6) AS mean_f1, round(max(f1), 6) AS max_f1, count(*)::BIGINT AS n FROM sw")
 def control_thresholds(spark, d):
     return rounded(tuning.control(_best(spark, d), _DRAWS))
 
 
-_FULL = _SW.replace("range(81)", "range(160)")
-_FULL_DRAWS = tuning.control_draws()
+_FULL = _SW.replace("round(30e-2 + 5e-3 * i, 4) AS threshold FROM range(140)", "round(20e-2 + 5e-3 * i, 4) AS threshold FROM range(160)")
+_FULL_DRAWS = tuning.control_draws(0.2)
 
 
 def _list(draws: list[float]) -> str:

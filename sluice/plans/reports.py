@@ -384,34 +384,6 @@ def completion_replies(spark, d):
     ).select("conv_id", "turn", "r.*")
 
 
-@query("SELECT * FROM (VALUES ('novel', 95, 95, 0), ('paraphrase', 40, 40, 0), ('trap', 20, 20, 0)) v(dup_type, n, n_groups, out_of_order) UNION ALL SELECT 'exact', 45, NULL, NULL")
-def workload_build(spark, d):
-    """A workload of 200 requests from text pairs; anchors come before their followers."""
-    docs = load(spark, d, "documents").where("text IS NOT NULL AND length(text) > 20")
-    pairs = docs.select(
-        F.col("doc_id").cast("string").alias("id"),
-        F.col("text").alias("sentence1"),
-        F.reverse("text").alias("sentence2"),
-        (F.col("doc_id") % 2).cast("int").alias("label"),
-    )
-    rows = tables.cut_lineage(workload.build(pairs, 200, 0.2, 0.1, 0.225, 5, "low"))
-    marked = workload.anchors(rows).select(
-        "dup_type", "group_id", (F.col("anchor_idx") > F.col("idx")).alias("late")
-    ).unionByName(rows.where("dup_type = 'novel'").select("dup_type", "group_id", F.lit(False).alias("late")))
-    out = marked.groupBy("dup_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct("group_id").alias("n_groups"),
-        F.count_if("late").alias("out_of_order"),
-    )
-    known = F.col("dup_type") != "exact"  # repeats are drawn with replacement
-    return out.select(
-        "dup_type",
-        F.col("n").cast("int").alias("n"),
-        F.when(known, F.col("n_groups")).cast("int").alias("n_groups"),
-        F.when(known, F.col("out_of_order")).cast("int").alias("out_of_order"),
-    )
-
-
 @query(f"WITH {SQL} SELECT seq, idx, request, kind, latency_ms FROM o WHERE config = 'baseline' AND frac = 'low' ORDER BY idx LIMIT 20")
 def pilot_rows(spark, d):
     rows = surrogate.outcomes(spark, d).where("config = 'baseline' AND frac = 'low'")

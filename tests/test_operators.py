@@ -280,6 +280,49 @@ def test_workload_has_its_fractions_and_order(spark):
         workload.build(pairs, 40, 0.5, 0.4, 0.2, 5, "low")
 
 
+def test_order_is_uniform_over_ready_rows(spark):
+    """Shares of followers right behind their anchor, and of followers by place, are those of drawing ready rows one by one."""
+    n, m = 200, 100
+
+    def drawn(seed):
+        r = random.Random(seed)
+        ready, out = [("n", i) for i in range(n)], []
+        while ready:
+            k = r.randrange(len(ready))
+            ready[k], ready[-1] = ready[-1], ready[k]
+            out.append(ready.pop())
+            if out[-1][0] == "n" and out[-1][1] < m:
+                ready.append(("f", out[-1][1]))
+        return out
+
+    def told(orders):
+        next_, first, total = 0, 0, 0
+        for out in orders:
+            at = {x: i for i, x in enumerate(out)}
+            assert all(at["n", g] < at["f", g] for g in range(m))
+            total += m
+            next_ += sum(at["f", g] == at["n", g] + 1 for g in range(m))
+            first += sum(at["f", g] < (n + m) / 2 for g in range(m))
+        return next_ / total, first / total
+
+    rows = [(s, "novel", f"g{i}", f"n{i}") for s in range(40) for i in range(n)] + [(s, "trap", f"g{i}", f"f{i}") for s in range(40) for i in range(m)]
+    table = spark.createDataFrame([(f, d, g, f"{f}|{k}") for f, d, g, k in rows], "frac int, dup_type string, group_id string, idx string")
+    by = {}
+    for r in workload.follower_order(table, 5).orderBy("frac", "rank_key").collect():
+        k = r["idx"].split("|")[1]
+        by.setdefault(r["frac"], []).append((k[0], int(k[1:])))
+    (next_a, first_a), (next_b, first_b) = told(by.values()), told(drawn(s) for s in range(400))
+    assert abs(next_a - next_b) < 0.006 and abs(first_a - first_b) < 0.03 and next_a < 0.03
+
+
+def test_a_follower_of_no_group_fails(spark):
+    known = spark.createDataFrame([("a", "g0"), ("b", "g1")], "request string, group_id string")
+    rows = spark.createDataFrame([(0, "b"), (1, "a")], "idx long, request string")
+    assert {r["idx"]: r["group_id"] for r in workload.resolve(rows, known).collect()} == {0: "g1", 1: "g0"}
+    with pytest.raises(Exception, match="no group for: c"):
+        workload.resolve(rows.unionByName(spark.createDataFrame([(2, "c")], "idx long, request string")), known).collect()
+
+
 def test_split_keeps_groups_whole(spark):
     rows = spark.range(200).select("id", (F.col("id") % 11).cast("string").alias("g"))
     got = workload.split_groups(rows, "g").select("g", "half").distinct().collect()
@@ -339,7 +382,7 @@ def test_full_grid_reaches_near_copies(spark, monkeypatch):
         lambda s, d: s.createDataFrame(rows, "idx long, best double, should_hit boolean, eligible boolean"),
     )
     swept = {r["threshold"] for r in catalog.threshold_sweep_full(spark, "").collect()}
-    assert set(tuning.grid()) <= swept and set(catalog.GRID) <= swept
+    assert set(tuning.grid()) == set(catalog.GRID) and set(tuning.grid()) <= swept
     assert catalog.best_f1_threshold_full(spark, "").first()["threshold"] == 0.9
     assert {r["threshold"] for r in catalog.cost_weighted_threshold_full(spark, "").collect()} == {0.9}
     assert catalog.control_thresholds_full(spark, "").first()["max_f1"] > 0.5
