@@ -124,7 +124,7 @@ def _profile(width: int, salt: np.uint64):
                 n = np.array([len(s) for s in sets], np.int64)
                 yield pa.record_batch([batch.column(0)[rows], batch.column(1)[rows], _signed(np.array(prints, np.uint64)), pa.array(n),
                                        checks, pa.array(sigs, pa.binary()), pa.array(np.zeros(len(n), bool))], schema=_PROFILE)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield hot()
                     held, size = [], 0
         if held:

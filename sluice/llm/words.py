@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
-#: Words of more bytes are hashed one by one.
-LONG = 512
+#: Words of more bytes are hashed one by one; others some at a time.
+LONG, CHUNK = 512, 1 << 16
 _START, _STEP = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -47,7 +47,7 @@ class Words:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; null is empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    column = (pc.fill_null(column, "") if column.null_count else column).cast(pa.large_string())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
@@ -61,15 +61,16 @@ def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return out
     padded = np.append(data, np.zeros(8, np.uint8))
     eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
-    at = np.flatnonzero(size <= LONG)
-    done = 0
-    while len(at):
-        x = eight[start[at] + done]
-        left = size[at] - done
-        short = left < 8
-        x[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
-        out[at] = mix(out[at] * _STEP ^ x)
-        at, done = at[left > 8], done + 8
+    for some in range(0, len(size), CHUNK):
+        at = some + np.flatnonzero(size[some : some + CHUNK] <= LONG)
+        done = 0
+        while len(at):
+            x = eight[start[at] + done]
+            left = size[at] - done
+            short = left < 8
+            x[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+            out[at] = mix(out[at] * _STEP ^ x)
+            at, done = at[left > 8], done + 8
     for k in np.flatnonzero(size > LONG).tolist():
         out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8, key=b"sluice").digest(), "little")
     return out
