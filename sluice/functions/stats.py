@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,34 @@ def newcombe(k_a: Column, n_a: Column, k_b: Column, n_b: Column, z: float = Z) -
     return F.struct((q - p).alias("diff"), (q - p - down).alias("lo"), (q - p + up).alias("hi"))
 
 
+#: Powers of two that a decimal holds.
+_TWOS = 126
+
+
+def py_round(x: Column, digits: int) -> Column:
+    """``x`` (a double) rounded to ``digits`` (0 to 9) places, half to even on its binary value, as Python's ``round`` does.
+
+    A double is m / 2^k with whole m, so m * 5^digits and 2^(k - digits) say exactly which side of a half it is on.
+    """
+    whole = "decimal(38,0)"
+    size = F.abs(x)
+    k = F.lit(53) - F.floor(F.log2(size)).cast("int")  # large enough for a whole m, whatever the logarithm's last bit
+    m = (size * F.pow(F.lit(2.0), k)).cast("long").cast("decimal(19,0)") * F.lit(Decimal(5**digits)).cast("decimal(8,0)" if digits < 10 else whole)
+    s = k - digits
+    two = F.element_at(F.array(*(F.lit(Decimal(1 << i)).cast(whole) for i in range(_TWOS + 1))), F.least(s, F.lit(_TWOS)) + 1)
+    m = m.cast(whole)
+    rest = m % two
+    floor = ((m - rest) / two).cast(whole)
+    half = two - rest  # below, at or above the rest
+    up = (rest > half) | ((rest == half) & (floor % 2 == 1))
+    near = (floor + F.when(up, 1).otherwise(0)).cast("double") / 10.0**digits
+    signed = F.when(x < 0, -near).otherwise(near)
+    # no number, or so large that the places are finer than its own; too small for a half; whole at this scale already
+    return F.when(x.isNull() | F.isnan(x) | (size == 0) | (size >= 2.0**53 / 10**digits), x).when(
+        size < 10.0 ** -(digits + 1), x * 0.0
+    ).when(s <= 0, x).otherwise(signed)
+
+
 def separated(lo: Column, hi: Column) -> Column:
     return (lo > 0) | (hi < 0)
 
@@ -224,39 +253,70 @@ def poisson_bootstrap(
     )
 
 
+#: Values that one task ranks, and cuts of a group's range in each pass before.
+RANKED, CUTS = 65_536, 4096
+
+
 def exact_percentiles(rows: DataFrame, by: list[str], value: str, levels: tuple[float, ...]) -> DataFrame:
     """``(by, p)``: exact, interpolated percentiles of each group, in the order of ``levels``; groups without values give no row.
 
-    By rank selection: mergeable approximate quantiles bracket each rank, a count says how many values lie below the
-    bracket, and only the distinct values within it are ordered. No task holds a group's values.
+    A group of few values is ranked as it is. For a larger one the range that holds each rank is cut into ``CUTS`` parts, values are
+    counted by part, and the part with the rank is the next range, until it holds few distinct values or one only. Counts are
+    pre-aggregated; no task holds a group's values. NaN is above all numbers.
     """
-    narrow = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    grid = F.percentile_approx("_v", [k / STEPS for k in range(STEPS + 1)], 10_000)
-    marks, ends = narrow.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), grid.alias("_q")), []
-    for level in levels:
-        margin = 40 / F.col("_n") + 2e-4
-        low, high = F.floor((level - margin) * STEPS).cast("int"), F.ceil((level + margin) * STEPS).cast("int")
-        lo = F.when(low <= 0, float("-inf")).otherwise(F.get("_q", low))
-        hi = F.when(high >= STEPS, float("inf")).otherwise(F.get("_q", high))
-        ends.append(F.struct(lo.alias("lo"), hi.alias("hi"), ((F.col("_n") - 1) * level).alias("rank")))
-    keys = [F.col(k).alias(f"_key{i}") for i, k in enumerate(by)]
-    marks = marks.select(*keys, F.array(*ends).alias("_w"))
-    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(by)]
-    held = narrow.join(F.broadcast(marks), same) if by else narrow.crossJoin(F.broadcast(marks))  # a row for each group
-    each = held.select(*by, "_v", F.posexplode("_w").alias("_level", "_w")).where(F.col("_v") <= F.col("_w.hi"))
-    inside = F.when(F.col("_v") >= F.col("_w.lo"), F.col("_v"))  # null: somewhere below
-    counts = each.groupBy(
-        *by, "_level", F.col("_w.rank").alias("_rank"), inside.alias("_v")
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*by, "_level").orderBy(F.col("_v").asc_nulls_first()))
-    ranked = counts.withColumn("_upto", upto).where("_v IS NOT NULL")
-    at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
-    picked = ranked.groupBy(*by, "_level", "_rank").agg(
-        at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_b")
-    )
-    x = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
-    listed = picked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_level", x.alias("x")))).alias("p"))
-    return listed.select(*by, F.transform("p", lambda e: e["x"]).alias("p"))
+    from ..sources.tables import cut_lineage
+
+    spark = rows.sparkSession
+    narrow = rows.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), F.col(value).cast("double").alias("_v")
+    ).where("_v IS NOT NULL")
+    keys = [f"_k{i}" for i in range(len(by))]
+    types = [dict(rows.dtypes)[k] for k in by]
+    same = lambda other: [F.col(f"c.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in keys]
+    counts = cut_lineage(narrow.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))  # a row for each distinct value
+    whole = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    # the ranks on both sides of each level
+    rank = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), ((F.col("_n") - 1) * level).alias("at")) for i, level in enumerate(levels))))
+    wanted = whole.select("*", rank.alias("r")).select(*keys, "_d", "lo", "hi", "r.i", F.col("r.at").alias("at"), F.explode(F.array(F.floor("r.at"), F.ceil("r.at"))).alias("rank"))
+    open_ = cut_lineage(wanted.distinct().withColumn("below", F.lit(0).cast("long")))
+    done = []
+    while True:
+        few = open_.where(f"_d <= {RANKED}")
+        if not few.isEmpty():
+            # the values of a range once for each place in it, as ranges are few and small
+            inside = counts.alias("c").join(few.select(*keys, "lo", "hi").distinct().alias("f"), same("f") or F.lit(True)).where("_v >= lo AND _v <= hi")
+            upto = F.sum("_c").over(Window.partitionBy(*[f"c.{k}" for k in keys], "lo", "hi").orderBy("_v"))
+            inside = inside.select(*(F.col(f"c.{k}").alias(k) for k in keys), "lo", "hi", "_v", "_c", upto.alias("_upto"))
+            met = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "lo", "hi")]
+            here = few.alias("a").join(inside.alias("b"), met).where("rank < below + _upto AND rank >= below + _upto - _c")
+            done.append(cut_lineage(here.select(*(F.col(f"a.{k}").alias(k) for k in keys), "i", "at", "rank", F.col("_v"))))
+        large = open_.where(f"_d > {RANKED}")
+        if large.isEmpty():
+            break
+        ends = lambda c: F.least(F.greatest(F.col(c), F.lit(-1.7e308)), F.lit(1.7e308)) / CUTS  # noqa: E731  finite, and no overflow
+        spread = (ends("_v") - ends("lo")) / F.nullif(ends("hi") - ends("lo"), F.lit(0.0))
+        part = F.least(F.floor(F.coalesce(spread, F.lit(0.0)) * CUTS), F.lit(CUTS - 1))
+        ranges = large.select(*keys, "lo", "hi").distinct()
+        held = counts.alias("c").join(F.broadcast(ranges).alias("f"), same("f") or F.lit(True)).where("_v >= lo AND _v <= hi")  # a few rows for each group
+        cut = held.groupBy(*[F.col(f"c.{k}").alias(k) for k in keys], "lo", "hi", part.alias("part")).agg(
+            F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d2"), F.min("_v").alias("lo2"), F.max("_v").alias("hi2")
+        )
+        before = F.sum("_n").over(Window.partitionBy(*keys, "lo", "hi").orderBy("part"))
+        cut = cut.withColumn("_upto", before)
+        met = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "lo", "hi")]
+        next_ = large.alias("a").join(cut.alias("b"), met).where("rank < below + _upto AND rank >= below + _upto - _n")
+        open_ = cut_lineage(next_.select(
+            *(F.col(f"a.{k}").alias(k) for k in keys), F.col("_d2").alias("_d"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "i", "at", "rank",
+            (F.col("below") + F.col("_upto") - F.col("_n")).alias("below"),
+        ))
+    schema = ", ".join([*(f"{k} {t}" for k, t in zip(keys, types)), "i int, at double, rank long, _v double"])
+    found = spark.createDataFrame([], schema)
+    for part in done:
+        found = found.unionByName(part)
+    x = F.min("_v") + (F.max("_v") - F.min("_v")) * (F.col("at") - F.floor("at"))
+    each = found.groupBy(*keys, "i", "at").agg(F.when(F.min("_v") == F.max("_v"), F.min("_v")).otherwise(x).alias("x"))
+    listed = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
+    return listed.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(by)), F.transform("p", lambda e: e["x"]).alias("p"))
 
 
 def hash_bootstrap(
@@ -414,10 +474,13 @@ def paired_percentile_bootstrap(
         F.sum(F.when(F.col("side") == 0, F.col("x")).otherwise(-F.col("x"))).alias("x")
     )
     ci = of.groupBy(*keys).agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    diff = F.percentile("_v0", F.lit(level / 100)) - F.percentile("_v1", F.lit(level / 100))
-    whole = narrow.groupBy(
-        *(F.col(k).alias(f"_key{j}") for j, k in enumerate(keys))
-    ).agg(diff.alias("diff"), F.count(F.lit(1)).alias("n"))
+    named = [F.col(k).alias(f"_key{j}") for j, k in enumerate(keys)]
+    sides = [exact_percentiles(narrow, keys, f"_v{i}", (level / 100,)).select(*named, F.get("p", F.lit(0)).alias(f"_p{i}")) for i in (0, 1)]
+    both = [F.col(f"s0._key{j}").eqNullSafe(F.col(f"s1._key{j}")) for j in range(len(keys))]
+    tails = sides[0].alias("s0").join(sides[1].alias("s1"), both).select("s0.*", (F.col("_p0") - F.col("_p1")).alias("diff"))
+    ns = narrow.groupBy(*named).agg(F.count(F.lit(1)).alias("n"))
+    both = [F.col(f"t._key{j}").eqNullSafe(F.col(f"u._key{j}")) for j in range(len(keys))]
+    whole = tails.alias("t").join(ns.alias("u"), both).select("t.*", "n")
     lo, hi = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     return ci.join(F.broadcast(whole), [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(keys)]).select(
         *keys, "diff", lo.alias("lo"), hi.alias("hi"), "n", separated(lo, hi).alias("separated")

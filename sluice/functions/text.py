@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # fixed values: phrases that decide a route, as the workload's configuration states them
 CUES = ("why", "compare", "steps", "reason", "because", "how", "solve", "calculate", "difference", "prove", "justify")
@@ -25,23 +23,34 @@ LABELS = {
     "partial": "partial",
 }
 MISSING = ("", "nan", "none", "na")
+#: White space as Python has it: that of Unicode and the four separators.
+SPACE = r"(?U)[\s\x1C-\x1F]+"
 
 
-def fold(text: Column) -> Column:
-    """Case folding in the JVM; agrees with full folding but for rare letters (see ``casefold``)."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Letters that fold to one letter, these letters, and what others fold to, by Python's own tables."""
+    told = {c: f for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and (f := c.casefold()) != c}
+    one = {c: f for c, f in told.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in told.items() if len(f) > 1}
+
+
+_FROM, _TO, _LONGER = _folds()
 
 
-@F.pandas_udf(StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    """Full Unicode case folding."""
-    return text.str.casefold()
+def fold(text: Column) -> Column:
+    """Full Unicode case folding in the JVM: letters that become one letter by a table, the hundred others one after the other.
+
+    Those are replaced only in texts that hold one, as is shown by a class of all of them.
+    """
+    pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in _LONGER.items()))
+    longer = F.aggregate(pairs, text, lambda t, p: F.replace(t, p["c"], p["f"]))
+    plain = F.when(text.rlike(f"[{''.join(_LONGER)}]"), longer).otherwise(text)
+    return F.translate(plain, _FROM, _TO)
 
 
-def normalize_exact(text: Column, strict: bool = False) -> Column:
+def normalize_exact(text: Column) -> Column:
     """The key by which repeated requests are found: folded, white space collapsed and stripped. Null stays null."""
-    folded = casefold(text) if strict else fold(text)
-    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(fold(text), SPACE, " "))
 
 
 def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
@@ -53,7 +62,7 @@ def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")) == ""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")) == ""
 
 
 def request_text(sentence: Column, template: str = 'Explain this statement: "{sentence}"') -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K_OF_N, PERCENT = r"([0-9]+) of ([0-9]+)", r"([0-9]+(?:\.[0-9]+)?)%"
@@ -34,23 +34,69 @@ def known_pairs(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.explode(each).alias("p")).select("p.*").where("k IS NOT NULL AND n IS NOT NULL").distinct()
 
 
-def known_percentages(metrics: DataFrame, swept: DataFrame, bars: tuple[float, ...] = (50.0, 2.0, 5.0)) -> DataFrame:
-    """``value``: percentages that documents may state: rates of runs, what they save, rates of the sweep, and bars."""
+def pairs_of(rows: DataFrame, *pairs: tuple) -> DataFrame:
+    """``(k, n)`` of each row's pairs of columns, once each; those with a null are none."""
+    each = F.array(*(F.struct(k.cast("long").alias("k"), n.cast("long").alias("n")) for k, n in pairs))
+    return rows.select(F.explode(each).alias("p")).select("p.*").where("k IS NOT NULL AND n IS NOT NULL").distinct()
+
+
+def all_known_pairs(
+    metrics: DataFrame, false_hits: DataFrame, quality: DataFrame, proxy: DataFrame, tuned: DataFrame, weighted: DataFrame,
+    kappa: DataFrame, labels: DataFrame, bar: float = 0.5,
+) -> DataFrame:
+    """``(k, n)``: every count and denominator that documents may state.
+
+    Of each run its hits and rows (``known_pairs``), false hits over semantic hits (``k, n``), judged rows (``n_scored``) over rows, and
+    of the proxy judged rows over rows and score 0 over judged ones; of the chosen threshold (``tp, fp, fn, tn``) true hits over all and
+    false ones over hits; false ones over hits of each cost-weighted choice (``tp, fp``); the judges' pairs (``n``); and of
+    people's labels (``filled, total``) what is there and what the bar asks for.
+    """
+    run, c = ["config", "frac"], F.col
+    rows = metrics.select(*run, "n_ok")
+    all_tuned = c("tp") + c("fp") + c("fn") + c("tn")
+    parts = [
+        known_pairs(metrics),
+        pairs_of(false_hits, (c("k"), c("n"))),
+        pairs_of(quality.join(rows, run), (c("n_scored"), c("n_ok"))),
+        pairs_of(proxy.join(rows, run).where("judged > 0"), (c("score_0"), c("judged")), (c("judged"), c("n_ok"))),
+        pairs_of(tuned, (c("tp"), all_tuned), (c("fp"), c("tp") + c("fp"))),
+        pairs_of(weighted, (c("fp"), c("fp") + c("tp"))),
+        pairs_of(kappa.where("n > 0"), (c("n"), c("n"))),
+        pairs_of(labels.where("total > 0"), (F.ceil(F.lit(bar) * c("total")), c("total")), (c("filled"), c("total"))),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def known_percentages(
+    metrics: DataFrame, swept: DataFrame, bars: tuple[float, ...] = (50.0, 2.0, 5.0), rates: DataFrame | None = None, shares: DataFrame | None = None
+) -> DataFrame:
+    """``value``: percentages that documents may state: rates of runs, what they save, rates of the sweep, and bars.
+
+    ``rates`` has more rates of runs (``value``, as shares of one: false hits, quality), ``shares`` those of a workload.
+    """
+    more = [x.select((F.col("value") * 100).alias("value")) for x in (rates, shares) if x is not None]
     base = metrics.where("config = 'baseline'").select("frac", F.col("cost_usd").alias("_base"))
     hits, rows = F.col("n_exact") + F.col("n_semantic"), F.col("n_ok") + F.col("n_errors")
     saved = F.when(
         (F.col("config") != "baseline") & (F.col("_base") != 0), (F.col("_base") - F.col("cost_usd")) / F.col("_base")
     )
-    rates = F.array(
+    of_run = F.array(
         F.col("hit_rate"),
         F.col("n_exact") / F.nullif(rows, F.lit(0)),
         F.col("n_exact") / F.nullif(hits, F.lit(0)),
         saved,
     )
-    of_runs = metrics.join(base, "frac", "left").select((F.explode(rates) * 100).alias("value"))
-    of_sweep = swept.select((F.explode(F.array("false_hit_rate", "recall")) * 100).alias("value"))
+    percent = lambda rows, each: rows.select(F.explode(each).alias("value")).select((F.col("value") * 100).alias("value"))
+    of_runs = percent(metrics.join(base, "frac", "left"), of_run)
+    of_sweep = percent(swept, F.array("false_hit_rate", "recall"))
     fixed = metrics.sparkSession.createDataFrame([(float(b),) for b in bars], "value double")
-    return of_runs.unionByName(of_sweep).unionByName(fixed).where("value IS NOT NULL").distinct()
+    out = of_runs.unionByName(of_sweep).unionByName(fixed)
+    for x in more:
+        out = out.unionByName(x)
+    return out.where("value IS NOT NULL").distinct()
 
 
 def unsupported_pairs(claimed: DataFrame, known: DataFrame) -> DataFrame:
@@ -167,3 +213,100 @@ def loose_references(docs: DataFrame, files: DataFrame, doc_id: str = "doc_id",
             "name", F.lit("orphan").alias("problem")
         )
     )
+
+
+def sections(docs: DataFrame, heading: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, line, body, section)``: lines with the nearest line at or above that ``heading`` matches, as its first group."""
+    lines = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).where("_t IS NOT NULL").select(
+        "doc_id", F.posexplode(F.split("_t", "\n")).alias("line", "body")
+    )
+    named = F.when(F.col("body").rlike(heading), F.regexp_extract("body", heading, 1))
+    return lines.select("doc_id", "line", "body", _above(named).alias("section"))
+
+
+def _above(value: Column) -> Column:
+    """The last value that is not null, from a document's start to the line. A document is bounded by what people read."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def cells(lines: DataFrame) -> DataFrame:
+    """``(doc_id, section, line, name, column, cell)``: cells of pipe tables by the names in their header.
+
+    A header is the line above a ruler; a row belongs to the nearest header above it with no other line than rows in between, and is named by its first
+    cell. Cells beyond the header have no column and are left out. ``lines`` are those of ``sections``.
+    """
+    body = F.trim("body")
+    bar, ruler = body.rlike(r"^\|.*\|$"), body.rlike(r"^\|[\s:|-]*-[\s:|-]*\|$")
+    split = F.transform(F.split(F.regexp_replace(body, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    here = Window.partitionBy("doc_id").orderBy("line")
+    rows = lines.select(
+        "doc_id", "section", "line", bar.alias("bar"), ruler.alias("ruler"), F.when(bar, split).alias("parts"),
+        F.coalesce(F.lead(ruler).over(here), F.lit(False)).alias("head"),
+    )
+    # a new table begins at each header and at each line that is no row of one
+    mark = F.when(F.col("head") & F.col("bar"), F.struct("parts")).when(~F.col("bar"), F.struct(F.array().cast("array<string>").alias("parts")))
+    known = rows.withColumn("names", F.last(mark, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0))["parts"])
+    body = known.where("bar AND NOT ruler AND NOT head AND size(names) > 0")
+    each = F.posexplode(F.arrays_zip(F.slice("names", 2, 1000).alias("column"), F.slice("parts", 2, 1000).alias("cell")))
+    return body.select("doc_id", "section", F.col("line").cast("long").alias("line"), F.get("parts", F.lit(0)).alias("name"), each.alias("_i", "_c")).select(
+        "doc_id", "section", "line", "name", "_c.column", "_c.cell"
+    ).where("column IS NOT NULL AND cell IS NOT NULL")
+
+
+def typed(found: DataFrame) -> DataFrame:
+    """Cells with what they say: the leading ``number``, an interval ``lo, hi`` and counts ``k`` of ``n``; null where they don't."""
+    number = F.regexp_extract("cell", r"^(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    pair = lambda i: F.regexp_extract("cell", K_OF_N, i).try_cast("long")
+    span = interval_of(F.col("cell"))
+    return found.withColumns({"number": number, "lo": span["lo"], "hi": span["hi"], "k": pair(1), "n": pair(2)})
+
+
+def figure_mismatches(
+    found: DataFrame, actual: DataFrame, key: list[str], fields: tuple[str, ...] = ("number", "lo", "hi", "k", "n")
+) -> DataFrame:
+    """``(doc_id, key, column, field, claimed, actual)``: what typed cells say otherwise than ``actual`` (``key, column, field, value, tolerance``).
+
+    A claim about what ``actual`` does not hold has a null ``actual``; what a cell does not say is no claim.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("claimed")) for f in fields))).alias("c")
+    said = found.select("doc_id", *key, "column", each).select("doc_id", *key, "column", "c.*").where("claimed IS NOT NULL")
+    both = said.join(actual, [*key, "column", "field"], "left")
+    wrong = F.col("value").isNull() | (F.abs(F.col("claimed") - F.col("value")) > F.col("tolerance"))
+    return both.where(wrong).select("doc_id", *key, "column", "field", "claimed", F.col("value").alias("actual"))
+
+
+def disagreements(found: DataFrame, key: list[str]) -> DataFrame:
+    """``(key, column, n_docs, low, high)``: figures that documents state differently under one key."""
+    said = found.where("number IS NOT NULL").groupBy(*key, "column").agg(
+        F.countDistinct("doc_id").alias("n_docs"), F.min("number").alias("low"), F.max("number").alias("high")
+    )
+    return said.where("low <> high")
+
+
+# fixed value: words by which a sentence compares
+COMPARING = ("lower", "higher", "cheaper", "faster", "slower", "fewer", "more", "less", "better", "worse", "than", "beats", "versus")
+
+
+def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, sentence, body)``: sentences of running text, numbered from 0; headings, tables and figures are none. They end at . ! or ? before white
+    space and a capital, a digit or a mark, and at blank lines."""
+    kept = F.filter(F.split(F.col(text), "\n"), lambda line: ~line.rlike(r"^\s*(#|\||!\[)"))
+    flat = F.regexp_replace(F.array_join(kept, "\n"), r"\n[ \t]*\n+", "\u0000")
+    parts = F.split(F.regexp_replace(flat, r"\s+", " "), "\u0000|(?<=[.!?]) (?=[\\p{Lu}0-9`\"(*])")
+    each = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(parts).alias("sentence", "body"))
+    return each.withColumn("body", F.trim("body")).where("body <> ''")
+
+
+def unregistered_comparisons(found: DataFrame, registered: DataFrame, names: dict[str, str], marks: str = r"\[[^\]]*,[^\]]*\]|±|not separated") -> DataFrame:
+    """Sentences that compare two configurations, without an interval beside them, on a pair that no registered comparison (``a, b``) holds.
+
+    ``names`` gives words for configurations. A sentence compares if it has a comparing word and names two of them or more. ``marks``
+    matches what shows that an interval is given.
+    """
+    word = lambda w: rf"(?i)(?<![\w-]){w}(?![\w-])"
+    who = F.array_compact(F.array(*(F.when(F.col("body").rlike(word(w)), F.lit(c)) for w, c in names.items())))
+    rows = found.withColumn("who", F.array_sort(F.array_distinct(who))).where(F.size("who") >= 2)
+    rows = rows.where(F.col("body").rlike(word(f"(?:{'|'.join(COMPARING)})")) & ~F.col("body").rlike(marks))
+    pairs = rows.select("doc_id", "sentence", "body", F.explode("who").alias("a"), "who").select("*", F.explode("who").alias("b")).where("a < b")
+    known = registered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(known, ["a", "b"], "left_anti").select("doc_id", "sentence", "a", "b")

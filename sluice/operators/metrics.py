@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.stats import ratio
 from ..functions.text import has_error
+from ..sources.tables import cut_lineage
 
 RUN = ["config", "frac"]
 # fixed values: the published comparisons (id, a, b, quantity), each for both fractions
@@ -37,26 +38,35 @@ def run_metrics(outcomes: DataFrame, by: list[str] = RUN) -> DataFrame:
 
     Over successful rows, but for ``n_rows`` and ``n_errors``. Percentiles are exact and interpolated.
     """
-    good, is_ok = succeeded(outcomes), ~has_error(F.col("error"))
-    all_rows = outcomes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~is_ok).alias("n_errors"))
-    kind, call = (lambda k: F.count_if(F.col("kind") == k)), (
-        lambda t: F.count_if((F.col("served_by") == t) & (F.col("tokens_out") > 0))
+    is_ok = ~has_error(F.col("error"))
+    narrow = cut_lineage(outcomes.select(
+        *by, "seq", "kind", "served_by", "tokens_in", "tokens_out", "cost_usd", "latency_ms", is_ok.alias("_ok")
+    ))
+    of = lambda c: F.when(F.col("_ok"), F.col(c))
+    kind, call = (lambda *k: F.count_if(F.col("_ok") & F.col("kind").isin(*k))), (
+        lambda t: F.count_if(F.col("_ok") & (F.col("served_by") == t) & (F.col("tokens_out") > 0))
     )
-    sums = good.groupBy(*by).agg(
-        F.count(
-            F.lit(1)
-        ).alias("n_ok"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost_usd").alias("cost_usd"),
-        call("cheap").alias("cheap_calls"), call("expensive").alias("expensive_calls"), kind("cache_exact").alias("n_exact"), kind("cache_semantic").alias("n_semantic"),
-        F.count_if(
-            F.col("kind").isin("miss", "model_direct")
-        ).alias("n_miss"), F.min_by("latency_ms", "seq").alias("first_latency_ms"),
+    # one pass for all that can be counted or summed; an empty run has nulls, not zeros
+    some = lambda c: F.when(F.col("n_ok") > 0, F.col(c)).alias(c)
+    sums = narrow.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("_ok")).alias("n_errors"), F.count_if("_ok").alias("n_ok"),
+        F.sum(of("tokens_in")).alias("tokens_in"), F.sum(of("tokens_out")).alias("tokens_out"), F.sum(of("cost_usd")).alias("cost_usd"),
+        call("cheap").alias("cheap_calls"), call("expensive").alias("expensive_calls"), kind("cache_exact").alias("n_exact"),
+        kind("cache_semantic").alias("n_semantic"), kind("miss", "model_direct").alias("n_miss"),
+        F.min_by("latency_ms", of("seq")).alias("first_latency_ms"), F.min(of("seq")).alias("_first"),
     )
-    lat = latency_percentiles(warm(good, by), by)
-    out = all_rows.join(sums, by, "left").join(lat, by, "left")
+    counts = ("n_ok", "cheap_calls", "expensive_calls", "n_exact", "n_semantic", "n_miss")
+    sums = cut_lineage(sums)
+    firsts = sums.select(*by, "_first", "n_ok")
+    lat = latency_percentiles(narrow.where("_ok").join(firsts, by).where("seq <> _first OR n_ok = 1").select(*by, "latency_ms"), by)
+    sums = sums.select(*by, "n_rows", "n_errors", *(c if c not in counts else some(c) for c in sums.columns[len(by) + 2 : -1]))
+    out = sums.join(lat, by, "left")
     return out.withColumn("hit_rate", ratio(F.col("n_exact") + F.col("n_semantic"), F.col("n_ok")))
 
 
 def latency_percentiles(rows: DataFrame, by: list[str] = RUN) -> DataFrame:
+    """Exact percentiles and the mean of each run's latencies, which are written once and read for each."""
+    rows = cut_lineage(rows.select(*by, "latency_ms"))
     p = stats.exact_percentiles(rows, by, "latency_ms", (0.5, 0.95, 0.99)).join(
         rows.groupBy(*by).agg(F.avg("latency_ms").alias("mean_ms")), by
     )
@@ -200,11 +210,13 @@ def comparison_pairs(series: DataFrame, specs=COMPARISONS) -> DataFrame:
 def comparison_points(outcomes: DataFrame, judged: DataFrame, specs=COMPARISONS) -> DataFrame:
     """What needs no resampling of each comparison: seeds, shared rows and differences, and score intervals of false-hit rates."""
     pairs = comparison_pairs(paired_series(outcomes, judged), specs)
-    p99 = F.percentile("x", F.lit(0.99)) - F.percentile("y", F.lit(0.99))
+    pairs, names = cut_lineage(pairs), ["id", "a", "b", "frac", "quantity", "seed"]
     mean = F.avg("x") - F.avg("y")
-    paired = pairs.groupBy("id", "a", "b", "frac", "quantity", "seed").agg(
-        F.count(F.lit(1)).alias("n_shared"), mean.alias("_m"), p99.alias("_p")
-    )
+    paired = pairs.groupBy(*names).agg(F.count(F.lit(1)).alias("n_shared"), mean.alias("_m"))
+    for side in ("x", "y"):
+        tail = stats.exact_percentiles(pairs.where("quantity = 'p99'"), ["id", "frac"], side, (0.99,))
+        paired = paired.join(tail.select("id", "frac", F.get("p", F.lit(0)).alias(f"_{side}")), ["id", "frac"], "left")
+    paired = paired.withColumn("_p", F.col("_x") - F.col("_y"))
     none = lambda t: F.lit(None).cast(t)
     diff = F.when(F.col("quantity") == "p99", F.col("_p")).otherwise(F.col("_m"))
     empty = {

@@ -223,17 +223,6 @@ def audit_attempted(spark, d):
 _PAIRS = f"SELECT DISTINCT k::BIGINT AS k, n::BIGINT AS n FROM (SELECT unnest([n_exact + n_semantic, n_exact, n_exact, n_ok]) AS k, unnest([n_ok, greatest(n_exact + n_semantic, 1), n_ok + n_errors, n_ok + n_errors]) AS n FROM ({ORACLE['run_metrics']})) WHERE k IS NOT NULL AND n IS NOT NULL"
 
 
-@query(_PAIRS)
-def audit_known_pairs(spark, d):
-    return audit.known_pairs(metrics.run_metrics(surrogate.outcomes(spark, d)))
-
-
-@query(f"WITH kn AS ({_PAIRS}), c AS ({ORACLE['audit_numbers']}) SELECT doc_id, claim FROM c WHERE kind = 'pair' AND NOT EXISTS (SELECT 1 FROM kn WHERE kn.k = try_cast(regexp_extract(claim, '([0-9]+) of ([0-9]+)', 1) AS BIGINT) AND kn.n = try_cast(regexp_extract(claim, '([0-9]+) of ([0-9]+)', 2) AS BIGINT))")
-def audit_unsupported_pairs(spark, d):
-    known = audit.known_pairs(metrics.run_metrics(surrogate.outcomes(spark, d)))
-    return audit.unsupported_pairs(audit.claims(load(spark, d, "documents")), known).select("doc_id", "claim")
-
-
 @query(r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL) SELECT doc_id, line::BIGINT AS line, len(string_split(regexp_replace(trim(l), '^\||\|$', '', 'g'), '|'))::BIGINT AS n_cells, trim(string_split(regexp_replace(trim(l), '^\||\|$', '', 'g'), '|')[1]) AS first_cell FROM l WHERE regexp_matches(trim(l), '^\|.*\|$') AND NOT regexp_matches(trim(l), '^[|\s:-]+$')")
 def audit_table_rows(spark, d):
     return audit.table_rows(load(spark, d, "documents")).select(
@@ -241,23 +230,6 @@ def audit_table_rows(spark, d):
     )
 
 
-@query(f"WITH c AS ({ORACLE['cost_weighted_threshold_full']}) SELECT r, CASE WHEN r = 10 THEN threshold + 1e-2 ELSE threshold END AS claimed, threshold AS actual FROM c WHERE r = 10")
-def audit_cost_table(spark, d):
-    actual = catalog.cost_weighted_threshold_full(spark, d).select("r", "threshold")
-    claimed = actual.withColumn(
-        "threshold", F.when(F.col("r") == 10, F.col("threshold") + 0.01).otherwise(F.col("threshold"))
-    )
-    return audit.cell_mismatches(claimed, actual, ["r"], "threshold").select("r", "claimed", "actual")
-
-
-@query(f"SELECT frac, round(lo, 6) AS lo, round(hi, 6) AS hi, NOT separated AS separated FROM ({ORACLE['newcombe_diff']}) WHERE frac = 'low'")
-def audit_verdicts(spark, d):
-    told = catalog.newcombe_diff(spark, d).withColumn(
-        "separated", F.when(F.col("frac") == "low", ~F.col("separated")).otherwise(F.col("separated"))
-    )
-    return audit.verdict_mismatches(told, F.col("lo"), F.col("hi")).select("frac", "lo", "hi", "separated")
-
-
 @query(f"WITH g AS ({ORACLE['gate_table']}), r AS (SELECT name FROM g WHERE name <> 'judge_independence' UNION ALL SELECT 'retired_gate') SELECT name, 'not registered' AS problem FROM g WHERE name NOT IN (SELECT name FROM r) UNION ALL SELECT name, 'absent' FROM r WHERE name NOT IN (SELECT name FROM g) UNION ALL SELECT name, 'should fail' FROM g WHERE name IN ('human_label_coverage', 'judge_independence') AND passed")
 def audit_gate_registry(spark, d):
     names = [f"{p}{f}_{c}" for p in (gates.COST, gates.FALSE_HIT) for f in gates.FRACS for c in gates.OTHERS]
@@ -279,15 +251,6 @@ def audit_missing_phrases(spark, d):
     return audit.missing_phrases(docs, phrases)
 
 
-@query("WITH s AS (SELECT DISTINCT 'fig' || (doc_id % 7) || '.svg' AS name FROM documents), f AS (SELECT 'fig' || i || '.svg' AS name FROM range(3, 9) r(i)) SELECT name, 'dangling' AS problem FROM s WHERE name NOT IN (SELECT name FROM f) UNION ALL SELECT name, 'orphan' FROM f WHERE name NOT IN (SELECT name FROM s)")
-def audit_figures(spark, d):
-    docs = load(spark, d, "documents").select(
-        "doc_id", F.concat(F.lit("see ![a](fig"), F.col("doc_id") % 7, F.lit(".svg) here")).alias("text")
-    )
-    files = spark.range(3, 9).select(F.concat(F.lit("fig"), "id", F.lit(".svg")).alias("name"))
-    return audit.loose_references(docs, files)
-
-
 @query(f"WITH {SQL} SELECT frac, count(*)::BIGINT AS n_rows, count(*) FILTER (WHERE para AND first)::BIGINT AS n_should_hit, count(*) FILTER (WHERE first)::BIGINT AS n_eligible FROM (SELECT frac, dup_type = 'paraphrase' AS para, row_number() OVER (PARTITION BY frac, request ORDER BY idx) = 1 AS first FROM o WHERE config = 'cache') GROUP BY 1")
 def label_counts(spark, d):
     rows = surrogate.outcomes(spark, d).where("config = 'cache'").withColumn(
@@ -396,24 +359,6 @@ def gateway_failures(spark, d):
     return out.select("seq", "error_message", "error_type", "param", F.col("status").cast("long").alias("status"))
 
 
-@query(
-    f"SELECT config, frac, round(lo, 4) + CASE WHEN config = 'cache' THEN 1e-2 ELSE 0 END AS claimed, round(lo, 6) AS actual FROM ({ORACLE['hit_rate_wilson']}) WHERE config = 'cache'".replace("round(lo, 4) + CASE WHEN config = 'cache' THEN 1e-2 ELSE 0 END", "round(round(lo, 6) + 1e-2, 4)")
-)
-def audit_interval_cells(spark, d):
-    """Intervals as documents state them, parsed and held against the score intervals; one configuration's is off."""
-    rates = catalog.hit_rate_wilson(spark, d)
-    lo = F.round(F.col("lo") + F.when(F.col("config") == "cache", 0.01).otherwise(0.0), 4)
-    cell = F.concat(
-        F.lit("(95% "),
-        lo.cast("decimal(6,4)").cast("string"),
-        F.lit("-"),
-        F.round("hi", 4).cast("decimal(6,4)").cast("string"),
-        F.lit(")"),
-    )
-    claimed = rates.select("config", "frac", audit.interval_of(cell)["lo"].alias("lo"))
-    return audit.cell_mismatches(claimed, rates, ["config", "frac"], "lo").select("config", "frac", "claimed", "actual")
-
-
 _PADDED = "' ' || lower(coalesce(t, '')) || ' '"
 _MARKS = f"list_transform(range(1, length({_PADDED}) - 1), lambda i: ('0x' || substr(md5(substr({_PADDED}, i, 3)), 1, 8))::BIGINT)"
 
@@ -427,6 +372,8 @@ def _encoded(rows: str) -> str:
     return f"SELECT * EXCLUDE (m), {place} AS v FROM (SELECT *, {_MARKS} AS m FROM ({rows}))"
 
 
+
+
 @query(
     "WITH e AS ("
     + _encoded("SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'user'")

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
@@ -139,7 +140,7 @@ def test_intervals_read_whole_series(spark):
 )
 def test_normalize(spark, raw, want):
     assert one(spark, text.normalize_exact(F.lit(raw).cast("string"))) == want
-    assert one(spark, text.normalize_exact(F.lit(raw).cast("string"), strict=True)) == want
+    assert one(spark, text.normalize_exact(F.lit(raw).cast("string"))) == want
 
 
 @pytest.mark.parametrize(
@@ -176,3 +177,55 @@ def test_vectors(spark):
     v = one(spark, vectors.hashed_ngrams(F.lit("the cat sat"), 16))
     assert math.isclose(sum(x * x for x in v), 1.0, rel_tol=1e-9)
     assert one(spark, vectors.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))) == 11.0
+
+
+def test_folding_is_pythons_for_every_letter(spark):
+    """Every code point, and texts of several, against ``str.casefold`` and Python's white space."""
+    import re
+
+    texts = [f"a{chr(c)}B" for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["Straße İstanbul ﬁne ΑΣ ΣΑ ẞß", " \x1c a　\x85B  ", "ŉǰΐ" * 3, "", " "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    got = rows.select("i", text.fold(F.col("t")).alias("f"), text.normalize_exact(F.col("t")).alias("n"), text.is_blank(F.col("t")).alias("b")).collect()
+    wrong = [(texts[r["i"]], r["f"]) for r in got if r["f"] != texts[r["i"]].casefold()]
+    assert not wrong, wrong[:5]
+    wrong = [(texts[r["i"]], r["n"]) for r in got if r["n"] != re.sub(r"\s+", " ", texts[r["i"]].casefold()).strip()]
+    assert not wrong, wrong[:5]
+    assert all(r["b"] == (not texts[r["i"]].strip()) for r in got)
+
+
+def test_rounding_is_pythons(spark):
+    """Half to even on the binary value."""
+    r = random.Random(3)
+    xs = [2.675, 0.125, -0.125, 0.375, 2.5, 3.5, -2.5, 1.005, 0.0, -0.0, 1e-30, -1e-9, 5e-324, 1e15 + 0.5, 4503599627370497.5, 1e22, -1e300, 0.5, 1.5, 1e-7]
+    xs += [r.uniform(-10, 10) * 10 ** r.randrange(-8, 12) for _ in range(3000)] + [k / 2 ** r.randrange(1, 30) for k in range(-500, 500)]
+    xs += [round(r.uniform(0, 1000), 3) + 0.0005 for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(xs)), "i int, x double").repartition(4)
+    for digits in (0, 1, 2, 4, 6, 9):
+        for q in rows.select("i", stats.py_round(F.col("x"), digits).alias("r")).collect():
+            want = round(xs[q["i"]], digits)
+            assert q["r"] == want and math.copysign(1, q["r"]) == math.copysign(1, want), (xs[q["i"]], digits, q["r"], want)
+    odd = spark.createDataFrame([(None,), (float("inf"),), (float("nan"),)], "x double").select(stats.py_round(F.col("x"), 2).alias("r")).collect()
+    assert odd[0]["r"] is None and odd[1]["r"] == float("inf") and math.isnan(odd[2]["r"])
+
+
+def test_percentiles_of_large_groups_by_narrowing_ranges(spark, monkeypatch):
+    """Few cuts and few ranked values at a time, ties, extremes, null keys and infinite values."""
+    monkeypatch.setattr(stats, "RANKED", 7)
+    monkeypatch.setattr(stats, "CUTS", 4)
+    r, levels = random.Random(6), (0.0, 0.25, 0.5, 0.99, 1.0)
+    groups = {
+        None: [r.lognormvariate(0, 3) for _ in range(400)],
+        "ties": [float(r.randrange(12)) for _ in range(500)],
+        "one": [2.5] * 60,
+        "wide": [1e300, -1e300, 5e-324, 0.0] + [r.gauss(0, 1) for _ in range(120)],
+        "two": [1.0, 2.0],
+    }
+    rows = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs] + [("two", None), ("none", None)], "g string, v double").repartition(5)
+    got = {q["g"]: q["p"] for q in stats.exact_percentiles(rows, ["g"], "v", levels).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert got[g] == pytest.approx([float(np.percentile(xs, 100 * p)) for p in levels], rel=1e-12), g
+    many = [float("inf"), float("-inf")] * 3 + [float(i) for i in range(40)]
+    told = stats.exact_percentiles(spark.createDataFrame([(x,) for x in many], "v double"), [], "v", (0.0, 0.5, 1.0)).first()["p"]
+    assert told == [float("-inf"), 19.5, float("inf")]
