@@ -230,8 +230,8 @@ def write_packages(
     """Write a record per row to packages below ``root`` (a folder that all executors share); ``(path, records)`` of each.
 
     The payload is the html in UTF-8 (null: empty). Of equal payloads of ``revisit_bytes`` or more
-    the one with the largest page id is a response and the others revisit it; rows that share that largest id are all responses. A null id is a page of
-    its own; it is a response unless an equal payload has an id.
+    the one with the largest page id is a response and the others revisit it; of rows that share that largest id the last one
+    in the order of the table is the response. A null id is a page of its own; it is a response unless an equal payload has an id.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(
@@ -239,15 +239,17 @@ def write_packages(
         F.col(url).cast("string").alias("url"),
         payload.alias("html"),
         F.sha1(payload.cast("binary")).alias("digest"),
+        F.monotonically_increasing_id().alias("at"),  # tells rows of one id apart; the table is read in the same parts each time
     )
     large = F.octet_length("html") >= revisit_bytes
     first = rows.where(large).groupBy("digest").agg(
-        F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1").select("digest", "first")
+        F.max(F.struct("page_id", F.when(F.col("page_id").isNotNull(), F.col("at")).alias("last"))).alias("m"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1").select("digest", F.col("m.page_id").alias("first"), "m.last")
     # small payloads, all the empty ones among them, take no part in the join
     told = rows.where(large).join(materialize(first, "copies"), "digest", "left")
-    told = told.unionByName(rows.where(~large).withColumn("first", F.lit(None).cast("long")))
-    refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    none = F.lit(None).cast("long")
+    told = told.unionByName(rows.where(~large).withColumns({"first": none, "last": none}))
+    refers = F.when(F.col("first").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("at") == F.col("last"))), F.col("first"))
     return materialize(
         told.select(
             "page_id", "url", "html", "digest", refers.alias("refers_to")
