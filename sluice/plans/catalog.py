@@ -623,8 +623,3 @@ def poisson_bootstrap(spark, d):
     return stats.poisson_bootstrap(
         metrics.succeeded(surrogate.outcomes(spark, d)), ["config", "frac"], "latency_ms", "seq"
     )
-
-
-@query()
-def json_results(spark, d):
-    return tables.json_rows(rounded(metrics.run_metrics(surrogate.outcomes(spark, d))))

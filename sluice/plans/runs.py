@@ -178,3 +178,13 @@ def similar_documents(spark, d):
     model = encoder.learn(docs)
     told = cache.prefix_best(encoder.encode(docs, model), order="doc_id").where("best >= 0.9")
     return told.select(F.col("idx").alias("doc_id"), F.round("best", 4).alias("similarity"), F.col("best_src").alias("earlier"))
+
+
+_FIELDS = ("cheap_calls", "config", "cost_usd", "expensive_calls", "first_latency_ms", "frac", "hit_rate", "mean_ms", "n_errors", "n_exact", "n_miss", "n_ok", "n_rows",
+           "n_semantic", "p50_ms", "p95_ms", "p99_ms", "tokens_in", "tokens_out")
+
+
+@query(f"SELECT to_json({{{', '.join(f'{chr(39)}{c}{chr(39)}: {c}' for c in _FIELDS)}}})::VARCHAR AS document FROM ({ORACLE['run_metrics']})")
+def json_results(spark, d):
+    """The metrics of each run as a document with sorted keys."""
+    return tables.json_rows(QUERIES["run_metrics"](spark, d))
