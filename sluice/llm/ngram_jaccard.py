@@ -620,16 +620,18 @@ def _linked(source: DataFrame, width: int, percent: int) -> tuple[_Join, DataFra
     join.lead(members)
     classes = join.classes()
     rest = join.open(members, classes, 0)
+    discard(members)  # a tile of one class stays one
     for turn in range(ROUNDS if join.arrays else 0):
         if rest.isEmpty() or not join.again(rest, turn):
             break
-        discard(rest, classes)
-        classes = join.classes()
-        rest = join.open(members, classes, turn + 1)
+        discard(classes)
+        classes, before = join.classes(), rest
+        rest = join.open(before, classes, turn + 1)
+        discard(before)
     if not rest.isEmpty() and join.finish(rest):
         discard(classes)
         classes = join.classes()
-    discard(members, rest, *join.arrays, *join.links, *join.tested)
+    discard(rest, *join.arrays, *join.links, *join.tested)
     return join, classes
 
 
