@@ -638,3 +638,15 @@ def test_tags_that_are_shown(spark):
     assert {k for k, v in got.items() if v == "block"} == {"a", "e", "p?ref=1", "https://x.net/es/"}
     got = {r["url"].removeprefix("http://h.org/"): r["verdict"] for r in url_filter.judge_urls(pages, rules, spellings=True).collect()}
     assert {k for k, v in got.items() if v == "block"} == {"a", "e", "p?ref=1", "p?ref=2", "https://x.net/es/", "http://x.net:80/es"}
+
+
+def test_one_response_among_rows_that_share_the_largest_id(spark):
+    big = "x" * 1500
+    rows = [(5, "http://a/", big), (5, "http://b/", big), (2, "http://c/", big), (None, "http://d/", big), (7, "u", "y" * 1200), (None, "v", "z" * 1100), (None, "w", "z" * 1100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = warc.archive_round_trip(pages).collect()
+    assert len(out) == len(rows)
+    x = [r for r in out if r["payload_bytes"] == 1500]
+    assert sorted((r["page_id"] or -1, r["record_type"], r["refers_to"]) for r in x if r["record_type"] == "response") == [(5, "response", None)]
+    assert sorted(r["page_id"] or -1 for r in x if r["record_type"] == "revisit" and r["refers_to"] == 5) == [-1, 2, 5]
+    assert all(r["record_type"] == "response" for r in out if r["payload_bytes"] != 1500)
