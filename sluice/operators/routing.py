@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CUES, DOUBTS, MAX_CHARS, contains_any, is_blank, py_bool
+from ..functions.text import CUES, DOUBTS, MAX_CHARS, bound, contains_any, is_blank, py_bool
 
 # fixed values: what routers give as their reason
 EASY, ESCALATED, CONFIDENT = "short and no reasoning cue", "cheap answer uncertain or empty", "cheap answer confident"
@@ -13,9 +13,13 @@ EASY, ESCALATED, CONFIDENT = "short and no reasoning cue", "cheap answer uncerta
 
 def heuristic(request: Column, max_chars: int = MAX_CHARS, cues: tuple[str, ...] = CUES) -> Column:
     """``struct(hard, reason)``: hard if longer than ``max_chars`` code points or with a cue in it. A null request is easy."""
-    long, cue = F.coalesce(F.length(request) > max_chars, F.lit(False)), contains_any(request, cues)
-    told = F.concat(F.lit("long="), py_bool(long), F.lit(" cue="), py_bool(cue))
-    return F.struct((long | cue).alias("hard"), F.when(long | cue, told).otherwise(EASY).alias("reason"))
+    long = F.coalesce(F.length(request) > max_chars, F.lit(False))
+
+    def told(cue: Column) -> Column:
+        text = F.concat(F.lit("long="), py_bool(long), F.lit(" cue="), py_bool(cue))
+        return F.struct((long | cue).alias("hard"), F.when(long | cue, text).otherwise(EASY).alias("reason"))
+
+    return bound(contains_any(request, cues), told)
 
 
 def cascade(answer: Column, doubts: tuple[str, ...] = DOUBTS) -> Column:
@@ -25,8 +29,8 @@ def cascade(answer: Column, doubts: tuple[str, ...] = DOUBTS) -> Column:
 
 def cascade_reason(answer: Column, doubts: tuple[str, ...] = DOUBTS) -> Column:
     """``struct(escalate, reason)`` of a cheap answer."""
-    up = cascade(answer, doubts)
-    return F.struct(up.alias("escalate"), F.when(up, ESCALATED).otherwise(CONFIDENT).alias("reason"))
+    told = lambda up: F.struct(up.alias("escalate"), F.when(up, ESCALATED).otherwise(CONFIDENT).alias("reason"))
+    return bound(cascade(answer, doubts), told)
 
 
 def cost_usd(tokens_in: Column, tokens_out: Column, price_in: Column | float, price_out: Column | float) -> Column:

@@ -229,3 +229,17 @@ def test_percentiles_of_large_groups_by_narrowing_ranges(spark, monkeypatch):
     many = [float("inf"), float("-inf")] * 3 + [float(i) for i in range(40)]
     told = stats.exact_percentiles(spark.createDataFrame([(x,) for x in many], "v double"), [], "v", (0.0, 0.5, 1.0)).first()["p"]
     assert told == [float("-inf"), 19.5, float("inf")]
+
+
+def test_plain_texts_are_not_folded_letter_by_letter(spark):
+    """Texts whose letters ``lower`` folds don't reach the table; those with other letters do, and a folded text is computed once for all phrases."""
+    texts = ["Straße ΟΔΟΣ Ünï", "中文 Текст É", "ſee", "ﬁt", "Ꭰ", "İ", "plain WHY"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    common = F.col("t")
+    for c, f in text._COMMON.items():
+        common = F.replace(common, F.lit(c), F.lit(f))
+    got = rows.orderBy("i").select(common.rlike(text._ODD).alias("odd"), text.fold(F.col("t")).alias("f")).collect()
+    assert [r["odd"] for r in got] == [False, False, True, True, True, True, False]
+    assert [r["f"] for r in got] == [t.casefold() for t in texts]
+    plan = lambda c: rows.select(c)._jdf.queryExecution().optimizedPlan().toString().count("translate(")
+    assert plan(text.contains_any(F.col("t"), ("why", "how", "compare"))) == plan(text.fold(F.col("t")))
