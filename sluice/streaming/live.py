@@ -36,7 +36,10 @@ def decide(requests: DataFrame, stored: DataFrame, threshold: float, param: str)
     ``expensive`` passes the cache by. What the cache does not answer is answered by the mode; an upstream error makes it
     one of 500. Only answers that are not blank are stored. A null vector is answered by its key only.
     """
-    good = cut_lineage(by_mode(accepted(requests)).withColumn("norm_key", normalize_exact(F.col("request"))))
+    # the request itself and both sides' answers are as long as texts, and nothing after this reads them
+    good = cut_lineage(by_mode(accepted(requests)).select(
+        "idx", normalize_exact(F.col("request")).alias("norm_key"), "mode", "vec", "error", "escalated", "served_by", "answer_text", "tokens_in", "tokens_out"
+    ))
     lost = has_error(F.col("error"))
     asks = good.where("mode <> 'expensive'").select(
         "idx", "norm_key", "vec", (~lost & ~is_blank(F.col("answer_text"))).alias("keep"), F.lit(False).alias("old")
@@ -44,12 +47,12 @@ def decide(requests: DataFrame, stored: DataFrame, threshold: float, param: str)
     known = stored.select((F.col("idx") - _BEFORE).alias("idx"), "norm_key", "vec", F.lit(True).alias("keep"), F.lit(True).alias("old"))
     told = greedy_cache(asks.unionByName(known), threshold, key="norm_key", storable="keep", stored="old")
     told = told.withColumnRenamed("kind", "told").withColumn("hit", F.col("told") != "miss")
-    rows = good.join(told, "idx", "left")
     hit = F.coalesce("hit", F.lit(False))
     answers = good.select("idx", F.col("answer_text").alias("old_text"), F.col("served_by").alias("old_by")).unionByName(
         stored.select((F.col("idx") - _BEFORE).alias("idx"), F.col("answer_text").alias("old_text"), F.col("served_by").alias("old_by"))
     )
-    rows = rows.join(answers.withColumnRenamed("idx", "hit_source_idx"), "hit_source_idx", "left")
+    told = told.join(answers.withColumnRenamed("idx", "hit_source_idx"), "hit_source_idx", "left")
+    rows = good.join(told, "idx", "left")
     source = F.when(F.col("hit_source_idx") < 0, F.col("hit_source_idx") + _BEFORE).otherwise(F.col("hit_source_idx"))
     free = lambda c: F.when(hit, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c)
     rows = cut_lineage(rows.select(

@@ -116,3 +116,26 @@ def test_state_of_first_answers(spark, tmp_path, parts):
     good = [r for r in rows if r[1] is None and r[2].strip() and r[3] and not r[5]]
     got = {r["k"]: r["i"] for r in state.collect()}
     assert got == {f"q {k}": min(r[0] for r in good if r[2] == f"Q {k}") for k in (0, 1, 3, 5, 6)}
+
+
+def test_a_batch_keeps_each_text_once(spark, monkeypatch):
+    """What a batch checkpoints has the key, not the request or the other side's answer; states hold digests of keys."""
+    from sluice.operators import cache
+    from sluice.streaming import live
+
+    seen = []
+    for module in (live, cache):
+        plain = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, plain=plain: (seen.append(df), plain(df))[1])
+    side = "named_struct('text', 'a', 'tokens_in', 1L, 'tokens_out', 1L)"
+    text = "repeat('long text ', 30)"
+    asked = spark.range(8).selectExpr(
+        "id AS idx", f"concat({text}, id % 2) AS request", "'cache' AS mode", "cast(NULL AS array<float>) AS vec", f"{side} AS cheap", f"{side} AS dear", "cast(NULL AS string) AS error"
+    )
+    monkeypatch.setattr(cache, "FINISH", 1)
+    answers, errors, stored = live.decide(asked, spark.createDataFrame([], live.STORED), 2.0, "P")
+    assert sorted((r["idx"], r["hit_source_idx"]) for r in answers.collect()) == [(i, i % 2 if i > 1 else None) for i in range(8)]
+    assert errors.isEmpty() and stored.count() == 2
+    assert seen and not {"request", "cheap", "dear"} & {c for df in seen for c in df.columns}
+    keys = [r["k"] for df in seen if "k" in df.columns for r in df.select("k").collect()]
+    assert keys and max(map(len, keys)) == 64
