@@ -23,6 +23,8 @@ from ..sources.tables import cut_lineage
 WORD = re.compile(r"\w+")
 #: Features, directions, power iterations, and directions beyond those that are kept while iterating.
 DIM, RANK, ROUNDS, SPARE = 1 << 13, 32, 5, 8
+#: Texts that are cut at a time, and features whose products are held at a time.
+TEXTS, HELD = 256, 1 << 16
 _ROWS = "at array<int>, tf array<float>"
 
 
@@ -61,15 +63,26 @@ def _sparse(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     return where, feature, x / np.where(length > 0, length, 1)[where]
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of ``HELD`` features, or of one row."""
+    ends = np.cumsum(np.diff(batch.column(0).offsets.to_numpy()))
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def learn(docs: DataFrame, text: str = "text", dim: int = DIM, rank: int = RANK, rounds: int = ROUNDS, seed: int = 7) -> Encoder:
     """An encoder of ``docs``. Null and blank texts teach nothing; without any other the basis is empty of meaning (zeros)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py(), dim) for t in batch.column(0)]
-            found = [(at, tf) for at, tf in found if len(at)]
-            yield pa.record_batch([pa.array([at for at, _ in found], pa.list_(pa.int32())), pa.array([tf for _, tf in found], pa.list_(pa.float32()))],
-                                  names=["at", "tf"])
+            for k in range(0, batch.num_rows, TEXTS):
+                found = [features(t.as_py(), dim) for t in batch.column(0).slice(k, TEXTS)]
+                found = [(at, tf) for at, tf in found if len(at)]
+                yield pa.record_batch([pa.array([at for at, _ in found], pa.list_(pa.int32())), pa.array([tf for _, tf in found], pa.list_(pa.float32()))],
+                                      names=["at", "tf"])
 
     rows = cut_lineage(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(cut, _ROWS))
     n = rows.count()
@@ -87,9 +100,9 @@ def learn(docs: DataFrame, text: str = "text", dim: int = DIM, rank: int = RANK,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, weight = shared.value
             total = np.zeros((dim, held.shape[1]))
-            for batch in batches:
-                where, feature, x = _sparse(batch, weight)
-                rows = batch.num_rows
+            for piece in (p for batch in batches for p in _pieces(batch)):
+                where, feature, x = _sparse(piece, weight)
+                rows = piece.num_rows
                 part = x[:, None] * held[feature]
                 xq = np.stack([np.bincount(where, part[:, j], rows) for j in range(held.shape[1])], axis=1)
                 for j in range(held.shape[1]):

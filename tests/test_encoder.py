@@ -65,3 +65,16 @@ def test_tables_and_streams_are_encoded_alike(spark, tmp_path):
     assert got.where(F.size("vec") != 8).isEmpty()
     empty = encoder.learn(rows.where("false"), dim=64, rank=4)
     assert not empty.basis.any() and encoder.encode(rows.where("id = 1"), empty).first()["vec"] == [0.0] * 4
+
+
+def test_products_are_held_for_a_bounded_number_of_features(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(encoder, "HELD", 10)
+    rows = [[1, 2, 3], [4] * 12, [], [5] * 6, [6] * 4, [7], []]
+    batch = pa.record_batch([pa.array(rows, pa.list_(pa.int32()))], names=["at"])
+    parts = [p.column(0).to_pylist() for p in encoder._pieces(batch)]
+    assert [row for p in parts for row in p] == rows
+    assert all(len(p) == 1 or sum(map(len, p)) <= 10 for p in parts)
+    sliced = batch.slice(3, 4)
+    assert [row for p in encoder._pieces(sliced) for row in p.column(0).to_pylist()] == rows[3:]
