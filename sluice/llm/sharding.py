@@ -2,7 +2,8 @@
 
 A node with room for k shards is split along its widest metadata dimension, at the weighted quantile that gives k // 2
 shards to the left. The quantiles of all nodes of a level come from two distributed histograms: over the dimension, then
-over hashes within the bucket where the cut falls. Histograms and cuts stay tables; the driver knows a number for each node.
+over hashes within the bucket where the cut falls. Histograms stay tables; the driver knows the cut of each
+node, no more than the list of shards, and rows find it in a literal.
 
 Copies of a text stay together. Those that weigh a good part of a shard would throw a cut off balance, so they are
 packed into shards first, and the tree fills each shard up to the rest of its share.
@@ -55,36 +56,38 @@ def _goals(rooms: dict[int, int], before: list[float]) -> list[tuple[int, int, f
     return out
 
 
-def _split(table: DataFrame, goal: DataFrame) -> DataFrame:
+def _of_node(values: dict[int, float | int], kind: str) -> Column:
+    """What ``values`` has for a row's node, null for other nodes: a literal no longer than the list of shards, so that nothing is joined."""
+    return F.get(F.array(*(F.lit(values.get(i)).cast(kind) for i in range(max(values) + 1))), F.col("node"))
+
+
+def _split(table: DataFrame, goal: list[tuple[int, int, float]]) -> DataFrame:
     """``table`` with the node of the next level. ``goal``: (node, right, share), see ``_goals``."""
-    # tables of a row for each node are no longer than the list of shards, a parameter, and are broadcast
-    spread = table.join(F.broadcast(goal.select("node")), "node").select("node", "w", F.posexplode("at").alias("d", "b"))
+    share = _of_node({v: s for v, _, s in goal}, "double")
+    spread = table.where(share.isNotNull()).select("node", "w", F.posexplode("at").alias("d", "b"))
     seen = spread.groupBy("node", "d", "b").agg(F.sum("w").alias("w"))
-    wide = seen.groupBy("node", "d").agg((F.max("b") - F.min("b")).alias("span")).groupBy("node").agg(
-        F.max_by("d", F.struct("span", -F.col("d"))).alias("d")
-    )
-    along = seen.join(F.broadcast(wide), ["node", "d"]).join(F.broadcast(goal), "node")
-    along = along.withColumns(
-        {"lower": _running("w", "node", order="b"), "aim": F.col("share") * F.sum("w").over(Window.partitionBy("node"))}
-    )
+    # a node has at most BUCKETS rows for each dimension
+    dimension, node = Window.partitionBy("node", "d"), Window.partitionBy("node")
+    seen = seen.withColumn("span", F.max("b").over(dimension) - F.min("b").over(dimension))
+    wide = F.max(F.struct("span", (-F.col("d")).alias("d"))).over(node)
+    along = seen.withColumn("wide", -wide["d"]).where("d = wide")
+    along = along.withColumns({"lower": _running("w", "node", order="b"), "aim": share * F.sum("w").over(node)})
     over = along.where(F.col("lower") + F.col("w") > F.col("aim"))
-    edge = over.groupBy("node").agg(
-        F.min(F.struct("b", "d", "right", (F.col("aim") - F.col("lower")).alias("rest"))).alias("e")
-    )
-    edge = materialize(edge.select("node", "e.*"), "edges")
-    inside = table.join(F.broadcast(edge), "node").where(F.col("at")[F.col("d")] == F.col("b"))
-    fine = inside.groupBy("node", "rest", F.shiftright("h", 18).alias("q")).agg(F.sum("w").alias("w"))
+    edge = over.groupBy("node").agg(F.min(F.struct("b", "d", (F.col("aim") - F.col("lower")).alias("rest"))).alias("e"))
+    edges = {r["node"]: r["e"] for r in edge.collect()}  # a row for each node
+    if not edges:
+        return table
+    d, b, rest = (_of_node({v: e[c] for v, e in edges.items()}, kind) for c, kind in (("d", "int"), ("b", "int"), ("rest", "double")))
+    at_d = F.get("at", d)
+    inside = table.where(at_d == b)
+    fine = inside.groupBy("node", F.shiftright("h", 18).alias("q")).agg(F.sum("w").alias("w"))
     fine = fine.withColumn("upto", _running("w", "node", order="q") + F.col("w"))
-    ends = fine.select("node", (F.col("q") + 1).alias("q"), F.abs(F.col("upto") - F.col("rest")).alias("off"))
-    ends = ends.unionByName(edge.select("node", F.lit(0).cast("long").alias("q"), F.abs("rest").alias("off")))
-    cut = ends.groupBy("node").agg(F.min(F.struct("off", "q")).alias("c")).select(
-        "node", F.shiftleft("c.q", 18).alias("c")
-    )
-    split = edge.join(cut, "node").select("node", "d", "b", "c", "right")
-    at_d = F.col("at")[F.col("d")]
-    stays = F.col("d").isNull() | (at_d < F.col("b")) | ((at_d == F.col("b")) & (F.col("h") < F.col("c")))
-    moved = F.when(stays, F.col("node")).otherwise(F.col("right")).cast("int")
-    return table.join(F.broadcast(split), "node", "left").select("_text", "_salt", "w", "at", "h", moved.alias("node"))
+    ends = fine.select("node", F.struct(F.abs(F.col("upto") - rest).alias("off"), (F.col("q") + 1).alias("q")).alias("c"))
+    cuts = {r["node"]: min(tuple(r["c"]), (abs(edges[r["node"]]["rest"]), 0))[1] << 18 for r in ends.groupBy("node").agg(F.min("c").alias("c")).collect()}
+    right = _of_node({v: r for v, r, _ in goal if v in edges}, "int")
+    stays = d.isNull() | (at_d < b) | ((at_d == b) & (F.col("h") < _of_node(cuts, "long")))
+    moved = F.when(stays, F.col("node")).otherwise(right).cast("int")
+    return table.select("_text", "_salt", "w", "at", "h", moved.alias("node"))
 
 
 def kd_shards(
@@ -162,9 +165,10 @@ def kd_shards(
     )
     rooms = {0: shards}  # a node is named by its first shard
     while any(k > 1 for k in rooms.values()):
-        goal = spark.createDataFrame(_goals(rooms, before), "node int, right int, share double")
-        new = materialize(_split(table, goal), "groups")
-        discard(table)
+        new = _split(table, _goals(rooms, before))
+        if new is not table:
+            new = materialize(new, "groups")
+            discard(table)
         table = new
         rooms = {
             n: r for v, k in rooms.items() for n, r in ([(v, k // 2), (v + k // 2, k - k // 2)] if k > 1 else [(v, k)])

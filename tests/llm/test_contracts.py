@@ -650,3 +650,13 @@ def test_one_response_among_rows_that_share_the_largest_id(spark):
     assert sorted((r["page_id"] or -1, r["record_type"], r["refers_to"]) for r in x if r["record_type"] == "response") == [(5, "response", None)]
     assert sorted(r["page_id"] or -1 for r in x if r["record_type"] == "revisit" and r["refers_to"] == 5) == [-1, 2, 5]
     assert all(r["record_type"] == "response" for r in out if r["payload_bytes"] != 1500)
+
+
+def test_levels_of_the_tree_join_nothing(spark, monkeypatch):
+    """Rows find the cut of their node without a join, so that no count of joined rows grows with the levels or nodes."""
+    plans, plain = [], sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", lambda df, name: (plans.append((name, df._jdf.queryExecution().analyzed().toString())), plain(df, name))[1])
+    docs = spark.createDataFrame([(i, f"text {i % 150} " * (1 + i % 9), "en", "ab"[i % 2], 0) for i in range(300)], WIDE)
+    assert sharding.kd_shards(docs, n_shards=6).count() == 300
+    levels = [plan for name, plan in plans if name != "rows" and name != "heavy"]
+    assert len(levels) >= 4 and not any("Join " in plan for plan in levels[1:])
