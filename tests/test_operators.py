@@ -401,3 +401,17 @@ def test_keys_that_are_texts_are_not_shuffled(spark):
     lines = out._jdf.queryExecution().analyzed().toString().splitlines()
     grouped, joined = ([x for x in lines if w in x] for w in ("Aggregate [", "Join "))
     assert all("sha2(" in x for x in grouped) and all("_digest" in x and "norm_key" not in x for x in joined) and grouped and joined
+
+
+def test_a_floor_spares_visits_and_loses_nothing_above_it(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 8))
+    x[200:] = x[:200] + r.normal(size=(200, 8)) * r.uniform(0, 0.8, (200, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, vec array<float>")
+    told = lambda df: sorted((r["idx"], round(r["best"], 12), r["best_src"]) for r in df.where("best >= 0.9").collect())
+    assert told(cache.prefix_best(rows)) == told(cache.prefix_best(rows, least=0.9))
+    places = nearest.place(rows, block=40)
+    plain, spared = (nearest.all_best_earlier(places, least)[1].first()["compared"] for least in (None, 0.9))
+    assert spared < 0.9 * plain
+    assert nearest.place(rows).size >= 400 / np.ceil(np.sqrt(8 * spark.sparkContext.defaultParallelism))  # fewer blocks, fewer copies of rows
