@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -415,3 +417,24 @@ def test_a_floor_spares_visits_and_loses_nothing_above_it(spark):
     plain, spared = (nearest.all_best_earlier(places, least)[1].first()["compared"] for least in (None, 0.9))
     assert spared < 0.9 * plain
     assert nearest.place(rows).size >= 400 / np.ceil(np.sqrt(8 * spark.sparkContext.defaultParallelism))  # fewer blocks, fewer copies of rows
+
+
+def test_blocks_meet_in_little_memory():
+    """What a task holds of two blocks' products does not grow with the blocks."""
+    rng = np.random.default_rng(5)
+
+    def table(first: int, n: int) -> pa.Table:
+        x = rng.normal(size=(n, 8)).astype(np.float32)
+        return pa.table({"_by": [""] * n, "idx": np.arange(first, first + n), "vec": pa.array(list(x), pa.list_(pa.float32())), "floor": pa.nulls(n, pa.float64())})
+
+    for first in (4000, 0):  # all of the other block is earlier, or some of it
+        left, right = table(first, 4000), table(0, 4000)
+        tracemalloc.start()
+        got = nearest._compare(left, right)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 16e6
+        s = nearest._matrix(left["vec"]) @ nearest._matrix(right["vec"]).T
+        s[np.arange(4000) >= np.arange(first, first + 4000)[:, None]] = -np.inf
+        assert got["idx"].to_pylist() == [first + i for i in range(4000) if np.isfinite(s[i]).any()]
+        assert got["src"].to_pylist() == s.argmax(axis=1)[np.isfinite(s).any(axis=1)].tolist()
