@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import has_error, is_blank, normalize_exact
 from ..operators.cache import greedy_cache
-from ..sources.tables import cut_lineage
+from ..sources.tables import apart, cut_lineage
 from .gateway import accepted, by_mode, failed, rejected
 
 REQUESTS = "idx bigint, request string, mode string, vec array<float>, cheap struct<text string, tokens_in bigint, tokens_out bigint>, dear struct<text string, tokens_in bigint, tokens_out bigint>, error string"
@@ -51,8 +51,8 @@ def decide(requests: DataFrame, stored: DataFrame, threshold: float, param: str)
     answers = good.select("idx", F.col("answer_text").alias("old_text"), F.col("served_by").alias("old_by")).unionByName(
         stored.select((F.col("idx") - _BEFORE).alias("idx"), F.col("answer_text").alias("old_text"), F.col("served_by").alias("old_by"))
     )
-    told = told.join(answers.withColumnRenamed("idx", "hit_source_idx"), "hit_source_idx", "left")
-    rows = good.join(told, "idx", "left")
+    told = told.join(apart(answers.withColumnRenamed("idx", "hit_source_idx")), "hit_source_idx", "left")
+    rows = good.join(apart(told), "idx", "left")
     source = F.when(F.col("hit_source_idx") < 0, F.col("hit_source_idx") + _BEFORE).otherwise(F.col("hit_source_idx"))
     free = lambda c: F.when(hit, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c)
     rows = cut_lineage(rows.select(

@@ -438,3 +438,14 @@ def test_blocks_meet_in_little_memory():
         s[np.arange(4000) >= np.arange(first, first + 4000)[:, None]] = -np.inf
         assert got["idx"].to_pylist() == [first + i for i in range(4000) if np.isfinite(s[i]).any()]
         assert got["src"].to_pylist() == s.argmax(axis=1)[np.isfinite(s).any(axis=1)].tolist()
+
+
+def test_rounds_of_the_cache_send_no_rows_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(cache, "FINISH", 50)
+    x = vectors(300, seed=3)
+    rows = spark.createDataFrame([(i, x[i].tolist(), f"k{i}", True) for i in range(300)], VEC)
+    out = cache.greedy_cache(rows, 0.8, key="k", storable="keep")
+    assert len(out.collect()) == 300
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
