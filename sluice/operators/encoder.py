@@ -25,7 +25,7 @@ WORD = re.compile(r"\w+")
 DIM, RANK, ROUNDS, SPARE = 1 << 13, 32, 5, 8
 #: Texts that are cut at a time, and features whose products are held at a time.
 TEXTS, HELD = 256, 1 << 16
-_ROWS = "at array<int>, tf array<float>"
+_ROWS = "n int, packed binary"
 
 
 @dataclass
@@ -47,7 +47,9 @@ class Encoder:
 
 def features(text: str | None, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed words of a text, in order, and 1 + ln of how often each occurs."""
-    count = Counter(zlib.crc32(w.encode()) % dim for w in WORD.findall((text or "").lower()))
+    count: Counter = Counter()
+    for word, n in Counter(WORD.findall((text or "").lower())).items():
+        count[zlib.crc32(word.encode()) % dim] += n
     at = np.array(sorted(count), np.int64)
     return at, 1 + np.log(np.array([count[i] for i in at.tolist()], np.float64)) if len(at) else np.zeros(0)
 
@@ -63,6 +65,21 @@ def _sparse(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     return where, feature, x / np.where(length > 0, length, 1)[where]
 
 
+def _packed(found: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """Features of some texts as compressed Arrow data, a small part of what rows of arrays take."""
+    batch = pa.record_batch([pa.array([at for at, _ in found], pa.list_(pa.int32())), pa.array([tf for _, tf in found], pa.list_(pa.float32()))], names=["at", "tf"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed in batch.column("packed"):
+            yield from pa.ipc.open_stream(packed.as_buffer())
+
+
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in parts of ``HELD`` features, or of one row."""
     ends = np.cumsum(np.diff(batch.column(0).offsets.to_numpy()))
@@ -81,14 +98,20 @@ def learn(docs: DataFrame, text: str = "text", dim: int = DIM, rank: int = RANK,
             for k in range(0, batch.num_rows, TEXTS):
                 found = [features(t.as_py(), dim) for t in batch.column(0).slice(k, TEXTS)]
                 found = [(at, tf) for at, tf in found if len(at)]
-                yield pa.record_batch([pa.array([at for at, _ in found], pa.list_(pa.int32())), pa.array([tf for _, tf in found], pa.list_(pa.float32()))],
-                                      names=["at", "tf"])
+                yield pa.record_batch([pa.array([len(found)], pa.int32()), pa.array([_packed(found)], pa.binary())], names=["n", "packed"])
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(dim, np.int64)
+        for batch in _opened(batches):
+            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=dim)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["f", "n"])
 
     rows = cut_lineage(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(cut, _ROWS))
-    n = rows.count()
+    n = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     df = np.zeros(dim)
-    for r in rows.select(F.explode("at").alias("f")).groupBy("f").count().collect():  # dim rows at most
-        df[r["f"]] = r["count"]
+    for r in rows.mapInArrow(seen, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():  # dim rows at most
+        df[r["f"]] = r["n"]
     idf = np.log((1 + n) / (1 + df)) + 1
     width = min(rank + SPARE, dim)
     spark = docs.sparkSession
@@ -99,14 +122,14 @@ def learn(docs: DataFrame, text: str = "text", dim: int = DIM, rank: int = RANK,
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, weight = shared.value
-            total = np.zeros((dim, held.shape[1]))
-            for piece in (p for batch in batches for p in _pieces(batch)):
+            sums = np.zeros((held.shape[1], dim))
+            columns = np.ascontiguousarray(held.T)
+            for piece in (p for batch in _opened(batches) for p in _pieces(batch)):
                 where, feature, x = _sparse(piece, weight)
-                rows = piece.num_rows
-                part = x[:, None] * held[feature]
-                xq = np.stack([np.bincount(where, part[:, j], rows) for j in range(held.shape[1])], axis=1)
-                for j in range(held.shape[1]):
-                    total[:, j] += np.bincount(feature, x * xq[where, j], dim)
+                for column, total in zip(columns, sums):
+                    xq = np.bincount(where, x * column[feature], piece.num_rows)
+                    total += np.bincount(feature, x * xq[where], dim)
+            total = sums.T
             some = np.flatnonzero(total.any(axis=1))
             yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["f", "v"])
 

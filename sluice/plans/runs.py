@@ -176,7 +176,8 @@ def similar_documents(spark, d):
     """Each document with the most similar earlier one, by learned vectors; exact and near copies are found."""
     docs = load(spark, d, "documents").select("doc_id", "text")
     model = encoder.learn(docs)
-    told = cache.prefix_best(encoder.encode(docs, model), order="doc_id", least=0.9).where("best >= 0.9")
+    rows = tables.cut_lineage(encoder.encode(docs, model).select("doc_id", "vec"))  # read several times
+    told = cache.prefix_best(rows, order="doc_id", least=0.9).where("best >= 0.9")
     return told.select(F.col("idx").alias("doc_id"), F.round("best", 4).alias("similarity"), F.col("best_src").alias("earlier"))
 
 

@@ -449,3 +449,35 @@ def test_rounds_of_the_cache_send_no_rows_through_the_driver(spark, monkeypatch)
     plan = out._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+@pytest.mark.parametrize("least", [None, 0.8])
+def test_ranges_meet_and_equal_vectors_tie_by_order(spark, monkeypatch, least):
+    """Many ranges and leaves, groups of copies, vectors of any length: the sequential loop, the earliest of equal vectors to the last bit."""
+    monkeypatch.setattr(nearest, "LEAVES", 1)
+    r = np.random.default_rng(11)
+    x = r.normal(size=(600, 6)) * r.uniform(0.2, 2, size=(600, 1))
+    x[200:] = x[r.integers(0, 200, 400)] + r.normal(size=(400, 6)) * r.choice([0, 0.05], size=(400, 1))
+    x = x.astype(np.float32)
+    rows = spark.createDataFrame([(3 * i - 500, v.tolist(), "ab"[i % 5 == 0]) for i, v in enumerate(x)], "idx long, vec array<float>, g string").repartition(7)
+    odd = spark.createDataFrame([(None, x[0].tolist(), "a"), (2000, [float("nan")] * 6, "a"), (2001, None, "b")], rows.schema)
+    got = cache.prefix_best(rows.unionByName(odd), by="g", block=5, least=least).collect()
+    told = {q["idx"]: (q["best"], q["best_src"]) for q in got}
+    assert len(got) == 603 and told[None] == told[2000] == told[2001] == (0.0, None)
+    dot = lambda a, b: float(np.cumsum(a.astype(float) * b.astype(float))[-1])
+    for i in range(600):
+        sims = [(dot(x[i], x[j]), -(3 * j - 500)) for j in range(i) if (i % 5 == 0) == (j % 5 == 0)]
+        s, src = max(sims, default=(-np.inf, 0))
+        want = (s, -src) if sims and (least is None or s >= least) else (0.0, None)
+        assert told[3 * i - 500] == want
+
+
+def test_a_row_travels_once_for_each_range(spark):
+    """What two ranges need meets in one task, packed: no exchange of the search has a row for each block that a row visits."""
+    x = vectors(3000, 5, 16)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, vec array<float>").repartition(4)
+    places = nearest.listed(rows, block=10)
+    assert (places.many, places.dim, places.size, places.blocks) == (3000, 16, 10, None)
+    found, work = nearest.all_best_earlier(places)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert found.count() == 2999 and "FlatMapCoGroups" not in plan and work.first()["compared"] >= 2999
