@@ -87,8 +87,8 @@ UNION ALL SELECT '{_FHR[0]}-' || frac, '{_FHR[1]}', '{_FHR[2]}', frac, 'fhr', 'n
 
 
 @query(POINTS)
-def comparison_points(spark, d):
-    return rounded(metrics.comparison_points(surrogate.outcomes(spark, d), surrogate.judgements(spark, d)))
+def comparison_points(spark, d, of=catalog.TABLES):
+    return rounded(metrics.comparison_points(of.outcomes(spark, d), of.judgements(spark, d)))
 
 
 _WEIGHT = " + ".join(f"(h >= {t})::INT" for t in stats._UP_TO)
@@ -164,7 +164,8 @@ PARTS = (
 
 @query(" UNION ALL ".join(results.long_sql(s, ORACLE[q], name.replace("STRING", "VARCHAR"), numbers, texts) for s, q, name, numbers, texts in PARTS))
 def results_document(spark, d):
-    parts = [results.long_form(s, QUERIES[q](spark, d), name, numbers, texts) for s, q, name, numbers, texts in PARTS]
+    of = catalog.Written()  # all parts read the same tables, and the search for similar vectors runs once
+    parts = [results.long_form(s, QUERIES[q](spark, d, of), name, numbers, texts) for s, q, name, numbers, texts in PARTS]
     return gates.gate_table(*parts)
 
 

@@ -334,3 +334,24 @@ def test_null_vectors_meet_nothing(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0, 0.0])], "idx long, vec array<float>")
     got = {r["idx"]: (r["best"], r["best_src"]) for r in cache.prefix_best(rows).collect()}
     assert got == {0: (0.0, None), 1: (0.0, None), 2: (1.0, 0)}
+
+
+def test_parts_of_the_results_share_their_tables(spark, monkeypatch):
+    """The search for similar vectors runs once, and all parts read outcomes and judgements that were written once."""
+    from sluice.plans import reports
+    from sluice.sources import surrogate
+
+    calls: dict[str, int] = {}
+
+    def counted(module, name):
+        f = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **k: calls.update({name: calls.get(name, 0) + 1}) or f(*a, **k))
+
+    counted(cache, "prefix_best"), counted(cache, "exact_replay"), counted(surrogate, "outcomes"), counted(surrogate, "judgements")
+    d = "/root/testdata/sf0.001"
+    cells = {(r["section"], r["name"], r["field"]): (r["number"], r["text"]) for r in reports.QUERIES["results_document"](spark, d).collect()}
+    assert calls == {"prefix_best": 1, "exact_replay": 1, "outcomes": 1, "judgements": 1}
+    for r in reports.QUERIES["exact_proxy"](spark, d).collect():
+        assert cells["exact_proxy", f"{r['frac']}_{r['config']}", "judged"] == (r["judged"], None)
+    for r in reports.QUERIES["cost_weighted_threshold_full"](spark, d).collect():
+        assert cells["cost_weighted", f"r{r['r']}", "threshold"] == (r["threshold"], None)
