@@ -137,7 +137,8 @@ def learn(docs: DataFrame, text: str = "text", dim: int = DIM, rank: int = RANK,
             v = np.array(table.column("v").to_pylist()).sum(axis=0)
             return pa.table({"f": table.column("f").slice(0, 1), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
-        sums = rows.mapInArrow(run, "f int, v array<double>").groupBy("f").applyInArrow(merged, "f int, v array<double>")
+        # sums of ``dim`` x ``rank`` numbers for each core, however many parts the texts have
+        sums = rows.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, "f int, v array<double>").groupBy("f").applyInArrow(merged, "f int, v array<double>")
         out = np.zeros((dim, q.shape[1]))
         for r in sums.collect():  # dim rows at most
             out[r["f"]] = r["v"]

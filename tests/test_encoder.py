@@ -78,3 +78,20 @@ def test_products_are_held_for_a_bounded_number_of_features(monkeypatch):
     assert all(len(p) == 1 or sum(map(len, p)) <= 10 for p in parts)
     sliced = batch.slice(3, 4)
     assert [row for p in encoder._pieces(sliced) for row in p.column(0).to_pylist()] == rows[3:]
+
+
+def test_sums_do_not_grow_with_the_parts_of_the_texts(spark, monkeypatch):
+    """A round writes one sum for each core, however many parts the texts have; the directions stay the same."""
+    kind, parts = type(spark.range(1)), []
+    plain = kind.mapInArrow
+
+    def watched(self, func, schema, *a, **k):
+        if schema == "f int, v array<double>":
+            parts.append(self.rdd.getNumPartitions())
+        return plain(self, func, schema, *a, **k)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    docs = spark.createDataFrame(list(enumerate(corpus())), "id long, text string")
+    few, many = (encoder.learn(docs.repartition(n), dim=128, rank=4, rounds=2) for n in (2, 40))
+    assert len(parts) == 6 and max(parts) <= spark.sparkContext.defaultParallelism
+    assert np.allclose(few.singular, many.singular) and np.allclose(few.idf, many.idf)
