@@ -174,7 +174,8 @@ def store_upsert(spark, d):
     rows = surrogate.requests(spark, d).where("norm_key IS NOT NULL AND norm_key <> ''").select(
         "norm_key", "idx", F.col("source").alias("model")
     )
-    return cache.latest_by_key(rows).select("idx", "model", F.sha2("norm_key", 256).alias("key_sha"))
+    keyed = rows.select("idx", "model", F.sha2("norm_key", 256).alias("key_sha"))  # keys are whole texts, which need no shuffle or sort
+    return cache.latest_by_key(keyed, "key_sha").select("idx", "model", "key_sha")
 
 
 @query(

@@ -1,5 +1,6 @@
 """Judging, comparisons, results, the store, the gateway and the audit against hand values and plain loops."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import stats
 from sluice.operators import agreement, audit, cache, gates, judging, metrics, results, routing, tuning, workload
-from sluice.plans import catalog
+from sluice.plans import catalog, reports
 from sluice.sources import tables
 from sluice.streaming import gateway
 
@@ -388,3 +389,17 @@ def test_replay_labels_fold_each_text_once(spark, tmp_path):
     key = lambda r: (r[0] is None, r[0] or 0, r[1], str(r[2]))
     assert sorted(got, key=key) == sorted(((i, n, bool(h)) for i, n, h in told), key=key)
     assert "FileScan" not in final_plan(df)  # the join's sides do not read and fold the documents again
+
+
+def test_store_upsert_moves_digests_not_texts(spark, tmp_path):
+    rows = documents(spark, tmp_path)
+    last = {}
+    for i, t in rows:
+        if t and (k := " ".join(t.lower().split())):
+            last[k] = max((j for j in (last.get(k), i) if j is not None), default=None)
+    df = reports.store_upsert(spark, str(tmp_path))
+    got = {(r["idx"], r["model"], r["key_sha"]) for r in df.collect()}
+    model = lambda i: None if i in (None, 6) else f"s{i}"
+    assert got == {(i, model(i), hashlib.sha256(k.encode()).hexdigest()) for k, i in last.items()}
+    plan = final_plan(df)
+    assert "hashpartitioning(key_sha" in plan and "hashpartitioning(norm_key" not in plan
