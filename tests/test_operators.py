@@ -481,3 +481,46 @@ def test_a_row_travels_once_for_each_range(spark):
     found, work = nearest.all_best_earlier(places)
     plan = found._jdf.queryExecution().analyzed().toString()
     assert found.count() == 2999 and "FlatMapCoGroups" not in plan and work.first()["compared"] >= 2999
+
+
+@pytest.mark.parametrize("parts", [2, 3, 4, 7])
+def test_a_range_travels_once_for_each_two_ranges(spark, parts):
+    """Each two ranges of a group share the one task where they meet; none holds more than four, and a range goes to half as many tasks as there are ranges."""
+    schema = "_by string, at int, parts int, before long, idx binary, vec binary, firsts int, s binary, src binary"
+    blob = bytearray(8)
+    rows = [("a", k, parts, 0, blob, blob, 1, blob, blob) for k in range(parts)] + [("b", k, 2, 50, blob, blob, 1, blob, blob) for k in range(2)]
+    rows += [("c", 0, 1, None, blob, blob, 1, blob, blob)]
+    tasks: dict = {}
+    for r in nearest._dealt(spark.createDataFrame(rows, schema)).collect():
+        tasks.setdefault(r["task"], {})[r["_by"], r["at"]] = r
+    blocks = -(-parts // 2)
+    assert sorted(tasks) == [*range(max(1, blocks * (blocks - 1) // 2)), 50] and all(len(t) <= 4 and len({by for by, _ in t}) == 1 for t in tasks.values())
+    for k in range(parts):
+        assert sum(("a", k) in t for t in tasks.values()) == max(1, blocks - 1)
+        for j in range(k):
+            both = [t for t in tasks.values() if ("a", k) in t and ("a", j) in t]
+            assert both and (k // 2 == j // 2 or len(both) == 1) and any(t["a", k]["s"] is not None for t in both)
+    assert set(tasks[50]) == {("b", 0), ("b", 1)}
+
+
+@pytest.mark.parametrize("at_a_time", [2, 4096])
+def test_blocks_of_ranges_meet_some_at_a_time(spark, monkeypatch, at_a_time):
+    """Groups of one, two, three and many ranges; more pairs of blocks than meet at a time; repeated and null orders; a group of one vector only."""
+    monkeypatch.setattr(nearest, "LEAVES", 1)
+    monkeypatch.setattr(nearest, "MEETINGS", at_a_time)
+    r = np.random.default_rng(21)
+    x = r.normal(size=(500, 6)).astype(np.float32)
+    x[100:130] = x[0]
+    group = np.array(["a"] * 280 + ["b"] * 90 + ["c"] * 125 + ["d"] * 5)
+    rows = spark.createDataFrame([(i, x[i].tolist(), str(group[i])) for i in r.permutation(500).tolist()], "idx long, vec array<float>, g string")
+    found, work = nearest.all_best_earlier(nearest.listed(rows, by="g", block=5))
+    got = {(q["_by"], q["idx"]): (q["s"], q["src"]) for q in found.collect()}
+    dot = lambda a, b: float(np.cumsum(a.astype(float) * b.astype(float))[-1])
+    want = {}
+    for i in range(500):
+        if sims := [(dot(x[i], x[j]), -j) for j in range(i) if group[j] == group[i]]:
+            want[group[i], i] = (max(sims)[0], -max(sims)[1])
+    assert got == want and work.first()["compared"] <= sum(n * (n - 1) // 2 for n in (280, 90, 125, 5)) * 1.2
+    same = spark.createDataFrame([(7, [1.0, 0.0], "a")] * 40 + [(None, [1.0, 0.0], "a")] * 3 + [(i, [1.0, 0.0], "b") for i in range(60)], rows.schema)
+    told = nearest.all_best_earlier(nearest.listed(same, by="g", block=5))[0].collect()
+    assert sorted((q["_by"], q["idx"], q["s"], q["src"]) for q in told) == [("b", i, 1.0, 0) for i in range(1, 60)]
